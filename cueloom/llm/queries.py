@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, toxicity, warc
+from . import bpe, langid, linededup, secrets, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_secrets": secrets.op1_secrets,
+        "op4_line_dedup": linededup.op4_line_dedup,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_bpe": bpe.op7_bpe,
         "op9_langid": langid.op9_langid,
@@ -19,4 +21,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_line_dedup": linededup.OP4_SQL}
