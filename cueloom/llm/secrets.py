@@ -67,18 +67,23 @@ def _starts(steps: Column) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / _CHUNK).cast("int")), chunk))
 
 
+def _let(value: Column, body) -> Column:
+    """body of value, evaluating value once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _spans(text: Column, pattern: str) -> Column:
     """array<struct<start, end, match>> of leftmost non-overlapping matches, in code points."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     zipped = F.zip_with(
-        F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found,
+        F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
         lambda piece, match: F.struct(F.length(piece).cast("long").alias("gap"), match.alias("match")),
     )
-    starts = _starts(F.transform(zipped, lambda z: z["gap"] + F.length(z["match"])))
-    spans = F.zip_with(
-        zipped, starts,
+    zipped = F.filter(zipped, lambda z: z["match"].isNotNull())  # the piece after the last match has none
+    placed = lambda zs: F.zip_with(
+        zs, _starts(F.transform(zs, lambda z: z["gap"] + F.length(z["match"]))),
         lambda z, s: F.struct((s + z["gap"]).alias("start"), (s + z["gap"] + F.length(z["match"])).alias("end"), z["match"].alias("match")),
     )
+    spans = _let(zipped, placed)
     empty = F.array().cast("array<struct<start:bigint,end:bigint,match:string>>")
     return F.when(text.rlike(pattern), spans).otherwise(empty)
 
@@ -91,48 +96,62 @@ def _log10_lower(z: Column) -> Column:
     return F.when(z < -3, tail).otherwise(body)
 
 
+def _neighbours(values: Column, f) -> Column:
+    return F.zip_with(F.slice(values, F.lit(1), F.size(values) - 1), F.slice(values, F.lit(2), F.size(values) - 1), f)
+
+
+def _scores(chars: Column, k: Column, symbols: Column, pairs: Column) -> Column:
+    """struct<random, discovery> of a candidate's characters in an alphabet of k symbols."""
+
+    def counted(s: Column) -> Column:
+        values, n, k = s["values"], s["n"], s["k"]
+        sides = F.transform(values, lambda v: (v > k / 2).cast("double"))
+        return F.struct(
+            values.alias("values"), n.alias("n"), k.alias("k"), s["pairs"].alias("pairs"),
+            _sum(F.transform(s["counts"], lambda c: c * c)).alias("squares"), _sum(sides).alias("high"), (_sum(values) / n).alias("mean"),
+            _sum(_neighbours(sides, lambda x, y: (x != y).cast("double"))).alias("turns"),
+        )
+
+    def scored(s: Column) -> Column:
+        n, k, mean = s["n"], s["k"], s["mean"]
+        mean_runs = 2 * s["high"] * (n - s["high"]) / n + 1
+        spread = (mean_runs - 1) * (mean_runs - 2) / (n - 1)
+        variance = _sum(F.transform(s["values"], lambda v: (v - mean) * (v - mean)))
+        serial = _sum(_neighbours(s["values"], lambda x, y: (x - mean) * (y - mean)))
+        away = k * s["pairs"] - 1
+        chi = s["squares"] * k / n - n
+        text_mean, text_var = (k - 1) + (n - 1) * away, 2 * (k - 1) + 4 * (n - 1) * away
+        return F.struct(
+            ((chi - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)).alias("z_chi"),
+            F.when(spread > 0, (1 + s["turns"] - mean_runs) / F.sqrt(F.greatest(spread, F.lit(1e-9)))).otherwise(F.lit(-30.0)).alias("z_runs"),
+            F.when(variance > 0, (serial / F.greatest(variance, F.lit(1e-9)) + 1 / n) * F.sqrt(n)).otherwise(F.lit(30.0)).alias("z_serial"),
+            ((chi - text_mean) / F.sqrt(text_var)).alias("z_text"),
+        )
+
+    def judged(z: Column) -> Column:
+        two_sided = lambda x: _log10_lower(-F.abs(x)) + math.log10(2)
+        random = F.least(_log10_lower(-z["z_chi"]), two_sided(z["z_runs"]), two_sided(z["z_serial"])) + math.log10(3)
+        return F.struct(random.alias("random"), _log10_lower(z["z_text"]).alias("discovery"))
+
+    start = F.struct(
+        F.transform(chars, lambda c: F.instr(symbols, c).cast("double")).alias("values"), F.size(chars).cast("double").alias("n"), k.alias("k"), pairs.alias("pairs"),
+        F.transform(F.array_distinct(chars), lambda d: F.size(F.filter(chars, lambda c: c == d)).cast("double")).alias("counts"),
+    )
+    return _let(_let(_let(start, counted), scored), judged)
+
+
 def battery(token: Column) -> Column:
     """struct<random, discovery> of a candidate: log10 of its probabilities as random and as text-like string."""
-    body = F.regexp_replace(F.translate(token, "-_", "+/"), "=+$", "")
 
-    def by(symbols: str, pairs: float) -> Column:
-        k = float(len(symbols))
-
-        def tested(chars: Column) -> Column:
-            n = F.size(chars).cast("double")
-            values = F.transform(chars, lambda c: F.instr(F.lit(symbols), c).cast("double"))
-            squares = _sum(F.transform(F.array_distinct(chars), lambda d: F.pow(F.size(F.filter(chars, lambda c: c == d)).cast("double"), F.lit(2.0))))
-            chi = squares * k / n - n
-            z_chi = (chi - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
-            sides = F.transform(values, lambda v: (v > k / 2).cast("double"))
-            high = _sum(sides)
-            pairs_of = lambda a: F.zip_with(F.slice(a, F.lit(1), F.size(a) - 1), F.slice(a, F.lit(2), F.size(a) - 1), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-            runs = 1 + _sum(F.transform(pairs_of(sides), lambda p: (p["x"] != p["y"]).cast("double")))
-            mean_runs = 2 * high * (n - high) / n + 1
-            spread = (mean_runs - 1) * (mean_runs - 2) / (n - 1)
-            z_runs = F.when(spread > 0, (runs - mean_runs) / F.sqrt(F.greatest(spread, F.lit(1e-9)))).otherwise(F.lit(-30.0))
-            mean = _sum(values) / n
-            return F.struct(chi.alias("chi"), z_chi.alias("z_chi"), z_runs.alias("z_runs"), n.alias("n"), mean.alias("mean"), values.alias("values"))
-
-        def combined(s: Column) -> Column:
-            values, mean, n = s["values"], s["mean"], s["n"]
-            shifted = F.zip_with(F.slice(values, F.lit(1), F.size(values) - 1), F.slice(values, F.lit(2), F.size(values) - 1), lambda x, y: (x - mean) * (y - mean))
-            variance = _sum(F.transform(values, lambda v: (v - mean) * (v - mean)))
-            z_serial = F.when(variance > 0, (_sum(shifted) / F.greatest(variance, F.lit(1e-9)) + 1 / n) * F.sqrt(n)).otherwise(F.lit(30.0))
-            two_sided = lambda z: _log10_lower(-F.abs(z)) + math.log10(2)
-            random = F.least(_log10_lower(-s["z_chi"]), two_sided(s["z_runs"]), two_sided(z_serial)) + math.log10(3)
-            away = k * pairs - 1
-            text_mean, text_var = (k - 1) + (n - 1) * away, 2 * (k - 1) + 4 * (n - 1) * away
-            return F.struct(random.alias("random"), _log10_lower((s["chi"] - text_mean) / F.sqrt(text_var)).alias("discovery"))
-
-        one = F.array(tested(F.split(body, "")))
-        return F.transform(one, combined)[0]
-
-    out = None
-    for pattern, symbols, pairs in reversed(ENCODINGS):
-        own = by(symbols, pairs)
-        out = own if out is None else F.when(body.rlike(pattern), own).otherwise(out)
-    return out
+    def encoded(body: Column) -> Column:
+        alphabet = None
+        for pattern, symbols, pairs in reversed(ENCODINGS):
+            own = F.struct(F.lit(symbols).alias("symbols"), F.lit(float(len(symbols))).alias("k"), F.lit(pairs).alias("pairs"))
+            alphabet = own if alphabet is None else F.when(body.rlike(pattern), own).otherwise(alphabet)
+        return F.struct(F.split(body, "").alias("chars"), alphabet.alias("in"))
+
+    body = F.regexp_replace(F.translate(token, "-_", "+/"), "=+$", "")
+    return _let(_let(body, encoded), lambda e: _scores(e["chars"], e["in"]["k"], e["in"]["symbols"], e["in"]["pairs"]))
 
 
 def _candidates(docs: DataFrame) -> DataFrame:
