@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, linededup, secrets, toxicity, warc
+from . import bpe, langid, linededup, minhash, secrets, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_line_dedup": linededup.op4_line_dedup,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_bpe": bpe.op7_bpe,
+        "op8_minhash": minhash.op8_minhash,
         "op9_langid": langid.op9_langid,
         "op10_warc": warc.op10_warc,
     }
