@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, linededup, minhash, secrets, toxicity, warc
+from . import bpe, langid, linededup, minhash, secrets, toxicity, vectordedup, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": secrets.op1_secrets,
         "op4_line_dedup": linededup.op4_line_dedup,
+        "op5_vector_dedup": vectordedup.op5_vector_dedup,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_bpe": bpe.op7_bpe,
         "op8_minhash": minhash.op8_minhash,
