@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, linededup, minhash, secrets, suffixdedup, toxicity, vectordedup, warc
+from . import bpe, decontaminate, langid, linededup, minhash, secrets, suffixdedup, toxicity, vectordedup, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": secrets.op1_secrets,
         "op2_suffix_dedup": suffixdedup.op2_suffix_dedup,
+        "op3_decontaminate": decontaminate.op3_decontaminate,
         "op4_line_dedup": linededup.op4_line_dedup,
         "op5_vector_dedup": vectordedup.op5_vector_dedup,
         "op6_toxicity": toxicity.op6_toxicity,
