@@ -1,7 +1,7 @@
 """Byte-level BPE with a rank queue made of a hierarchical bitmap.
 
 A pre-token's bytes form a linked list. Every adjacent pair whose bytes are a vocabulary entry stands in the bucket of its
-merge rank; a three-level bitmap over the ranks gives the lowest occupied rank by find-first-set. A merge never searches
+merge rank; a two-level bitmap over the ranks gives the lowest occupied rank by find-first-set. A merge never searches
 the list: it takes the leftmost position of the lowest bucket, skips it if stale, joins two nodes and files the two new
 pairs. So a pre-token of n bytes takes O(n log n) steps, however long it is.
 """
@@ -23,83 +23,92 @@ from pyspark.sql import functions as F
 from . import textkit
 
 #: Entries of a worker's memory of encoded pre-tokens, and the longest pre-token it keeps; beyond that it starts anew.
-MEMORY_ENTRIES, MEMORY_CHARS = 300_000, 64
+MEMORY_ENTRIES, MEMORY_CHARS = 1_000_000, 64
 #: Pre-tokens encoded at a time, which bounds what a very long text takes.
 STEP = 200_000
 
 
-class RankQueue:
-    """Positions by merge rank; the lowest rank is found through three levels of bit sets of 64."""
-
-    def __init__(self):
-        self.top, self.middle, self.low, self.buckets = 0, {}, {}, {}
-
-    def add(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        a, b = rank >> 6, rank >> 12
-        self.low[a] = self.low.get(a, 0) | 1 << (rank & 63)
-        self.middle[b] = self.middle.get(b, 0) | 1 << (a & 63)
-        self.top |= 1 << b
-
-    def pop(self) -> tuple[int, int] | None:
-        """(rank, leftmost position) of the lowest rank, or None."""
-        if not self.top:
-            return None
-        b = (self.top & -self.top).bit_length() - 1
-        word = self.middle[b]
-        a = b << 6 | (word & -word).bit_length() - 1
-        word = self.low[a]
-        rank = a << 6 | (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            self.low[a] &= ~(1 << (rank & 63))
-            if not self.low[a]:
-                self.middle[b] &= ~(1 << (a & 63))
-                if not self.middle[b]:
-                    self.top &= ~(1 << b)
-        return rank, position
-
-
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one pre-token: merges the lowest-ranked adjacent pair, leftmost first, until none is left."""
-    if (whole := ranks.get(piece)) is not None:
+    """Ids of one pre-token: merges the lowest-ranked adjacent pair, leftmost first, until none is left.
+
+    The queue: `buckets` holds the position of a rank's only pair, or a heap of positions; `low` has a bit for each occupied
+    rank in words of 256, `top` a bit for each word that isn't zero. Bits are looked up from the top by find-first-set.
+    """
+    get = ranks.get
+    if (whole := get(piece)) is not None:
         return [whole]
     n = len(piece)
     after = list(range(1, n + 1))  # the node that follows; n ends the list
-    before = list(range(-1, n - 1))
-    pair: list[int] = [-1] * n  # rank of the pair that begins here; -1 if none or swallowed
-    queue = RankQueue()
-
-    def file(at: int) -> None:
-        middle = after[at]
-        rank = ranks.get(piece[at : after[middle]], -1) if middle < n else -1
-        pair[at] = rank
-        if rank >= 0:
-            queue.add(rank, at)
-
-    for i in range(n - 1):
-        file(i)
-    while (lowest := queue.pop()) is not None:
-        rank, at = lowest
+    before = list(range(-1, n))
+    pair = [-1] * n  # rank of the pair that begins here; -1 if none or swallowed
+    top, low, buckets = 0, {}, {}
+    for at in range(n - 1):
+        rank = get(piece[at : at + 2])
+        if rank is not None:
+            pair[at] = rank
+            if rank not in buckets:
+                buckets[rank] = at
+                word = rank >> 8
+                low[word] = low.get(word, 0) | 1 << (rank & 255)
+                top |= 1 << word
+            elif isinstance(held := buckets[rank], int):
+                buckets[rank] = [held, at]
+            else:
+                held.append(at)  # positions come in order
+    while top:
+        word = (top & -top).bit_length() - 1
+        bits = low[word]
+        rank = word << 8 | (bits & -bits).bit_length() - 1
+        held = buckets[rank]
+        if isinstance(held, int):
+            at = held
+        else:
+            at = heappop(held)
+        if isinstance(held, int) or not held:
+            del buckets[rank]
+            bits &= bits - 1
+            low[word] = bits
+            if not bits:
+                top &= top - 1
         if pair[at] != rank:  # stale: a neighbour's merge has changed this pair
             continue
         gone = after[at]
-        after[at] = after[gone]
-        pair[gone] = -1
-        if after[gone] < n:
-            before[after[gone]] = at
-        file(at)
-        if before[at] >= 0:
-            file(before[at])
+        end = after[at] = after[gone]
+        before[end] = at
+        pair[gone] = pair[at] = -1
+        if end < n:
+            rank = get(piece[at : after[end]])
+            if rank is not None:
+                pair[at] = rank
+                if rank not in buckets:
+                    buckets[rank] = at
+                    word = rank >> 8
+                    low[word] = low.get(word, 0) | 1 << (rank & 255)
+                    top |= 1 << word
+                elif isinstance(held := buckets[rank], int):
+                    buckets[rank] = [held, at] if held < at else [at, held]
+                else:
+                    heappush(held, at)
+        start = before[at]
+        if start >= 0:
+            rank = get(piece[start:end])
+            pair[start] = -1
+            if rank is not None:
+                pair[start] = rank
+                if rank not in buckets:
+                    buckets[rank] = start
+                    word = rank >> 8
+                    low[word] = low.get(word, 0) | 1 << (rank & 255)
+                    top |= 1 << word
+                elif isinstance(held := buckets[rank], int):
+                    buckets[rank] = [held, start] if held < start else [start, held]
+                else:
+                    heappush(held, start)
     ids, at = [], 0
     while at < n:
-        ids.append(ranks[piece[at : after[at]]])
-        at = after[at]
+        end = after[at]
+        ids.append(ranks[piece[at:end]])
+        at = end
     return ids
 
 
@@ -116,14 +125,14 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.split = ranks, regex.compile(pattern)
         self.bytes = {i: token for token, i in ranks.items()}
-        self.memory: dict[str, list[int]] = {}
+        self.memory: dict[str, tuple[int, ...]] = {}
 
-    def _missed(self, token: str) -> list[int]:
+    def _missed(self, token: str) -> list[int] | tuple[int, ...]:
         ids = merge(token.encode("utf-8"), self.ranks)
         if len(token) <= MEMORY_CHARS:
             if len(self.memory) >= MEMORY_ENTRIES:
                 self.memory.clear()
-            self.memory[token] = ids
+            self.memory[token] = ids = tuple(ids)  # which the garbage collector need not visit
         return ids
 
     def steps(self, text: str) -> Iterator[list[int]]:
@@ -205,9 +214,12 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 counts.append(n)
                 hashes.append(ids_hash.hexdigest())
                 decoded.append(text_hash.hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(hashes), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
 def vocabulary() -> tuple[str, str]:
