@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from heapq import heappop, heappush
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -193,32 +194,35 @@ def decode_column(tokens: DataFrame, path: str, pattern: str, key: str = "doc_id
     return tokens.select(key, "ids").mapInArrow(run, f"{key} {tokens.schema[key].dataType.simpleString()}, text string")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, pattern: str, packed: bool = False) -> DataFrame:
     """Digests of encoding and decoding every whole text: (doc_id, n_tokens, ids_sha256, decoded_sha256).
 
-    A null text counts as empty: no tokens, digests of the empty string. Repeated rows give a row each.
+    packed adds ids: binary, little-endian 32-bit integers. A null text counts as empty: no tokens, digests of the empty string. Repeated rows give a row each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         decimals = {i: str(i) for i in own.bytes}
         for batch in batches:
-            counts, hashes, decoded = [], [], []
+            counts, hashes, decoded, held = [], [], [], []
             for value in batch.column(1):
-                n, ids_hash, text_hash = 0, hashlib.sha256(), hashlib.sha256()
+                n, ids_hash, text_hash, parts = 0, hashlib.sha256(), hashlib.sha256(), []
                 for ids in own.steps(value.as_py() or ""):
                     if ids:
                         ids_hash.update(((b"," if n else b"") + ",".join(map(decimals.__getitem__, ids)).encode()))
                         text_hash.update(own.decode(ids))
                         n += len(ids)
+                        if packed:
+                            parts.append(np.array(ids, "<i4").tobytes())
+                held.append(b"".join(parts))
                 counts.append(n)
                 hashes.append(ids_hash.hexdigest())
                 decoded.append(text_hash.hexdigest())
-            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string()), pa.array(held, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns[: 5 if packed else 4], names[: 5 if packed else 4])
 
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * packed
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
