@@ -5,9 +5,10 @@ hash that falls into it, the number of leading zeros and MANTISSA bits that foll
 fixed order of other buckets, alike for all documents. Bands of ROWS registers bring candidates together; a collision-
 corrected estimate from the registers discards the hopeless, and full sets confirm every link.
 
-Documents with equal sets are one class from the start. Within a band's bucket members are held against one centre rather
-than each other; only where members remain in different components are other centres tried, and at last all pairs across
-components. So a group of thousands of copies costs a row each, and no link between components is left out.
+Documents with equal sets are one class from the start. Within a band's bucket members are first held against one centre
+rather than each other. Buckets whose members then still lie in different components are compared in blocks, block by
+block within tasks, and only links that join components come out. So a group of thousands of copies costs a row a band,
+pairs are never emitted, and no link between components is left out.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ BANDS, ROWS = 32, 5
 REGISTERS, MANTISSA = BANDS * ROWS, 10
 #: Standard deviations that an estimate may lie below the threshold without being discarded.
 SLACK = 5.0
-#: Rounds in which the members of a bucket meet one centre, before all pairs across components do.
-ROUNDS = 3
+#: Members of a bucket that meet in one task at most, when they are compared across components.
+BLOCK = 512
 
 _rank = np.argsort(np.random.default_rng(11).random((REGISTERS, REGISTERS)), axis=1)
 _rank = np.argsort(_rank, axis=1)  # the place of bucket j in the order from which bucket i borrows
@@ -136,20 +137,23 @@ def _promising(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    ids = classes.join(nodes, "node", "left_semi").select("doc_id").distinct()
+def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """(node, set): the full sets of nodes, read from the whole texts of a document of each."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, buf, offsets in textkit.text_slices(batch.column(0)):
                 own = [s for s in shingle_sets(buf, offsets, words) if len(s)]
                 s1 = [int((textkit.mix(s).sum() + np.uint64(len(s))).astype(np.int64)) for s in own]
                 yield pa.RecordBatch.from_arrays([pa.array(s1, pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], ["node", "set"])
 
-    whole = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi").select("text").mapInArrow(sets, "node long, set binary")
-    side = lambda x: whole.select(F.col("node").alias(x), F.col("set").alias(f"s_{x}"))
+    ids = classes.join(nodes, "node", "left_semi").select("doc_id").distinct()
+    return docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi").select("text").mapInArrow(run, "node long, set binary")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("set").alias(f"s_{x}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,32 +169,65 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def _links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """(node, component) of the classes that have a link to another."""
-    members = textkit.written(_band_keys(classes), "bands")
-    shared = members.groupBy("key").count().filter("count > 1").select("key")
-    members = textkit.written(members.join(shared, "key", "left_semi"), "bands").withColumn("component", F.col("node"))
-    edges, found = None, None
-    for k in range(ROUNDS + 1):
-        mixed = members.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(k))).alias("_centre"))
-        mixed = mixed.filter("_low != _high")
-        if k < ROUNDS:
-            met = members.join(mixed.select("key", "_centre"), "key").filter("component != _centre.component").select("node", F.col("_centre.node").alias("other"))
-        else:  # whatever still meets in a bucket from different components
-            open_ = members.join(mixed.select("key"), "key", "left_semi")
-            met = open_.join(open_.select("key", F.col("node").alias("other"), F.col("component").alias("_c")), "key").filter("component < _c").select("node", "other")
-        pairs = textkit.written(met.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct(), "pairs")
-        if pairs.isEmpty():
+def bridges(block: pa.Table, percent: int) -> pa.Table:
+    """Links (a, b) between components of one block of a bucket, as many as join them and no more.
+
+    Intersections of full sets are counted through the lists of who has a hash; no pair leaves the task but a link.
+    """
+    node, first = np.unique(block.column("node").to_numpy(), return_index=True)
+    component = block.column("component").to_numpy()[first].tolist()
+    sets = [np.frombuffer(block.column("set")[int(k)].as_buffer(), np.uint64) for k in first]
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owners, start = owner[np.argsort(place, kind="stable")], np.cumsum(count) - count
+    edge = np.cumsum(sizes) - sizes
+    parent = {c: c for c in component}
+
+    def find(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    a, b = [], []
+    for i in range(len(node)):
+        roots = [find(c) for c in component]
+        if len(set(roots)) == 1:
             break
-        pairs = textkit.written(_promising(pairs, classes, percent), "pairs")
-        new = textkit.written(_confirmed(pairs, classes, docs, words, percent), "edges")
-        if new.isEmpty():
-            continue
-        edges = new if edges is None else edges.union(new)
-        found = textkit.written(components(edges), "components")
-        members = members.drop("component").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        members = textkit.written(members.select("key", "node", "component"), "bands")
-    return found
+        own = place[edge[i] : edge[i] + sizes[i]]
+        n = count[own]
+        at = np.repeat(start[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        common = np.bincount(owners[at], minlength=len(node))
+        for j in np.flatnonzero(100 * common >= percent * (sizes + sizes[i] - common)):
+            x, y = find(component[i]), find(component[j])
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                a.append(max(int(node[i]), int(node[j])))
+                b.append(min(int(node[i]), int(node[j])))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame | None:
+    """(node, component) of the classes that have a link to another; None if none has."""
+    members = textkit.written(_band_keys(classes), "bands")
+    shared = members.groupBy("key").agg(F.count("*").alias("_n"), F.min("node").alias("_centre")).filter("_n > 1")
+    members = textkit.written(members.join(shared, "key").select("key", "node", "_n", "_centre"), "bands")
+    stars = members.filter("node != _centre").select(F.col("node").alias("a"), F.col("_centre").alias("b")).distinct()
+    stars = textkit.written(_promising(stars, classes, percent), "pairs")
+    sets = _sets(docs, classes, stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct(), words)
+    edges = textkit.written(_confirmed(stars, sets, percent), "edges")
+    found = textkit.written(components(edges), "components")
+    members = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = members.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low != _high").select("key")
+    blocks = F.ceil(F.col("_n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.struct(F.least(own, x).alias("i"), F.greatest(own, x).alias("j")))
+    open_ = textkit.written(members.join(mixed, "key", "left_semi").select("key", "node", "component", F.explode(meets).alias("at")), "bands")
+    sets = textkit.written(_sets(docs, classes, open_.select("node").distinct(), words).dropDuplicates(["node"]), "sets")
+    more = open_.join(sets, "node").groupBy("key", "at").applyInArrow(lambda t: bridges(t, percent), "a long, b long").distinct()
+    more = textkit.written(more, "edges")
+    return found if more.isEmpty() else textkit.written(components(edges.union(more)), "components")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
