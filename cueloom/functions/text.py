@@ -177,7 +177,7 @@ def capitalise_line(line: Column) -> Column:
 
 
 def capitalise(text: Column) -> Column:
-    return by_line(text, lambda line: capitalise_line(F.trim(line)))
+    return by_line(text, lambda line: let(F.trim(line), capitalise_line))
 
 
 _UNITS = "st|nd|rd|th|ft|in|cm|mm|km|kg|lb|am|pm"
@@ -211,19 +211,23 @@ def american_spelling(text: Column) -> Column:
 
 def split_line(line: Column, most: Column) -> Column:
     """A line over `most` characters as two balanced lines; as it is if no cut fits. Italics around the whole line stay on both."""
-    plain = F.trim(strip_tags(line))
 
-    def cut(words: Column) -> Column:
+    def cut(words: Column, whole: Column) -> Column:
         options = F.transform(
             F.sequence(F.lit(1), F.size(words) - 1),
             lambda i: F.struct(F.array_join(F.slice(words, F.lit(1), i), " ").alias("a"), F.array_join(F.slice(words, i + 1, F.size(words)), " ").alias("b"), i.alias("i")),
         )
-        ranked = F.transform(F.filter(options, lambda o: (F.length(o["a"]) <= most) & (F.length(o["b"]) <= most)), lambda o: F.struct(F.abs(F.length(o["a"]) - F.length(o["b"])).alias("d"), o["i"].alias("i"), o["a"].alias("a"), o["b"].alias("b")))
-        italic = line.startswith("<i>") & line.endswith("</i>")
-        return let(F.array_min(ranked), lambda best: F.when(best.isNull(), line).when(italic, F.concat(F.lit("<i>"), best["a"], F.lit("</i>\n<i>"), best["b"], F.lit("</i>"))).otherwise(F.concat(best["a"], F.lit("\n"), best["b"])))
+        fitting = F.filter(options, lambda o: (F.length(o["a"]) <= most) & (F.length(o["b"]) <= most))
+        ranked = F.transform(fitting, lambda o: F.struct(F.abs(F.length(o["a"]) - F.length(o["b"])).alias("d"), o["i"].alias("i"), o["a"].alias("a"), o["b"].alias("b")))
+        italic = whole.startswith("<i>") & whole.endswith("</i>")
+        joined = lambda best: F.when(italic, F.concat(F.lit("<i>"), best["a"], F.lit("</i>\n<i>"), best["b"], F.lit("</i>"))).otherwise(F.concat(best["a"], F.lit("\n"), best["b"]))
+        return let(F.array_min(ranked), lambda best: F.when(best.isNull(), whole).otherwise(joined(best)))
+
+    def measured(s: Column) -> Column:
+        words = F.filter(F.split(s["plain"], r"\s+"), lambda w: w != "")
+        return F.when(F.length(s["plain"]) <= most, s["line"]).otherwise(let(words, lambda w: F.when(F.size(w) <= 1, s["line"]).otherwise(cut(w, s["line"]))))
 
-    words = F.filter(F.split(plain, r"\s+"), lambda w: w != "")
-    return F.when((F.length(plain) <= most) | (F.size(words) <= 1), line).otherwise(cut(words))
+    return let(F.struct(line.alias("line"), F.trim(strip_tags(line)).alias("plain")), measured)
 
 
 def split_lines(text: Column, most: Column, most_italic: Column | None = None) -> Column:
@@ -251,8 +255,13 @@ def wrap(text: Column, width: Column) -> Column:
 
 def line_groups(lines: Column, size: Column) -> Column:
     """array<string>: lines in groups of `size`, joined by line breaks."""
-    n = F.ceil(F.size(lines) / size).cast("int")
-    return F.when(F.size(lines) == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice(lines, (i * size + 1).cast("int"), size.cast("int")), "\n")))
+
+    def grouped(held: Column) -> Column:
+        n = F.ceil(F.size(held) / size).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice(held, (i * size + 1).cast("int"), size.cast("int")), "\n"))
+        return F.when(F.size(held) == 0, F.array().cast("array<string>")).otherwise(cut)
+
+    return let(lines, grouped)
 
 
 def text_fits(text: Column, width: Column, most_lines: Column) -> Column:
@@ -306,10 +315,9 @@ def smart_wrap(text: Column, width: int, most_lines: int = 2) -> Column:
 
         return let(F.array_min(F.transform(F.sequence(F.lit(1), F.size(words) - 1), score)), lambda best: F.concat(best["a"], F.lit("\n"), best["b"]))
 
-    words = F.split(clean, " ")
     if most_lines != 2:
         return F.when(visible_length(clean) <= width, clean).otherwise(wrap(clean, F.lit(width)))
-    return F.when((visible_length(clean) <= width) | (F.size(words) < 2), clean).otherwise(cut(words))
+    return let(F.split(clean, " "), lambda words: F.when((visible_length(clean) <= width) | (F.size(words) < 2), clean).otherwise(cut(words)))
 
 
 def sentence_case(text: Column) -> Column:

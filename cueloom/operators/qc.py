@@ -85,7 +85,7 @@ def reading_speed_high() -> Column:
 def profanity_not_replaced() -> Column:
     """A defect for each word of the platform's table that stands in the cue."""
     entries = F.coalesce(F.map_keys("profanity_table"), F.array().cast("array<string>"))
-    hit = F.filter(entries, lambda w: _c("text").rlike(F.concat(F.lit(r"(?iu)\b\Q"), w, F.lit(r"\E\b"))))
+    hit = F.filter(entries, lambda w: F.rlike(_c("text"), F.concat(F.lit(r"(?iu)\b\Q"), w, F.lit(r"\E\b"))))
     return F.transform(hit, lambda w: _defect(9, "PROFANITY_NOT_REPLACED", "error", w))
 
 
