@@ -7,12 +7,13 @@ Bytes covered by a MATCH-byte string that also starts in a document with a small
    Windows with other names are unique, and no more is done for them.
 2. Segments. Runs of windows with one shared name become byte segments; a block sends each distinct one once, with its
    smallest doc_id, to the name's bucket. So copies cost a segment a block, and equal windows meet in one bucket.
-3. Merge. In a bucket, the segments of some blocks form a shard; its suffixes are sorted, which gives its transform. The
+3. Merge. In a bucket, equal segments are one string. Strings of names with several strings form shards of bounded size; a
+   shard's suffixes are sorted, which gives its transform. The
    transforms of all shards are merged without sorting suffixes again: starting from the shards one after another, round h
    moves every suffix by its preceding byte (stable), after which suffixes interleave by their first h bytes. Places where
    neighbours begin to differ in round h have a common prefix of h - 1; after MATCH rounds the intervals between such
    places are the repeated MATCH-byte strings, and the smallest doc_id of an interval decides.
-4. Each block gets a bit for each window of its segments back and cuts the texts.
+4. Each block gets a bit for each window of its segments back, finds the segments in its texts again and cuts them.
 """
 
 from __future__ import annotations
@@ -26,10 +27,11 @@ from . import textkit
 
 MATCH, GRAM = 50, 20
 #: Bytes of text in a block and behind a bucket, about; of a segment, of a shard and of one merge at most.
-BLOCK_BYTES, BUCKET_BYTES, SEGMENT_BYTES, SHARD_BYTES, MERGE_BYTES = 4 << 20, 12 << 20, 256, 1 << 20, 3 << 20
+BLOCK_BYTES, BUCKET_BYTES, SEGMENT_BYTES, SHARD_BYTES, MERGE_BYTES = 4 << 20, 12 << 20, 256, 512 << 10, 1536 << 10
 
 _SHARED = "block int, bucket int, names binary"
-_SEGMENTS = "block int, bucket int, names binary, lengths binary, bytes binary, docs binary, occ_row binary, occ_start binary, occ_segment binary, occ_later binary"
+_STRINGS = ("names", "lengths", "bytes", "docs")
+_PLACES = ("lengths", "occ_row", "occ_start", "occ_segment", "occ_later")
 
 
 def windows(column: pa.Array):
@@ -49,7 +51,7 @@ def windows(column: pa.Array):
             name = (sums[GRAM:] - sums[:-GRAM]) * textkit.powers(len(sums), textkit._INVERSE)[: len(sums) - GRAM]
             name ^= name >> np.uint64(32)
             name *= np.uint64(0x9FB21C651E98DF25)
-            name ^= name >> np.uint64(28)
+            name >>= np.uint64(16)  # 48 bits: a clash only brings a window that the merge then finds to be unique
             have, need = 1, MATCH - GRAM + 1
             while have * 2 <= need:
                 name = np.minimum(name[:-have], name[have:])
@@ -76,6 +78,16 @@ def _bucket(names: np.ndarray, buckets: int) -> np.ndarray:
     return (((names * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
+def _packed(names: np.ndarray) -> np.ndarray:
+    """Names as 6 bytes each."""
+    return names.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+
+
+def _names(packed) -> np.ndarray:
+    six = np.frombuffer(packed, np.uint8).reshape(-1, 6)
+    return np.concatenate([six, np.zeros((len(six), 2), np.uint8)], 1).view("<u8").ravel().astype(np.uint64)
+
+
 def _bytes(parts: list) -> pa.Array:
     return pa.array([p if isinstance(p, bytes) else p.tobytes() for p in parts], pa.binary())
 
@@ -100,31 +112,33 @@ def seeds(block: pa.Table, buckets: int) -> pa.Table:
     own = block.column("block")[0].as_py()
     return pa.table({
         "bucket": pa.array([k for k, _ in rows], pa.int32()), "block": pa.array([own] * len(rows), pa.int32()),
-        "names": _bytes([names[r] for _, r in rows]), "twice": _bytes([twice[r] for _, r in rows]),
+        "names": _bytes([_packed(names[r]) for _, r in rows]), "twice": _bytes([twice[r] for _, r in rows]),
     })
 
 
 def shared(bucket: pa.Table) -> pa.Table:
     """(block, bucket, names): of each block's names those that two documents have, here or there."""
-    names = [np.frombuffer(x.as_buffer(), np.uint64) for x in bucket.column("names")]
+    names = [_names(x.as_buffer()) for x in bucket.column("names")]
     twice = [np.frombuffer(x.as_buffer(), bool) for x in bucket.column("twice")]
     flat = np.sort(np.concatenate([*names, *(n[t] for n, t in zip(names, twice, strict=True))]))
     common = np.unique(flat[1:][flat[1:] == flat[:-1]])
-    kept = [n[np.isin(n, common)] for n in names]
+    kept = [n[common[np.minimum(np.searchsorted(common, n), len(common) - 1)] == n] if len(common) else n[:0] for n in names]
     at = [i for i, k in enumerate(kept) if len(k)]
-    return pa.table({"block": bucket.column("block").take(pa.array(at, pa.int64())), "bucket": bucket.column("bucket").take(pa.array(at, pa.int64())), "names": _bytes([kept[i] for i in at])})
+    return pa.table({"block": bucket.column("block").take(pa.array(at, pa.int64())), "bucket": bucket.column("bucket").take(pa.array(at, pa.int64())), "names": _bytes([_packed(kept[i]) for i in at])})
 
 
-def segments(block: pa.Table, names: pa.Table, buckets: int) -> pa.Table:
-    """A row for each bucket of a block: distinct segments with their smallest doc_id, and where they stand.
+def segments(block: pa.Table, names: pa.Table, buckets: int, columns: tuple[str, ...] = _STRINGS) -> pa.Table:
+    """A row for each bucket of a block: distinct segments with their smallest doc_id (_STRINGS), or where they stand (_PLACES).
 
-    occ_later marks occurrences in a document other than the segment's smallest one, all of whose windows go.
+    Segments come in the order of name and content, whatever the order of the block's rows. occ_row is the place of a text's
+    key among the block's sorted keys; occ_later marks occurrences in a document other than the segment's smallest one, all of
+    whose windows go.
     """
-    known = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x.as_buffer(), np.uint64) for x in names.column("names"))]))
-    none = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("names", "lengths", "bytes", "docs", "occ_row", "occ_start", "occ_segment", "occ_later"))]).empty_table()
+    known = np.unique(np.concatenate([np.zeros(0, np.uint64), *(_names(x.as_buffer()) for x in names.column("names"))]))
+    none = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), *((c, pa.binary()) for c in columns)]).empty_table()
     if not block.num_rows or not len(known):
         return none
-    ids, keys = block.column("doc_id").to_numpy(), block.column("row").to_numpy()
+    ids, keys = block.column("doc_id").to_numpy(), np.unique(block.column("row").to_numpy(), return_inverse=True)[1]
     most = SEGMENT_BYTES - MATCH + 1
     name, digest, doc, row, start, size, piece_of, pieces, at = [], [], [], [], [], [], [], [], []
     for a, _, base, heads, names_, counts, piece, offsets in windows(block.column("text")):
@@ -154,14 +168,20 @@ def segments(block: pa.Table, names: pa.Table, buckets: int) -> pa.Table:
     new = np.append(True, (digest[1:] != digest[:-1]) | (name[1:] != name[:-1])) if len(name) else np.zeros(0, bool)
     first, segment = np.flatnonzero(new), np.cumsum(new) - 1
     later = doc != doc[first][segment]
+    seen = np.lexsort((start, row, bucket))  # in the order of the texts, which takes less room
     own, out = block.column("block")[0].as_py(), {c: [] for c in none.column_names}
     edges = np.searchsorted(bucket, np.arange(buckets + 1))
     for k in np.flatnonzero(np.diff(edges)):
         i, j = edges[k], edges[k + 1]
         f = first[np.searchsorted(first, i) : np.searchsorted(first, j)]
-        for c, v in (("block", own), ("bucket", int(k)), ("names", name[f].tobytes()), ("lengths", size[f].astype(np.int32).tobytes()), ("docs", doc[f].astype(np.int64).tobytes()), ("bytes", b"".join([pieces[p][x : x + n].tobytes() for p, x, n in zip(piece_of[f], at[f], size[f], strict=True)])),
-                     ("occ_row", row[i:j].tobytes()), ("occ_start", start[i:j].astype(np.int64).tobytes()), ("occ_segment", (segment[i:j] - segment[i]).astype(np.int32).tobytes()), ("occ_later", later[i:j].tobytes())):
-            out[c].append(v)
+        made = {"lengths": lambda: size[f].astype(np.int32)}
+        made |= {"names": lambda: _packed(name[f]), "docs": lambda: doc[f].astype(np.int64), "bytes": lambda: b"".join([pieces[p][x : x + n].tobytes() for p, x, n in zip(piece_of[f], at[f], size[f], strict=True)])}
+        made |= {"occ_row": lambda: row[seen[i:j]].astype(np.int32), "occ_start": lambda: start[seen[i:j]].astype(np.int32), "occ_segment": lambda: (segment[seen[i:j]] - segment[i]).astype(np.int32), "occ_later": lambda: np.packbits(later[seen[i:j]])}
+        out["block"].append(own)
+        out["bucket"].append(int(k))
+        for c in columns:
+            value = made[c]()
+            out[c].append(value if isinstance(value, bytes) else value.tobytes())
     return pa.table({c: pa.array(out[c], none.schema.field(c).type) for c in none.column_names})
 
 
@@ -255,54 +275,84 @@ def merge(shards: list[Shard], depth: int = MATCH, all_prefixes: bool = False) -
 
 
 def decide(bucket: pa.Table) -> pa.Table:
-    """(block, bucket, gone): for each window of a row's segments whether a smaller doc_id has the same bytes."""
-    columns = {c: [np.frombuffer(x.as_buffer(), t) for x in bucket.column(c)] for c, t in (("names", np.uint64), ("lengths", np.int32), ("bytes", np.uint8), ("docs", np.int64))}
+    """(block, bucket, names, gone): for each window of a row's segments whether a smaller doc_id has the same bytes.
+
+    Equal segments of all blocks are one string with its smallest doc_id. A name with one string only shares no window with
+    another; the strings of the other names go into shards, whose transforms are merged.
+    """
+    columns = {c: [np.frombuffer(x.as_buffer(), t) for x in bucket.column(c)] for c, t in (("lengths", np.int32), ("bytes", np.uint8), ("docs", np.int64))}
+    columns["names"] = [_names(x.as_buffer()) for x in bucket.column("names")]
     counts = [len(x) for x in columns["lengths"]]
-    names, lengths, raw, docs = (np.concatenate(columns[c]) for c in ("names", "lengths", "bytes", "docs"))
+    names, lengths, raw, docs = (np.concatenate(columns.pop(c)) for c in ("names", "lengths", "bytes", "docs"))
     lengths = lengths.astype(np.int64)
-    starts, windows_of = np.cumsum(lengths) - lengths, lengths - MATCH + 1
-    gone = np.zeros(int(windows_of.sum()), dtype=bool)
-    gone_at = np.cumsum(windows_of) - windows_of
-    parts = -(-int(lengths.sum()) // MERGE_BYTES)
-    part_of = (textkit.mix(names) % np.uint64(parts)).astype(np.int64)  # a name's segments stay together
+    starts, wide = np.cumsum(lengths) - lengths, lengths - MATCH + 1
+    digest = np.concatenate([textkit.span_hashes(textkit.prefix_sums(raw[starts[i] : starts[j - 1] + lengths[j - 1]]), starts[i:j] - starts[i], starts[i:j] - starts[i] + lengths[i:j]) for i, j in _runs(lengths)])
+    order = np.lexsort((docs, digest, names))
+    new = np.append(True, (digest[order][1:] != digest[order][:-1]) | (names[order][1:] != names[order][:-1]))
+    first = order[new]  # of each string the segment with the smallest doc_id
+    string_of = np.empty(len(order), np.int64)
+    string_of[order] = np.cumsum(new) - 1
+    string_docs, string_names = docs[first], names[first]
+    alone = np.append(True, string_names[1:] != string_names[:-1]) & np.append(string_names[1:] != string_names[:-1], True)
+    gone, gone_at = np.zeros(int(wide[first].sum()), dtype=bool), np.cumsum(wide[first]) - wide[first]
+    tied = np.flatnonzero(~alone)
+    parts = max(1, -(-int(lengths[first[tied]].sum()) // MERGE_BYTES))
+    part_of = (textkit.mix(string_names[tied]) % np.uint64(parts)).astype(np.int64)  # a name's strings stay together
     for part in range(parts):
-        own = np.flatnonzero(part_of == part)
+        own = tied[part_of == part]
         if not len(own):
             continue
-        cuts = np.cumsum(lengths[own]) // SHARD_BYTES
+        size = lengths[first[own]]
+        cuts = np.cumsum(size) // SHARD_BYTES
         groups = [own[cuts == c] for c in np.unique(cuts)]
-        shards = [Shard(raw[np.repeat(starts[g] - (np.cumsum(lengths[g]) - lengths[g]), lengths[g]) + np.arange(lengths[g].sum())], lengths[g]) for g in groups]
+        shards = []
+        for g in groups:
+            n = lengths[first[g]]
+            shards.append(Shard(raw[np.repeat(starts[first[g]] - (np.cumsum(n) - n), n) + np.arange(n.sum())], n))
         order, prefix = merge(shards)
-        string = np.concatenate([g[s.string[s.suffixes]] for g, s in zip(groups, shards, strict=True)])
-        left = np.concatenate([s.left[s.suffixes] for s in shards])
-        string, left = string[order], left[order]
-        first = np.flatnonzero(prefix < MATCH)
-        least = np.repeat(np.minimum.reduceat(docs[string], first), np.diff(np.append(first, len(order))))
-        cut = (left >= MATCH) & (least < docs[string])
-        gone[gone_at[string[cut]] + lengths[string[cut]] - left[cut]] = True
+        string = np.concatenate([g[s.string[s.suffixes]] for g, s in zip(groups, shards, strict=True)])[order]
+        left = np.concatenate([s.left[s.suffixes] for s in shards])[order]
+        begin = np.flatnonzero(prefix < MATCH)
+        least = np.repeat(np.minimum.reduceat(string_docs[string], begin), np.diff(np.append(begin, len(order))))
+        cut_ = (left >= MATCH) & (least < string_docs[string])
+        gone[gone_at[string[cut_]] + lengths[first[string[cut_]]] - left[cut_]] = True
     edges = np.cumsum([0, *counts])
-    wide = np.append(gone_at, len(gone))
-    return pa.table({"block": bucket.column("block"), "bucket": bucket.column("bucket"), "gone": _bytes([np.packbits(gone[wide[i] : wide[j]]) for i, j in zip(edges[:-1], edges[1:], strict=True)])})
+    out = []
+    for i, j in zip(edges[:-1], edges[1:], strict=True):
+        n, own = wide[i:j], string_of[i:j]
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        out.append(np.packbits(gone[np.repeat(gone_at[own], n) + inner] | np.repeat(string_docs[own] < docs[i:j], n)))
+    known = [np.unique(names[i:j]) for i, j in zip(edges[:-1], edges[1:], strict=True)]
+    return pa.table({"block": bucket.column("block"), "bucket": bucket.column("bucket"), "names": _bytes([_packed(k) for k in known]), "gone": _bytes(out)})
+
+
+def _runs(lengths: np.ndarray):
+    """Ranges of segments of about SLICE_BYTES in all."""
+    cuts = np.cumsum(lengths) // textkit.SLICE_BYTES
+    edges = [0, *(np.flatnonzero(np.diff(cuts)) + 1).tolist(), len(lengths)]
+    return [(i, j) for i, j in zip(edges[:-1], edges[1:], strict=True) if j > i]
 
 
-def cut(block: pa.Table, found: pa.Table) -> pa.Table:
-    """The texts of a block without removed bytes."""
+def cut(block: pa.Table, found: pa.Table, buckets: int) -> pa.Table:
+    """The texts of a block without removed bytes, by found (bucket, names, gone): the segments are looked up again."""
     if not block.num_rows:
         return pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())]).empty_table()
     at_row, at_start = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for record in found.select(["lengths", "occ_row", "occ_start", "occ_segment", "occ_later", "gone"]).to_pylist():
+    gone_of = dict(zip(found.column("bucket").to_pylist(), found.column("gone").to_pylist(), strict=True))
+    for record in segments(block, found, buckets, _PLACES).to_pylist():
         wide = np.frombuffer(record["lengths"], np.int32).astype(np.int64) - MATCH + 1
-        gone = np.unpackbits(np.frombuffer(record["gone"], np.uint8)).astype(bool)
-        segment, later = np.frombuffer(record["occ_segment"], np.int32), np.frombuffer(record["occ_later"], bool)
+        gone = np.unpackbits(np.frombuffer(gone_of[record["bucket"]], np.uint8)).astype(bool)
+        segment = np.frombuffer(record["occ_segment"], np.int32)
+        later = np.unpackbits(np.frombuffer(record["occ_later"], np.uint8), count=len(segment)).astype(bool)
         size, first = wide[segment], (np.cumsum(wide) - wide)[segment]
         inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         flag = gone[np.repeat(first, size) + inner] | np.repeat(later, size)
-        at_row.append(np.repeat(np.frombuffer(record["occ_row"], np.int64), size)[flag])
-        at_start.append((np.repeat(np.frombuffer(record["occ_start"], np.int64), size) + inner)[flag])
+        at_row.append(np.repeat(np.frombuffer(record["occ_row"], np.int32), size)[flag])
+        at_start.append((np.repeat(np.frombuffer(record["occ_start"], np.int32), size) + inner)[flag])
     at_row, at_start = np.concatenate(at_row), np.concatenate(at_start)
     order = np.argsort(at_row, kind="stable")
     at_row, at_start = at_row[order], at_start[order]
-    keys = block.column("row").to_numpy()
+    keys = np.unique(block.column("row").to_numpy(), return_inverse=True)[1]
     out = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept")}
     for a, b, buf, offsets in textkit.text_slices(block.column("text")):
         change = np.zeros(len(buf) + 1, np.int32)
@@ -338,11 +388,11 @@ def dedup(docs: DataFrame) -> DataFrame:
     known = rows.filter("doc_id is not null")
     names = known.groupBy("block").applyInArrow(lambda t: seeds(t, buckets), "bucket int, block int, names binary, twice binary")
     common = names.groupBy("bucket").applyInArrow(shared, _SHARED)
-    found = known.groupBy("block").cogroup(common.groupBy("block")).applyInArrow(lambda x, y: segments(x, y, buckets), _SEGMENTS)
-    found = textkit.written(found, "segments")
-    gone = found.select("block", "bucket", "names", "lengths", "bytes", "docs").groupBy("bucket").applyInArrow(decide, "block int, bucket int, gone binary")
-    marked = found.select("block", "bucket", "lengths", "occ_row", "occ_start", "occ_segment", "occ_later").join(gone, ["block", "bucket"])
-    cut_ = known.groupBy("block").cogroup(marked.groupBy("block")).applyInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    kinds = "block int, bucket int, " + ", ".join(f"{c} binary" for c in _STRINGS)
+    strings = known.groupBy("block").cogroup(common.groupBy("block")).applyInArrow(lambda x, y: segments(x, y, buckets), kinds)
+    gone = strings.groupBy("bucket").applyInArrow(decide, "block int, bucket int, names binary, gone binary")
+    # one plan, in which the three readers of the blocks share one shuffle of the texts
+    cut_ = known.groupBy("block").cogroup(gone.groupBy("block")).applyInArrow(lambda x, y: cut(x, y, buckets), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     zero = F.lit(0).cast("long")
     rest = rows.filter("doc_id is null").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.encode("text", "UTF-8").alias("kept"))
     return cut_.unionByName(rest)
