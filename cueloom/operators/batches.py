@@ -83,7 +83,7 @@ def map_batches(cues: DataFrame, f: Callable[[list[str]], list[str]], most: int
                 return group.assign(text=new, ok=True)
         return group.assign(ok=False)
 
-    done = batched.groupBy("file_id", "batch").applyInPandas(run, batched.schema.add("ok", "boolean"))
+    done = batched.groupBy("file_id", "batch").applyInPandas(run, T.StructType([*batched.schema.fields, T.StructField("ok", T.BooleanType())]))
     return cues.drop("text", "ok").join(done.select("file_id", "cue_no", "text", "ok"), ["file_id", "cue_no"])
 
 

@@ -207,7 +207,7 @@ def cell_role(cell: Column) -> Column:
 
 
 def _cells(line: Column) -> Column:
-    return F.transform(F.split(F.regexp_replace(line, r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
+    return F.transform(F.split(F.regexp_replace(line, r"^\|(.*)\|$", "$1"), r"\|"), lambda c: F.trim(c))
 
 
 def parse_spotting_table(docs: DataFrame) -> DataFrame:
