@@ -256,15 +256,6 @@ def split_long_cues(spark, sf_dir):
     return rows.select("file_id", F.col("cue_no").cast("long").alias("cue_no"), "start_ms", "end_ms", "text")
 
 
-@query()
-def prepared_cues(spark, sf_dir):
-    """Documents cleaned and prepared for their platforms, counted a file."""
-    cues = _plat(v.cues_doc(spark, sf_dir)).select("file_id", "platform_key", "cue_no", "start_ms", "end_ms", "text")
-    titles = cues.select("file_id").distinct().withColumn("title", F.concat(F.lit("FILE "), F.col("file_id").cast("string")))
-    out = pipelines.clean(cues, pl.presets(spark), titles)
-    return out.groupBy("file_id").agg(F.count("*").alias("n_cues"), F.sum(F.length("text")).alias("n_chars"), F.max("end_ms").alias("last_ms"), F.count_if("flagged").alias("n_flagged"))
-
-
 _REGEN = "least(greatest(p.min_s, length(regexp_replace(c.text, '\\s', '', 'g')) / p.max_cps::DOUBLE), p.max_s)"
 
 
@@ -511,14 +502,6 @@ def top_candidates(spark, sf_dir):
     return v.cues_evt(spark, sf_dir).withColumn("rank", F.row_number().over(order)).filter("rank <= 30").select("file_id", *_long("cue_no", "start_ms", "rank"))
 
 
-@query()
-def align_script(spark, sf_dir):
-    """Thinned conversations aligned to their transcripts, each line with the cue that it came from."""
-    cues, lines = _script(spark, sf_dir)
-    out = align.align(cues, lines, prune=True)
-    return out.select("file_id", *_long("line_no", "truth"), "status", "align_score", "start_ms", "end_ms", "matched_cue_ids")
-
-
 @query("""SELECT user_id AS series_id, CAST(least(19, i // greatest(1, n // 20)) AS BIGINT) AS bucket, min(value) AS low, max(value) AS high FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events) GROUP BY 1, 2
   UNION ALL SELECT u, b, 1.0, -1.0 FROM (SELECT DISTINCT user_id AS u FROM events), (SELECT unnest(range(20)) AS b) WHERE (u, b) NOT IN (SELECT (user_id, CAST(least(19, i // greatest(1, n // 20)) AS BIGINT)) FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events))""")
 def peaks_min_max(spark, sf_dir):
