@@ -25,8 +25,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes later repeated runs of lines; a document of which only blank lines are left goes."""
-    cut = linededup.dedup(docs)
+    """Deletes later repeated runs of 3 lines or 50 words; a document of which only blank lines are left goes."""
+    cut = linededup.dedup(docs, words=linededup.PASSAGE_WORDS)
     return _resized(cut.filter((F.col("n_removed") == 0) | (F.trim("text") != "")).select(*docs.columns))
 
 

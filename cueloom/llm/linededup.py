@@ -5,6 +5,10 @@ tie the last, is a fingerprint. Two documents that share WINDOW consecutive line
 fingerprints that occur once are done with. At the others the match is extended both ways as far as windows with that
 fingerprint reach; windows with equal lines meet by their content, and all but the earliest are marked. Marked windows that
 touch are one maximal repeated run, which is deleted.
+
+With `words`, runs of fewer than WINDOW lines that hold so many words are windows too, so that a passage on one or two long
+lines is found. Then a line goes if and only if it lies in a run of lines that stands earlier and has WINDOW lines or `words`
+words. The registered query keeps the rule of OP4_SQL, which knows windows of WINDOW lines only.
 """
 
 from __future__ import annotations
@@ -16,56 +20,66 @@ from . import textkit
 
 #: Lines of the shortest run that is found.
 WINDOW = 3
+#: Words of a passage that is found on fewer lines; so many characters count as a word at least, for scripts without blanks.
+PASSAGE_WORDS, WORD_CHARS = 50, 8
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """docs with _raw (all lines) and _kept (k: index in _raw, h: hash) of those that are not blank."""
+    """docs with _raw (all lines) and _kept (k: index in _raw, h and g: hashes, w: words) of those that are not blank."""
     raw = docs.withColumn("_raw", F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1))
     numbered = F.transform("_raw", lambda x, k: F.struct(k.alias("k"), F.trim(x).alias("t")))
-    kept = F.transform(F.filter(numbered, lambda x: x["t"] != ""), lambda x: F.struct(x["k"].alias("k"), F.xxhash64(x["t"]).alias("h"), F.xxhash64(F.lit("second"), x["t"]).alias("g")))
+    words = lambda t: F.greatest(F.regexp_count(t, F.lit(r"[^\x20\x09-\x0D]+")), F.floor(F.length(t) / WORD_CHARS).cast("int"))
+    kept = F.transform(F.filter(numbered, lambda x: x["t"] != ""), lambda x: F.struct(x["k"].alias("k"), F.xxhash64(x["t"]).alias("h"), F.xxhash64(F.lit("second"), x["t"]).alias("g"), words(x["t"]).alias("w")))
     return raw.withColumn("_kept", kept)
 
 
-def fingerprints(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(fp, doc_id, i, first, last, c1, c2): every window i of lines with its fingerprint, raw line range and content."""
-    lines = _lines(docs.filter("doc_id is not null and text is not null").select("doc_id", "text")).filter(F.size("_kept") >= window)
+def fingerprints(docs: DataFrame, window: int = WINDOW, words: int | None = None) -> DataFrame:
+    """(fp, doc_id, pos, i, n, first, last, c1, c2): every window of n lines from i with its fingerprint, raw line range and content."""
+    lines = _lines(docs.filter("doc_id is not null and text is not null").select("doc_id", "text"))
+
+    def windows(n: int):
+        def at(i):
+            part = F.slice(F.col("_kept"), i + 1, F.lit(n))
+            least = F.array_min(F.transform(part, lambda x, j: F.struct(x["h"].alias("h"), (-j).alias("j"))))
+            return F.struct(
+                least["h"].alias("fp"), (i - least["j"]).alias("pos"), i.alias("i"), F.lit(n).alias("n"), part[0]["k"].alias("first"), part[n - 1]["k"].alias("last"),
+                F.xxhash64(F.transform(part, lambda x: x["h"])).alias("c1"), F.xxhash64(F.transform(part, lambda x: x["g"])).alias("c2"),
+            )
 
-    def at(i):
-        part = F.slice(F.col("_kept"), i + 1, F.lit(window))
-        least = F.array_min(F.transform(part, lambda x, j: F.struct(x["h"].alias("h"), (-j).alias("j"))))
-        return F.struct(
-            least["h"].alias("fp"), (i - least["j"]).alias("pos"), i.alias("i"), part[0]["k"].alias("first"), part[window - 1]["k"].alias("last"),
-            F.xxhash64(F.transform(part, lambda x: x["h"])).alias("c1"), F.xxhash64(F.transform(part, lambda x: x["g"])).alias("c2"),
-        )
+        starts = F.slice(F.sequence(F.lit(0), F.size("_kept")), F.lit(1), F.greatest(F.lit(0), F.size("_kept") - n + 1))
+        if n < window:
+            starts = F.filter(starts, lambda i: F.aggregate(F.slice(F.col("_kept"), i + 1, F.lit(n)), F.lit(0), lambda a, x: a + x["w"]) >= words)
+        return F.transform(starts, at)
 
-    windows = F.transform(F.sequence(F.lit(0), F.size("_kept") - window), at)
-    return lines.select("doc_id", F.explode(windows).alias("w")).select("doc_id", "w.*")
+    every = F.concat(*(windows(n) for n in range(window if words is None else 1, window + 1)))
+    return lines.select("doc_id", F.explode(every).alias("w")).select("doc_id", "w.*")
 
 
-def repeated_runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def repeated_runs(docs: DataFrame, window: int = WINDOW, words: int | None = None) -> DataFrame:
     """(doc_id, first, last): ranges of line numbers, from 0, of maximal runs of windows that stand earlier in the corpus.
 
     Earlier means a smaller doc_id, or the same and a smaller line number; rows that share a doc_id therefore don't delete
     each other. Rows with null doc_id or text take no part.
     """
-    windows = textkit.written(fingerprints(docs, window), "line-windows")
+    windows = textkit.written(fingerprints(docs, window, words), "line-windows")
     # one row for each place of a fingerprint, whatever number of windows chose it
     shared = windows.select("fp", "doc_id", "pos").distinct().groupBy("fp").count().filter("count > 1").select("fp")
     anchored = windows.join(shared, "fp", "left_semi")
     first = anchored.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "i")).alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
-    later = anchored.join(first, ["c1", "c2"]).filter(F.struct("doc_id", "i") > F.col("_first")).select("doc_id", "i", "first", "last").distinct()
-    order = Window.partitionBy("doc_id").orderBy("i")
-    opens = F.coalesce((F.col("i") > F.lag("i").over(order) + window).cast("int"), F.lit(1))
-    runs = later.withColumn("_run", F.sum(opens).over(order))
+    later = anchored.join(first, ["c1", "c2"]).filter(F.struct("doc_id", "i") > F.col("_first")).select("doc_id", "i", "n", "first", "last").distinct()
+    order = Window.partitionBy("doc_id").orderBy("i", "n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    opens = F.coalesce((F.col("i") > F.max(F.col("i") + F.col("n")).over(before)).cast("int"), F.lit(1))
+    runs = later.withColumn("_opens", opens).withColumn("_run", F.sum("_opens").over(order))
     return runs.groupBy("doc_id", "_run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("_run")
 
 
-def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, words: int | None = None) -> DataFrame:
     """docs with text rid of later repeated runs, and n_lines, n_removed, n_runs added; other columns stay.
 
     A text of which nothing is left is empty; a null text stays null with n_lines 0; an empty text is one empty line.
     """
-    runs = repeated_runs(docs, window).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("_runs"))
+    runs = repeated_runs(docs, window, words).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("_runs"))
     joined = docs.drop("n_lines", "n_removed", "n_runs").join(runs, "doc_id", "left")
     raw = F.split("text", "\n", -1)
     kept = F.filter(raw, lambda x, k: ~F.exists("_runs", lambda r: k.between(r["first"], r["last"])))

@@ -165,6 +165,41 @@ def test_line_dedup(docs, corpus, nothing):
     assert linededup.dedup(nothing).count() == 0
 
 
+def _passage_brute(rows, w, words):
+    """A line goes if it lies in a run of consecutive lines that stands earlier and has w lines or so many words."""
+    size = lambda t: max(len(re.findall(r"[^\x20\x09-\x0D]+", t)), len(t) // linededup.WORD_CHARS)
+    found, first = {}, {}
+    for i, t in rows:
+        lines = [(k, x.strip(" ")) for k, x in enumerate(t.split("\n")) if x.strip(" ")]
+        found[i] = []
+        for k in range(len(lines)):
+            for n in range(1, w + 1):
+                run = lines[k : k + n]
+                if len(run) == n and (n == w or sum(size(x) for _, x in run) >= words):
+                    content = tuple(x for _, x in run)
+                    found[i].append((k, run[0][0], run[-1][0], content))
+                    first[content] = min(first.get(content, (i, k)), (i, k))
+    out = {}
+    for i, t in rows:
+        gone = {j for k, a, b, c in found[i] if first[c] < (i, k) for j in range(a, b + 1)}
+        out[i] = "\n".join(x for j, x in enumerate(t.split("\n")) if j not in gone), len(gone)
+    return out
+
+
+def test_line_dedup_passages(spark):
+    rng = random.Random(12)
+    long, half, other, short = _words(rng, 60), _words(rng, 30), _words(rng, 25), [_words(rng, 4) for _ in range(4)]
+    rows = [
+        (0, "\n".join([long, short[0], short[1], "", half, other])), (1, f"{long}"), (2, f"new words\n  {long} \nand more"), (3, f"{half}\n\n{other}\nlast"), (4, half), (5, f"{short[0]}\n{short[1]}"),
+        (6, "\n".join([long, short[0], short[1], "end"])), (7, f"{long} "), (8, "中文字符" * 120), (9, "头\n" + "中文字符" * 120), (10, ""), (11, f"{long}\n{short[2]}\n{long}\n{short[2]}"),
+    ]
+    rows += [(20 + k, "\n".join(rng.choice([long, half, other, *short, "", _words(rng, 20)]) for _ in range(rng.randint(1, 7)))) for k in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in linededup.dedup(table, words=linededup.PASSAGE_WORDS).collect()}
+    assert {i: (r.text, r.n_removed) for i, r in got.items()} == _passage_brute(rows, 3, 50)
+    assert [got[i].text for i in (1, 2, 3, 4, 5, 6, 7, 9)] == ["", "new words\nand more", "last", half, rows[5][1], "end", "", "头"]
+
+
 def test_vector_dedup(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(40, 64))

@@ -50,6 +50,13 @@ def test_stages(spark):
     assert {r.doc_id: r.decoded_sha256 for r in rows[5]} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in texts.items()}
 
 
+def test_long_lines_go(spark):
+    passage = " ".join(f"word{k}" for k in range(60))
+    rows = [(0, f"first\n{passage}", "en", "x", 0), (1, f"second\n{passage}\nthird", "en", "x", 0), (2, passage, "en", "x", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id: r.text for r in corpus_pipeline.dedup_lines(spark, docs, SF).collect()} == {0: rows[0][1], 1: "second\nthird"}
+
+
 def test_run_and_registration(spark):
     import __spark_entry__
 
