@@ -497,9 +497,11 @@ def candidate_band(spark, sf_dir):
 
 @query(v.with_sql(v.CUES_EVT, body="SELECT file_id, cue_no, start_ms, rank FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY start_ms DESC, cue_no) AS rank FROM cues_evt) WHERE rank <= 30"))
 def top_candidates(spark, sf_dir):
-    """A file's 30 latest events: the top-k of candidates."""
-    order = Window.partitionBy("file_id").orderBy(F.desc("start_ms"), "cue_no")
-    return v.cues_evt(spark, sf_dir).withColumn("rank", F.row_number().over(order)).filter("rank <= 30").select("file_id", *_long("cue_no", "start_ms", "rank"))
+    """A file's 30 latest events: its events as spans of one line, scored by their time, go through align.top_candidates."""
+    spans = v.cues_evt(spark, sf_dir).select("file_id", F.lit(0).alias("line_no"), F.col("start_ms").alias("score"), F.col("cue_no").alias("first_tok"), (F.col("cue_no") + 1).alias("end_tok"))
+    order = Window.partitionBy("file_id").orderBy(F.desc("score"), "first_tok")
+    best = align.top_candidates(spans).withColumn("rank", F.row_number().over(order))
+    return best.withColumnsRenamed({"first_tok": "cue_no", "score": "start_ms"}).select("file_id", *_long("cue_no", "start_ms", "rank"))
 
 
 @query("""SELECT user_id AS series_id, CAST(least(19, i // greatest(1, n // 20)) AS BIGINT) AS bucket, min(value) AS low, max(value) AS high FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events) GROUP BY 1, 2

@@ -216,3 +216,12 @@ def test_partition_independence(spark, plat):
     joined = pl.join_platforms(rows, plat)
     one, many = (sorted(map(tuple, qc.scorecard(joined.repartition(n)).collect())) for n in (1, 8))
     assert one == many
+
+
+def test_top_candidates_query_runs_the_operator(spark, monkeypatch):
+    from cueloom import registry
+
+    known, own, calls = registry.queries(), align.top_candidates, []
+    monkeypatch.setattr(align, "top_candidates", lambda found: calls.append(1) or own(found))
+    got = known["top_candidates"](spark, "/root/testdata/sf0.001").collect()
+    assert calls and max(r["rank"] for r in got) <= 30
