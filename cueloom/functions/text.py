@@ -156,7 +156,7 @@ def acronym_dots(text: Column, gate: Column | None = None) -> Column:
 def lyric_case(text: Column, gate: Column | None = None) -> Column:
     """A letter after a music note in upper case; split and rebuilt, since a pattern can't change case."""
     parts = F.split(text, "(?<=♪)")
-    fixed = F.transform(parts, lambda p, i: F.when(i > 0, F.concat(F.regexp_extract(p, r"^\s*", 0), F.upper(F.substring(F.ltrim(p), 1, 1)), F.substring(F.ltrim(p), 2, 1 << 20))).otherwise(p))
+    fixed = F.transform(parts, lambda p, i: F.when(i > 0, F.concat(F.regexp_extract(p, r"^\s*", 0), F.upper(F.substring(F.ltrim(p), 1, 1)), F.substr(F.ltrim(p), F.lit(2)))).otherwise(p))
     done = F.array_join(fixed, "")
     return done if gate is None else F.when(gate, done).otherwise(text)
 

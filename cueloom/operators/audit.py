@@ -121,7 +121,7 @@ def cleaning_stats(cues: DataFrame) -> DataFrame:
 
 def unproved(report: DataFrame, rules: DataFrame) -> DataFrame:
     """Labels of a report (platform_key, labels) that quote a rule which the platform doesn't have: none in a sound report."""
-    quoted = report.select("platform_key", F.explode("labels").alias("label")).filter("label like 'Rule: %'").withColumn("rule", F.substring("label", 7, 1 << 20))
+    quoted = report.select("platform_key", F.explode("labels").alias("label")).filter("label like 'Rule: %'").withColumn("rule", F.substr("label", F.lit(7)))
     return quoted.join(rules.select("platform_key", "rule"), ["platform_key", "rule"], "left_anti")
 
 

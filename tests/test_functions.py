@@ -92,3 +92,10 @@ def test_hints(spark):
 @pytest.mark.parametrize("rule, bucket", [("Minimum gap of 2 frames", "timing"), ("Maximum 42 characters per line", "text"), ("Raise subtitle over graphics", "positioning"), ("File naming as agreed", "file"), ("Use sentence case", "text")])
 def test_rule_buckets(spark, rule, bucket):
     assert spark.range(1).select(pl.rule_bucket(F.lit(rule))).head()[0] == bucket
+
+
+def test_long_pieces_stay_whole(spark):
+    piece = "b" * (1 << 20) + "tail"
+    each(spark, tx.lyric_case, [(f"♪ a{piece}", f"♪ A{piece}")])
+    report = spark.createDataFrame([("p", [f"Rule: {piece}"])], "platform_key string, labels array<string>")
+    assert audit.unproved(report, spark.createDataFrame([("p", piece)], "platform_key string, rule string")).count() == 0
