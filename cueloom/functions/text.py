@@ -343,7 +343,7 @@ def tokens(text: Column) -> Column:
 def strip_explanations(text: Column) -> Column:
     """Brackets of 12 or more characters at the end, one after another, unless they are production cues."""
     one = lambda t: let(F.trim(F.regexp_extract(t, r"\(([^()]*)\)\s*$", 1)), lambda c: F.when((F.length(c) >= 12) & ~c.rlike(KEPT_PAREN), F.rtrim(F.regexp_replace(t, r"\s*\([^()]*\)\s*$", ""))).otherwise(t))
-    return F.aggregate(F.sequence(F.lit(1), F.least(F.lit(8), F.greatest(F.lit(1), F.regexp_count(text, F.lit(r"\("))))), text, lambda acc, _: one(acc))
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.regexp_count(text, F.lit(r"\(")))), text, lambda acc, _: one(acc))
 
 
 def delivery_text(text: Column) -> Column:

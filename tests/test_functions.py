@@ -99,3 +99,7 @@ def test_long_pieces_stay_whole(spark):
     each(spark, tx.lyric_case, [(f"♪ a{piece}", f"♪ A{piece}")])
     report = spark.createDataFrame([("p", [f"Rule: {piece}"])], "platform_key string, labels array<string>")
     assert audit.unproved(report, spark.createDataFrame([("p", piece)], "platform_key string, rule string")).count() == 0
+
+
+def test_every_trailing_explanation_goes(spark):
+    each(spark, tx.strip_explanations, [("Hello" + " (a long explanation)" * 20, "Hello"), ("Hello (short)" + " (a long explanation)" * 9, "Hello (short)"), (None, None)])
