@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -181,18 +182,23 @@ def links(classes: DataFrame, index: Index) -> DataFrame:
 def near_duplicates(table: DataFrame) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of (vec_id, embedding).
 
-    Equal vectors are one class, linked with one another. Vectors that are not usable (see `vectors`), and those whose
-    length is not the commonest one, link with nothing. A null vec_id takes no part: component_id null, kept.
+    Equal vectors are one class, linked with one another. Vectors of one length are compared, with an index a length.
+    Vectors that are not usable (see `vectors`) link with nothing. A null vec_id takes no part: component_id null, kept.
     """
     own = textkit.written(vectors(table), "vectors")
     usable = own.filter("v is not null and vec_id is not null")
-    lengths = usable.groupBy(F.octet_length("v").alias("size")).count().orderBy(F.desc("count"), "size").limit(1).collect()
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("_least", "vec_id"))
+    classes = usable.groupBy("h1", "h2").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"), F.first("v").alias("v"))
+    classes = textkit.written(classes.withColumnRenamed("h1", "node"), "classes")
+    lengths = classes.groupBy(F.octet_length("v").alias("size")).count().orderBy(F.desc("count"), "size").collect()
     if not lengths:
         return own.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    classes = usable.filter(F.octet_length("v") == lengths[0]["size"]).groupBy("h1", "h2").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"), F.first("v").alias("v"))
-    classes = textkit.written(classes.withColumnRenamed("h1", "node"), "classes")
-    pairs = textkit.written(links(classes, fit(classes, classes.count())), "links")
+    found = []
+    for k, length in enumerate(lengths):
+        if k == 0 or length["count"] > 1:
+            alike = classes.filter(F.octet_length("v") == length["size"])
+            found.append(textkit.written(links(alike, fit(alike, length["count"])), "links"))
+    pairs = reduce(DataFrame.union, found)
     ends = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).union(pairs.select("b", "a"))
     copies = classes.select(F.col("node").alias("other"), F.col("copies").alias("_n"))
     others = ends.join(copies, "other").groupBy("node").agg(F.sum("_n").alias("_others"))

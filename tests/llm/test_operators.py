@@ -228,6 +228,17 @@ def test_vector_dedup(spark):
     assert vectordedup.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_vector_dedup_of_several_lengths(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=64)]) for i in range(20)]
+    for n, first in ((48, 100), (3, 200)):
+        a = rng.normal(size=n)
+        rows += [(first, [float(x) for x in a]), (first + 1, [float(x) for x in a]), (first + 2, [float(x) for x in a * 2 + 0.001]), (first + 3, [float(-x) for x in a])]
+    rows.append((300, [1.0, 2.0]))
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectordedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert got == {i: (2, i // 100 * 100, i % 100 == 0) if i in (100, 101, 102, 200, 201, 202) else (0, i, True) for i, _ in rows}
+
+
 def test_toxicity(spark, nothing):
     rng = random.Random(8)
     rows, labels = [], []
