@@ -1,93 +1,120 @@
 """Line dedup by winnowing. DataFrame functions only.
 
-A document's lines (trimmed of blanks, empty ones left out) are hashed; of every WINDOW consecutive hashes the smallest, on a
-tie the last, is a fingerprint. Two documents that share WINDOW consecutive lines share the fingerprint of that window, so
-fingerprints that occur once are done with. At the others the match is extended both ways as far as windows with that
-fingerprint reach; windows with equal lines meet by their content, and all but the earliest are marked. Marked windows that
-touch are one maximal repeated run, which is deleted.
-
-With `words`, runs of fewer than WINDOW lines that hold so many words are windows too, so that a passage on one or two long
-lines is found. Then a line goes if and only if it lies in a run of lines that stands earlier and has WINDOW lines or `words`
-words. The registered query keeps the rule of OP4_SQL, which knows windows of WINDOW lines only.
+A document's lines (trimmed of blanks, empty ones left out) are hashed. A window is a run of WINDOW consecutive lines, or
+of fewer that hold `words` words; of every window the smallest hash, on a tie the last, is selected. Two documents that
+share a window select the same line of it, so selected lines are fingerprints that guarantee to find every shared window.
+
+1. Fingerprints. A row goes out for each selected line only, with its place and the lines around it.
+2. Positions are joined by fingerprint; those that occur once are done with.
+3. A match is extended both ways from the fingerprint: `left` lines before and the rest behind. Pairs of places would grow
+   with the square of a common line, so places extend together: those of one fingerprint whose lines agree from -left on
+   are one group, and its earliest place is the source of all others.
+4. Extensions that overlap or touch are one maximal repeated run, which is deleted from the later document.
+
+So a line goes if and only if it lies in a run of lines that stands earlier and has WINDOW lines or `words` words.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textkit
 
-#: Lines of the shortest run that is found.
+#: Lines of the shortest run that is found, whatever its words.
 WINDOW = 3
 #: Words of a passage that is found on fewer lines; so many characters count as a word at least, for scripts without blanks.
 PASSAGE_WORDS, WORD_CHARS = 50, 8
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """docs with _raw (all lines) and _kept (k: index in _raw, h and g: hashes, w: words) of those that are not blank."""
-    raw = docs.withColumn("_raw", F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1))
-    numbered = F.transform("_raw", lambda x, k: F.struct(k.alias("k"), F.trim(x).alias("t")))
+    """docs with _kept: k (index among all lines), h and g (hashes), w (words) of the lines that are not blank."""
+    numbered = F.transform(F.split("text", "\n", -1), lambda x, k: F.struct(k.alias("k"), F.trim(x).alias("t")))
     words = lambda t: F.greatest(F.regexp_count(t, F.lit(r"[^\x20\x09-\x0D]+")), F.floor(F.length(t) / WORD_CHARS).cast("int"))
     kept = F.transform(F.filter(numbered, lambda x: x["t"] != ""), lambda x: F.struct(x["k"].alias("k"), F.xxhash64(x["t"]).alias("h"), F.xxhash64(F.lit("second"), x["t"]).alias("g"), words(x["t"]).alias("w")))
-    return raw.withColumn("_kept", kept)
+    return docs.withColumn("_kept", kept)
 
 
-def fingerprints(docs: DataFrame, window: int = WINDOW, words: int | None = None) -> DataFrame:
-    """(fp, doc_id, pos, i, n, first, last, c1, c2): every window of n lines from i with its fingerprint, raw line range and content."""
-    lines = _lines(docs.filter("doc_id is not null and text is not null").select("doc_id", "text"))
+def _windows(kept: Column, n: int, words: int | None) -> Column:
+    """For each line the window of n lines from it, as struct with `pos`, the line it selects; null where it is none."""
 
-    def windows(n: int):
-        def at(i):
-            part = F.slice(F.col("_kept"), i + 1, F.lit(n))
-            least = F.array_min(F.transform(part, lambda x, j: F.struct(x["h"].alias("h"), (-j).alias("j"))))
-            return F.struct(
-                least["h"].alias("fp"), (i - least["j"]).alias("pos"), i.alias("i"), F.lit(n).alias("n"), part[0]["k"].alias("first"), part[n - 1]["k"].alias("last"),
-                F.xxhash64(F.transform(part, lambda x: x["h"])).alias("c1"), F.xxhash64(F.transform(part, lambda x: x["g"])).alias("c2"),
-            )
+    def at(i: Column) -> Column:
+        part = F.slice(kept, i + 1, F.lit(n))
+        least = F.array_min(F.transform(part, lambda x, j: F.struct(x["h"].alias("h"), (-j).alias("j"))))
+        own = F.struct(
+            (i - least["j"]).alias("pos"), (-least["j"]).alias("left"), i.alias("i"), F.lit(n).alias("n"), part[0]["k"].alias("first"), part[n - 1]["k"].alias("last"),
+            F.xxhash64(F.transform(part, lambda x: x["h"])).alias("c1"), F.xxhash64(F.transform(part, lambda x: x["g"])).alias("c2"),
+        )
+        return own if words is None else F.when(F.aggregate(part, F.lit(0), lambda a, x: a + x["w"]) >= words, own)
 
-        starts = F.slice(F.sequence(F.lit(0), F.size("_kept")), F.lit(1), F.greatest(F.lit(0), F.size("_kept") - n + 1))
-        if n < window:
-            starts = F.filter(starts, lambda i: F.aggregate(F.slice(F.col("_kept"), i + 1, F.lit(n)), F.lit(0), lambda a, x: a + x["w"]) >= words)
-        return F.transform(starts, at)
+    return F.transform(F.slice(F.sequence(F.lit(0), F.size(kept)), F.lit(1), F.greatest(F.lit(0), F.size(kept) - n + 1)), at)
 
-    every = F.concat(*(windows(n) for n in range(window if words is None else 1, window + 1)))
-    return lines.select("doc_id", F.explode(every).alias("w")).select("doc_id", "w.*")
 
+def fingerprints(docs: DataFrame, window: int = WINDOW, words: int | None = PASSAGE_WORDS) -> DataFrame:
+    """(fp, row, doc_id, pos, around): a row for each selected line of docs (doc_id, text) with the windows that select it.
+
+    around: array<struct<left, i, n, first, last, c1, c2>>: a window from `left` lines before pos, its range of raw lines and
+    a hash of its lines twice.
+    """
+    known = docs.filter("doc_id is not null and text is not null").select(textkit.row_key().alias("row"), "doc_id", "text")
+    held = _lines(known)
+    sizes = [n for n in range(1, window + 1) if n == window or words is not None]
+    for n in sizes:
+        held = held.withColumn(f"_w{n}", _windows(F.col("_kept"), n, None if n == window else words))
+
+    def selected(pos: Column) -> Column:
+        near = F.concat(*(F.slice(F.col(f"_w{n}"), F.greatest(pos - n + 1, F.lit(0)) + 1, F.lit(n)) for n in sizes))
+        own = F.transform(F.filter(near, lambda x: x["pos"] == pos), lambda x: x.dropFields("pos"))
+        return F.struct(F.col("_kept")[pos]["h"].alias("fp"), pos.alias("pos"), own.alias("around"))
+
+    every = F.filter(F.transform(F.slice(F.sequence(F.lit(0), F.size("_kept")), F.lit(1), F.size("_kept")), selected), lambda x: F.size(x["around"]) > 0)
+    return held.select("row", "doc_id", F.explode(every).alias("f")).select("row", "doc_id", "f.*")
 
-def repeated_runs(docs: DataFrame, window: int = WINDOW, words: int | None = None) -> DataFrame:
-    """(doc_id, first, last): ranges of line numbers, from 0, of maximal runs of windows that stand earlier in the corpus.
 
-    Earlier means a smaller doc_id, or the same and a smaller line number; rows that share a doc_id therefore don't delete
-    each other. Rows with null doc_id or text take no part.
+def repeated_runs(docs: DataFrame, window: int = WINDOW, words: int | None = PASSAGE_WORDS) -> DataFrame:
+    """(row, first, last): ranges of line numbers, from 0, of the maximal runs of rows that stand earlier in the corpus.
+
+    Earlier means a smaller doc_id, or the same and a smaller line number; so of rows that share a doc_id only a line that
+    stands further up in one of them deletes. Rows with null doc_id or text take no part.
     """
-    windows = textkit.written(fingerprints(docs, window, words), "line-windows")
-    # one row for each place of a fingerprint, whatever number of windows chose it
-    shared = windows.select("fp", "doc_id", "pos").distinct().groupBy("fp").count().filter("count > 1").select("fp")
-    anchored = windows.join(shared, "fp", "left_semi")
-    first = anchored.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "i")).alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
-    later = anchored.join(first, ["c1", "c2"]).filter(F.struct("doc_id", "i") > F.col("_first")).select("doc_id", "i", "n", "first", "last").distinct()
-    order = Window.partitionBy("doc_id").orderBy("i", "n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marks = textkit.written(fingerprints(docs, window, words), "fingerprints")
+    shared = marks.groupBy("fp").agg(F.count("*").alias("_n")).filter("_n > 1")
+    matched = textkit.spread_join(marks, textkit.written(shared, "shared"), ["fp"])
+    reach = matched.select("row", "doc_id", F.explode("around").alias("x")).select("row", "doc_id", "x.*")
+    reach = textkit.written(reach, "extensions")
+    groups = reach.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "i")).alias("_source"), F.count("*").alias("_n")).filter("_n > 1")
+    later = textkit.spread_join(reach, textkit.written(groups, "sources"), ["c1", "c2"]).filter(F.struct("doc_id", "i") > F.col("_source"))
+    later = later.select("row", "i", "n", "first", "last").distinct()
+    order = Window.partitionBy("row").orderBy("i", "n")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     opens = F.coalesce((F.col("i") > F.max(F.col("i") + F.col("n")).over(before)).cast("int"), F.lit(1))
-    runs = later.withColumn("_opens", opens).withColumn("_run", F.sum("_opens").over(order))
-    return runs.groupBy("doc_id", "_run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("_run")
+    runs = later.withColumn("_opens", opens).withColumn("_run", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return runs.groupBy("row", "_run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("_run")
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, words: int | None = None) -> DataFrame:
-    """docs with text rid of later repeated runs, and n_lines, n_removed, n_runs added; other columns stay.
+def dedup(docs: DataFrame, window: int = WINDOW, words: int | None = PASSAGE_WORDS) -> DataFrame:
+    """docs with text rid of later repeated runs, and n_lines, n_removed, n_runs added; other columns stay, of any name but these.
 
-    A text of which nothing is left is empty; a null text stays null with n_lines 0; an empty text is one empty line.
+    A text of which nothing is left is empty; a null text stays null with n_lines 0; an empty text is one empty line. Rows
+    are told apart by doc_id and text: rows that share a doc_id lose their own lines only, equal rows lose the same.
+    words None finds runs of `window` lines only.
     """
-    runs = repeated_runs(docs, window, words).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("_runs"))
-    joined = docs.drop("n_lines", "n_removed", "n_runs").join(runs, "doc_id", "left")
-    raw = F.split("text", "\n", -1)
-    kept = F.filter(raw, lambda x, k: ~F.exists("_runs", lambda r: k.between(r["first"], r["last"])))
-    removed = F.coalesce(F.aggregate("_runs", F.lit(0), lambda a, r: a + r["last"] - r["first"] + 1), F.lit(0))
+    runs = repeated_runs(docs.select("doc_id", "text"), window, words).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed", "n_runs")]
+    joined = docs.select(textkit.row_key().alias("row"), F.struct(*(F.col(f"`{c}`") for c in columns)).alias("d")).join(runs, "row", "left")
+    raw = F.split("d.text", "\n", -1)
+
+    def left_between(lines: Column) -> Column:
+        """The lines between runs, each gap cut out once."""
+        begin = lambda j: F.when(j == 0, F.lit(0)).otherwise(F.col("runs")[j - 1]["last"] + 1)
+        end = lambda j: F.when(j == F.size("runs"), F.size(lines)).otherwise(F.col("runs")[j]["first"])
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size("runs")), lambda j: F.slice(lines, begin(j) + 1, end(j) - begin(j))))
+
+    kept = F.array_join(F.transform(F.array(raw), left_between)[0], "\n")
+    removed = F.coalesce(F.aggregate("runs", F.lit(0), lambda a, r: a + r["last"] - r["first"] + 1), F.lit(0))
     return joined.select(
-        *(F.when(F.col("_runs").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else F.col(f"`{c}`") for c in columns),
-        F.coalesce(F.size(raw), F.lit(0)).cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"), F.greatest(F.size("_runs"), F.lit(0)).cast("long").alias("n_runs"),
+        *(F.when(F.col("runs").isNull(), F.col("d.text")).otherwise(kept).alias("text") if c == "text" else F.col(f"d.`{c}`").alias(c) for c in columns),
+        F.coalesce(F.size(raw), F.lit(0)).cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"), F.greatest(F.size("runs"), F.lit(0)).cast("long").alias("n_runs"),
     )
 
 
@@ -96,17 +123,23 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+_CONTENT = {n: " || chr(10) || ".join(["t", *(f"lead(t, {j}) OVER w" for j in range(1, n))]) for n in range(1, WINDOW + 1)}
+_SIZE = {n: " + ".join(["size", *(f"lead(size, {j}) OVER w" for j in range(1, n))]) for n in range(1, WINDOW + 1)}
 OP4_SQL = f"""
 WITH raw AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k
   FROM documents WHERE text IS NOT NULL),
-kept AS (SELECT doc_id, k, trim(line, ' ') AS t, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS i FROM raw WHERE trim(line, ' ') <> ''),
+kept AS (
+  SELECT doc_id, k, trim(line, ' ') AS t, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS i,
+    greatest(len(regexp_extract_all(trim(line, ' '), '[^\\x20\\x09-\\x0D]+')), len(trim(line, ' ')) // {WORD_CHARS}) AS size
+  FROM raw WHERE trim(line, ' ') <> ''),
 windows AS (
-  SELECT doc_id, i, k AS first, lead(k, {WINDOW - 1}) OVER w AS last, {" || chr(10) || ".join(["t", *(f"lead(t, {j}) OVER w" for j in range(1, WINDOW))])} AS content
-  FROM kept WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, i) AS nth FROM windows WHERE last IS NOT NULL),
-later AS (SELECT doc_id, i, first, last, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {WINDOW} OR lag(i) OVER (PARTITION BY doc_id ORDER BY i) IS NULL THEN 1 ELSE 0 END AS opens FROM ranked WHERE nth > 1),
-runs AS (SELECT doc_id, run, min(first) AS first, max(last) AS last FROM (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM later) GROUP BY doc_id, run),
+  {" UNION ALL ".join(f"SELECT * FROM (SELECT doc_id, i, {n} AS n, k AS first, lead(k, {n - 1}) OVER w AS last, {_CONTENT[n]} AS content, {_SIZE[n]} AS size FROM kept WINDOW w AS (PARTITION BY doc_id ORDER BY i)) WHERE last IS NOT NULL" + (f" AND size >= {PASSAGE_WORDS}" if n < WINDOW else "") for n in range(1, WINDOW + 1))}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n, content ORDER BY doc_id, i) AS nth FROM windows),
+later AS (
+  SELECT *, CASE WHEN i > max(i + n) OVER (PARTITION BY doc_id ORDER BY i, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS opens
+  FROM ranked WHERE nth > 1),
+runs AS (SELECT doc_id, run, min(first) AS first, max(last) AS last FROM (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY i, n ROWS UNBOUNDED PRECEDING) AS run FROM later) GROUP BY doc_id, run),
 left_over AS (SELECT r.doc_id, string_agg(r.line, chr(10) ORDER BY r.k) AS text FROM raw r WHERE NOT EXISTS (SELECT 1 FROM runs u WHERE u.doc_id = r.doc_id AND r.k BETWEEN u.first AND u.last) GROUP BY r.doc_id),
 sums AS (SELECT doc_id, sum(last - first + 1) AS n_removed, count(*) AS n_runs FROM runs GROUP BY doc_id)
 SELECT d.doc_id, CAST(CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) END AS BIGINT) AS n_lines,

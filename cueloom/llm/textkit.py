@@ -7,7 +7,8 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PRIME = 0x9E3779B97F4A7C15
 _INVERSE = pow(PRIME, -1, 1 << 64)
@@ -35,6 +36,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """16 bytes that tell rows apart by id and text; equal rows have equal keys, rows that share an id only do not."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text), F.lit(""))).cast("binary")))
+
+
+#: A key is hot in `spread_join` if it has more than this share of the rows; so at most 1 / HOT_SHARE keys are.
+HOT_SHARE = 1 / 1000
+
+
+def spread_join(rows: DataFrame, values: DataFrame, keys: list[str], count: str = "_n") -> DataFrame:
+    """Inner join of rows with values, of which each key has one, on keys; `count` in values is a key's number of rows.
+
+    Hot keys' values are broadcast (1 / HOT_SHARE of them at most), so that no task gets all rows of one; the others are
+    joined by key. Both sides should be written tables: they are read twice.
+    """
+    total = values.agg(F.sum(count)).head()[0] or 0
+    hot = values.filter(F.col(count) > max(1, int(total * HOT_SHARE)))
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    near = rows.join(F.broadcast(hot.drop(count)), keys)
+    return near.unionByName(rest.join(values.filter(F.col(count) <= max(1, int(total * HOT_SHARE))).drop(count), keys))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cueloom.llm import bpe, components, decontaminate, langid, linededup, minhash, secrets, suffixdedup, textkit, toxicity, vectordedup, warc
 
+SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -43,6 +44,17 @@ def docs(spark, corpus):
     return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in corpus], DOCS).repartition(3)
 
 
+@pytest.fixture(scope="module")
+def tables():
+    """The smallest tables as DuckDB views."""
+    import duckdb
+
+    own = duckdb.connect()
+    for name in ("documents", "embeddings", "pages", "benchmark", "labels"):
+        own.sql(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
+    return own
+
+
 @pytest.fixture(scope="module")
 def nothing(spark):
     return spark.createDataFrame([], DOCS)
@@ -158,13 +170,30 @@ def _line_brute(rows, w):
 
 
 def test_line_dedup(docs, corpus, nothing):
-    got = linededup.dedup(docs.withColumn("n_lines", F.lit("clash"))).collect()
+    got = linededup.dedup(docs.withColumn("n_lines", F.lit("clash")), words=None).collect()
     key = lambda r: (r[0] is None, r[0] or 0, r[1] or "", r[2])
     assert sorted([(r.doc_id, r.text, r.n_removed) for r in got], key=key) == sorted(_line_brute(corpus, 3), key=key)
     assert sum(r.n_removed > 0 for r in got) > 10
     assert linededup.dedup(nothing).count() == 0
 
 
+def test_line_dedup_rows_that_share_an_id(spark):
+    """A row loses its own lines only, whatever other rows with its id hold; columns of any name stay."""
+    line = lambda x: "\n".join(x.split())
+    rows = [(1, line("a b c"), "r", "g"), (5, line("x y z w"), "r", "g"), (5, line("a b c q"), "r", "g"), (5, line("q a b c"), "r", "g"), (5, line("x y z w"), "r", "g")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, _runs string, runs string").withColumn("row", F.lit(1)).withColumn("d", F.lit(2))
+    got = linededup.dedup(table)
+    assert got.columns == [*table.columns, "n_lines", "n_removed", "n_runs"]
+    assert sorted((r.doc_id, r.text, r._runs, r.n_removed) for r in got.collect()) == [(1, line("a b c"), "r", 0), (5, "q", "r", 3), (5, "q", "r", 3), (5, line("x y z w"), "r", 0), (5, line("x y z w"), "r", 0)]
+
+
+def test_line_dedup_query(spark, tables):
+    """The registered query against its SQL, all columns."""
+    want = tables.sql(linededup.OP4_SQL).fetchall()
+    got = linededup.op4_line_dedup(spark, SF).select("doc_id", "n_lines", "n_removed", "n_runs", "kept_sha256").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def _passage_brute(rows, w, words):
     """A line goes if it lies in a run of consecutive lines that stands earlier and has w lines or so many words."""
     size = lambda t: max(len(re.findall(r"[^\x20\x09-\x0D]+", t)), len(t) // linededup.WORD_CHARS)
