@@ -1,9 +1,19 @@
 """Embedding near-dedup by product quantisation.
 
 A bounded sample trains coarse centroids and, for the residuals, a codebook in each of SUBSPACES subspaces. Every distinct
-vector stands in the inverted list of its nearest centroid with its residual's codes and their error. As a query it visits
-the lists of its PROBES nearest centroids, where table look-ups give its distance to every decoded vector; what lies farther
-than the threshold plus the entry's own error can't be a link, and the rest is compared exactly in double precision.
+vector stands in one inverted list with its residual's codes and their error. As a query it visits the PROBES nearest lists,
+where table look-ups give its distance to every decoded vector; what lies farther than the threshold plus the entry's own
+error can't be a link, and the rest is compared exactly in double precision.
+
+There are about as many lists as the root of the number of vectors. Beyond COARSE of them each coarse centroid's list is
+split by FINE centroids of the residuals, so that lists grow with the table though the sample does not.
+
+Pairs never leave a task. A task counts the links of each vector in its block, and of the links gives out as many as tie the
+block together. A pair that both vectors find as queries is counted once: the entry's count takes a link only if the
+entry's own probes miss the query's list.
+
+Vectors are compared with vectors of their length: each length of more than BLOCK_ENTRIES vectors has an index, those of
+rarer lengths are compared exactly, all with all of their length.
 """
 
 from __future__ import annotations
@@ -11,24 +21,26 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textkit
 from .components import components
 
 COSINE = 0.95
-#: Vectors that train the index at most, chosen by a hash.
+#: Vectors that train an index at most, chosen by a hash.
 SAMPLE_ROWS = 16_000
-#: Most inverted lists; there are about as many as the root of the number of vectors.
-LISTS, PROBES = 1024, 16
+#: Coarse centroids at most, finer ones for all of their lists at most, and lists that a query visits.
+COARSE, FINE, PROBES = 1024, 1024, 16
 SUBSPACES, CODES = 16, 256
 #: Entries and queries that meet in one task at most; a longer list is split into blocks.
 BLOCK_ENTRIES, BLOCK_QUERIES = 4096, 16_384
+#: Decoded distances that a step of a task holds.
+STEP = 256
 
 
 def _means(x: np.ndarray, k: int, steps: int, rng: np.random.Generator) -> np.ndarray:
@@ -50,26 +62,39 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    coarse: np.ndarray  # lists x dimension
+    coarse: np.ndarray  # centroids x dimension
+    fine: np.ndarray  # of the residuals; a list is coarse number x len(fine) + fine number
     books: list[np.ndarray]  # of each subspace: codes x its dimensions
     cuts: list[slice]
 
+    def centre(self, cell: np.ndarray) -> np.ndarray:
+        return self.coarse[cell // len(self.fine)] + self.fine[cell % len(self.fine)]
+
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(list, codes, error) of unit vectors."""
         own = nearest(x, self.coarse)
         residual = x - self.coarse[own]
+        inner = nearest(residual, self.fine)
+        residual -= self.fine[inner]
         codes = np.stack([nearest(residual[:, c], b) for c, b in zip(self.cuts, self.books, strict=True)], 1)
         decoded = np.concatenate([b[codes[:, m]] for m, b in enumerate(self.books)], 1)
-        return own, codes.astype(np.uint8), np.linalg.norm(residual - decoded, axis=1)
+        return own * len(self.fine) + inner, codes.astype(np.uint8), np.linalg.norm(residual - decoded, axis=1)
 
     def probes(self, x: np.ndarray) -> np.ndarray:
+        """The nearest lists of each vector, among those of its nearest coarse centroids."""
         n = min(PROBES, len(self.coarse))
-        half = 0.5 * (self.coarse**2).sum(1)
-        return np.argpartition(half - x @ self.coarse.T, n - 1, axis=1)[:, :n]
+        distance = (self.coarse**2).sum(1) - 2 * x @ self.coarse.T
+        near = np.argpartition(distance, n - 1, axis=1)[:, :n]
+        if len(self.fine) == 1:
+            return near
+        cross = 2 * (self.coarse[near] @ self.fine.T) - 2 * (x @ self.fine.T)[:, None, :] + (self.fine**2).sum(1)
+        total = (np.take_along_axis(distance, near, 1)[:, :, None] + cross).reshape(len(x), -1)
+        cells = (near[:, :, None] * len(self.fine) + np.arange(len(self.fine))).reshape(len(x), -1)
+        return np.take_along_axis(cells, np.argpartition(total, PROBES - 1, axis=1)[:, :PROBES], 1)
 
     def distances(self, q: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
         """Queries x entries: distance of each query to each decoded entry of the list, from tables."""
-        residual, total = q - self.coarse[cell], np.zeros((len(q), len(codes)))
+        residual, total = q - self.centre(np.array([cell])), np.zeros((len(q), len(codes)))
         for m, (c, book) in enumerate(zip(self.cuts, self.books, strict=True)):
             part = residual[:, c]
             tables = (part**2).sum(1)[:, None] - 2 * part @ book.T + (book**2).sum(1)
@@ -78,134 +103,219 @@ class Index:
 
 
 def train(x: np.ndarray, rows: int) -> Index:
+    """An index of unit vectors x for a table of so many rows."""
     rng = np.random.default_rng(5)
-    coarse = _means(x, max(1, min(LISTS, math.isqrt(rows))), 8, rng)
+    lists = max(1, math.isqrt(rows))
+    coarse = _means(x, min(COARSE, lists), 8, rng)
     residual = x - coarse[nearest(x, coarse)]
+    fine = np.zeros((1, x.shape[1])) if lists <= COARSE else _means(residual, min(FINE, -(-lists // COARSE)), 6, rng)
+    residual -= fine[nearest(residual, fine)]
     parts = np.array_split(np.arange(x.shape[1]), min(SUBSPACES, x.shape[1]))
     cuts = [slice(int(p[0]), int(p[-1]) + 1) for p in parts]
-    return Index(coarse, [_means(residual[:, c], CODES, 6, rng) for c in cuts], cuts)
+    return Index(coarse, fine, [_means(residual[:, c], CODES, 6, rng) for c in cuts], cuts)
 
 
 def vectors(table: DataFrame) -> DataFrame:
-    """(vec_id, v, h1, h2): doubles of each usable vector with two hashes, null for others.
+    """(vec_id, v, dim, h1, h2): bytes of each usable vector (4 a component of a float column, else 8), its length and two hashes; null for others.
 
     Not usable are vectors that are null, empty, zero, or hold null or non-finite components.
     """
+    narrow = isinstance(table.schema["embedding"].dataType, T.ArrayType) and isinstance(table.schema["embedding"].dataType.elementType, T.FloatType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, h1, h2 = [], [], []
+            out, dim, h1, h2 = [], [], [], []
             for value in batch.column(1):
                 own = value.values
                 x = np.zeros(0) if own is None or own.null_count else own.to_numpy(zero_copy_only=False).astype(np.float64)
                 if len(x) and np.isfinite(x).all() and np.linalg.norm(x) > 0:
-                    words = textkit.mix((x + 0.0).view(np.uint64))  # + 0.0: no negative zero
+                    x = x + 0.0  # no negative zero
+                    words = textkit.mix(x.view(np.uint64))
                     place = textkit.powers(len(x))
-                    out.append(x.tobytes())
+                    out.append(x.astype(np.float32).tobytes() if narrow else x.tobytes())
+                    dim.append(len(x))
                     h1.append(int((textkit.mix(words + place).sum()).astype(np.int64)))
                     h2.append(int((textkit.mix(words ^ (place * np.uint64(3))).sum()).astype(np.int64)))
                 else:
-                    out.append(None), h1.append(None), h2.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], ["vec_id", "v", "h1", "h2"])
-
-    return table.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(run, "vec_id long, v binary, h1 long, h2 long")
-
+                    out.append(None), dim.append(None), h1.append(None), h2.append(None)
+            columns = [batch.column(0), pa.array(out, pa.binary()), pa.array(dim, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["vec_id", "v", "dim", "h1", "h2"])
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    rows = np.frombuffer(b"".join(column.to_pylist()), np.float64)
-    return rows.reshape(len(column), -1) if len(column) else rows.reshape(0, 1)
+    kind = "array<float>" if narrow else "array<double>"
+    return table.select(F.col("vec_id").cast("long"), F.col("embedding").cast(kind)).mapInArrow(run, "vec_id long, v binary, dim int, h1 long, h2 long")
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
+def _unit(column: pa.Array, dim: int) -> np.ndarray:
+    """Vectors of one length, scaled to length 1 in double precision."""
+    raw = b"".join(column.to_pylist())
+    x = np.frombuffer(raw, np.float32 if len(raw) == 4 * dim * len(column) else np.float64).astype(np.float64).reshape(len(column), -1)
     x = x / np.abs(x).max(1, keepdims=True)  # squares neither overflow nor vanish
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def fit(classes: DataFrame, rows: int) -> Index:
-    sample = classes.orderBy(F.xxhash64("node", F.lit(1)), "node").limit(SAMPLE_ROWS).select("v").collect()
-    return train(_unit(np.stack([np.frombuffer(r.v, np.float64) for r in sample])), rows)
+def fit(classes: DataFrame, rows: int, dim: int) -> Index:
+    """An index from SAMPLE_ROWS rows of (node, v) at most, which the driver gets."""
+    sample = classes.orderBy(F.xxhash64("node", F.lit(1)), "node").limit(SAMPLE_ROWS).select("v").toArrow()
+    return train(_unit(sample.column("v").combine_chunks(), dim), rows)
 
 
-def links(classes: DataFrame, index: Index) -> DataFrame:
-    """(a, b), a > b, of nodes whose vectors have a cosine of COSINE or more, as far as the probes find them."""
+_PLACED = "cell long, query boolean, node long, v binary, copies long, codes binary, error double, probes binary"
+
+
+def _place(classes: DataFrame, index: Index, dim: int, first: int) -> DataFrame:
+    """_PLACED: each vector as entry of its list and as query of those it visits. Lists are numbered from `first`."""
     shared = classes.sparkSession.sparkContext.broadcast(index)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                x = _unit(_matrix(part.column(1)))
+                x = _unit(part.column(1), dim)
                 cell, codes, error = shared.value.encode(x)
-                probes = shared.value.probes(x)
+                probes = shared.value.probes(x).astype(np.int64) + first
                 row = np.repeat(np.arange(len(x)), probes.shape[1])
-                take = np.concatenate([np.arange(len(x)), row])
-                query = np.concatenate([np.zeros(len(x), bool), np.ones(len(row), bool)])
+                take = pa.array(np.concatenate([np.arange(len(x)), row]))
+                entry, none = np.arange(len(x)), [None] * len(row)
+                # a query carries its own list, an entry the lists that it visits itself
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([cell, probes.ravel()]).astype(np.int32)), pa.array(query), part.column(0).take(pa.array(take)), part.column(1).take(pa.array(take)),
-                     pa.array([c.tobytes() if not q else None for c, q in zip(codes[take], query, strict=True)], pa.binary()), pa.array(error[take])],
-                    ["cell", "query", "node", "v", "codes", "error"],
+                    [pa.array(np.concatenate([cell + first, probes.ravel()])), pa.array(np.concatenate([np.zeros(len(x), bool), np.ones(len(row), bool)])), *(part.column(c).take(take) for c in range(3)),
+                     pa.array([codes[k].tobytes() for k in entry] + none, pa.binary()), pa.array(np.concatenate([error, np.zeros(len(row))])),
+                     pa.array([probes[k].tobytes() for k in entry] + [np.int64(cell[k] + first).tobytes() for k in row], pa.binary())],
+                    ["cell", "query", "node", "v", "copies", "codes", "error", "probes"],
                 )
 
-    placed = textkit.written(classes.select("node", "v").mapInArrow(place, "cell int, query boolean, node long, v binary, codes binary, error double"), "index")
-    sizes = placed.groupBy("cell").agg(F.count_if("query").alias("_q"), F.count_if(~F.col("query")).alias("_e"))  # LISTS rows at most
-    placed = placed.join(F.broadcast(sizes), "cell")
-    blocks = lambda size, most: F.greatest(F.lit(1), F.ceil(F.col(size) / most)).cast("int")
-    own = lambda size, most: F.pmod(F.xxhash64("node"), blocks(size, most)).cast("int")
-    every = lambda size, most: F.explode(F.sequence(F.lit(0), blocks(size, most) - 1))
-    entries = placed.filter("not query").withColumn("_eb", own("_e", BLOCK_ENTRIES)).withColumn("_qb", every("_q", BLOCK_QUERIES))
-    queries = placed.filter("query").withColumn("_qb", own("_q", BLOCK_QUERIES)).withColumn("_eb", every("_e", BLOCK_ENTRIES))
-    met = entries.unionByName(queries).drop("_q", "_e")
-
-    def compare(block: pa.Table) -> pa.Table:
-        kind = block.column("query").combine_chunks()
-        q, e = block.filter(kind), block.filter(pa.compute.invert(kind))
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        if q.num_rows and e.num_rows:
-            entries, cell = _unit(_matrix(e.column("v").combine_chunks())), e.column("cell")[0].as_py()
+    return classes.select("node", "v", "copies").mapInArrow(place, _PLACED)
+
+
+def tie(label: np.ndarray, close: np.ndarray, own: np.ndarray) -> list[tuple[int, int]]:
+    """(query, entry) links that tie a step's queries to the entries' trees; label: each entry's tree, changed in place.
+
+    close: queries x entries. own: of each query the entry that is itself, or -1. As many links as trees are met.
+    """
+    out = []
+    for q in np.flatnonzero(close.any(1)):
+        met = np.flatnonzero(close[q])
+        trees, first = np.unique(label[met], return_index=True)
+        if own[q] < 0:
+            out += [(q, e) for e in met[first]]
+        elif len(trees) > 1 or trees[0] != label[own[q]]:
+            out += [(q, e) for t, e in zip(trees, met[first], strict=True) if t != label[own[q]]]
+            trees = np.append(trees, label[own[q]])
+        if len(trees) > 1:
+            label[np.isin(label, trees)] = trees.min()
+    return out
+
+
+def compare(block: pa.Table, index: Index | None, dim: int, first: int) -> pa.Table:
+    """(node, links, a, b): counts of links by node (a null), and links a > b that tie the block together (node null).
+
+    Without an index all entries are compared exactly.
+    """
+    kind = block.column("query").combine_chunks()
+    q, e = block.filter(kind), block.filter(pa.compute.invert(kind))
+    counted: list[tuple[np.ndarray, np.ndarray]] = []
+    tied: list[tuple[int, int]] = []
+    if q.num_rows and e.num_rows:
+        x, cell = _unit(e.column("v").combine_chunks(), dim), e.column("cell")[0].as_py()
+        e_node, e_copies, q_node, q_copies = (t.column(c).to_numpy() for t in (e, q) for c in ("node", "copies"))
+        back = np.zeros(len(e_node), np.int64)
+        label, place = np.arange(len(e_node)), {int(n): k for k, n in enumerate(e_node)}
+        if index is not None:
             codes = np.frombuffer(b"".join(e.column("codes").to_pylist()), np.uint8).reshape(e.num_rows, -1)
             reach = math.sqrt(2 - 2 * COSINE) + e.column("error").to_numpy() + 1e-6
-            e_node, q_node = e.column("node").to_numpy(), q.column("node").to_numpy()
-            for at in range(0, q.num_rows, 256):
-                part = _unit(_matrix(q.column("v").slice(at, 256).combine_chunks()))
-                i, j = np.nonzero(shared.value.distances(part, cell, codes) <= reach)
-                keep = q_node[at + i] != e_node[j]
-                i, j = i[keep], j[keep]
-                close = np.einsum("nd,nd->n", part[i], entries[j]) >= COSINE
-                found.append((q_node[at + i[close]], e_node[j[close]]))
-        x = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
-        y = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
-        return pa.table({"a": pa.array(np.maximum(x, y), pa.int64()), "b": pa.array(np.minimum(x, y), pa.int64())})
+            visits = np.frombuffer(b"".join(e.column("probes").to_pylist()), np.int64).reshape(e.num_rows, -1)
+            home = np.frombuffer(b"".join(q.column("probes").to_pylist()), np.int64)
+        for at in range(0, q.num_rows, STEP):
+            y, own = _unit(q.column("v").slice(at, STEP).combine_chunks(), dim), np.array([place.get(int(n), -1) for n in q_node[at : at + STEP]])
+            if index is None:
+                close = y @ x.T >= COSINE
+            else:
+                i, j = np.nonzero(index.distances(y, cell - first, codes) <= reach)
+                near = np.einsum("nd,nd->n", y[i], x[j]) >= COSINE
+                close = np.zeros((len(y), len(x)), dtype=bool)
+                close[i[near], j[near]] = True
+            close[np.flatnonzero(own >= 0), own[own >= 0]] = False
+            n = np.arange(at, at + len(y))
+            counted.append((q_node[n], close @ e_copies))
+            if index is not None:
+                lists = np.unique(home[n])
+                for k in lists:
+                    missed = ~(visits == k).any(1)
+                    rows = home[n] == k
+                    back += np.where(missed, q_copies[n][rows] @ close[rows], 0)
+            tied += [(int(q_node[at + i]), int(e_node[j])) for i, j in tie(label, close, own)]
+        counted.append((e_node, back))
+    node, links = (np.concatenate([c[k] for c in counted] or [np.zeros(0, np.int64)]) for k in (0, 1))
+    some = links > 0
+    node, links, none, free = node[some], links[some], [None] * len(tied), [None] * int(some.sum())
+    return pa.table({
+        "node": pa.array([*node.tolist(), *none], pa.int64()), "links": pa.array([*links.tolist(), *none], pa.int64()),
+        "a": pa.array([*free, *(max(t) for t in tied)], pa.int64()), "b": pa.array([*free, *(min(t) for t in tied)], pa.int64()),
+    })
+
+
+_FOUND = "node long, links long, a long, b long"
+
+
+def _meet(placed: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Entries and queries of each list in blocks (cell, _eb, _qb); sizes: (cell, _q, _e)."""
+    blocks = lambda size, most: F.greatest(F.lit(1), F.ceil(F.col(size) / most)).cast("int")
+    own = lambda size, most: F.pmod(F.xxhash64("node"), blocks(size, most)).cast("int")
+    every = lambda size, most: F.sequence(F.lit(0), blocks(size, most) - 1)
+    one = lambda size, most: F.array(own(size, most))
+    both = placed.join(sizes, "cell")
+    both = both.withColumn("_eb", F.explode(F.when(F.col("query"), every("_e", BLOCK_ENTRIES)).otherwise(one("_e", BLOCK_ENTRIES))))
+    both = both.withColumn("_qb", F.explode(F.when(F.col("query"), one("_q", BLOCK_QUERIES)).otherwise(every("_q", BLOCK_QUERIES))))
+    return both.drop("_q", "_e")
+
+
+def links(classes: DataFrame, rows: int, dim: int) -> DataFrame:
+    """_FOUND of the classes (node, v, copies) of one length by an index of their own."""
+    index, first = fit(classes, rows, dim), 0
+    shared = classes.sparkSession.sparkContext.broadcast(index)
+    placed = textkit.written(_place(classes, index, dim, first), "index")
+    sizes = placed.groupBy("cell").agg(F.count_if("query").alias("_q"), F.count_if(~F.col("query")).alias("_e"))
+    # a row a list; lists are at most COARSE * FINE and about the root of the rows
+    sizes = F.broadcast(sizes) if len(index.coarse) * len(index.fine) <= 1 << 17 else sizes
+    return _meet(placed, sizes).groupBy("cell", "_eb", "_qb").applyInArrow(lambda t: compare(t, shared.value, dim, first), _FOUND)
+
+
+def rare_links(classes: DataFrame) -> DataFrame:
+    """_FOUND of classes (node, v, copies, dim) whose lengths have BLOCK_ENTRIES vectors at most, compared exactly."""
+    return classes.select("dim", "node", "v", "copies").groupBy("dim").applyInArrow(_exact, _FOUND)
+
 
-    return met.groupBy("cell", "_eb", "_qb").applyInArrow(compare, "a long, b long").distinct()
+def _exact(own: pa.Table) -> pa.Table:
+    cell = pa.array(np.zeros(own.num_rows, np.int64))
+    once = own.append_column("cell", cell)
+    both = pa.concat_tables([once.append_column("query", pa.array(np.full(own.num_rows, q))) for q in (False, True)])
+    return compare(both, None, own.column("dim")[0].as_py(), 0)
 
 
 def near_duplicates(table: DataFrame) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every row of (vec_id, embedding).
+    """(vec_id, n_links, component_id, kept) of every row of (vec_id, embedding); other columns are left out.
 
-    Equal vectors are one class, linked with one another. Vectors of one length are compared, with an index a length.
+    Equal vectors are one class, linked with one another; vectors of different lengths link with nothing of each other.
     Vectors that are not usable (see `vectors`) link with nothing. A null vec_id takes no part: component_id null, kept.
+    Rows that share a vec_id are vectors of their own and have a row each.
     """
     own = textkit.written(vectors(table), "vectors")
     usable = own.filter("v is not null and vec_id is not null")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("_least", "vec_id"))
-    classes = usable.groupBy("h1", "h2").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"), F.first("v").alias("v"))
+    classes = usable.groupBy("h1", "h2").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"), F.first("v").alias("v"), F.first("dim").alias("dim"))
     classes = textkit.written(classes.withColumnRenamed("h1", "node"), "classes")
-    lengths = classes.groupBy(F.octet_length("v").alias("size")).count().orderBy(F.desc("count"), "size").collect()
-    if not lengths:
-        return own.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    found = []
-    for k, length in enumerate(lengths):
-        if k == 0 or length["count"] > 1:
-            alike = classes.filter(F.octet_length("v") == length["size"])
-            found.append(textkit.written(links(alike, fit(alike, length["count"])), "links"))
-    pairs = reduce(DataFrame.union, found)
-    ends = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).union(pairs.select("b", "a"))
-    copies = classes.select(F.col("node").alias("other"), F.col("copies").alias("_n"))
-    others = ends.join(copies, "other").groupBy("node").agg(F.sum("_n").alias("_others"))
-    groups = components(pairs)
+    sizes = classes.groupBy("dim").agg(F.count("*").alias("_rows"))
+    common = sizes.filter(F.col("_rows") > BLOCK_ENTRIES).orderBy("dim").collect()  # at most one for BLOCK_ENTRIES vectors
+    found = rare_links(classes.join(sizes.filter(F.col("_rows") <= BLOCK_ENTRIES).select("dim"), "dim", "left_semi"))
+    for size in common:
+        found = found.union(links(classes.filter(F.col("dim") == size["dim"]), size["_rows"], size["dim"]))
+    found = textkit.written(found, "links")
+    others = found.filter("node is not null").groupBy("node").agg(F.sum("links").alias("_others"))
+    groups = components(found.filter("a is not null").select("a", "b"))
     of = classes.select("node", "h2", "first", "copies").join(others, "node", "left").join(groups, "node", "left")
-    lowest = of.groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("_least"))
-    of = of.withColumn("component", F.coalesce("component", "node")).join(lowest, "component")
+    of = textkit.written(of.withColumn("component", F.coalesce("component", "node")), "classes")
+    lowest = of.groupBy("component").agg(F.min("first").alias("_least"), F.count("*").alias("_n"))
+    of = textkit.spread_join(of, textkit.written(lowest, "least"), ["component"])
     of = of.select(F.col("node").alias("h1"), "h2", (F.col("copies") - 1 + F.coalesce("_others", F.lit(0))).alias("_links"), "_least")
     ids = own.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("h1")).alias("h1"), "h2")
     joined = ids.join(of, ["h1", "h2"], "left")

@@ -427,3 +427,26 @@ def test_warc(spark, tmp_path):
     with pytest.raises((ValueError, zlib.error)):
         list(warc.SequentialReader(bytes(broken[: len(broken) // 2])))
     assert warc.warc_round_trip(pages.limit(0)).count() == 0
+
+
+def test_vector_recall(spark, monkeypatch):
+    """Recall against brute force with far more lists than probes: ids divisible by 20 against all rows, lists coarse and fine."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(1500, 32))
+    x = np.concatenate([base, np.repeat(base[:500], 5, 0) + rng.normal(size=(2500, 32)) * rng.uniform(0.05, 0.3, (2500, 1)), rng.normal(size=(2000, 32))])
+    table = spark.createDataFrame([(k, [float(y) for y in v]) for k, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    monkeypatch.setattr(vectordedup, "BLOCK_ENTRIES", 300)
+    monkeypatch.setattr(vectordedup, "BLOCK_QUERIES", 500)
+    monkeypatch.setattr(vectordedup, "PROBES", 16)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit[::20] @ unit.T >= 0.95
+    want = near.sum(1) - 1
+    assert want.sum() > 200
+    for coarse in (1024, 20):
+        monkeypatch.setattr(vectordedup, "COARSE", coarse)
+        index = vectordedup.train(unit[:4000], len(x))
+        assert len(index.coarse) * len(index.fine) >= 4 * 16
+        got = {r.vec_id: r.n_links for r in vectordedup.near_duplicates(table).collect()}
+        counts = np.array([got[k] for k in range(0, len(x), 20)])
+        assert (counts <= want).all() and counts.sum() >= 0.9 * want.sum()
+        assert sum(got.values()) % 2 == 0  # a link counts for both of its vectors
