@@ -1,15 +1,21 @@
 """Benchmark decontamination by CGK embeddings, bit-sampling LSH and exact edit verification.
 
-Texts are compared as lower-cased words with one blank between (bytes). A document is contaminated by an item if some stretch
-of it is within EDITS of the item's length by edit distance.
-
-1. Windows. An item is cut into pieces of 8 bytes; a stretch within the allowed edits keeps at least (pieces - edits) of them
-   unharmed, on nearly one diagonal. So an item-sized window is opened wherever that many pieces of the item stand together.
-2. LSH. The CGK walk embeds windows and items into Hamming space: at step j the current byte is put out, and a random bit of
-   (j, byte) tells whether to go on to the next. TABLES samples of BITS places over WALKS walks; a window whose sample
-   equals its item's in any table goes on. At the threshold a table agrees with a chance of some 0.1 or more, so 64 tables
-   miss one in about 1,000.
-3. Verification. Bit-parallel edit distance of the item against the window's neighbourhood.
+Texts are compared as words: lower-cased runs of letters and digits; characters of scripts that write three or more bytes a
+character (Chinese, Japanese, Thai, ...) are words of their own. A document is contaminated by an item if some stretch of its words is within the allowed edits of the item (inserted,
+deleted or changed words): EDITS of its words, none for items under 2 * LEAST_WORDS words.
+
+1. Items are cut into parts of at most PART_WORDS words. If a stretch is within the allowed share of edits of an item, it is so
+   for one of its parts, so a window never needs to be longer than a part, however long an item is.
+2. Windows of a part's size open at every word of every document. A CGK walk embeds them into Hamming space: at step j the
+   current word is put out, and a random bit of (j, word) tells whether to go on to the next. Bits come from a hash, so walks
+   need no table of coins.
+3. LSH. TABLES samples of BITS places, over WALKS walks, are the keys of a window and of a part; places are chosen for each
+   class of part sizes. Keys of windows are joined with keys of parts as tables. Before the join, windows whose key is
+   certainly no part's are dropped by a bitmap of at most 2 ** FILTER_BITS bits, which is exact: it has no false negatives.
+4. Verification. Bit-parallel edit distance of the whole item against the neighbourhood of each candidate.
+
+At the threshold (20 % random word edits) a part alone is found with a chance of 97 % or more, a longer item by any part;
+`test_decontamination_recall` measures it.
 """
 
 from __future__ import annotations
@@ -24,42 +30,107 @@ from pyspark.sql import functions as F
 
 from . import textkit
 
-#: Edits allowed as a share of an item's length.
-EDITS = 0.1
-PIECE = 8
-WALKS, TABLES, BITS = 4, 64, 4
-#: Bytes of benchmark text that one pass over the documents takes; a larger benchmark takes more passes.
-PASS_BYTES = 8 << 20
-#: Items shorter than this when normalised are left out: they are no passages.
-LEAST_BYTES = 2 * PIECE
+#: Edits allowed as a share of an item's words.
+EDITS = 0.2
+#: Items of fewer words are left out: they are no passages.
+LEAST_WORDS = 5
+PART_WORDS = 32
+#: Least words of each class of parts; the places of a class lie within REACH steps for each of these words.
+CLASSES, REACH = (5, 8, 12, 17, 24), 1.6
+WALKS, TABLES, BITS = 8, 40, 4
+STEPS = int(REACH * PART_WORDS)
+#: Windows that are embedded at a time.
+WINDOWS = 4096
+#: Size of the bitmaps of items' keys, as powers of two: the first one fits a core's cache, the second grows with the items.
+FIRST_BITS, FILTER_BITS = 18, 26
+#: Bytes of candidates' text that are verified in one task, about.
+VERIFY_BYTES = 8 << 20
+
+_rng = np.random.default_rng(3)
+_COINS = _rng.integers(0, 1 << 31, (WALKS, STEPS), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_PLACES = _rng.random((TABLES, BITS))
+_MIX = _rng.integers(0, 1 << 31, (TABLES, BITS), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
-_KEEP = np.zeros(256, dtype=bool)
-_KEEP[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
+_ASCII = np.zeros(256, dtype=bool)
+_ASCII[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 
 
-def normalise(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-cased words with one blank between, and the texts' new offsets."""
+def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of texts, and where each text's words begin."""
+    n = len(buf)
     buf = textkit.LOWER[buf]
-    word = _KEEP[buf]
-    buf = np.where(word, buf, np.uint8(32))
-    keep = word.copy()
-    keep[1:] |= word[:-1]  # the first blank after a word
-    place = np.append(0, np.cumsum(keep))
-    return buf[keep], place[offsets]
-
-
-def keys(buf: np.ndarray) -> np.ndarray:
-    """Each place's PIECE bytes as one number."""
-    if len(buf) < PIECE:
-        return np.zeros(0, np.uint64)
-    two = buf[:-1].astype(np.uint16) << np.uint16(8) | buf[1:]
-    four = two[:-2].astype(np.uint32) << np.uint32(16) | two[2:]
-    return four[:-4].astype(np.uint64) << np.uint64(32) | four[4:]
-
-
-def edit_distance_within(pattern: bytes, text: bytes) -> int:
-    """Least edit distance of pattern to any substring of text, by Myers' bit vectors."""
-    masks: dict[int, int] = {}
+    inside = _ASCII[buf]
+    wide, lead = np.zeros(n + 4, dtype=bool), np.flatnonzero(buf >= 0xE0)
+    after = buf[np.minimum(lead + 1, n - 1)] if n else buf
+    mark = ((buf[lead] == 0xE2) & ((after == 0x80) | (after == 0x81))) | ((buf[lead] == 0xE3) & (after == 0x80))  # punctuation
+    for k in range(4):
+        own = lead if k < 3 else lead[buf[lead] >= 0xF0]
+        wide[own + k] = True
+        if k < 3:
+            inside[np.minimum(lead[mark] + k, n - 1)] = False
+    wide = wide[:n]
+    head = np.zeros(n, dtype=bool)
+    head[lead[~mark]] = True
+    before, wide_before = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
+    before[1:], wide_before[1:] = inside[:-1], wide[:-1]
+    edge = np.zeros(n + 1, dtype=bool)
+    edge[offsets] = True
+    begin = inside & (head | ~before | (wide_before & ~wide) | edge[:n])
+    start = np.flatnonzero(begin)
+    stop_at = np.flatnonzero(np.append(~inside | begin | edge[:n], True))
+    end = stop_at[np.searchsorted(stop_at, start, side="right")]
+    return textkit.span_hashes(textkit.prefix_sums(buf), start, end), np.searchsorted(start, offsets)
+
+
+def _tokens(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit words with a 0 behind each text, at which walks stay; and where each word stands among them."""
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    place = np.arange(len(hashes)) + row
+    out = np.zeros(len(hashes) + len(first) - 1, np.uint32)
+    out[place] = np.maximum((hashes >> np.uint64(32)).astype(np.uint32), np.uint32(1))
+    return out, place
+
+
+def embed(tokens: np.ndarray, starts: np.ndarray, steps: int = STEPS) -> np.ndarray:
+    """WALKS x steps x windows: the CGK walks from each start."""
+    out = np.empty((WALKS, steps, len(starts)), np.uint32)
+    for w in range(WALKS):
+        at = starts.astype(np.int64)
+        for j in range(steps):
+            now = tokens[at]
+            out[w, j] = now
+            at += (now * _COINS[w, j]) >> np.uint32(31)
+    return out
+
+
+def _places(size: int, table: int) -> np.ndarray:
+    return (_PLACES[table] * REACH * size).astype(np.int64)
+
+
+def _samples(walks: np.ndarray, c: int, table: int) -> list[np.ndarray]:
+    """The words at the table's places for a class of part sizes."""
+    return [walks[table % WALKS, p] for p in _places(CLASSES[c], table)]
+
+
+def _short(samples: list[np.ndarray], table: int) -> np.ndarray:
+    """32-bit keys, cheap enough for every window."""
+    key = samples[0] * _MIX[table, 0]
+    for k in range(1, BITS):
+        key += samples[k] * _MIX[table, k]
+    return key
+
+
+def _long(samples: list[np.ndarray], c: int, table: int) -> np.ndarray:
+    """64-bit keys, by which windows and parts are joined."""
+    key = np.full(len(samples[0]), c * TABLES + table + 1, np.uint64)
+    for part in samples:
+        key = textkit.mix(key * np.uint64(textkit.PRIME) + part)
+    return key
+
+
+def edit_distance_within(pattern: list, text: list) -> int:
+    """Least edit distance of pattern to any stretch of text, by Myers' bit vectors."""
+    masks: dict = {}
     for i, c in enumerate(pattern):
         masks[c] = masks.get(c, 0) | 1 << i
     m = len(pattern)
@@ -76,154 +147,169 @@ def edit_distance_within(pattern: bytes, text: bytes) -> int:
     return best
 
 
+def allowed(n: int) -> int:
+    """Edits allowed to an item of n words."""
+    return int(EDITS * n) if n >= 2 * LEAST_WORDS else 0
+
+
+def items(benchmark: DataFrame) -> DataFrame:
+    """(item_id, item, words): the items that are long enough; item: 16 bytes alike for equal words, words: their hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
+        for batch in batches:
+            for a, b, buf, offsets in textkit.text_slices(batch.column(1)):
+                hashes, first = words(buf, offsets)
+                own = [hashes[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)]
+                keep = [k for k, w in enumerate(own) if len(w) >= 8 * LEAST_WORDS]
+                digest = pa.array([hashlib.md5(own[k]).digest() for k in keep], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(keep, pa.int64())), digest, pa.array([own[k] for k in keep], pa.binary())], ["item_id", "item", "words"])
+
+    known = benchmark.select(F.col("item_id").cast("long"), "text").filter("item_id is not null and text is not null")
+    return known.mapInArrow(run, "item_id long, item binary, words binary")
+
+
+def part_keys(distinct: DataFrame) -> DataFrame:
+    """(key, short, class, item, at): keys of every part of the items (item, words); at: the part's first word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, value in zip(*(batch.column(c) for c in ("item", "words")), strict=True):
+                hashes = np.frombuffer(value.as_buffer(), np.uint64)
+                for lot in np.array_split(np.arange(-(-len(hashes) // PART_WORDS)), max(1, len(hashes) // (PART_WORDS * 2048))):
+                    edges = np.arange(lot[0], lot[-1] + 2) * len(hashes) // -(-len(hashes) // PART_WORDS)
+                    tokens, place = _tokens(hashes[edges[0] : edges[-1]], edges - edges[0])
+                    walks, sizes = embed(tokens, place[edges[:-1] - edges[0]]), np.diff(edges)
+                    found = []
+                    for c in range(len(CLASSES)):
+                        rows = np.flatnonzero((sizes >= CLASSES[c]) & (sizes < [*CLASSES[1:], PART_WORDS + 1][c]))
+                        for t in range(TABLES if len(rows) else 0):
+                            own = _samples(walks[:, :, rows], c, t)
+                            found.append((_short(own, t), _long(own, c, t), np.full(len(rows), c), edges[rows]))
+                    short, long, kind, at = (np.concatenate([f[k] for f in found]) for k in range(4))
+                    columns = [pa.array(long.astype(np.int64)), pa.array(short.astype(np.int64)), pa.array(kind.astype(np.int32)), pa.array([item.as_py()] * len(at), pa.binary()), pa.array(at.astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, ["key", "short", "class", "item", "at"])
+
+    return distinct.select("item", "words").mapInArrow(run, "key long, short long, class int, item binary, at int")
+
+
 @dataclass
-class Items:
-    ids: list[int]
-    texts: list[bytes]
-    edits: np.ndarray
-    need: np.ndarray  # pieces that must be there
-    grams: np.ndarray  # distinct pieces, sorted
-    first: np.ndarray  # of each piece's uses
-    use_item: np.ndarray
-    use_at: np.ndarray
-    marks: np.ndarray  # a bit for each hash of a piece
-    coins: np.ndarray  # WALKS x steps x 256
-    places: np.ndarray  # TABLES x BITS, steps as fractions of the item's length
-    samples: list[np.ndarray]
-
-    def embed(self, texts: list[bytes], lengths: np.ndarray) -> np.ndarray:
-        """TABLES x BITS samples of the CGK walks over texts, each as long a walk as `lengths` says."""
-        widest = int(lengths.max())
-        padded = np.zeros((len(texts), widest + 1), np.uint8)
-        for i, t in enumerate(texts):
-            padded[i, : min(len(t), widest)] = np.frombuffer(t[:widest], np.uint8)
-        end = np.array([min(len(t), widest) for t in texts])
-        rows = np.arange(len(texts))
-        out = np.zeros((len(texts), TABLES, BITS), np.uint8)
-        wanted = (self.places * 3 * lengths[:, None, None]).astype(np.int64)
-        for walk in range(WALKS):
-            at = np.zeros(len(texts), np.int64)
-            steps = np.zeros((len(texts), 3 * widest), np.uint8)
-            for j in range(3 * widest):
-                byte = padded[rows, at]
-                steps[:, j] = byte
-                at = np.minimum(at + self.coins[walk, j][byte], end)
-            own = slice(walk * TABLES // WALKS, (walk + 1) * TABLES // WALKS)
-            out[:, own] = steps[rows[:, None, None], wanted[:, own]]
-        return out
-
-
-def prepare(rows: list[tuple[int, str]]) -> Items | None:
-    """Pieces, samples and allowances of the items; None if none is long enough."""
-    ids, texts = [], []
-    for item_id, text in rows:
-        raw = np.frombuffer((text or "").encode(), np.uint8)
-        clean, _ = normalise(raw, np.array([0, len(raw)]))
-        if len(clean.tobytes().strip()) >= LEAST_BYTES:
-            ids.append(item_id)
-            texts.append(clean.tobytes().strip())
-    if not ids:
-        return None
-    lengths = np.array([len(t) for t in texts])
-    pieces = lengths // PIECE
-    edits = np.minimum((lengths * EDITS).astype(np.int64), pieces - 1)
-    use_item = np.repeat(np.arange(len(ids)), pieces)
-    use_at = (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * PIECE
-    key = np.array([int.from_bytes(texts[i][a : a + PIECE], "big") for i, a in zip(use_item, use_at, strict=True)], np.uint64)
-    order = np.argsort(key, kind="stable")
-    key, use_item, use_at = key[order], use_item[order], use_at[order]
-    grams, first = np.unique(key, return_index=True)
-    marks = np.zeros(1 << 20, dtype=bool)
-    marks[(grams * np.uint64(textkit.PRIME) >> np.uint64(44)).astype(np.int64)] = True
-    rng = np.random.default_rng(3)
-    coins = rng.integers(0, 2, (WALKS, 3 * int(lengths.max()), 256), dtype=np.int64)
-    own = Items(ids, texts, edits, pieces - edits, grams, np.append(first, len(key)), use_item, use_at, marks, coins, rng.random((TABLES, BITS)), [])
-    for at in range(0, len(ids), 512):
-        own.samples.extend(own.embed(texts[at : at + 512], lengths[at : at + 512]))
-    return own
-
-
-def search(items: Items, buf: np.ndarray, offsets: np.ndarray) -> dict[int, dict[int, int]]:
-    """{row: {item: edits}} of the contaminated texts."""
-    buf, offsets = normalise(buf, offsets)
-    key = keys(buf)
-    place = np.flatnonzero(items.marks[(key * np.uint64(textkit.PRIME) >> np.uint64(44)).astype(np.int64)])
-    gram = np.minimum(np.searchsorted(items.grams, key[place]), len(items.grams) - 1)
-    real = items.grams[gram] == key[place]
-    place, gram = place[real], gram[real]
-    uses = items.first[gram + 1] - items.first[gram]
-    use = np.arange(uses.sum()) - np.repeat(np.cumsum(uses) - uses - items.first[gram], uses)
-    place = np.repeat(place, uses)
-    item, diagonal = items.use_item[use], place - items.use_at[use]
-    row = np.searchsorted(offsets, place, side="right") - 1
-    found: dict[int, dict[int, int]] = {}
-    tried: list[tuple[int, int, int]] = []
-    for half in (0, 1):  # stretches whose shift is at most the allowed edits lie within one bin of either grid
-        width = 2 * (items.edits[item] + 1)
-        bin_ = (diagonal + half * (width // 2) + 4096) // width
-        order = np.lexsort((place, bin_, item, row))
-        r, i, b = row[order], item[order], bin_[order]
-        new = np.append(True, (r[1:] != r[:-1]) | (i[1:] != i[:-1]) | (b[1:] != b[:-1])) if len(r) else np.zeros(0, bool)
-        first = np.flatnonzero(new)
-        # a piece counts once in a bin
-        group = np.cumsum(new) - 1
-        once = np.unique(np.stack([group, items.use_at[use][order]], 1), axis=0)[:, 0] if len(r) else group
-        enough = np.flatnonzero(np.bincount(once, minlength=len(first)) >= items.need[i[first]]) if len(first) else first
-        at = first[enough]
-        tried += zip(r[at].tolist(), i[at].tolist(), diagonal[order][at].tolist(), strict=True)
-    tried = sorted(set(tried))
-    for lo in range(0, len(tried), 512):
-        part = tried[lo : lo + 512]
-        lengths = np.array([len(items.texts[i]) for _, i, _ in part])
-        cut = [buf[max(int(offsets[r]), d) : min(int(offsets[r + 1]), d + n)].tobytes() for (r, _, d), n in zip(part, lengths, strict=True)]
-        samples = items.embed(cut, lengths)
-        for (r, i, d), sample, n in zip(part, samples, lengths.tolist(), strict=True):
-            if not (sample == items.samples[i]).all(1).any():
-                continue
-            slack = 2 * int(items.edits[i]) + 2
-            text = buf[max(int(offsets[r]), d - slack) : min(int(offsets[r + 1]), d + n + slack)].tobytes()
-            edits = edit_distance_within(items.texts[i], text)
-            if edits <= items.edits[i]:
-                own = found.setdefault(r, {})
-                own[i] = min(own.get(i, edits), edits)
-    return found
-
-
-def _blocks(benchmark: DataFrame) -> list[Items]:
-    """The items in blocks of at most PASS_BYTES (or one item), each brought to the driver and broadcast for one pass."""
-    rows = benchmark.select(F.col("item_id").cast("long"), "text").filter("item_id is not null and text is not null")
-    size = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    n = max(1, -(-size // PASS_BYTES))
-    own = [prepare([(r.item_id, r.text) for r in rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect()]) for k in range(n)]
-    return [x for x in own if x]
+class Filter:
+    """Bitmaps of the items' keys, of bounded size; a key of an item is always in them."""
+
+    classes: list[int]
+    first: np.ndarray  # by the upper bits of short keys
+    bits: int
+    second: np.ndarray  # packed, by the upper bits of long keys
+
+    def candidates(self, tokens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index of the start, key) of windows whose key may be an item's."""
+        where, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        steps = int(REACH * max((CLASSES[c] for c in self.classes), default=0)) + 1
+        for lo in range(0, len(starts), WINDOWS):
+            walks = embed(tokens, starts[lo : lo + WINDOWS], steps)
+            for c in self.classes:
+                for t in range(TABLES):
+                    samples = _samples(walks, c, t)
+                    rows = np.flatnonzero(self.first[_short(samples, t) >> np.uint32(32 - FIRST_BITS)])
+                    if len(rows):
+                        key = _long([x[rows] for x in samples], c, t)
+                        at = (key >> np.uint64(64 - self.bits)).astype(np.int64)
+                        real = np.flatnonzero(self.second[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+                        where.append(lo + rows[real])
+                        keys.append(key[real])
+        return np.concatenate(where), np.concatenate(keys)
+
+
+def key_filter(keys: DataFrame) -> Filter:
+    """The bitmaps of written keys; at most 2 ** (FILTER_BITS - 6) words of them reach the driver, whatever the benchmark's size."""
+    some = keys.agg(F.count("*").alias("n"), F.collect_set("class").alias("classes")).head()
+    bits = min(FILTER_BITS, max(16, (64 * some.n).bit_length()))
+    first, second = np.zeros(1 << FIRST_BITS, dtype=bool), np.zeros(1 << (bits - 3), np.uint8)
+    short = keys.select(F.expr(f"cast(short div {1 << (32 - FIRST_BITS)} as int) as bit")).distinct().toArrow()
+    first[short.column("bit").to_numpy()] = True
+    upper = keys.select(F.expr(f"shiftrightunsigned(key, {64 - bits}) as bit")).selectExpr("cast(shiftright(bit, 6) as int) as word", "cast(bit & 63 as int) as bit")
+    packed = upper.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit)) as value")).toArrow()
+    second.view("<u8")[packed.column("word").to_numpy()] = packed.column("value").to_numpy().view(np.uint64)
+    return Filter(sorted(some.classes), first, bits, second)
+
+
+def window_keys(docs: DataFrame, known: Filter) -> DataFrame:
+    """(key, row, start): windows of docs (row, text) that open at word `start`, with the keys that may be an item's."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, _, buf, offsets in textkit.text_slices(batch.column(1)):
+                hashes, first = words(buf, offsets)
+                tokens, place = _tokens(hashes, first)
+                where, keys = shared.value.candidates(tokens, place)
+                row = np.searchsorted(first, where, side="right") - 1
+                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), batch.column(0).take(pa.array(a + row)), pa.array((where - first[row]).astype(np.int32))], ["key", "row", "start"])
+
+    return docs.select("row", "text").mapInArrow(run, "key long, row binary, start int")
+
+
+def _verify(texts: pa.Table, pairs: pa.Table) -> pa.Table:
+    """(row, item, edits) of the pairs (row, item, words, begins) that lie within the allowed edits."""
+    out = {"row": [], "item": [], "edits": []}
+    held = dict(zip(texts.column("row").to_pylist(), range(texts.num_rows), strict=True))
+    column = texts.column("text").combine_chunks() if texts.num_rows else None
+    wanted: dict[bytes, list[int]] = {}
+    rows = pairs.column("row").to_pylist()
+    for k, row in enumerate(rows):
+        wanted.setdefault(row, []).append(k)
+    for row, own in wanted.items():
+        if row not in held:
+            continue
+        for _, _, buf, offsets in textkit.text_slices(column.slice(held[row], 1)):
+            text = words(buf, offsets)[0]
+            for k in own:
+                item = np.frombuffer(pairs.column("words")[k].as_buffer(), np.uint64)
+                n, most = len(item), allowed(len(item))
+                begins = np.unique(np.array(pairs.column("begins")[k].as_py(), np.int64))
+                cuts = np.flatnonzero(np.diff(begins) > n) + 1
+                pattern, best = item.tolist(), most + 1
+                for part in np.split(begins, cuts):
+                    stretch = text[max(0, int(part[0]) - 2 * most - 2) : max(0, int(part[-1]) + n + 2 * most + 2)]
+                    best = min(best, edit_distance_within(pattern, stretch.tolist()))
+                if best <= most:
+                    for c, v in (("row", row), ("item", pairs.column("item")[k].as_py()), ("edits", best)):
+                        out[c].append(v)
+    return pa.table({"row": pa.array(out["row"], pa.binary()), "item": pa.array(out["item"], pa.binary()), "edits": pa.array(out["edits"], pa.int32())})
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(row, item_id, edits) of docs (row, text): each item that a text holds, with its least edits."""
+    every = textkit.written(items(benchmark), "items")
+    distinct = textkit.written(every.groupBy("item").agg(F.first("words").alias("words")), "distinct-items")
+    keys = textkit.written(part_keys(distinct), "item-keys")
+    found = window_keys(docs.filter("text is not null"), key_filter(keys))
+    met = textkit.written(found, "windows").join(keys.select("key", "item", "at"), "key")
+    begins = met.select("row", "item", (F.col("start") - F.col("at")).alias("begin")).distinct()
+    pairs = textkit.written(begins.groupBy("row", "item").agg(F.collect_list("begin").alias("begins")), "pairs")
+    texts = docs.join(pairs.select("row").distinct(), "row", "left_semi").dropDuplicates(["row"])
+    texts = textkit.written(texts.select("row", "text"), "suspects")
+    size = texts.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    bucket = F.pmod(F.xxhash64("row"), F.lit(max(1, -(-size // VERIFY_BYTES)))).alias("bucket")
+    counts = pairs.groupBy("item").agg(F.count("*").alias("_n"))
+    full = textkit.spread_join(pairs, textkit.written(distinct.join(counts, "item"), "items-met"), ["item"])
+    sure = texts.select(bucket, "row", "text").groupBy("bucket").cogroup(full.select(bucket, "row", "item", "words", "begins").groupBy("bucket")).applyInArrow(_verify, "row binary, item binary, edits int")
+    return textkit.written(sure, "leaks").join(every.select("item", "item_id").distinct(), "item").groupBy("row", "item_id").agg(F.min("edits").alias("edits"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs with leaks added: array<struct<item_id, edits>>, empty for a clean text; other columns stay, but not `leaks`.
+    """docs with leaks added: array<struct<item_id, edits>> by item_id, empty for a clean text; other columns stay, but not `leaks`.
 
-    Null and empty texts are clean. Items that are null or normalise to fewer than LEAST_BYTES are left out; items
-    that are equal are found each. Of an item shorter than 80 bytes fewer edits may be allowed, so that a piece is left whole.
+    Null and empty texts are clean; rows that share a doc_id are looked at each for itself. Items that are null or have
+    fewer than LEAST_WORDS words are left out, items of any length are found, items that are equal are found each.
     """
     keep = [c for c in docs.columns if c != "leaks"]
-    out = docs.select(*keep, F.array().cast("array<struct<item_id:bigint,edits:int>>").alias("leaks"))
-    for block in _blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = shared.value
-            kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32())]))
-            for batch in batches:
-                for a, b, buf, offsets in textkit.text_slices(batch.column(batch.schema.get_field_index("text"))):
-                    found = search(items, buf, offsets)
-                    part = batch.slice(a, b - a)
-                    leaks = part.column(len(keep)).to_pylist()
-                    for r, own in found.items():
-                        leaks[r] = leaks[r] + [{"item_id": items.ids[i], "edits": e} for i, e in sorted(own.items())]
-                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(leaks, kind)], batch.schema.names)
-
-        schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "leaks array<struct<item_id:bigint,edits:int>>"])
-        out = out.mapInArrow(run, schema)
-    return out
+    found = leaks(docs.select(textkit.row_key().alias("row"), "text"), benchmark)
+    found = found.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("item_id", "edits"))).alias("leaks"))
+    own = docs.select(textkit.row_key().alias("row"), F.struct(*(F.col(f"`{c}`") for c in keep)).alias("d")).join(found, "row", "left")
+    return own.select(*(F.col(f"d.`{c}`").alias(c) for c in keep), F.coalesce("leaks", F.array().cast("array<struct<item_id:bigint,edits:int>>")).alias("leaks"))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,18 +123,88 @@ def test_merged_transforms():
         assert n == common
 
 
+def _plain(text):
+    """Words as decontamination sees them: characters of three or more UTF-8 bytes stand alone, general punctuation is none."""
+    return re.findall(r"[a-z0-9\x80-\u07ff]+|(?![\u2000-\u207f\u3000-\u303f])[\u0800-\U0010ffff]", text.translate(LOWER))
+
+
+def _leaks_brute(rows, bench):
+    """Every document against every item, by edit distance of words to any stretch."""
+    out = {}
+    for i, text in rows:
+        for item_id, item in bench:
+            if item_id is None or item is None or text is None:
+                continue
+            p, t = _plain(item), _plain(text)
+            if len(p) < decontaminate.LEAST_WORDS:
+                continue
+            row = [0] * (len(t) + 1)
+            for a, x in enumerate(p, 1):
+                new = [a]
+                for b, y in enumerate(t, 1):
+                    new.append(min(row[b] + 1, new[-1] + 1, row[b - 1] + (x != y)))
+                row = new
+            if min(row) <= (int(0.2 * len(p)) if len(p) >= 10 else 0):
+                out[i, item_id] = min(row)
+    return out
+
+
+def _edited(rng, words, edits):
+    words = list(words)
+    for _ in range(edits):
+        k = rng.randrange(len(words))
+        kind = rng.randrange(3)
+        words[k : k + (kind != 1)] = [] if kind == 2 else [_words(rng, 1)]
+    return words
+
+
 def test_decontamination(spark, docs, nothing):
     rng = random.Random(5)
-    items = [_words(rng, n) for n in (12, 30, 60)]
-    edited = items[1][:40] + "z" + items[1][42:80] + "qq" + items[1][80:]
-    texts = [f"before {items[0].upper()}, after", f"{_words(rng, 40)} {edited} {_words(rng, 40)}", _words(rng, 200), items[2][: len(items[2]) // 2], "", None, f"{_words(rng, 30_000)} {items[2]}", items[0] + " " + items[1]]
-    table = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, leaks string")
-    bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)] + [(7, None), (None, "x" * 50), (8, "short"), (9, items[0])], "item_id long, text string")
-    got = {(r.doc_id, x.item_id): x.edits for r in decontaminate.contaminated(table, bench).collect() for x in r.leaks}
-    assert set(got) == {(0, 0), (0, 9), (1, 1), (6, 2), (7, 0), (7, 9), (7, 1)}
-    assert got[0, 0] == 0 and 0 < got[1, 1] <= 0.1 * len(items[1])
-    assert decontaminate.contaminated(nothing, bench).count() == 0
-    assert decontaminate.contaminated(docs, bench.limit(0)).filter(F.size("leaks") > 0).count() == 0
+    bench = [(i, _words(rng, n)) for i, n in enumerate((12, 30, 60, 7, 200))]
+    item = dict(bench)
+    texts = [
+        f"before {item[0].upper()}, after", f"{_words(rng, 40)} {' '.join(_edited(rng, item[1].split(), 3))} {_words(rng, 40)}", _words(rng, 200), item[2][: len(item[2]) // 2], "", None,
+        f"{_words(rng, 3000)} {item[2]}", item[0] + " " + item[1], f"x-{item[3].replace(' ', ' - ')}!", " ".join(_edited(rng, item[4].split(), 30)), item[4][:600], "中文" * 30 + "，字符", "以" + "今天天气很好我们去公园散步吧" + "。",
+    ]
+    bench += [(7, None), (None, "x " * 50), (8, "short"), (9, item[0]), (10, "今天天气很好，我们去公园散步吧"), (11, " ".join(reversed(item[1].split())))]
+    table = spark.createDataFrame([(i, t, "clash", "r") for i, t in enumerate(texts)], "doc_id long, text string, leaks string, row string").withColumn("d", F.lit(1)).withColumn("item", F.lit(2))
+    bench_table = spark.createDataFrame(bench, "item_id long, text string")
+    found = decontaminate.contaminated(table, bench_table)
+    assert found.columns == ["doc_id", "text", "row", "d", "item", "leaks"]
+    got = {(r.doc_id, x.item_id): x.edits for r in found.collect() for x in r.leaks}
+    assert got == _leaks_brute(list(enumerate(texts)), bench) and {(0, 0), (0, 9), (1, 1), (6, 2), (7, 0), (7, 9), (7, 1), (8, 3), (9, 4), (12, 10)} == set(got)
+    assert decontaminate.contaminated(nothing, bench_table).count() == 0
+    assert decontaminate.contaminated(docs, bench_table.limit(0)).filter(F.size("leaks") > 0).count() == 0
+    # rows that share an id are looked at each for itself, equal rows alike
+    same = spark.createDataFrame([(1, texts[0]), (1, "clean"), (1, texts[0]), (None, texts[0])], "doc_id long, text string")
+    assert sorted(len(r.leaks) for r in decontaminate.contaminated(same, bench_table).collect()) == [0, 2, 2, 2]
+
+
+def test_decontamination_recall(spark):
+    """Recall at the most edits that the rule allows, by brute force on every document and item."""
+    rng = random.Random(15)
+    bench = [(i, _words(rng, rng.randint(10, 90))) for i in range(60)]
+    rows = []
+    for k in range(240):
+        words = dict(bench)[k % 60].split()
+        rows.append((k, " ".join([_words(rng, rng.randint(0, 40)), *_edited(rng, words, int(0.2 * len(words))), _words(rng, rng.randint(0, 40))])))
+    want = {(k, k % 60) for k, _ in rows}
+    tables = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(bench, "item_id long, text string")
+    got = {(r.doc_id, x.item_id): x.edits for r in decontaminate.contaminated(*tables).collect() for x in r.leaks}
+    some = [r for r in rows if r[0] < 12]
+    brute = _leaks_brute(some, bench)
+    assert {k: v for k, v in got.items() if k[0] < 12}.items() <= brute.items()
+    assert len(want & set(got)) >= 0.97 * len(want) and set(got) <= want
+
+
+def test_long_benchmark_items(spark):
+    """An item of a megabyte is found whole, and only where enough of it stands."""
+    rng = random.Random(16)
+    words = _words(rng, 180_000).split()
+    rows = [(0, " ".join(["intro", *_edited(rng, words, 60), "outro"])), (1, " ".join(words[:100_000])), (2, "nothing here")]
+    bench = spark.createDataFrame([(5, " ".join(words))], "item_id long, text string")
+    got = {r.doc_id: [x.item_id for x in r.leaks] for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {0: [5], 1: [], 2: []}
 
 
 def test_edit_distance():
