@@ -27,6 +27,10 @@ WINDOW = 3
 PASSAGE_WORDS, WORD_CHARS = 50, 8
 
 
+def _row() -> Column:
+    return F.xxhash64("doc_id", "text")
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """docs with _kept: k (index among all lines), h and g (hashes), w (words) of the lines that are not blank."""
     numbered = F.transform(F.split("text", "\n", -1), lambda x, k: F.struct(k.alias("k"), F.trim(x).alias("t")))
@@ -42,8 +46,8 @@ def _windows(kept: Column, n: int, words: int | None) -> Column:
         part = F.slice(kept, i + 1, F.lit(n))
         least = F.array_min(F.transform(part, lambda x, j: F.struct(x["h"].alias("h"), (-j).alias("j"))))
         own = F.struct(
-            (i - least["j"]).alias("pos"), (-least["j"]).alias("left"), i.alias("i"), F.lit(n).alias("n"), part[0]["k"].alias("first"), part[n - 1]["k"].alias("last"),
-            F.xxhash64(F.transform(part, lambda x: x["h"])).alias("c1"), F.xxhash64(F.transform(part, lambda x: x["g"])).alias("c2"),
+            (i - least["j"]).alias("pos"), (-least["j"]).alias("left"), F.lit(n).alias("n"), part[0]["k"].alias("first"), part[n - 1]["k"].alias("last"),
+            F.xxhash64(F.transform(part, lambda x: x["g"])).alias("content"),
         )
         return own if words is None else F.when(F.aggregate(part, F.lit(0), lambda a, x: a + x["w"]) >= words, own)
 
@@ -53,10 +57,10 @@ def _windows(kept: Column, n: int, words: int | None) -> Column:
 def fingerprints(docs: DataFrame, window: int = WINDOW, words: int | None = PASSAGE_WORDS) -> DataFrame:
     """(fp, row, doc_id, pos, around): a row for each selected line of docs (doc_id, text) with the windows that select it.
 
-    around: array<struct<left, i, n, first, last, c1, c2>>: a window from `left` lines before pos, its range of raw lines and
-    a hash of its lines twice.
+    around: array<struct<left, n, first, last, content>>: a window of n lines from `left` before pos, its range of raw lines
+    and a hash of its lines, which is independent of fp. row tells rows of one doc_id apart.
     """
-    known = docs.filter("doc_id is not null and text is not null").select(textkit.row_key().alias("row"), "doc_id", "text")
+    known = docs.filter("doc_id is not null and text is not null").select(_row().alias("row"), "doc_id", "text")
     held = _lines(known)
     sizes = [n for n in range(1, window + 1) if n == window or words is not None]
     for n in sizes:
@@ -72,7 +76,7 @@ def fingerprints(docs: DataFrame, window: int = WINDOW, words: int | None = PASS
 
 
 def repeated_runs(docs: DataFrame, window: int = WINDOW, words: int | None = PASSAGE_WORDS) -> DataFrame:
-    """(row, first, last): ranges of line numbers, from 0, of the maximal runs of rows that stand earlier in the corpus.
+    """(row, doc_id, first, last): ranges of line numbers, from 0, of the maximal runs of rows that stand earlier in the corpus.
 
     Earlier means a smaller doc_id, or the same and a smaller line number; so of rows that share a doc_id only a line that
     stands further up in one of them deletes. Rows with null doc_id or text take no part.
@@ -80,16 +84,16 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, words: int | None = PAS
     marks = textkit.written(fingerprints(docs, window, words), "fingerprints")
     shared = marks.groupBy("fp").agg(F.count("*").alias("_n")).filter("_n > 1")
     matched = textkit.spread_join(marks, textkit.written(shared, "shared"), ["fp"])
-    reach = matched.select("row", "doc_id", F.explode("around").alias("x")).select("row", "doc_id", "x.*")
+    reach = matched.select("fp", "row", "doc_id", "pos", F.explode("around").alias("x")).select("fp", "row", "doc_id", (F.col("pos") - F.col("x.left")).alias("i"), "x.n", "x.first", "x.last", "x.content")
     reach = textkit.written(reach, "extensions")
-    groups = reach.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "i")).alias("_source"), F.count("*").alias("_n")).filter("_n > 1")
-    later = textkit.spread_join(reach, textkit.written(groups, "sources"), ["c1", "c2"]).filter(F.struct("doc_id", "i") > F.col("_source"))
-    later = later.select("row", "i", "n", "first", "last").distinct()
-    order = Window.partitionBy("row").orderBy("i", "n")
+    groups = reach.groupBy("fp", "content").agg(F.min(F.struct("doc_id", "i")).alias("_source"), F.count("*").alias("_n")).filter("_n > 1")
+    later = textkit.spread_join(reach, textkit.written(groups, "sources"), ["fp", "content"]).filter(F.struct("doc_id", "i") > F.col("_source"))
+    later = later.select("row", "doc_id", "i", "n", "first", "last").distinct()
+    order = Window.partitionBy("row", "doc_id").orderBy("i", "n")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     opens = F.coalesce((F.col("i") > F.max(F.col("i") + F.col("n")).over(before)).cast("int"), F.lit(1))
     runs = later.withColumn("_opens", opens).withColumn("_run", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return runs.groupBy("row", "_run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("_run")
+    return runs.groupBy("row", "doc_id", "_run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("_run")
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, words: int | None = PASSAGE_WORDS) -> DataFrame:
@@ -99,9 +103,9 @@ def dedup(docs: DataFrame, window: int = WINDOW, words: int | None = PASSAGE_WOR
     are told apart by doc_id and text: rows that share a doc_id lose their own lines only, equal rows lose the same.
     words None finds runs of `window` lines only.
     """
-    runs = repeated_runs(docs.select("doc_id", "text"), window, words).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
+    runs = repeated_runs(docs.select("doc_id", "text"), window, words).groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed", "n_runs")]
-    joined = docs.select(textkit.row_key().alias("row"), F.struct(*(F.col(f"`{c}`") for c in columns)).alias("d")).join(runs, "row", "left")
+    joined = docs.select(_row().alias("row"), "doc_id", F.struct(*(F.col(f"`{c}`") for c in columns)).alias("d")).join(runs, ["row", "doc_id"], "left")
     raw = F.split("d.text", "\n", -1)
 
     def left_between(lines: Column) -> Column:
