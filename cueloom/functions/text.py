@@ -1,18 +1,18 @@
 """Text of cues as columns: the ordered cleaning chain and its steps.
 
-Steps that depend on a platform take its fields as columns; a step that doesn't apply gets a pattern that never matches, so
-every step reads its input once. Rules are compared in lower case, and HOH/EMT in either case.
+Patterns are literals, so that each is compiled once a task; a step that a platform doesn't ask for, or whose characters a text
+lacks, is skipped by a condition. The chain gives each step a projection of its own, in which the text is a plain column.
+Rules are compared in lower case, and HOH/EMT in either case.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NEVER = "(?!)"
-
 # Numbers and words.
 NUMBER_WORDS = {"10": "ten", "0": "zero", "1": "one", "2": "two", "3": "three", "4": "four", "5": "five", "6": "six", "7": "seven", "8": "eight", "9": "nine"}
 
@@ -55,11 +55,21 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def replaced(text: Column, *rules: tuple[str, str]) -> Column:
+    """Replacements of (pattern, new text), one after another."""
+    for pattern, new in rules:
+        text = F.regexp_replace(text, pattern, new)
+    return text
+
+
+def where(text: Column, gate: Column | None, step: Callable[[Column], Column]) -> Column:
+    """step of the text where gate holds, the text elsewhere; the text is evaluated once."""
+    return step(text) if gate is None else let(text, lambda t: F.when(gate, step(t)).otherwise(t))
+
+
 def gated(text: Column, gate: Column | None, pattern: str, replacement: str = "") -> Column:
     """Replacement of a pattern where gate holds."""
-    if gate is None:
-        return F.regexp_replace(text, pattern, replacement)
-    return F.regexp_replace(text, F.when(gate, F.lit(pattern)).otherwise(F.lit(NEVER)), F.lit(replacement))
+    return where(text, gate, lambda t: F.regexp_replace(t, pattern, replacement))
 
 
 def by_line(text: Column, f: Callable[[Column], Column]) -> Column:
@@ -86,8 +96,8 @@ def canonical_tags(text: Column) -> Column:
 
 
 def remove_sounds(text: Column, gate: Column | None = None) -> Column:
-    text = gated(text, gate, r"(?i)\[(?:music|applause|laughter|cheering|singing)[^\]]*\]")
-    return gated(gated(gated(text, gate, SOUND_BRACKET), gate, SOUND_PAREN), gate, r"\[[^\]]{0,80}\]")
+    known = r"(?i)\[(?:music|applause|laughter|cheering|singing)[^\]]*\]"
+    return where(text, gate, lambda t: replaced(t, (known, ""), (SOUND_BRACKET, ""), (SOUND_PAREN, ""), (r"\[[^\]]{0,80}\]", "")))
 
 
 def strip_annotations(text: Column) -> Column:
@@ -101,7 +111,7 @@ def strip_trailing_descriptor(text: Column) -> Column:
 
 
 def strip_stage_directions(text: Column, gate: Column | None = None) -> Column:
-    return gated(gated(text, gate, r"\([^)]{1,100}\)"), gate, r"\[[^\]]{1,100}\]")
+    return where(text, gate, lambda t: replaced(t, (r"\([^)]{1,100}\)", ""), (r"\[[^\]]{1,100}\]", "")))
 
 
 def strip_speaker_labels(text: Column, gate: Column | None = None) -> Column:
@@ -126,9 +136,8 @@ def bleeps_to_asterisks(text: Column, gate: Column | None = None) -> Column:
 
 def fix_punctuation(text: Column) -> Column:
     """Double blanks, blanks before punctuation, doubled and mixed marks, and dots to exactly three."""
-    for pattern, new in ((r"  +", " "), (r" ([.,!?;:])", "$1"), (r"!!+", "!"), (r"\?\?+", "?"), (r"[!?][?!]+", "!"), (r"\.{4,}", "..."), (r"(?<!\.)\.{2}(?!\.)", "...")):
-        text = F.regexp_replace(text, pattern, new)
-    return text
+    rules = ((r"  +", " "), (r" ([.,!?;:])", "$1"), (r"!!+", "!"), (r"\?\?+", "?"), (r"[!?][?!]+", "!"), (r"\.{4,}", "..."), (r"(?<!\.)\.{2}(?!\.)", "..."))
+    return replaced(text, *rules)
 
 
 def speaker_hyphens(text: Column, style: Column | None = None) -> Column:
@@ -144,9 +153,7 @@ def quotes(text: Column, gate: Column | None = None) -> Column:
 
 
 def forbidden_symbols(text: Column, gate: Column | None = None) -> Column:
-    for pattern, new in ((r"<[^>]+>", ""), ("&", "and"), ("[<>©]", ""), ("°", " degrees")):
-        text = gated(text, gate, pattern, new)
-    return text
+    return where(text, gate, lambda t: replaced(t, (r"<[^>]+>", ""), ("&", "and"), ("[<>©]", ""), ("°", " degrees")))
 
 
 def acronym_dots(text: Column, gate: Column | None = None) -> Column:
@@ -155,10 +162,11 @@ def acronym_dots(text: Column, gate: Column | None = None) -> Column:
 
 def lyric_case(text: Column, gate: Column | None = None) -> Column:
     """A letter after a music note in upper case; split and rebuilt, since a pattern can't change case."""
-    parts = F.split(text, "(?<=♪)")
-    fixed = F.transform(parts, lambda p, i: F.when(i > 0, F.concat(F.regexp_extract(p, r"^\s*", 0), F.upper(F.substring(F.ltrim(p), 1, 1)), F.substr(F.ltrim(p), F.lit(2)))).otherwise(p))
-    done = F.array_join(fixed, "")
-    return done if gate is None else F.when(gate, done).otherwise(text)
+    def fixed(t: Column) -> Column:
+        raised = F.transform(F.split(t, "(?<=♪)"), lambda p, i: F.when(i > 0, F.concat(F.regexp_extract(p, r"^\s*", 0), F.upper(F.substring(F.ltrim(p), 1, 1)), F.substr(F.ltrim(p), F.lit(2)))).otherwise(p))
+        return F.array_join(raised, "")
+
+    return where(text, gate, fixed)
 
 
 def lyric_end(text: Column, gate: Column | None = None) -> Column:
@@ -166,7 +174,7 @@ def lyric_end(text: Column, gate: Column | None = None) -> Column:
 
 
 def story_lang(text: Column, gate: Column | None = None) -> Column:
-    return gated(gated(text, gate, r"(?i)\bstory\s*:", "STORY:"), gate, r"(?i)\blang\s*:", "LANG:")
+    return where(text, gate, lambda t: replaced(t, (r"(?i)\bstory\s*:", "STORY:"), (r"(?i)\blang\s*:", "LANG:")))
 
 
 def capitalise_line(line: Column) -> Column:
@@ -181,16 +189,21 @@ def capitalise(text: Column) -> Column:
 
 
 _UNITS = "st|nd|rd|th|ft|in|cm|mm|km|kg|lb|am|pm"
+#: A lone number: not after $ or %, not before %, and not where the three characters that follow end in a unit.
+NUMBER_RULE = r"(?<![$%])\b{}\b(?!%)(?!(?i:.(?:UNITS)|mph|kph|(?:UNITS)$))".replace("UNITS", _UNITS)
 
 
 def number_words(text: Column, upto: Column | None = None) -> Column:
-    """Lone numbers up to `upto` (9, 10, or null for none) in words.
+    """Lone numbers up to `upto` (9 or 10; below that none) in words; without `upto` up to 10.
 
     Not after $ or %, not before %, and not where the three characters that follow end in a unit.
     """
-    for digits, word in NUMBER_WORDS.items():
-        pattern = rf"(?<![$%])\b{digits}\b(?!%)(?!(?i:.(?:{_UNITS})|mph|kph|(?:{_UNITS})$))"
-        text = gated(text, None if upto is None else upto >= int(digits), pattern, word)
+    for most, digits in ((10, ["10"]), (9, [d for d in NUMBER_WORDS if d != "10"])):
+        pairs = [(NUMBER_RULE.format(d), NUMBER_WORDS[d]) for d in digits]
+        if upto is None:
+            text = replaced(text, *pairs)
+        else:
+            text = where(text, (upto >= most) & text.rlike("[0-9]"), lambda t, pairs=pairs: replaced(t, *pairs))
     return text
 
 
@@ -206,7 +219,9 @@ def american_spelling(text: Column) -> Column:
             acc = F.regexp_replace(acc, F.concat(F.lit(r"\b"), case(e["k"]), F.lit(r"\b")), case(e["v"]))
         return acc
 
-    return let(text, lambda t: F.when(t.rlike(ANY_UK), F.aggregate(table, t, every_case)).otherwise(t))
+    # only the words that stand in the text are replaced
+    held = lambda t: F.filter(table, lambda e: F.contains(F.lower(t), e["k"]))
+    return let(text, lambda t: F.when(t.rlike(ANY_UK), F.aggregate(held(t), t, every_case)).otherwise(t))
 
 
 def split_line(line: Column, most: Column) -> Column:
@@ -225,7 +240,9 @@ def split_line(line: Column, most: Column) -> Column:
 
     def measured(s: Column) -> Column:
         words = F.filter(F.split(s["plain"], r"\s+"), lambda w: w != "")
-        return F.when(F.length(s["plain"]) <= most, s["line"]).otherwise(let(words, lambda w: F.when(F.size(w) <= 1, s["line"]).otherwise(cut(w, s["line"]))))
+        # no cut of a longer line fits, so its cuts, which grow with the square of its words, aren't tried
+        hopeless = lambda w: (F.size(w) <= 1) | (F.length(F.array_join(w, " ")) > 2 * most + 1)
+        return F.when(F.length(s["plain"]) <= most, s["line"]).otherwise(let(words, lambda w: F.when(hopeless(w), s["line"]).otherwise(cut(w, s["line"]))))
 
     return let(F.struct(line.alias("line"), F.trim(strip_tags(line)).alias("plain")), measured)
 
@@ -409,40 +426,54 @@ def strip_preamble(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?is)^\s*(?:sure|certainly|of course|here(?:'s| is| are)?)[^\n:]{0,120}:\s*", ""))
 
 
-def clean_steps(p: Callable[[str], Column]) -> list[tuple[str, Callable[[Column], Column]]]:
-    """The chain in its order, for platform fields p(name): remove_elements, rules_text, profanity_table, ..."""
-    has = lambda name: F.exists(F.coalesce(p("remove_elements"), F.array().cast("array<string>")), lambda e: F.lower(e) == name)
+def clean_steps(p: Callable[[str], Column]) -> list[tuple[str, Column | None, Callable[[Column], Column]]]:
+    """The chain in its order as (name, condition, step), for platform fields p(name): remove_elements, rules_text, profanity_table, ...
+
+    The condition tells where a step is asked for and can change a text at all; it sees the text as column `text`.
+    """
+    has = lambda *names: F.exists(F.coalesce(p("remove_elements"), F.array().cast("array<string>")), lambda e: F.lower(e).isin(*names))
     says = lambda phrase: F.coalesce(p("rules_text"), F.lit("")).contains(phrase)
-    upto = F.when(says("1-10 in words") | says("numbers 1-10") | says("0-9 written out"), 10).when(says("1-9"), 9)
+    holds = lambda *marks: functools.reduce(lambda a, b: a | b, [F.col("text").contains(m) for m in marks])
+    ten = says("1-10 in words") | says("numbers 1-10") | says("0-9 written out")
+    bracket, digit = holds("(", "["), F.col("text").rlike("[0-9]")
+    numbers = lambda digits: lambda t: replaced(t, *[(NUMBER_RULE.format(d), NUMBER_WORDS[d]) for d in digits])
     return [
-        ("canonical_tags", canonical_tags),
-        ("hoh", lambda t: remove_sounds(t, has("hoh") | has("emt"))),
-        ("annotations", lambda t: strip_trailing_descriptor(strip_annotations(t))),
-        ("stage_directions", lambda t: strip_stage_directions(t, has("stage_directions"))),
-        ("speaker_labels", lambda t: strip_speaker_labels(t, has("character_names"))),
-        ("fillers", lambda t: strip_fillers(t, has("fillers"))),
-        ("profanity", lambda t: bleeps_to_asterisks(replace_profanity(t, p("profanity_table")), says("asterisks (****)"))),
-        ("punctuation", fix_punctuation),
-        ("hyphens", lambda t: speaker_hyphens(t, p("two_speaker_format"))),
-        ("quotes", lambda t: quotes(t, says("quotation marks instead of apostrophes"))),
-        ("symbols", lambda t: forbidden_symbols(t, says("&, <, >, degree or copyright symbols"))),
-        ("acronyms", lambda t: acronym_dots(t, says("no periods for acronyms"))),
-        ("lyrics", lambda t: lyric_end(gated(t, says("ellipsis without space at start"), r"(?m)^\.\.\.\s+", "..."), says("no punctuation at end of song line"))),
-        ("lyric_case", lambda t: lyric_case(t, says("upper case at beginning of line") & says("song"))),
-        ("story_lang", lambda t: gated(story_lang(t, says("story and lang must be capitalised")), says("double hyphens (--)"), "—", "--")),
-        ("capitalise", capitalise),
-        ("numbers", lambda t: number_words(t, F.coalesce(upto, F.lit(-1)))),
-        ("spelling", american_spelling),
-        ("split_lines", lambda t: split_lines(t, p("max_chars_per_line"), p("max_chars_italics"))),
-        ("blank_lines", drop_blank_lines),
+        ("canonical_tags", holds("<"), canonical_tags),
+        ("hoh", bracket & has("hoh", "emt"), remove_sounds),
+        ("annotations", None, strip_annotations),
+        ("descriptors", holds("("), strip_trailing_descriptor),
+        ("stage_directions", bracket & has("stage_directions"), strip_stage_directions),
+        ("speaker_labels", holds(":", "-") & has("character_names"), strip_speaker_labels),
+        ("fillers", has("fillers"), strip_fillers),
+        ("profanity", F.size(p("profanity_table")) > 0, lambda t: replace_profanity(t, p("profanity_table"))),
+        ("bleeps", says("asterisks (****)"), bleeps_to_asterisks),
+        ("punctuation", F.col("text").rlike(r" [ .,!?;:]|[!?]{2}|\.{2}"), fix_punctuation),
+        ("hyphens", holds("–", "—"), lambda t: F.regexp_replace(t, "(?m)^[–—]", "-")),
+        ("hyphens_closed", holds("-") & (p("two_speaker_format") == "hyphen_no_space"), lambda t: F.regexp_replace(t, "(?m)^- ", "-")),
+        ("hyphens_open", holds("-") & (p("two_speaker_format") == "hyphen_with_space"), lambda t: F.regexp_replace(t, r"(?m)^-([^\-\s])", "- $1")),
+        ("quotes", holds("'") & says("quotation marks instead of apostrophes"), quotes),
+        ("symbols", says("&, <, >, degree or copyright symbols"), forbidden_symbols),
+        ("acronyms", holds(".") & says("no periods for acronyms"), acronym_dots),
+        ("lyric_dots", holds("...") & says("ellipsis without space at start"), lambda t: F.regexp_replace(t, r"(?m)^\.\.\.\s+", "...")),
+        ("lyrics", holds("♪", "♫") & says("no punctuation at end of song line"), lyric_end),
+        ("lyric_case", holds("♪") & says("upper case at beginning of line") & says("song"), lyric_case),
+        ("story_lang", holds(":") & says("story and lang must be capitalised"), story_lang),
+        ("interruptions", holds("—") & says("double hyphens (--)"), lambda t: F.regexp_replace(t, "—", "--")),
+        ("capitalise", None, capitalise),
+        ("number_ten", digit & ten, numbers(["10"])),
+        ("numbers", digit & (ten | says("1-9")), numbers([d for d in NUMBER_WORDS if d != "10"])),
+        ("spelling", F.col("text").rlike(ANY_UK), american_spelling),
+        ("split_lines", None, lambda t: split_lines(t, p("max_chars_per_line"), p("max_chars_italics"))),
+        ("blank_lines", None, drop_blank_lines),
     ]
 
 
 def clean_text(cues: DataFrame, stop_after: str | None = None) -> DataFrame:
     """cues joined with platform fields, text cleaned by the chain; original_text keeps what came in. Null texts stay null."""
     out = cues if "original_text" in cues.columns else cues.withColumn("original_text", F.col("text"))
-    for name, step in clean_steps(F.col):
-        out = out.withColumn("text", step(F.col("text")))
+    for name, gate, step in clean_steps(F.col):
+        text = F.col("text")
+        out = out.withColumn("text", step(text) if gate is None else F.when(gate, step(text)).otherwise(text))
         if name == stop_after:
             break
     return out

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cueloom import shared
 from cueloom.operators.platforms import quoted_rules
 
 
@@ -40,16 +41,24 @@ def update(guidelines: DataFrame, changes: DataFrame) -> DataFrame:
     return closed.withColumn("is_current", F.when(F.col("_closed"), False).otherwise(F.col("is_current"))).select(guidelines.columns).unionByName(newer)
 
 
-def roots(guidelines: DataFrame, rounds: int = 20) -> DataFrame:
-    """(id, root_id): the first version of every chain, by doubling the links; 2**rounds versions at most."""
-    link = guidelines.select("id", F.coalesce("supersedes_id", "id").alias("root_id"))
-    for _ in range(rounds):
+#: Rounds of doubling after which links that still change must run in a circle.
+ROUNDS = 64
+
+
+def roots(guidelines: DataFrame) -> DataFrame:
+    """(id, root_id): the first version of every chain, by doubling the links until none changes.
+
+    Each round is written to the shared folder, so the plan stays as long as one round. A link to a row that is missing
+    ends there; links in a circle raise ValueError.
+    """
+    link = shared.written(guidelines.select("id", F.coalesce("supersedes_id", "id").alias("root_id"), F.lit(True).alias("moved")), "links")
+    for _ in range(ROUNDS):
         up = link.select(F.col("id").alias("root_id"), F.col("root_id").alias("_up"))
-        new = link.join(up, "root_id", "left").select("id", F.coalesce("_up", "root_id").alias("root_id"))
-        if new.join(link, ["id", "root_id"], "left_anti").isEmpty():
-            return link
-        link = new
-    return link
+        new = link.select("id", "root_id").join(up, "root_id", "left").select("id", F.coalesce("_up", "root_id").alias("root_id"), F.coalesce(F.col("_up") != F.col("root_id"), F.lit(False)).alias("moved"))
+        link = shared.written(new, "links")
+        if link.filter("moved").isEmpty():
+            return link.select("id", "root_id")
+    raise ValueError("guidelines supersede each other in a circle")
 
 
 def history(guidelines: DataFrame, any_id: int) -> DataFrame:

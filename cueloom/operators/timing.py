@@ -94,8 +94,10 @@ def split_long(cues: DataFrame) -> DataFrame:
     span = (F.col("end_ms") - F.col("start_ms")) / 1000.0
     out = out.withColumns({"_n": n, "_total": F.greatest(total, F.lit(1)), "_room": F.greatest(span - GAP_MS / 1000 * (n - 1), GAP_MS / 1000 * n)})
     length = lambda c: F.greatest(F.col("_room") * tx.visible_length(c) / F.col("_total"), F.lit(GAP_MS / 1000))
-    # start of a piece: the lengths and gaps of those before it
-    piece = F.transform("_chunks", lambda c, i: F.struct(i.alias("i"), c.alias("t"), F.aggregate(F.slice("_chunks", F.lit(1), i), F.lit(0.0), lambda a, b: a + length(b) + GAP_MS / 1000).alias("s"), length(c).alias("d")))
+    # lengths once a piece; a piece starts behind the lengths and gaps of those before it
+    sums = F.aggregate("_d", F.struct(F.lit(0.0).alias("at"), F.array().cast("array<double>").alias("all")), lambda a, d: F.struct((a["at"] + d + GAP_MS / 1000).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")), lambda a: a["all"])
+    out = out.withColumn("_d", F.transform("_chunks", length)).withColumn("_s", sums)
+    piece = F.transform("_chunks", lambda c, i: F.struct(i.alias("i"), c.alias("t"), F.col("_s")[i].alias("s"), F.col("_d")[i].alias("d")))
     out = out.withColumn("_old", F.col("text")).select("*", F.explode_outer(piece).alias("_p"))
     start = F.col("start_ms") / 1000.0 + F.col("_p.s")
     cut = F.col("_n") > 1

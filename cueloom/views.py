@@ -13,6 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt out anew if their files are fewer than the cores: a small file is one task, however much work follows."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+
+
 def sequential(cues: DataFrame) -> DataFrame:
     """start_ms and end_ms by cue_no for cues without times."""
     start = ((F.col("cue_no") - 1) * STEP_MS).cast("bigint")
@@ -20,9 +26,9 @@ def sequential(cues: DataFrame) -> DataFrame:
 
 
 def cues_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A cue for each line of a document that isn't blank; no shuffle."""
+    """A cue for each line of a document that isn't blank; no shuffle, unless the table is one of few files."""
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), "lang", F.posexplode(lines).alias("cue_no", "text"))
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).select(F.col("doc_id").alias("file_id"), "lang", F.posexplode(lines).alias("cue_no", "text"))
     return sequential(rows.withColumn("cue_no", F.col("cue_no") + 1))
 
 
