@@ -6,13 +6,15 @@ deleted or changed words): EDITS of its words, none for items under 2 * LEAST_WO
 
 1. Items are cut into parts of at most PART_WORDS words. If a stretch is within the allowed share of edits of an item, it is so
    for one of its parts, so a window never needs to be longer than a part, however long an item is.
-2. Windows of a part's size open at every word of every document. A CGK walk embeds them into Hamming space: at step j the
-   current word is put out, and a random bit of (j, word) tells whether to go on to the next. Bits come from a hash, so walks
-   need no table of coins.
-3. LSH. TABLES samples of BITS places, over WALKS walks, are the keys of a window and of a part; places are chosen for each
-   class of part sizes. Keys of windows are joined with keys of parts as tables. Before the join, windows whose key is
-   certainly no part's are dropped by a bitmap of at most 2 ** FILTER_BITS bits, which is exact: it has no false negatives.
-4. Verification. Bit-parallel edit distance of the whole item against the neighbourhood of each candidate.
+2. Windows of a part's size open at every word of every document. An edit harms two pairs of neighbouring words at most, so a
+   window that holds too few of the items' pairs (a bitmap of at most 2 ** FILTER_BITS bits) can't be within the allowed
+   edits and is skipped: nothing is lost by it, and as a benchmark grows the bitmap only skips less.
+3. A CGK walk embeds windows and parts into Hamming space: at step j the current word is put out, and a random bit of
+   (j, word) tells whether to go on to the next. Bits come from a hash, so walks need no table of coins.
+4. LSH. TABLES samples of BITS places, over WALKS walks, are the keys of a window and of a part; places are chosen for each
+   class of part sizes. Keys of windows are joined with keys of parts as tables; windows whose key is certainly no part's
+   (a second bitmap) don't go into the join.
+5. Verification. Bit-parallel edit distance of the whole item against the neighbourhood of each candidate.
 
 At the threshold (20 % random word edits) a part alone is found with a chance of 97 % or more, a longer item by any part;
 `test_decontamination_recall` measures it.
@@ -36,20 +38,20 @@ EDITS = 0.2
 LEAST_WORDS = 5
 PART_WORDS = 32
 #: Least words of each class of parts; the places of a class lie within REACH steps for each of these words.
-CLASSES, REACH = (5, 8, 12, 17, 24), 1.6
-WALKS, TABLES, BITS = 8, 40, 4
+CLASSES, REACH = (5, 10, 20), 1.6
+WALKS, TABLES, BITS = 8, 64, 4
 STEPS = int(REACH * PART_WORDS)
 #: Windows that are embedded at a time.
-WINDOWS = 4096
-#: Size of the bitmaps of items' keys, as powers of two: the first one fits a core's cache, the second grows with the items.
-FIRST_BITS, FILTER_BITS = 18, 26
+WINDOWS = 8192
+#: Bits of a bitmap of the items' keys or pairs at most, as power of two; below that SPARSE bits an entry.
+FILTER_BITS, SPARSE = 26, 512
 #: Bytes of candidates' text that are verified in one task, about.
 VERIFY_BYTES = 8 << 20
 
 _rng = np.random.default_rng(3)
 _COINS = _rng.integers(0, 1 << 31, (WALKS, STEPS), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_PLACES = _rng.random((TABLES, BITS))
-_MIX = _rng.integers(0, 1 << 31, (TABLES, BITS), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_PLACES = (np.arange(BITS) + _rng.random((TABLES, BITS))) / BITS  # one in each part of the walk, so that samples hold different words
+_MIX = _rng.integers(0, 1 << 63, (TABLES, BITS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 _ASCII = np.zeros(256, dtype=bool)
 _ASCII[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -112,20 +114,22 @@ def _samples(walks: np.ndarray, c: int, table: int) -> list[np.ndarray]:
     return [walks[table % WALKS, p] for p in _places(CLASSES[c], table)]
 
 
-def _short(samples: list[np.ndarray], table: int) -> np.ndarray:
-    """32-bit keys, cheap enough for every window."""
-    key = samples[0] * _MIX[table, 0]
-    for k in range(1, BITS):
-        key += samples[k] * _MIX[table, k]
-    return key
+def _keys(samples: list[np.ndarray], c: int, table: int) -> np.ndarray:
+    """Keys by which windows and parts are joined."""
+    key = np.full(len(samples[0]), c * TABLES + table + 1, np.uint64)
+    for part, odd in zip(samples, _MIX[table], strict=True):
+        key += part * odd
+    return textkit.mix(key)
 
 
-def _long(samples: list[np.ndarray], c: int, table: int) -> np.ndarray:
-    """64-bit keys, by which windows and parts are joined."""
-    key = np.full(len(samples[0]), c * TABLES + table + 1, np.uint64)
-    for part in samples:
-        key = textkit.mix(key * np.uint64(textkit.PRIME) + part)
-    return key
+def _pairs(hashes: np.ndarray) -> np.ndarray:
+    """A hash for each word and the one behind it."""
+    return textkit.mix(hashes[:-1] * np.uint64(textkit.PRIME) + hashes[1:])
+
+
+def _widest(c: int) -> int:
+    """Most words of a part of a class."""
+    return [*CLASSES[1:], PART_WORDS + 1][c] - 1
 
 
 def edit_distance_within(pattern: list, text: list) -> int:
@@ -171,7 +175,7 @@ def items(benchmark: DataFrame) -> DataFrame:
 
 
 def part_keys(distinct: DataFrame) -> DataFrame:
-    """(key, short, class, item, at): keys of every part of the items (item, words); at: the part's first word."""
+    """(key, class, item, at): keys of every part of the items (item, words); at: the part's first word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,56 +187,86 @@ def part_keys(distinct: DataFrame) -> DataFrame:
                     walks, sizes = embed(tokens, place[edges[:-1] - edges[0]]), np.diff(edges)
                     found = []
                     for c in range(len(CLASSES)):
-                        rows = np.flatnonzero((sizes >= CLASSES[c]) & (sizes < [*CLASSES[1:], PART_WORDS + 1][c]))
+                        rows = np.flatnonzero((sizes >= CLASSES[c]) & (sizes <= _widest(c)))
                         for t in range(TABLES if len(rows) else 0):
-                            own = _samples(walks[:, :, rows], c, t)
-                            found.append((_short(own, t), _long(own, c, t), np.full(len(rows), c), edges[rows]))
-                    short, long, kind, at = (np.concatenate([f[k] for f in found]) for k in range(4))
-                    columns = [pa.array(long.astype(np.int64)), pa.array(short.astype(np.int64)), pa.array(kind.astype(np.int32)), pa.array([item.as_py()] * len(at), pa.binary()), pa.array(at.astype(np.int32))]
-                    yield pa.RecordBatch.from_arrays(columns, ["key", "short", "class", "item", "at"])
+                            found.append((_keys(_samples(walks[:, :, rows], c, t), c, t), np.full(len(rows), c), edges[rows]))
+                    key, kind, at = (np.concatenate([f[k] for f in found]) for k in range(3))
+                    columns = [pa.array(key.astype(np.int64)), pa.array(kind.astype(np.int32)), pa.array([item.as_py()] * len(at), pa.binary()), pa.array(at.astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, ["key", "class", "item", "at"])
+
+    return distinct.select("item", "words").mapInArrow(run, "key long, class int, item binary, at int")
 
-    return distinct.select("item", "words").mapInArrow(run, "key long, short long, class int, item binary, at int")
+
+def pair_keys(distinct: DataFrame) -> DataFrame:
+    """(key): the pairs of neighbouring words of the items (item, words)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for value in batch.column(0):
+                own = np.unique(_pairs(np.frombuffer(value.as_buffer(), np.uint64)))
+                yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64))], ["key"])
+
+    return distinct.select("words").mapInArrow(run, "key long")
 
 
 @dataclass
-class Filter:
-    """Bitmaps of the items' keys, of bounded size; a key of an item is always in them."""
+class Bitmap:
+    """A bit for the upper bits of every key; what isn't in it is certainly none of them."""
 
-    classes: list[int]
-    first: np.ndarray  # by the upper bits of short keys
     bits: int
-    second: np.ndarray  # packed, by the upper bits of long keys
-
-    def candidates(self, tokens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(index of the start, key) of windows whose key may be an item's."""
-        where, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        steps = int(REACH * max((CLASSES[c] for c in self.classes), default=0)) + 1
-        for lo in range(0, len(starts), WINDOWS):
-            walks = embed(tokens, starts[lo : lo + WINDOWS], steps)
-            for c in self.classes:
+    packed: np.ndarray
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        at = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        return (self.packed[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def bitmap(keys: DataFrame) -> Bitmap:
+    """Bitmap of written keys (key); at most 2 ** (FILTER_BITS - 6) words of it reach the driver, whatever the benchmark's size."""
+    bits = min(FILTER_BITS, max(16, (SPARSE * keys.count()).bit_length()))
+    packed = np.zeros(1 << (bits - 3), np.uint8)
+    upper = keys.selectExpr(f"shiftrightunsigned(key, {64 - bits}) as bit").selectExpr("cast(shiftright(bit, 6) as int) as word", "cast(bit & 63 as int) as bit")
+    words_ = upper.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit)) as value")).toArrow()
+    packed.view("<u8")[words_.column("word").to_numpy()] = words_.column("value").to_numpy().view(np.uint64)
+    return Bitmap(bits, packed)
+
+
+@dataclass
+class Filter:
+    classes: list[int]
+    pairs: Bitmap
+    keys: Bitmap
+
+    def candidates(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(word at which it opens, key) of the windows of texts whose key may be an item's."""
+        where, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        if not self.classes or not len(hashes):
+            return where[0], found[0]
+        tokens, place = _tokens(hashes, first)
+        held = np.append(self.pairs.has(_pairs(hashes)), False)
+        held[first[1:][first[1:] > 0] - 1] = False  # a text's last word has none behind it
+        sums = np.append(0, np.cumsum(held))
+        end = np.repeat(first[1:], np.diff(first))
+        at = np.arange(len(hashes))
+        for c in self.classes:
+            size, most = CLASSES[c], allowed(_widest(c))
+            inside = sums[np.minimum(at + size - 1, end)] - sums[at] >= size - 1 - 2 * most
+            open_ = np.flatnonzero(inside)
+            for lo in range(0, len(open_), WINDOWS):
+                own = open_[lo : lo + WINDOWS]
+                walks = embed(tokens, place[own], int(REACH * size) + 1)
                 for t in range(TABLES):
-                    samples = _samples(walks, c, t)
-                    rows = np.flatnonzero(self.first[_short(samples, t) >> np.uint32(32 - FIRST_BITS)])
-                    if len(rows):
-                        key = _long([x[rows] for x in samples], c, t)
-                        at = (key >> np.uint64(64 - self.bits)).astype(np.int64)
-                        real = np.flatnonzero(self.second[at >> 3] >> (at & 7).astype(np.uint8) & 1)
-                        where.append(lo + rows[real])
-                        keys.append(key[real])
-        return np.concatenate(where), np.concatenate(keys)
-
-
-def key_filter(keys: DataFrame) -> Filter:
-    """The bitmaps of written keys; at most 2 ** (FILTER_BITS - 6) words of them reach the driver, whatever the benchmark's size."""
-    some = keys.agg(F.count("*").alias("n"), F.collect_set("class").alias("classes")).head()
-    bits = min(FILTER_BITS, max(16, (64 * some.n).bit_length()))
-    first, second = np.zeros(1 << FIRST_BITS, dtype=bool), np.zeros(1 << (bits - 3), np.uint8)
-    short = keys.select(F.expr(f"cast(short div {1 << (32 - FIRST_BITS)} as int) as bit")).distinct().toArrow()
-    first[short.column("bit").to_numpy()] = True
-    upper = keys.select(F.expr(f"shiftrightunsigned(key, {64 - bits}) as bit")).selectExpr("cast(shiftright(bit, 6) as int) as word", "cast(bit & 63 as int) as bit")
-    packed = upper.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit)) as value")).toArrow()
-    second.view("<u8")[packed.column("word").to_numpy()] = packed.column("value").to_numpy().view(np.uint64)
-    return Filter(sorted(some.classes), first, bits, second)
+                    key = _keys(_samples(walks, c, t), c, t)
+                    real = self.keys.has(key)
+                    where.append(own[real])
+                    found.append(key[real])
+        return np.concatenate(where), np.concatenate(found)
+
+
+def key_filter(distinct: DataFrame, keys: DataFrame) -> Filter:
+    """What tells windows apart that can't be near any of the items; keys: their written part_keys."""
+    classes = sorted(r["class"] for r in keys.select("class").distinct().collect())
+    return Filter(classes, bitmap(textkit.written(pair_keys(distinct), "item-pairs")), bitmap(keys))
 
 
 def window_keys(docs: DataFrame, known: Filter) -> DataFrame:
@@ -243,8 +277,7 @@ def window_keys(docs: DataFrame, known: Filter) -> DataFrame:
         for batch in batches:
             for a, _, buf, offsets in textkit.text_slices(batch.column(1)):
                 hashes, first = words(buf, offsets)
-                tokens, place = _tokens(hashes, first)
-                where, keys = shared.value.candidates(tokens, place)
+                where, keys = shared.value.candidates(hashes, first)
                 row = np.searchsorted(first, where, side="right") - 1
                 yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), batch.column(0).take(pa.array(a + row)), pa.array((where - first[row]).astype(np.int32))], ["key", "row", "start"])
 
@@ -285,7 +318,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     every = textkit.written(items(benchmark), "items")
     distinct = textkit.written(every.groupBy("item").agg(F.first("words").alias("words")), "distinct-items")
     keys = textkit.written(part_keys(distinct), "item-keys")
-    found = window_keys(docs.filter("text is not null"), key_filter(keys))
+    found = window_keys(docs.filter("text is not null"), key_filter(distinct, keys))
     met = textkit.written(found, "windows").join(keys.select("key", "item", "at"), "key")
     begins = met.select("row", "item", (F.col("start") - F.col("at")).alias("begin")).distinct()
     pairs = textkit.written(begins.groupBy("row", "item").agg(F.collect_list("begin").alias("begins")), "pairs")
