@@ -20,8 +20,8 @@ from . import textkit
 
 #: Labelled rows that a fit takes at most, over all languages; each gets an equal share, rows are chosen by a hash.
 SAMPLE_ROWS = 3000
-#: Rows per language at most.
-LANGUAGE_ROWS = 500
+#: Rows per language at most, and shares of a language that are ranked each for itself before.
+LANGUAGE_ROWS, SALTS = 500, 64
 BUCKETS = 4096
 STEPS, PENALTY = 150, 1e-3
 UNKNOWN = "und"
@@ -125,7 +125,7 @@ class Model:
 def train(x: np.ndarray, langs: list[str]) -> Model:
     names = sorted(set(langs))
     model = Model()
-    for lang in names:
+    for lang in sorted(names, key=lambda n: (family(n), n)):
         model.families.setdefault(family(lang), []).append(lang)
     langs_of = np.array(langs, dtype=object)
     group = np.array([family(lang) for lang in langs], dtype=object)
@@ -149,8 +149,11 @@ def fit(labelled: DataFrame) -> Model:
     Rows are chosen by a hash of doc_id. Rows with null lang or text teach nothing; without any row every text is `und`.
     """
     known = labelled.filter("lang is not null and text is not null and doc_id is not null")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("doc_id", "lang").withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= LANGUAGE_ROWS)
+    # first the rows of each of SALTS shares of a language, so that one task never gets a language's rows
+    order = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id"))
+    ids = known.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SALTS)).alias("_salt"))
+    ids = ids.withColumn("_n", order("lang", "_salt")).filter(F.col("_n") <= LANGUAGE_ROWS)
+    ids = ids.select("doc_id", "lang").withColumn("_n", order("lang")).filter(F.col("_n") <= LANGUAGE_ROWS)
     ids = ids.orderBy("_n", "lang", "doc_id").limit(SAMPLE_ROWS).select("doc_id").distinct()
     sample = known.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.min_by("lang", F.xxhash64("text")).alias("lang"))
 
@@ -172,7 +175,8 @@ def fit(labelled: DataFrame) -> Model:
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred and score added; other columns stay, of any name but these two.
 
-    A text that is null or has no letter is `und` with score 0; so is every text if the model has learned nothing.
+    A text that is null or has no letter is `und` with score 0; so is every text if the model has learned nothing. Ties
+    between families or languages go to the first by name. Repeated rows have a row each with the same prediction.
     """
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
