@@ -21,8 +21,8 @@ from .langid import bucket_of
 #: Labelled rows of either class that a fit takes at most, chosen by a hash.
 CLASS_ROWS = 4000
 BITS = 16
-#: Terms that the machine keeps: those that tell the classes apart best by chi-squared, and by no less than LEAST_CHI,
-#: which about one in 65,536 idle terms would reach.
+#: Terms that the machine keeps: those that tell the classes apart by a chi-squared of LEAST_CHI, which about one in 65,536
+#: idle terms would reach, best first; then the most frequent others, since a term that tells nothing alone may beside another.
 TERMS, LEAST_CHI = 2048, 18.0
 FACTORS = 8
 STEPS, RATE, PENALTY = 300, 0.05, 5e-5
@@ -76,6 +76,10 @@ def train(bags: list[np.ndarray], toxic: np.ndarray, prior: float) -> Machine:
     chi[with1 + with0 < 3] = 0
     best = np.argsort(-chi, kind="stable")[:TERMS]
     best = best[chi[best] >= LEAST_CHI]
+    spread = p * (1 - p)
+    spread[best] = 0
+    more = np.argsort(-spread, kind="stable")[: TERMS - len(best)]
+    best = np.append(best, more[(spread[more] > 0) & ((with1 + with0)[more] >= 3)])
     slot = np.full(1 << BITS, -1, dtype=np.int64)
     slot[best] = np.arange(len(best))
     x = np.zeros((len(bags), len(best)), np.float32)
