@@ -1,7 +1,7 @@
 """Secret scans by fixed patterns and by a battery of randomness tests. DataFrame functions only.
 
 Patterns find assignments, access keys and long hexadecimal runs. The battery looks at every run of 20 or more key
-characters that has letters and digits: it infers the encoding (the smallest alphabet that holds all characters) and takes
+characters: it infers the encoding (the smallest alphabet that holds all characters) and takes
   - chi-squared of the character counts against uniform use of that alphabet,
   - a runs test of characters above and below the alphabet's middle,
   - the serial correlation of neighbouring characters.
@@ -26,17 +26,22 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
 
-#: Runs of key characters with a letter and a digit; padding belongs to them.
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}={0,2}"
+#: Runs of key characters; padding belongs to them.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}"
 
+_DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # Inferred encodings in order (pattern, symbols, share of equal pairs in text over them: sum of squared frequencies).
 ENCODINGS = (
-    (r"^[0-9a-f]+$", "0123456789abcdef", 0.13),
-    (r"^[0-9A-F]+$", "0123456789ABCDEF", 0.13),
-    (r"^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.065),
-    (r"^[0-9a-z]+$", "0123456789abcdefghijklmnopqrstuvwxyz", 0.065),
-    (r"^[0-9A-Z]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", 0.065),
-    (r"", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 0.055),
+    (r"^[0-9]+$", _DIGITS, 0.16),
+    (r"^[0-9a-f]+$", _DIGITS + "abcdef", 0.13),
+    (r"^[0-9A-F]+$", _DIGITS + "ABCDEF", 0.13),
+    (r"^[a-z]+$", _LOWER, 0.065),
+    (r"^[A-Z]+$", _UPPER, 0.065),
+    (r"^[A-Z2-7]+$", _UPPER + "234567", 0.065),
+    (r"^[0-9a-z]+$", _DIGITS + _LOWER, 0.065),
+    (r"^[0-9A-Z]+$", _DIGITS + _UPPER, 0.065),
+    (r"^[A-Za-z]+$", _UPPER + _LOWER, 0.055),
+    (r"", _UPPER + _LOWER + _DIGITS + "+/", 0.055),
 )
 
 #: Least combined probability under randomness, and the share of false discoveries.
@@ -155,12 +160,10 @@ def battery(token: Column) -> Column:
 
 
 def _candidates(docs: DataFrame) -> DataFrame:
-    """docs with _random: array<struct<start, end, random, discovery>>."""
-    found = docs.withColumn("_found", _spans(F.coalesce(F.col("text"), F.lit("")), CANDIDATE))
-    return found.withColumn(
-        "_random",
-        F.transform("_found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), battery(s["match"]).alias("p"))),
-    ).drop("_found")
+    """docs (t: text) with random: array<struct<start, end, p struct<random, discovery>>>."""
+    found = docs.withColumn("found", _spans(F.col("t"), CANDIDATE))
+    judged = F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), battery(s["match"]).alias("p")))
+    return found.withColumn("random", judged).drop("found")
 
 
 def _bin(discovery: Column) -> Column:
@@ -172,7 +175,8 @@ def discovery_bin(docs: DataFrame) -> int:
 
     At most BINS + 1 counts reach the driver.
     """
-    bins = _candidates(docs.select("text")).select(F.explode("_random").alias("c")).groupBy(_bin(F.col("c.p.discovery")).alias("bin")).count().collect()
+    texts = docs.filter(F.col("text").rlike(CANDIDATE)).select(F.col("text").alias("t"))
+    bins = _candidates(texts).select(F.explode("random").alias("c")).groupBy(_bin(F.col("c.p.discovery")).alias("bin")).count().collect()
     total, above, best = sum(r["count"] for r in bins), 0, BINS + 1
     for row in sorted(bins, key=lambda r: -r["bin"]):
         above += row["count"]
@@ -184,18 +188,19 @@ def discovery_bin(docs: DataFrame) -> int:
 def scan(docs: DataFrame) -> DataFrame:
     """docs with spans: array<struct<start, order, end, kind>>, by start and then by the order of KINDS; offsets in code points.
 
-    A null text counts as empty and has no spans; repeated rows give a row each; other columns stay, but not spans.
+    A null text counts as empty and has no spans; repeated rows give a row each; other columns stay, of any name but spans.
     """
     least = discovery_bin(docs)
-    text = F.coalesce(F.col("text"), F.lit(""))
+    text, keep = F.col("t"), [c for c in docs.columns if c != "spans"]
 
     def tagged(spans: Column, kind: str) -> Column:
         return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("order"), s["end"].alias("end"), F.lit(kind).alias("kind")))
 
     assign = F.filter(_spans(text, ASSIGN), lambda s: F.length(F.regexp_replace(s["match"], "^" + ASSIGN_HEAD, "")) >= 6)
-    chosen = F.filter(F.col("_random"), lambda c: (_bin(c["p"]["discovery"]) >= least) & (c["p"]["random"] >= math.log10(RANDOM_LEVEL)))
+    chosen = F.filter(F.col("random"), lambda c: (_bin(c["p"]["discovery"]) >= least) & (c["p"]["random"] >= math.log10(RANDOM_LEVEL)))
     found = F.concat(tagged(assign, "assign"), tagged(_spans(text, ACCESS), "access"), tagged(_spans(text, HEX), "hex"), tagged(chosen, "random"))
-    return _candidates(docs.drop("spans")).withColumn("spans", F.array_sort(found)).drop("_random")
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("d"), F.coalesce(F.col("text"), F.lit("")).alias("t"))
+    return _candidates(packed).select(*(F.col(f"d.`{c}`").alias(c) for c in keep), F.array_sort(found).alias("spans"))
 
 
 def _text(spans: Column) -> Column:

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -81,6 +82,79 @@ def test_secrets(spark, docs, nothing):
     assert secrets.scan(docs).count() == docs.count()
 
 
+def test_secrets_of_letters_and_clashing_columns(spark):
+    rng = random.Random(19)
+    make = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    keys = [make(lower + upper, 40) for _ in range(5)] + [make(upper, 40) for _ in range(5)] + [make(lower + upper + "0123456789+/", 44) for _ in range(5)]
+    words = ["internationalisationandcounterrevolutionaries", "state-of-the-art-and-well-known-things", "src/main/java/org/example/service/handlers", "-" * 40, "ab" * 30, "1234567890" * 4]
+    rows = [(k, f"see {x} here", 1, 2, 3, 4) for k, x in enumerate(keys + words)]
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, _random int, _found int, d int, t int"))
+    assert got.columns == ["doc_id", "text", "_random", "_found", "d", "t", "spans"]
+    found = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "random"] for r in got.collect()}
+    assert sum(found[k] == [(4, 4 + len(x))] for k, x in enumerate(keys)) >= 0.9 * len(keys)
+    assert not any(found[len(keys) + k] for k in range(len(words)))
+
+
+def _log10_lower(z):
+    """log10 of the normal distribution's logistic approximation, or of its tail."""
+    if z >= -3:
+        return -math.log10(1 + math.exp(-(1.5976 * z + 0.07056 * z**3)))
+    return -z * z / (2 * math.log(10)) - math.log10(-z * math.sqrt(2 * math.pi)) + math.log10(1 - 1 / z**2 + 3 / z**4)
+
+
+def _battery_brute(token):
+    body = token.replace("-", "+").replace("_", "/").rstrip("=")
+    symbols, pairs = next((s, p) for pattern, s, p in secrets.ENCODINGS if re.search(pattern, body))
+    n, k = len(body), len(symbols)
+    values = [symbols.index(c) + 1 for c in body]
+    chi = sum(body.count(c) ** 2 for c in set(body)) * k / n - n
+    sides = [v > k / 2 for v in values]
+    high, runs = sum(sides), 1 + sum(a != b for a, b in zip(sides, sides[1:]))
+    mean_runs = 2 * high * (n - high) / n + 1
+    spread = (mean_runs - 1) * (mean_runs - 2) / (n - 1)
+    z_runs = (runs - mean_runs) / math.sqrt(spread) if spread > 0 else -30
+    mean = sum(values) / n
+    variance = sum((v - mean) ** 2 for v in values)
+    z_serial = (sum((a - mean) * (b - mean) for a, b in zip(values, values[1:])) / variance + 1 / n) * math.sqrt(n) if variance else 30
+    two_sided = lambda z: _log10_lower(-abs(z)) + math.log10(2)
+    z_chi = (chi - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n)
+    away = k * pairs - 1
+    z_text = (chi - (k - 1) - (n - 1) * away) / math.sqrt(2 * (k - 1) + 4 * (n - 1) * away)
+    return min(_log10_lower(-z_chi), two_sided(z_runs), two_sided(z_serial)) + math.log10(3), _log10_lower(z_text)
+
+
+def test_randomness_battery(spark):
+    """The battery and the false-discovery rule against plain loops."""
+    rng = random.Random(23)
+    alphabets = ["0123456789", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ab", "A", "abcXYZ019+/-_"]
+    tokens = ["".join(rng.choice(a) for _ in range(rng.randint(20, 90))) + "=" * rng.randint(0, 2) for a in alphabets for _ in range(12)]
+    got = [tuple(r.p) for r in spark.createDataFrame([(k, t) for k, t in enumerate(tokens)], "k int, t string").orderBy("k").select(secrets.battery(F.col("t")).alias("p")).collect()]
+    want = [_battery_brute(t) for t in tokens]
+    assert np.allclose(got, want, atol=1e-6)
+    bins = sorted((min(secrets.BINS, math.floor(-10 * d)) for _, d in want), reverse=True)
+    best = secrets.BINS + 1
+    for b in sorted(set(bins), reverse=True):
+        if 10 ** (-b / 10) * len(bins) <= secrets.FALSE_SHARE * sum(x >= b for x in bins):
+            best = b
+    docs = spark.createDataFrame([(k, f"({t})") for k, t in enumerate(tokens)], "doc_id long, text string")
+    assert secrets.discovery_bin(docs) == best
+
+
+def test_secrets_query(spark, tables):
+    """All columns of the registered query on whole documents."""
+    patterns = [("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6), ("access", r"(AKIA[A-Z0-9]+)", 20), ("hex", r"([0-9a-f]+)", 24)]
+    texts = dict(tables.sql("SELECT doc_id, text FROM documents").fetchall())
+    got = secrets.op1_secrets(spark, SF).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        want = sorted((m.start(), k, m.end(), kind) for k, (kind, p, least) in enumerate(patterns) for m in re.finditer(p, texts[r.doc_id] or "") if len(m[1]) >= least)
+        base = ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in want)
+        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(w[3] == kind for w in want) for kind, _, _ in patterns)
+        assert ",".join(x for x in r.spans.split(",") if x and not x.startswith("random")) == base
+
+
 def _suffix_brute(rows):
     first = {}
     for i, t in rows:
@@ -363,6 +437,36 @@ def test_toxicity(spark, nothing):
     assert toxicity.score(nothing, machine).count() == 0
 
 
+def test_factorization_of_terms_that_tell_nothing_alone():
+    """Toxic where exactly one of two terms stands: each is as frequent in either class."""
+    rng = np.random.default_rng(1)
+    a, b = rng.random(3000) < 0.5, rng.random(3000) < 0.5
+    bags = [np.unique(np.concatenate([[1] if x else [2], [3] if y else [4], rng.integers(10, 4000, 5)])) for x, y in zip(a, b)]
+    machine = toxicity.train(bags, a != b, 0.5)
+    row = np.repeat(np.arange(len(bags)), [len(x) for x in bags])
+    assert ((machine.score(row, np.concatenate(bags), len(bags)) > 0.5) == (a != b)).mean() > 0.97
+
+
+def test_toxicity_query(spark, tables):
+    """Scores of the registered query against a naive double loop over pairs of terms."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    machine = toxicity.fit(docs, labels.filter(langid.bucket_of(F.col("doc_id"), 3) != 1))
+    texts = dict(tables.sql("SELECT doc_id, text FROM documents").fetchall())
+    got = {r.doc_id: r for r in toxicity.op6_toxicity(spark, SF).collect()}
+    assert got.keys() == texts.keys()
+    for i, text in texts.items():
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        own = sorted({int(machine.slot[x]) for x in toxicity.terms(raw, np.array([0, len(raw)]))[1]} - {-1})
+        if len(own) > 120:
+            continue  # the loop is quadratic
+        total = machine.bias + sum(machine.weight[x] for x in own)
+        for x in range(len(own)):
+            for y in range(x):
+                total += sum(p * q for p, q in zip(machine.factors[own[x]], machine.factors[own[y]]))
+        r, p = got[i], 1 / (1 + math.exp(-max(-30, min(30, total))))
+        assert abs(r.score - p) < 1e-6 and r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) and r.predicted == int(r.score >= 0.7)
+
+
 def test_factorization_learns_pairs():
     """Toxic only where both of two terms meet: no additive weights can tell."""
     rng = np.random.default_rng(0)
@@ -470,6 +574,74 @@ def test_langid(spark, nothing):
     assert langid.predict(nothing, model).count() == 0
 
 
+def test_langid_query(spark, tables):
+    """Predictions of the registered query against a naive vote of the machines."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(docs.filter(langid.bucket_of(F.col("doc_id"), 5) != 0))
+    got = {r.doc_id: r for r in langid.op9_langid(spark, SF).collect()}
+    texts = dict(tables.sql("SELECT doc_id, text FROM documents").fetchall())
+    assert got.keys() == texts.keys()
+    sure = lambda m: 1 / (1 + math.exp(-4 * max(-8, min(8, float(m)))))
+    for i, text in texts.items():
+        x, count = langid.features([text])
+        if not text or count[0] == 0:
+            assert got[i].lang_pred == "und" and got[i].score == 0
+            continue
+        won = {n: sure(x[0] @ w + b) for n, (w, b) in model.by_family.items()} or dict.fromkeys(model.families, 1.0)
+        best = max(model.families, key=lambda n: won[n])
+        points = dict.fromkeys(model.families[best], 0.0)
+        for (a, b_), (w, b) in model.by_pair.items():
+            if a in points:
+                points[a] += sure(x[0] @ w + b)
+                points[b_] += 1 - sure(x[0] @ w + b)
+        share = {k: v / max(1, len(points) - 1) for k, v in points.items()} if len(points) > 1 else dict.fromkeys(points, 1.0)
+        lang = max(points, key=lambda k: points[k])
+        assert got[i].lang_pred == lang and abs(got[i].score - won[best] / sum(won.values()) * share[lang]) < 1e-4
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+
+
+def test_queries_of_whole_tables(spark, tables):
+    """The registered queries 2, 7, 8 and 10 on whole tables, all columns, against brute force."""
+    import tiktoken
+
+    docs = tables.sql("SELECT doc_id, text FROM documents").fetchall()
+    got = {r.doc_id: r for r in suffixdedup.op2_suffix_dedup(spark, SF).collect()}
+    for i, n, removed, spans, kept in _suffix_brute(docs):
+        assert tuple(got[i])[1:] == (n, removed, spans, hashlib.sha256(kept).hexdigest())
+    path, pattern = bpe.vocabulary()
+    known = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    got = {r.doc_id: r for r in bpe.op7_bpe(spark, SF).collect()}
+    for i, text in docs:
+        ids = known.encode_ordinary(text or "")
+        assert tuple(got[i])[1:] == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest())
+    got = {r.doc_id: r for r in minhash.op8_minhash(spark, SF).collect()}
+    sets, parent = {}, {i: i for i, _ in docs}
+    for i, text in docs:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+        sets[i] = {tuple(w[k : k + 2]) for k in range(len(w) - 1)} or ({tuple(w)} if w else set())
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) > 0:
+                p, q = find(a), find(b)
+                parent[max(p, q)] = min(p, q)
+    assert {i: tuple(r) for i, r in got.items()} == {i: (i, len(sets[i]), find(i), find(i) == i) for i in sets}
+    pages = tables.sql("SELECT page_id, html FROM pages").fetchall()
+    last = {}
+    for i, html in pages:
+        last[html or ""] = max(last.get(html or "", i), i)
+    got = {r.page_id: r for r in warc.op10_warc(spark, SF).collect()}
+    for i, html in pages:
+        p, to = (html or "").encode(), last[html or ""]
+        assert tuple(got[i])[1:5] == (len(p), base64.b32encode(hashlib.sha1(p).digest()).decode(), "response" if to == i else "revisit", None if to == i else to)
+    assert len(got) == len(pages)
+
+
 def test_warc(spark, tmp_path):
     rows = [(1, "http://a", "<p>x</p>"), (2, "http://b\r\nX: y", "<p>x</p>"), (3, None, None), (4, "http://c", ""), (5, "http://d", "é\r\n\r\n" * 50_000), (6, "u", "WARC/1.1\r\n\r\n"), (7, "v", "<p>x</p>"), (None, "w", "<p>x</p>"), (7, "v", "<p>x</p>")]
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, payload string")
