@@ -6,7 +6,7 @@ fixed order of other buckets, alike for all documents. Bands of ROWS registers b
 corrected estimate from the registers discards the hopeless, and full sets confirm every link.
 
 Documents with equal sets are one class from the start. Within a band's bucket members are first held against one centre
-rather than each other. Buckets whose members then still lie in different components are compared in blocks, block by
+after another rather than each other. Buckets whose members then still lie in different components are compared in blocks, block by
 block within tasks, and only links that join components come out. So a group of thousands of copies costs a row a band,
 pairs are never emitted, and no link between components is left out.
 """
@@ -27,8 +27,10 @@ BANDS, ROWS = 32, 5
 REGISTERS, MANTISSA = BANDS * ROWS, 10
 #: Standard deviations that an estimate may lie below the threshold without being discarded.
 SLACK = 5.0
+#: Rounds with a centre a bucket.
+ROUNDS = 3
 #: Members of a bucket that meet in one task at most, when they are compared across components.
-BLOCK = 512
+BLOCK = 1024
 
 _rank = np.argsort(np.random.default_rng(11).random((REGISTERS, REGISTERS)), axis=1)
 _rank = np.argsort(_rank, axis=1)  # the place of bucket j in the order from which bucket i borrows
@@ -208,24 +210,45 @@ def bridges(block: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def _mixed(members: DataFrame, found: DataFrame | None) -> DataFrame:
+    """Members (key, node, n) of the buckets whose members lie in several components, with component, written."""
+    if found is None:
+        return members.withColumn("component", F.col("node"))
+    own = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    own = textkit.written(own, "members")
+    mixed = own.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low != _high").select("key")
+    return textkit.written(own.join(mixed, "key", "left_semi"), "mixed")
+
+
 def _links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame | None:
-    """(node, component) of the classes that have a link to another; None if none has."""
+    """(node, component) of the classes that have a link to another; None if none has.
+
+    In each of ROUNDS a bucket's members are held against one centre, another one in each round, if they lie in another
+    component than it: that merges large groups without comparing all of their members. What is still mixed is compared whole.
+    """
     members = textkit.written(_band_keys(classes), "bands")
-    shared = members.groupBy("key").agg(F.count("*").alias("_n"), F.min("node").alias("_centre")).filter("_n > 1")
-    members = textkit.written(members.join(shared, "key").select("key", "node", "_n", "_centre"), "bands")
-    stars = members.filter("node != _centre").select(F.col("node").alias("a"), F.col("_centre").alias("b")).distinct()
-    stars = textkit.written(_promising(stars, classes, percent), "pairs")
-    sets = _sets(docs, classes, stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct(), words)
-    edges = textkit.written(_confirmed(stars, sets, percent), "edges")
-    found = textkit.written(components(edges), "components")
-    members = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = members.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low != _high").select("key")
-    blocks = F.ceil(F.col("_n") / BLOCK).cast("int")
+    shared = textkit.written(members.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").withColumn("n", F.col("_n")), "shared")
+    members = textkit.written(textkit.spread_join(members, shared, ["key"]).select("key", "node", "n"), "bands")
+    edges, found = None, None
+    for k in range(ROUNDS):
+        open_ = _mixed(members, found)
+        if k and open_.isEmpty():
+            return found
+        centre = open_.groupBy("key").agg(F.min_by(F.struct("node", "component"), F.struct(F.xxhash64("node", F.lit(k)), F.col("node"))).alias("c"), F.count("*").alias("_n"))
+        stars = textkit.spread_join(open_, textkit.written(centre, "centres"), ["key"]).filter("component != c.component")
+        stars = stars.select(F.greatest("node", "c.node").alias("a"), F.least("node", "c.node").alias("b")).distinct()
+        stars = textkit.written(_promising(stars, classes, percent), "pairs")
+        sets = _sets(docs, classes, stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct(), words)
+        new = textkit.written(_confirmed(stars, sets, percent), "edges")
+        edges = new if edges is None else edges.union(new)
+        found = textkit.written(components(edges), "components")
+    open_ = _mixed(members, found)
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.struct(F.least(own, x).alias("i"), F.greatest(own, x).alias("j")))
-    open_ = textkit.written(members.join(mixed, "key", "left_semi").select("key", "node", "component", F.explode(meets).alias("at")), "bands")
     sets = textkit.written(_sets(docs, classes, open_.select("node").distinct(), words).dropDuplicates(["node"]), "sets")
-    more = open_.join(sets, "node").groupBy("key", "at").applyInArrow(lambda t: bridges(t, percent), "a long, b long").distinct()
+    met = open_.select("key", "node", "component", F.explode(meets).alias("at"))
+    more = met.join(sets, "node").groupBy("key", "at").applyInArrow(lambda t: bridges(t, percent), "a long, b long").distinct()
     more = textkit.written(more, "edges")
     return found if more.isEmpty() else textkit.written(components(edges.union(more)), "components")
 
