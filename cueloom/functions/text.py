@@ -123,6 +123,11 @@ def strip_fillers(text: Column, gate: Column | None = None) -> Column:
     return gated(text, gate, FILLER)
 
 
+def fillers(text: Column) -> Column:
+    """array<string>: the filler words of a text, in lower case."""
+    return F.transform(F.regexp_extract_all(text, F.lit(FILLER), F.lit(0)), lambda w: F.regexp_replace(F.lower(w), r"[^a-z]", ""))
+
+
 def replace_profanity(text: Column, table: Column) -> Column:
     """Whole words of a map<word, replacement> in either case, entry by entry; a null or empty map changes nothing."""
     entries = F.coalesce(F.map_entries(table), F.array().cast("array<struct<key:string,value:string>>"))

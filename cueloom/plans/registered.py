@@ -121,10 +121,12 @@ def qc_invalid_gap(spark, sf_dir):
 
 @query(v.with_sql(v.CUES_CONV, body="SELECT c.file_id, CAST(count(*) AS BIGINT) AS n_cues, min(CASE WHEN cue_no = 1 AND NOT " + _ZERO + " THEN 1 ELSE 0 END) = 1 AS no_zero, CAST(sum(CASE WHEN length(c.text) - length(replace(c.text, chr(10), '')) + 1 > 2 THEN 1 ELSE 0 END) AS BIGINT) AS n_many_lines FROM cues_conv c GROUP BY c.file_id").replace("min(CASE WHEN cue_no = 1", "max(CASE WHEN cue_no = 1"))
 def qc_conversation_files(spark, sf_dir):
-    """First cue without zero-subtitle fields, and cues over two lines, in conversations."""
-    t = F.col("text")
-    first = F.max(F.when((F.col("cue_no") == 1) & ~pr.is_zero_subtitle(t), 1).otherwise(0)) == 1
-    return v.cues_conv(spark, sf_dir).groupBy("file_id").agg(F.count("*").alias("n_cues"), first.alias("no_zero"), F.sum((F.size(F.split(t, "\n")) > 2).cast("int")).cast("long").alias("n_many_lines"))
+    """First cue without zero-subtitle fields, and cues over two lines, in conversations, where every platform wants both."""
+    cues = v.cues_conv(spark, sf_dir)
+    joined = _joined(spark, cues).withColumns({"zero_subtitle_required": F.lit(True), "max_lines": F.lit(2)})
+    zero = qc.file_defects(joined).filter("type = 'ZERO_SUBTITLE_INVALID'").select("file_id", F.lit(True).alias("no_zero"))
+    lines = qc.row_defects(joined, ("TOO_MANY_LINES",)).groupBy("file_id").agg(F.count("*").alias("n_cues"), F.sum(F.size("defects")).cast("long").alias("n_many_lines"))
+    return lines.join(zero, "file_id", "left").select("file_id", "n_cues", F.coalesce("no_zero", F.lit(False)).alias("no_zero"), "n_many_lines")
 
 
 @query(v.with_sql(_PLAT, body="""SELECT page_id AS file_id, split_part(url, '/', -1) AS file_name FROM pages WHERE NOT regexp_matches(split_part(url, '/', -1), '^(?i)EHD_\\d{6}[A-Z]_[A-Z]{3}\\.PAC$')"""))
@@ -145,17 +147,17 @@ def defect_type_rollup(spark, sf_dir):
 
 @query(v.with_sql(v.CUES_DOC, body="""SELECT file_id, CAST(cue_no AS BIGINT) AS cue_no, w AS word FROM (SELECT DISTINCT file_id, cue_no, w FROM (SELECT file_id, cue_no, unnest(string_split_regex(lower(text), '[^a-z]+')) AS w FROM cues_doc WHERE lang = 'en') WHERE w IN ('idiot', 'moron', 'scum', 'stupid', 'trash'))"""))
 def profanity_hits(spark, sf_dir):
-    """Words of a table in English cues, by equality of whole words."""
+    """Words of a platform's table that are left in English cues."""
     table = F.create_map(*[F.lit(w) for word in ("idiot", "moron", "scum", "stupid", "trash") for w in (word, word[0] + "xxx")])
-    words = F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))
-    hit = F.array_intersect(words, F.map_keys(table))
-    return v.cues_doc(spark, sf_dir).filter("lang = 'en'").select("file_id", F.col("cue_no").cast("long").alias("cue_no"), F.explode(hit).alias("word"))
+    joined = _joined(spark, v.cues_doc(spark, sf_dir).filter("lang = 'en'")).withColumn("profanity_table", table)
+    rows = qc.row_defects(joined, ("PROFANITY_NOT_REPLACED",))
+    return rows.select("file_id", F.col("cue_no").cast("long").alias("cue_no"), F.explode("defects").alias("d")).select("file_id", "cue_no", F.col("d.detail").alias("word"))
 
 
-@query(v.with_sql(v.CUES_DOC, body="""SELECT lang, w AS filler, count(*) AS n FROM (SELECT lang, unnest(string_split_regex(lower(text), '[^a-zà-ÿ]+')) AS w FROM cues_doc) WHERE w IN ('uh', 'um', 'er', 'erm', 'hmm') GROUP BY lang, w"""))
+@query(v.with_sql(v.CUES_DOC, body=r"""SELECT lang, w AS filler, count(*) AS n FROM (SELECT lang, unnest(string_split_regex(lower(text), '[^\p{L}\p{M}\p{N}_]+')) AS w FROM cues_doc) WHERE w IN ('uh', 'um', 'er', 'erm', 'hmm') GROUP BY lang, w"""))
 def filler_counts(spark, sf_dir):
-    words = v.cues_doc(spark, sf_dir).select("lang", F.explode(F.split(F.lower("text"), "[^a-zà-ÿ]+")).alias("filler"))
-    return words.filter(F.col("filler").isin("uh", "um", "er", "erm", "hmm")).groupBy("lang", "filler").agg(F.count("*").alias("n"))
+    words = v.cues_doc(spark, sf_dir).select("lang", F.explode(tx.fillers(F.col("text"))).alias("filler"))
+    return words.filter("filler not like 'hmmm%'").groupBy("lang", "filler").agg(F.count("*").alias("n"))
 
 
 @query(v.with_sql(v.CUES_DOC, _PLAT, body=f"SELECT p.platform_key, count(*) AS n_cues, count(DISTINCT c.file_id) AS n_files, CAST(min(p.max_chars) AS INT) AS max_chars_per_line, max(p.max_s) AS max_duration_seconds FROM cues_doc c {_ON} GROUP BY p.platform_key"))
@@ -263,10 +265,9 @@ _REGEN = "least(greatest(p.min_s, length(regexp_replace(c.text, '\\s', '', 'g'))
   SELECT file_id, cue_no, d, coalesce(sum(d + g) OVER (PARTITION BY file_id ORDER BY cue_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM (
   SELECT c.file_id, c.cue_no, {_REGEN} AS d, greatest(p.gap_s, 0.04::DOUBLE) AS g FROM cues_conv c {_ON}))"""))
 def regenerated_timeline(spark, sf_dir):
-    """A continuous timeline by reading speed, one cue a turn."""
-    rows = _joined(spark, v.cues_conv(spark, sf_dir)).withColumns({"_d": F.least(timing.required_seconds(), F.col("max_duration_seconds")), "_g": F.greatest("min_interval_seconds", F.lit(0.04))})
-    start = F.coalesce(F.sum(F.col("_d") + F.col("_g")).over(wn.before()), F.lit(0.0))
-    return rows.withColumn("_s", start).select("file_id", F.col("cue_no").cast("long").alias("cue_no"), tc.snap_seconds(F.col("_s")).alias("start_ms"), tc.snap_seconds(F.col("_s") + F.col("_d")).alias("end_ms"))
+    """A continuous timeline by reading speed, one cue a turn: lines are as wide as any turn."""
+    rows = _joined(spark, v.cues_conv(spark, sf_dir)).withColumns({"max_chars_per_line": F.lit(1 << 30), "max_lines": F.lit(1)})
+    return _out(timing.regenerate(rows))
 
 
 # ---- synchronisation --------------------------------------------------------------------------------------------------------------
@@ -576,13 +577,16 @@ def extracted_dialogue(spark, sf_dir):
     return readers.extract_lines(docs).groupBy("file_id", "structure").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
-@query("""SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, CAST(len(list_filter(string_split(text, chr(10)), lambda x: contains(x, '|'))) AS BIGINT) AS n_bar_lines FROM documents WHERE contains(text, '|')""")
+@query(r"""SELECT doc_id, count(*) AS n_bar_lines, CAST(sum(length(l) - length(replace(l, '|', '')) + 1) AS BIGINT) AS n_cells FROM (SELECT doc_id, regexp_replace(trim(l, ' '), '^\|(.*)\|$', '\1') AS l FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) WHERE contains(l, '|')) GROUP BY doc_id""")
 def bar_table_documents(spark, sf_dir):
-    d = v.table(spark, sf_dir, "documents").filter(F.col("text").contains("|"))
-    return d.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.size(F.filter(F.split("text", "\n"), lambda x: x.contains("|"))).cast("long").alias("n_bar_lines"))
+    """Lines and cells of tables drawn with bars."""
+    docs = v.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), "text").filter(F.col("text").contains("|"))
+    rows = readers.line_table(docs).filter(F.col("line").contains("|"))
+    return rows.groupBy(F.col("file_id").alias("doc_id")).agg(F.count("*").alias("n_bar_lines"), F.sum(F.size(readers.table_cells(F.col("line")))).cast("long").alias("n_cells"))
 
 
 @query("""SELECT s.user_id AS platform, CAST(count(*) AS BIGINT) AS n_jobs, CAST(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS BIGINT) AS n_done, max(value) AS most FROM events s GROUP BY s.user_id""")
 def job_stats(spark, sf_dir):
     """Events as a job log, counted a user."""
-    return v.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("platform")).agg(F.count("*").alias("n_jobs"), F.sum((F.col("event_type") == "purchase").cast("long")).alias("n_done"), F.max("value").alias("most"))
+    done = F.when(F.col("event_type") == "purchase", "done").otherwise("open")
+    return sinks.job_stats(v.table(spark, sf_dir, "events").select(F.col("user_id").alias("platform"), done.alias("status"), F.col("value").alias("size")))

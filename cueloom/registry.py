@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cueloom.plans import registered
+from cueloom.plans import checked, registered  # noqa: F401  (checked adds its queries to those of registered)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

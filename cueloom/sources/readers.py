@@ -206,13 +206,13 @@ def cell_role(cell: Column) -> Column:
     return out
 
 
-def _cells(line: Column) -> Column:
+def table_cells(line: Column) -> Column:
     return F.transform(F.split(F.regexp_replace(line, r"^\|(.*)\|$", "$1"), r"\|"), lambda c: F.trim(c))
 
 
 def parse_spotting_table(docs: DataFrame) -> DataFrame:
     """Tables with a header line of known roles, cells between bars; a row without timecode continues the cue before."""
-    lines = line_table(docs).filter(F.col("line").contains("|")).withColumn("_c", _cells(F.col("line")))
+    lines = line_table(docs).filter(F.col("line").contains("|")).withColumn("_c", table_cells(F.col("line")))
     roles = F.transform("_c", lambda c: F.coalesce(cell_role(c), F.lit("")))
     lines = lines.withColumn("_r", roles)
     heads = lines.filter(F.array_contains("_r", "start") & F.array_contains("_r", "dialogue")).groupBy("file_id").agg(F.min_by(F.struct("line_no", "_r"), "line_no").alias("_h"))
@@ -233,7 +233,7 @@ def _continued(rows: DataFrame) -> DataFrame:
 def parse_spotting_rows(docs: DataFrame) -> DataFrame:
     """Headerless rows: the last two timecode cells are start and end and the rightmost cell with a letter the dialogue; a row with one
     leading timecode ends two frames before the next."""
-    lines = line_table(docs).withColumn("_c", _cells(F.col("line")))
+    lines = line_table(docs).withColumn("_c", table_cells(F.col("line")))
     codes = F.filter("_c", lambda c: c.rlike(rf"^{TC}$"))
     words = F.filter("_c", lambda c: c.rlike(r"\p{L}") & ~c.rlike(rf"^{TC}$"))
     lines = lines.withColumns({"_codes": codes, "_words": words})
@@ -275,14 +275,14 @@ def parse_flat_script(docs: DataFrame, least: int = 5) -> DataFrame:
 
 def parse_footage(docs: DataFrame) -> DataFrame:
     """Rows that end in START, FINISH and TOTAL in feet.frames, the dialogue in the cell before; header rows are skipped."""
-    lines = line_table(docs).withColumn("_c", _cells(F.regexp_replace("line", r"\s{2,}|\t", "|")))
+    lines = line_table(docs).withColumn("_c", table_cells(F.regexp_replace("line", r"\s{2,}|\t", "|")))
     n = F.size("_c")
     foot = lambda k: F.get("_c", n - k)
     rows = lines.filter(n >= 4).withColumns({"_s": tc.footage_ms(foot(3)), "_e": tc.footage_ms(foot(2)), "_t": foot(4)}).filter("_s is not null and _e is not null").filter(~F.col("line").rlike("(?i)start.*finish"))
     return wn.renumber(_cues(rows, F.col("_s"), F.col("_e"), F.col("_t"), "line_no"))
 
 
-def unstack_cells(cells: DataFrame) -> DataFrame:
+def unstacktable_cells(cells: DataFrame) -> DataFrame:
     """(file_id, row_no, codes array, lines array) to cues: a row with n >= 2 timecodes sends line d of L to timecode
     round(d (n-1) / (L-1)); one starts a cue; none continues the cue before. Visual notes go, repeated timecodes merge."""
     visual = r"(?i)\b(?:logo|montage|visual|camera|shot of|cut to|close[- ]?up|wide shot)\b"
@@ -379,7 +379,7 @@ def extract_lines(docs: DataFrame, min_words: int = 1) -> DataFrame:
     out, and neighbours that are equal count once. A file that gives fewer than 10 of over 30 lines is read again as a script with
     speakers."""
     lines = line_table(docs.withColumn("structure", detect_structure(F.col("text")))).join(docs.select("file_id", detect_structure(F.col("text")).alias("structure")).distinct(), "file_id")
-    cells = _cells(F.col("line"))
+    cells = table_cells(F.col("line"))
     worded = F.filter(cells, lambda c: c.rlike(r"\p{L}{2,}"))
     label = F.regexp_replace("line", tx.SPEAKER, "")
     body = F.when(F.col("structure") == "table", F.get(worded, F.size(worded) - 1)).when(F.col("structure").isin("srt", "vtt"), F.when(~F.col("line").rlike(r"-->|^\d+$|^WEBVTT|^NOTE|^STYLE"), F.col("line"))).when(F.col("structure") == "paragraph_with_timecodes", F.regexp_replace(label, rf"^{TC}\s*", "")).otherwise(label)

@@ -117,3 +117,8 @@ def job_rows(report: DataFrame, platform_key: str, fmt: str) -> DataFrame:
 def log_jobs(rows: DataFrame, path: str) -> None:
     """Appends to the job log."""
     rows.write.mode("append").parquet(path)
+
+
+def job_stats(jobs: DataFrame) -> DataFrame:
+    """(platform, status, size) of jobs: how many there are of each platform, how many are done, and the largest."""
+    return jobs.groupBy("platform").agg(F.count("*").alias("n_jobs"), F.count_if(F.col("status") == "done").alias("n_done"), F.max("size").alias("most"))
