@@ -44,7 +44,7 @@ STEPS = int(REACH * PART_WORDS)
 #: Windows that are embedded at a time.
 WINDOWS = 8192
 #: Bits of a bitmap of the items' keys or pairs at most, as power of two; below that SPARSE bits an entry.
-FILTER_BITS, SPARSE = 26, 512
+FILTER_BITS, SPARSE = 26, 4096
 #: Bytes of candidates' text that are verified in one task, about.
 VERIFY_BYTES = 8 << 20
 
@@ -270,18 +270,22 @@ def key_filter(distinct: DataFrame, keys: DataFrame) -> Filter:
 
 
 def window_keys(docs: DataFrame, known: Filter) -> DataFrame:
-    """(key, row, start): windows of docs (row, text) that open at word `start`, with the keys that may be an item's."""
+    """(key, row, start, text) of docs (row, text): windows that open at word `start`, with the keys that may be an item's; and,
+    once for each text that has any, the text with a null key, so that texts needn't be fetched by a shuffle of all of them."""
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "row", "start", "text"]
         for batch in batches:
             for a, _, buf, offsets in textkit.text_slices(batch.column(1)):
                 hashes, first = words(buf, offsets)
                 where, keys = shared.value.candidates(hashes, first)
                 row = np.searchsorted(first, where, side="right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), batch.column(0).take(pa.array(a + row)), pa.array((where - first[row]).astype(np.int32))], ["key", "row", "start"])
+                n, some = len(keys), pa.array(a + np.unique(row))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), batch.column(0).take(pa.array(a + row)), pa.array((where - first[row]).astype(np.int32)), pa.nulls(n, pa.string())], names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64()), batch.column(0).take(some), pa.nulls(len(some), pa.int32()), batch.column(1).take(some).cast(pa.string())], names)
 
-    return docs.select("row", "text").mapInArrow(run, "key long, row binary, start int")
+    return docs.select("row", "text").mapInArrow(run, "key long, row binary, start int, text string")
 
 
 def _verify(texts: pa.Table, pairs: pa.Table) -> pa.Table:
@@ -318,12 +322,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     every = textkit.written(items(benchmark), "items")
     distinct = textkit.written(every.groupBy("item").agg(F.first("words").alias("words")), "distinct-items")
     keys = textkit.written(part_keys(distinct), "item-keys")
-    found = window_keys(docs.filter("text is not null"), key_filter(distinct, keys))
-    met = textkit.written(found, "windows").join(keys.select("key", "item", "at"), "key")
+    found = textkit.written(window_keys(docs.filter("text is not null"), key_filter(distinct, keys)), "windows")
+    met = found.filter("key is not null").select("key", "row", "start").join(keys.select("key", "item", "at"), "key")
     begins = met.select("row", "item", (F.col("start") - F.col("at")).alias("begin")).distinct()
     pairs = textkit.written(begins.groupBy("row", "item").agg(F.collect_list("begin").alias("begins")), "pairs")
-    texts = docs.join(pairs.select("row").distinct(), "row", "left_semi").dropDuplicates(["row"])
-    texts = textkit.written(texts.select("row", "text"), "suspects")
+    texts = found.filter("text is not null").select("row", "text").join(pairs.select("row").distinct(), "row", "left_semi").dropDuplicates(["row"])
+    texts = textkit.written(texts, "suspects")
     size = texts.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     bucket = F.pmod(F.xxhash64("row"), F.lit(max(1, -(-size // VERIFY_BYTES)))).alias("bucket")
     counts = pairs.groupBy("item").agg(F.count("*").alias("_n"))
