@@ -47,7 +47,12 @@ SCENE_HEADING = r"(?i)\b(?:int\.|ext\.|int/ext\.|ext/int\.)"
 QC_NOTE = r"(?i)\d+(?:st|nd|rd|th)\s+qc\s*:"
 SPEAKER = r"^[A-Z][A-Z0-9 .'\-/()#&,]{0,60}[:\-]\s*"
 INLINE_SPEAKER = r"^(?:[A-Z]{2,30}(?:\s+[A-Z0-9]{1,30}){0,3}|[A-Z]\s+[A-Z0-9]{1,30})\s+(?=[A-Z][a-z]|I\s|['\"(]|\d)"
-KNOWN_SOUNDS = r"(?i)[<(\[]\s*(?:laughs?|chuckles?|moans?|exclaims?|gasps?|sighs?|groans?|sobs?|screams?|scoffs?|grunts?|whimpers?|pants?|sniffles?)(?:\s+[a-z ]{1,40})?\s*[>)\]]\s*"
+# Tags in angle brackets that are no italics or bold, and sound verbs in round brackets.
+ANGLE_NOTE = r"<(?!/?(?:i|b)>)[a-zA-Z][^>]{0,60}>"
+SOUND_VERBS = (
+    r"(?i)\((?:laughs?|chuckles?|sighs?|gasps?|groans?|moans?|cries|crying|sniffles?|exhales?|inhales?|grunts?|screams?|whispers?|sobs?|yells?|shouts?|"
+    r"exclaims?|narrat(?:es?|ing|or)|singing|humming|clears? (?:his |her |their )?throat)\)"
+)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -382,16 +387,15 @@ def delivery_text(text: Column) -> Column:
 
 
 def post_process(text: Column) -> Column:
-    """Sound tags in angle or round brackets, italics broken within a word, empty tags, bold and blanks."""
-    t = F.regexp_replace(text, KNOWN_SOUNDS, "")
-    t = F.regexp_replace(t, r"<i>(\w+)</i>(?=\w)(\w+)", "<i>$1$2</i>")
-    t = F.regexp_replace(F.regexp_replace(t, r"</?b>", ""), r"<i>\s*</i>|\(\s*\)|\[\s*\]", "")
-    return F.trim(F.regexp_replace(t, r"[ \t]{2,}", " "))
+    """Notes in angle brackets, known sounds in round ones, italics broken within a word on either side, empty tags, bold and blanks."""
+    joined = ((r"<i>(\w+)</i>(\w+)", "<i>$1$2</i>"), (r"(\w+)<i>(\w+)(?:</i>)?", "<i>$1$2</i>"))
+    empty = (r"<i>\s*</i>|</?b>", ""), (r"\(\s*\)|\[\s*\]", "")
+    return F.trim(replaced(text, (ANGLE_NOTE, ""), *joined, *empty, (SOUND_VERBS, ""), (r"[ \t]{2,}", " ")))
 
 
 def extraction_line(text: Column) -> Column:
-    """An extracted line without bracketed notes, outer dashes and doubled blanks."""
-    t = F.regexp_replace(text, r"\([^)]*\)|\[[^\]]*\]|\{[^}]*\}", "")
+    """An extracted line without bracketed notes, fillers, outer dashes and doubled blanks."""
+    t = strip_fillers(F.regexp_replace(text, r"\([^)]*\)|\[[^\]]*\]|\{[^}]*\}", ""))
     t = F.regexp_replace(t, r"\s+,", ",")
     return F.trim(F.regexp_replace(F.regexp_replace(t, r"^[\s–—-]+|[\s–—-]+$", ""), r"\s{2,}", " "))
 

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cueloom import shared
 from cueloom.functions import predicates as pr
 from cueloom.functions import text as tx
 from cueloom.functions import timecode as tc
@@ -126,11 +127,11 @@ def regenerate(cues: DataFrame, offset_s: float = 0.0) -> DataFrame:
 def prepare(cues: DataFrame, titles: DataFrame | None = None, regenerate_timings: bool = False, keep_all: bool = False) -> DataFrame:
     """Cues joined with platform fields made ready: ends filled, text cleaned, non-dialogue dropped, long cues split, windows
     repaired, the zero subtitle added where a platform wants it, and cues renumbered."""
-    out = wn.fill_ends(cues).withColumn("text", tx.delivery_text(F.coalesce("text", F.lit(""))))
+    out = shared.written(wn.fill_ends(cues).withColumn("text", tx.delivery_text(F.coalesce("text", F.lit("")))), "delivery")
     if not keep_all:
         out = out.filter(pr.is_dialogue(F.col("text")))
     out = wn.placeholders(regenerate(out) if regenerate_timings else out)
-    out = repair_windows(split_long(wn.sorted_by_start(out)))
+    out = repair_windows(shared.written(split_long(wn.sorted_by_start(out)), "split"))
     if titles is not None:
         wanted = out.filter("zero_subtitle_required").select("file_id").distinct()
         zero = wn.prepend_zero(out.join(wanted, "file_id", "left_semi"), titles)

@@ -13,7 +13,8 @@ from cueloom.functions import timecode as tc
 from cueloom.operators import align, audit, batches, catalog, qc, sync, timeline, timing
 from cueloom.operators import platforms as pl
 from cueloom.operators import windows as wn
-from cueloom.plans.registered import _ON, _PLAT, _RULES, _GUIDE, _anchors, _guidelines, _joined, _k, _long, _out, _params, _rules, _sync_sql, query
+from cueloom.plans import pipelines
+from cueloom.plans.registered import _ON, _PLAT, _plat, _RULES, _GUIDE, _anchors, _guidelines, _joined, _k, _long, _out, _params, _rules, _sync_sql, query
 from cueloom.sources import readers, sinks
 
 _no = lambda: F.col("cue_no").cast("long").alias("cue_no")
@@ -455,3 +456,26 @@ def job_log(spark, sf_dir):
     """Rows of the job log for cleaned conversations."""
     cues = v.cues_conv(spark, sf_dir).withColumns({"original_text": F.col("text"), "flagged": F.col("cue_no") % 7 == 0})
     return sinks.job_rows(audit.cleaning_stats(cues).withColumn("structure", F.lit("plain")), "generic", "srt").drop("created_at")
+
+
+@query(v.with_sql(v.CUES_CONV, body="SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY cue_no) AS cue_no, start_ms, end_ms, trim(text, ' ') AS text FROM cues_conv WHERE trim(text, ' ') <> ''"))
+def round_trip_csv(spark, sf_dir):
+    """Turns with commas, quotes and line breaks written as comma-separated text and read back."""
+    rows = sinks.to_csv(v.cues_conv(spark, sf_dir))
+    line = F.concat_ws(",", F.col("ID").cast("string"), *(F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"')) for c in ("Start Time", "End Time", "Text")))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ID", line.alias("l")))), lambda s: s["l"]), "\n")
+    docs = rows.groupBy("file_id").agg(F.concat(F.lit("ID,Start Time,End Time,Text\n"), body).alias("text"))
+    return readers.parse_csv(docs).select("file_id", *_long("cue_no", "start_ms", "end_ms"), "text")
+
+
+@query()
+def clean(spark, sf_dir):
+    """Documents' lines cleaned, repaired and made ready for their platforms."""
+    out = pipelines.clean(_plat(v.cues_doc(spark, sf_dir)), pl.presets(spark))
+    return out.select("file_id", *_long("cue_no", "start_ms", "end_ms"), "text", "flagged")
+
+
+@query()
+def prepare_and_check(spark, sf_dir):
+    """Report of every conversation on the defects that remain after cleaning."""
+    return pipelines.prepare_and_check(_plat(v.cues_conv(spark, sf_dir)), pl.presets(spark))[1]

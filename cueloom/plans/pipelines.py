@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cueloom import shared
 from cueloom.functions import italics as it
 from cueloom.functions import predicates as pr
 from cueloom.functions import text as tx
@@ -14,14 +15,18 @@ from cueloom.operators import platforms as pl
 
 def clean(cues: DataFrame, platforms: DataFrame, titles: DataFrame | None = None) -> DataFrame:
     """Deterministic cleaning of cues (file_id, platform_key, cue_no, start_ms, end_ms, text): delivery text, the ordered chain,
-    italics, preparation, and flags for lines that are still too long. Protected titles keep their words."""
+    italics, preparation, and flags for lines that are still too long. Protected titles keep their words.
+
+    Cleaned texts are written to the shared folder: later filters on them would else be pushed through the whole chain, and the
+    plan would grow with the power of its steps."""
     joined = pl.join_platforms(cues, it.with_policy(platforms)).withColumn("original_text", F.col("text"))
     title = tx.protected_title(F.col("text"))
     first = tx.delivery_text(F.coalesce("text", F.lit("")))
     out = joined.withColumn("_title", title).withColumn("text", F.coalesce("_title", F.when(first == "", F.col("text")).otherwise(first)))
-    out = it.apply(audit.with_hints(tx.clean_text(out)))
+    out = shared.written(tx.clean_text(out), "cleaned")
+    out = it.apply(audit.with_hints(out))
     out = out.withColumn("text", F.coalesce("_title", "text")).drop("_title")
-    out = timing.prepare(out, titles)
+    out = shared.written(timing.prepare(shared.written(out, "italics"), titles), "prepared")
     return pr.flag_too_long(out.withColumns({c: F.lit(None).cast(k) for c, k in (("flagged", "boolean"), ("flag_reason", "string")) if c not in out.columns}))
 
 

@@ -159,6 +159,43 @@ def cues_from_rows(rows: DataFrame) -> DataFrame:
     return wn.renumber(_cues(rows, tc.parse_ms(F.col(f"`{s}`").cast("string")), end, text, "row_no"))
 
 
+def parse_csv(docs: DataFrame) -> DataFrame:
+    """Cues of comma-separated texts with a header line: columns by part of their names, as in `cues_from_rows`.
+
+    A cell may be quoted and hold commas, doubled quotes and line breaks. Records end where quotes are balanced; a text whose
+    header names no text column gives its last column.
+    """
+    # a line with an open quote goes on in the next one
+    lines = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"\r\n?", "\n"), "\n")
+    odd = lambda x: F.regexp_count(x, F.lit('"')) % 2 == 1
+    empty = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("open"))
+
+    def step(acc: Column, x: Column) -> Column:
+        whole = F.when(acc["open"].isNull(), x).otherwise(F.concat(acc["open"], F.lit("\n"), x))
+        return tx.let(whole, lambda w: F.when(odd(w), F.struct(acc["out"].alias("out"), w.alias("open"))).otherwise(F.struct(F.concat(acc["out"], F.array(w)).alias("out"), F.lit(None).cast("string").alias("open"))))
+
+    records = F.filter(F.aggregate(lines, empty, step, lambda acc: acc["out"]), lambda x: F.trim(x) != "")
+    quoted = r'"((?:[^"]|"")*)"|([^,]*)'
+    # every cell behind a comma, so that empty cells are matched too
+    cell = lambda c: F.replace(F.regexp_replace(F.regexp_replace(c, r"^,", ""), r'(?s)^\s*"(.*)"\s*$', "$1"), F.lit('""'), F.lit('"'))
+    cells = lambda r: F.transform(F.regexp_extract_all(F.concat(F.lit(","), r), F.lit(rf"(?s),\s*(?:{quoted})"), F.lit(0)), cell)
+    rows = docs.select("file_id", F.posexplode(F.transform(records, cells)).alias("row_no", "cells"))
+    head = rows.filter("row_no = 0").select("file_id", F.transform("cells", lambda c: F.lower(F.trim(c))).alias("names"))
+    body = rows.filter("row_no > 0").join(head, "file_id")
+
+    def place(names: tuple[str, ...]) -> Column:
+        found = [F.array_position(F.transform("names", lambda c, n=n: c.contains(n)), True) for n in names]
+        return F.coalesce(*(F.when(k > 0, k.cast("int")) for k in found))
+
+    of = lambda names: F.get("cells", place(names) - 1)
+    text = F.coalesce(of(TEXT_NAMES), F.when(place(TEXT_NAMES).isNull(), F.get("cells", F.size("cells") - 1)))
+    known = body.select("file_id", "row_no", place(START_NAMES).isNotNull().alias("_timed"), tc.parse_ms(of(START_NAMES)).alias("_s"), tc.parse_ms(of(END_NAMES)).alias("_e"), text.alias("_t"))
+    timed = wn.renumber(_cues(known.filter("_timed"), F.col("_s"), F.col("_e"), F.col("_t"), "row_no"))
+    order = Window.partitionBy("file_id").orderBy("row_no")
+    rest = known.filter("not _timed and trim(coalesce(_t, '')) <> ''").select("file_id", F.row_number().over(order).alias("cue_no"), F.trim("_t").alias("text"))
+    return timed.unionByName(sequential(rest).select("file_id", "cue_no", "start_ms", "end_ms", "text"))
+
+
 def read_cue_csv(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.csv(path, header=True, multiLine=True, escape='"')
     return cues_from_rows(rows.withColumns({"file_id": F.col("_metadata.file_path"), "row_no": F.monotonically_increasing_id()}))
@@ -282,7 +319,7 @@ def parse_footage(docs: DataFrame) -> DataFrame:
     return wn.renumber(_cues(rows, F.col("_s"), F.col("_e"), F.col("_t"), "line_no"))
 
 
-def unstacktable_cells(cells: DataFrame) -> DataFrame:
+def unstack_cells(cells: DataFrame) -> DataFrame:
     """(file_id, row_no, codes array, lines array) to cues: a row with n >= 2 timecodes sends line d of L to timecode
     round(d (n-1) / (L-1)); one starts a cue; none continues the cue before. Visual notes go, repeated timecodes merge."""
     visual = r"(?i)\b(?:logo|montage|visual|camera|shot of|cut to|close[- ]?up|wide shot)\b"
@@ -338,7 +375,7 @@ def column_bounds(words: DataFrame, gap: float = 40.0, join: float = 30.0) -> Da
 
 
 EXTENSIONS = {"srt": "srt", "vtt": "vtt", "ass": "ass", "ssa": "ass", "sub": "microdvd", "sbv": "sbv", "lrc": "lrc", "ttml": "ttml", "dfxp": "ttml", "xml": "ttml", "csv": "csv", "json": "json", "txt": "txt"}
-PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {"srt": parse_srt, "vtt": parse_vtt, "ass": parse_ass, "microdvd": parse_microdvd, "sbv": parse_sbv, "lrc": parse_lrc, "ttml": parse_ttml, "json": parse_cue_json, "txt": parse_txt}
+PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {"srt": parse_srt, "vtt": parse_vtt, "ass": parse_ass, "microdvd": parse_microdvd, "sbv": parse_sbv, "lrc": parse_lrc, "ttml": parse_ttml, "csv": parse_csv, "json": parse_cue_json, "txt": parse_txt}
 
 
 def detect_format(file_name: Column, text: Column) -> Column:

@@ -48,6 +48,7 @@ def test_post_process(spark):
     each(spark, tx.post_process, [
         ("<laughs> No.", "No."), ("<laughs> Wow. Time out. Hang on.", "Wow. Time out. Hang on."), ("Oh, what's to think about? <moans>", "Oh, what's to think about?"), ("<exclaims>", ""),
         ("<i>Non</i>e.", "<i>None</i>."), ("<i>Somethin</i>g wrong.", "<i>Something</i> wrong."), ("<i>Flashback</i>", "<i>Flashback</i>"), ("(laughs) That's funny.", "That's funny."),
+        ("[MUSIC PLAYING]", "[MUSIC PLAYING]"), ("<cHuckling exhale> Yeah... <exclaims>", "Yeah..."), ("(exhales) So (crying) it is", "So it is"), ("word<i>s</i> here", "<i>words</i> here"), ("<b>x</b> <i> </i>()", "x"),
     ])
 
 

@@ -225,3 +225,19 @@ def test_top_candidates_query_runs_the_operator(spark, monkeypatch):
     monkeypatch.setattr(align, "top_candidates", lambda found: calls.append(1) or own(found))
     got = known["top_candidates"](spark, "/root/testdata/sf0.001").collect()
     assert calls and max(r["rank"] for r in got) <= 30
+
+
+def test_parse_csv(spark):
+    from cueloom.sources import readers
+
+    quoted = 'No,Start,End,Dialogue\n1,00:00:01.000,00:00:02.000,"Well, ""yes""\nno"\n2,00:00:03.000,,plain\n3,00:00:05.000,00:00:06.000,\n'
+    rows = [(1, "a.csv", quoted), (2, "b.csv", "id,line\n1,first\n2,\n3,third"), (3, "c.csv", ""), (4, "d.csv", None)]
+    got = readers.parse_any(spark.createDataFrame(rows, "file_id long, file_name string, text string")).orderBy("file_id", "cue_no").collect()
+    assert [tuple(r) for r in got] == [(1, 1, 1000, 2000, 'Well, "yes"\nno'), (1, 2, 3000, 6000, "plain"), (2, 1, 0, 2000, "first"), (2, 2, 2200, 4200, "third")]
+
+
+def test_roots_of_long_chains_and_circles(spark):
+    from cueloom.operators import catalog
+
+    chain = spark.createDataFrame([(k, k - 1 if k else None) for k in range(40)] + [(100, 99)], "id long, supersedes_id long")
+    assert {r.id: r.root_id for r in catalog.roots(chain).collect()} == {k: 0 for k in range(40)} | {100: 99}
