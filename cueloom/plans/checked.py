@@ -458,10 +458,10 @@ def job_log(spark, sf_dir):
     return sinks.job_rows(audit.cleaning_stats(cues).withColumn("structure", F.lit("plain")), "generic", "srt").drop("created_at")
 
 
-@query(v.with_sql(v.CUES_CONV, body="SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY cue_no) AS cue_no, start_ms, end_ms, trim(text, ' ') AS text FROM cues_conv WHERE trim(text, ' ') <> ''"))
+@query(v.with_sql(v.CUES_CONV, body="SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY cue_no) AS cue_no, start_ms + 137 * cue_no AS start_ms, end_ms + 137 * cue_no AS end_ms, trim(text, ' ') AS text FROM cues_conv WHERE trim(text, ' ') <> ''"))
 def round_trip_csv(spark, sf_dir):
     """Turns with commas, quotes and line breaks written as comma-separated text and read back."""
-    rows = sinks.to_csv(v.cues_conv(spark, sf_dir))
+    rows = sinks.to_csv(v.cues_conv(spark, sf_dir).withColumns({c: F.col(c) + 137 * F.col("cue_no") for c in ("start_ms", "end_ms")}))
     line = F.concat_ws(",", F.col("ID").cast("string"), *(F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"')) for c in ("Start Time", "End Time", "Text")))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ID", line.alias("l")))), lambda s: s["l"]), "\n")
     docs = rows.groupBy("file_id").agg(F.concat(F.lit("ID,Start Time,End Time,Text\n"), body).alias("text"))

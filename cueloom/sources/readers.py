@@ -184,7 +184,8 @@ def parse_csv(docs: DataFrame) -> DataFrame:
     body = rows.filter("row_no > 0").join(head, "file_id")
 
     def place(names: tuple[str, ...]) -> Column:
-        found = [F.array_position(F.transform("names", lambda c, n=n: c.contains(n)), True) for n in names]
+        holds = lambda n: lambda c: c.contains(n)
+        found = [F.array_position(F.transform("names", holds(n)), True) for n in names]
         return F.coalesce(*(F.when(k > 0, k.cast("int")) for k in found))
 
     of = lambda names: F.get("cells", place(names) - 1)
