@@ -42,11 +42,11 @@ CLASSES, REACH = (5, 10, 20), 1.6
 WALKS, TABLES, BITS = 8, 64, 4
 STEPS = int(REACH * PART_WORDS)
 #: Windows that are embedded at a time.
-WINDOWS = 8192
+WINDOWS = 2048
 #: Bits of a bitmap of the items' keys or pairs at most, as power of two; below that SPARSE bits an entry.
 FILTER_BITS, SPARSE = 26, 4096
-#: Bytes of candidates' text that are verified in one task, about.
-VERIFY_BYTES = 8 << 20
+#: Bytes of text that are looked at in one step, and of candidates' text that are verified in one task, about.
+STEP_BYTES, VERIFY_BYTES = 1 << 18, 2 << 20
 
 _rng = np.random.default_rng(3)
 _COINS = _rng.integers(0, 1 << 31, (WALKS, STEPS), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -277,7 +277,7 @@ def window_keys(docs: DataFrame, known: Filter) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "row", "start", "text"]
         for batch in batches:
-            for a, _, buf, offsets in textkit.text_slices(batch.column(1)):
+            for a, _, buf, offsets in textkit.text_slices(batch.column(1), STEP_BYTES):
                 hashes, first = words(buf, offsets)
                 where, keys = shared.value.candidates(hashes, first)
                 row = np.searchsorted(first, where, side="right") - 1
