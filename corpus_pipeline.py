@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages over the documents table, each an operator of cueloom.llm.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; `run` writes each result to the shared folder and rereads
-it for the next. All but the last stage return the columns of documents; the last returns token ids and digests.
+it for the next. All but the last stage return the columns of documents, further ones included; the last returns token ids and
+digests. An empty table gives an empty one. Rows with null doc_id are looked at by stages 1, 4 and 5 and passed on by 2 and 3.
 """
 
 from __future__ import annotations
@@ -18,20 +19,42 @@ def _resized(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
 
 
+def _apart(docs: DataFrame, *made: str) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns renamed that are called like those an operator adds, and the names to give back."""
+    names = {}
+    for c in made:
+        if c in docs.columns:
+            names[c] = f"_{c}"
+            while names[c] in docs.columns:
+                names[c] = f"_{names[c]}"
+    return docs.withColumnsRenamed(names), {v: k for k, v in names.items()}
+
+
+def _back(out: DataFrame, made: tuple[str, ...], names: dict[str, str], docs: DataFrame) -> DataFrame:
+    return out.drop(*made).withColumnsRenamed(names).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in no language: null texts and texts without a letter."""
-    scored = langid.predict(docs, langid.fit(docs))
-    return scored.filter(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    """Drops documents in no language: null texts and texts without a letter. Repeated rows stay or go together."""
+    made = ("lang_pred", "score")
+    own, names = _apart(docs, *made)
+    return _back(langid.predict(own, langid.fit(docs)).filter(F.col("lang_pred") != langid.UNKNOWN), made, names, docs)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes later repeated runs of 3 lines or 50 words; a document of which only blank lines are left goes."""
-    cut = linededup.dedup(docs, words=linededup.PASSAGE_WORDS)
-    return _resized(cut.filter((F.col("n_removed") == 0) | (F.trim("text") != "")).select(*docs.columns))
+    """Deletes later repeated runs of 3 lines or 50 words; a document of which only blank lines are left goes.
+
+    Earlier is the smaller doc_id, then the smaller line number; equal rows keep the same lines, a null text stays null."""
+    made = ("n_lines", "n_removed", "n_runs")
+    own, names = _apart(docs, *made)
+    cut = linededup.dedup(own, words=linededup.PASSAGE_WORDS)
+    return _resized(_back(cut.filter((F.col("n_removed") == 0) | F.col("text").isNull() | (F.trim("text") != "")), made, names, docs))
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates: five-word shingles, Jaccard similarity of 0.8 or more."""
+    """Keeps one document of each group of near duplicates: five-word shingles, Jaccard similarity of 0.8 or more.
+
+    The one with the smallest doc_id stays, of repeated rows one; texts that are null or have no word link with nothing and stay."""
     found = textkit.written(minhash.near_duplicates(docs, words=5, percent=80), "near-duplicates")
     kept = docs.join(found.filter("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
     repeated = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty()
@@ -39,9 +62,10 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a passage of the benchmark."""
-    found = decontaminate.contaminated(docs, textkit.table(spark, sf_dir, "benchmark"))
-    return found.filter(F.size("leaks") == 0).select(*docs.columns)
+    """Drops documents that hold a passage of the benchmark, wherever it stands; null and empty texts are clean and stay."""
+    own, names = _apart(docs, "leaks")
+    found = decontaminate.contaminated(own, textkit.table(spark, sf_dir, "benchmark"))
+    return _back(found.filter(F.size("leaks") == 0), ("leaks",), names, docs)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
