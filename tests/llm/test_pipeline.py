@@ -57,6 +57,22 @@ def test_long_lines_go(spark):
     assert {r.doc_id: r.text for r in corpus_pipeline.dedup_lines(spark, docs, SF).collect()} == {0: rows[0][1], 1: "second\nthird"}
 
 
+def test_edge_rows_of_every_stage(spark):
+    """Empty tables, nulls in every column, empty and long texts, repeated rows and clashing column names."""
+    kind = "doc_id long, text string, lang string, source string, n_chars long, row string, d string, kept string, leaks string, lang_pred string, score double"
+    more = ("r", "d", "k", "l", "p", 0.5)
+    rows = [(1, "some words stand here in a line", "en", "s", 31, *more), (1, "some words stand here in a line", "en", "s", 31, *more), (None, "letters without a number", None, None, None, *more), (2, None, None, None, None, *([None] * 6)), (3, "", "en", "s", 0, *more), (4, "long text " * 30_000, "en", "s", 300_000, *more)]
+    docs, empty = spark.createDataFrame(rows, kind), spark.createDataFrame([], kind)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out, none = stage(spark, docs, SF), stage(spark, empty, SF)
+        assert none.count() == 0
+        got = out.collect()
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert out.columns == docs.columns
+            assert {r.doc_id for r in got} >= {1, None, 4} and all(r.row == "r" and r.score == 0.5 for r in got if r.doc_id == 1)
+        assert sum(r.doc_id == 1 for r in got) == (1 if k == 2 else 2)
+
+
 def test_run_and_registration(spark):
     import __spark_entry__
 
