@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, linededup, minhash, secrets, suffixdedup, toxicity, vectordedup, warc
+from . import bpe, centroids, decontaminate, divergence, langid, linededup, minhash, mixing, secrets, suffixdedup, toxicity, vectordedup, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_minhash": minhash.op8_minhash,
         "op9_langid": langid.op9_langid,
         "op10_warc": warc.op10_warc,
+        "op11_mixing": mixing.op11_mixing,
+        "op12_centroids": centroids.op12_centroids,
+        "op13_divergence": divergence.op13_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": linededup.OP4_SQL}
+    return {"op4_line_dedup": linededup.OP4_SQL, "op12_centroids": centroids.OP12_SQL, "op13_divergence": divergence.OP13_SQL}
