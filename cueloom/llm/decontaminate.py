@@ -4,17 +4,22 @@ Texts are compared as words: lower-cased runs of letters and digits; characters
 character (Chinese, Japanese, Thai, ...) are words of their own. A document is contaminated by an item if some stretch of its words is within the allowed edits of the item (inserted,
 deleted or changed words): EDITS of its words, none for items under 2 * LEAST_WORDS words.
 
-1. Items are cut into parts of at most PART_WORDS words. If a stretch is within the allowed share of edits of an item, it is so
-   for one of its parts, so a window never needs to be longer than a part, however long an item is.
+1. Items are cut into parts of at most PART_WORDS words; equal parts of several items are one part. If a stretch is within the
+   allowed share of edits of an item, it is so for one of its parts, so a window never needs to be longer than a part.
 2. Windows of a part's size open at every word of every document. An edit harms two pairs of neighbouring words at most, so a
-   window that holds too few of the items' pairs (a bitmap of at most 2 ** FILTER_BITS bits) can't be within the allowed
+   window that holds too few of the parts' pairs (a bitmap of at most 2 ** FILTER_BITS bits) can't be within the allowed
    edits and is skipped: nothing is lost by it, and as a benchmark grows the bitmap only skips less.
 3. A CGK walk embeds windows and parts into Hamming space: at step j the current word is put out, and a random bit of
    (j, word) tells whether to go on to the next. Bits come from a hash, so walks need no table of coins.
 4. LSH. TABLES samples of BITS places, over WALKS walks, are the keys of a window and of a part; places are chosen for each
    class of part sizes. Keys of windows are joined with keys of parts as tables; windows whose key is certainly no part's
    (a second bitmap) don't go into the join.
-5. Verification. Bit-parallel edit distance of the whole item against the neighbourhood of each candidate.
+5. Verification of parts: bit-parallel edit distance of each part against the neighbourhood of its windows. What is left goes to
+   the items of the part. A part of more than FEW items (a template) goes only to those of which a text holds one of the rarest
+   words: of an item within k edits at least one of any k + 1 different words stands in the stretch, so none is lost.
+6. Verification of items in the same way. Tasks hold buckets of texts and of the words that their pairs need, by bytes of both.
+
+Items of fewer than LEAST_WORDS words are no passages: a document holds one only if a whole line of it has just its words.
 
 At the threshold (20 % random word edits) a part alone is found with a chance of 97 % or more, a longer item by any part;
 `test_decontamination_recall` measures it.
@@ -27,15 +32,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textkit
 
 #: Edits allowed as a share of an item's words.
 EDITS = 0.2
-#: Items of fewer words are left out: they are no passages.
+#: Items of fewer words are no passages, and are found as whole lines.
 LEAST_WORDS = 5
+#: Items of a part that a text with the part is compared with at once.
+FEW = 8
 PART_WORDS = 32
 #: Least words of each class of parts; the places of a class lie within REACH steps for each of these words.
 CLASSES, REACH = (5, 10, 20), 1.6
@@ -45,7 +52,7 @@ STEPS = int(REACH * PART_WORDS)
 WINDOWS = 2048
 #: Bits of a bitmap of the items' keys or pairs at most, as power of two; below that SPARSE bits an entry.
 FILTER_BITS, SPARSE = 26, 4096
-#: Bytes of text that are looked at in one step, and of candidates' text that are verified in one task, about.
+#: Bytes of text that are looked at in one step, and of texts and words that are verified in one task, about.
 STEP_BYTES, VERIFY_BYTES = 1 << 18, 2 << 20
 
 _rng = np.random.default_rng(3)
@@ -157,7 +164,7 @@ def allowed(n: int) -> int:
 
 
 def items(benchmark: DataFrame) -> DataFrame:
-    """(item_id, item, words): the items that are long enough; item: 16 bytes alike for equal words, words: their hashes."""
+    """(item_id, item, words) of the items that have a word; item: 16 bytes alike for equal words, words: their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -166,7 +173,7 @@ def items(benchmark: DataFrame) -> DataFrame:
             for a, b, buf, offsets in textkit.text_slices(batch.column(1)):
                 hashes, first = words(buf, offsets)
                 own = [hashes[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)]
-                keep = [k for k, w in enumerate(own) if len(w) >= 8 * LEAST_WORDS]
+                keep = [k for k, w in enumerate(own) if w]
                 digest = pa.array([hashlib.md5(own[k]).digest() for k in keep], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(keep, pa.int64())), digest, pa.array([own[k] for k in keep], pa.binary())], ["item_id", "item", "words"])
 
@@ -174,31 +181,46 @@ def items(benchmark: DataFrame) -> DataFrame:
     return known.mapInArrow(run, "item_id long, item binary, words binary")
 
 
-def part_keys(distinct: DataFrame) -> DataFrame:
-    """(key, class, item, at): keys of every part of the items (item, words); at: the part's first word."""
+def parts(distinct: DataFrame) -> DataFrame:
+    """(item, size, part, at, words) of distinct items (item, words): size, the item's words; at, the part's first word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
         for batch in batches:
             for item, value in zip(*(batch.column(c) for c in ("item", "words")), strict=True):
-                hashes = np.frombuffer(value.as_buffer(), np.uint64)
-                for lot in np.array_split(np.arange(-(-len(hashes) // PART_WORDS)), max(1, len(hashes) // (PART_WORDS * 2048))):
-                    edges = np.arange(lot[0], lot[-1] + 2) * len(hashes) // -(-len(hashes) // PART_WORDS)
-                    tokens, place = _tokens(hashes[edges[0] : edges[-1]], edges - edges[0])
-                    walks, sizes = embed(tokens, place[edges[:-1] - edges[0]]), np.diff(edges)
-                    found = []
-                    for c in range(len(CLASSES)):
-                        rows = np.flatnonzero((sizes >= CLASSES[c]) & (sizes <= _widest(c)))
-                        for t in range(TABLES if len(rows) else 0):
-                            found.append((_keys(_samples(walks[:, :, rows], c, t), c, t), np.full(len(rows), c), edges[rows]))
-                    key, kind, at = (np.concatenate([f[k] for f in found]) for k in range(3))
-                    columns = [pa.array(key.astype(np.int64)), pa.array(kind.astype(np.int32)), pa.array([item.as_py()] * len(at), pa.binary()), pa.array(at.astype(np.int32))]
-                    yield pa.RecordBatch.from_arrays(columns, ["key", "class", "item", "at"])
-
-    return distinct.select("item", "words").mapInArrow(run, "key long, class int, item binary, at int")
+                own = value.as_py()
+                n = len(own) // 8
+                edges = np.arange(-(-n // PART_WORDS) + 1) * n // -(-n // PART_WORDS)
+                cut = [own[8 * a : 8 * b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+                columns = [pa.array([item.as_py()] * len(cut), pa.binary()), pa.array([n] * len(cut), pa.int32()), pa.array([hashlib.md5(c).digest() for c in cut], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(edges[:-1].astype(np.int32)), pa.array(cut, pa.binary())], ["item", "size", "part", "at", "words"])
+
+    return distinct.select("item", "words").mapInArrow(run, "item binary, size int, part binary, at int, words binary")
+
+
+def part_keys(distinct: DataFrame) -> DataFrame:
+    """(key, class, part): keys of the distinct parts (part, words)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, WINDOWS):
+                part, own = batch.column(0).slice(lo, WINDOWS), [np.frombuffer(w.as_buffer(), np.uint64) for w in batch.column(1).slice(lo, WINDOWS)]
+                sizes = np.array([len(w) for w in own])
+                edges = np.append(0, np.cumsum(sizes))
+                tokens, place = _tokens(np.concatenate(own), edges)
+                walks = embed(tokens, place[edges[:-1]])
+                for c in range(len(CLASSES)):
+                    rows = np.flatnonzero((sizes >= CLASSES[c]) & (sizes <= _widest(c)))
+                    for t in range(TABLES if len(rows) else 0):
+                        key = _keys(_samples(walks[:, :, rows], c, t), c, t)
+                        yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(np.full(len(rows), c, np.int32)), part.take(pa.array(rows))], ["key", "class", "part"])
+
+    return distinct.select("part", "words").mapInArrow(run, "key long, class int, part binary")
 
 
 def pair_keys(distinct: DataFrame) -> DataFrame:
-    """(key): the pairs of neighbouring words of the items (item, words)."""
+    """(key): the pairs of neighbouring words of the distinct parts (words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,9 +286,9 @@ class Filter:
 
 
 def key_filter(distinct: DataFrame, keys: DataFrame) -> Filter:
-    """What tells windows apart that can't be near any of the items; keys: their written part_keys."""
+    """What tells windows apart that can't be near any of the distinct parts; keys: their written part_keys."""
     classes = sorted(r["class"] for r in keys.select("class").distinct().collect())
-    return Filter(classes, bitmap(textkit.written(pair_keys(distinct), "item-pairs")), bitmap(keys))
+    return Filter(classes, bitmap(textkit.written(pair_keys(distinct), "part-pairs")), bitmap(keys))
 
 
 def window_keys(docs: DataFrame, known: Filter) -> DataFrame:
@@ -288,59 +310,178 @@ def window_keys(docs: DataFrame, known: Filter) -> DataFrame:
     return docs.select("row", "text").mapInArrow(run, "key long, row binary, start int, text string")
 
 
-def _verify(texts: pa.Table, pairs: pa.Table) -> pa.Table:
-    """(row, item, edits) of the pairs (row, item, words, begins) that lie within the allowed edits."""
-    out = {"row": [], "item": [], "edits": []}
+_BUCKET = "row binary, ref binary, begins array<int>, text string, words binary, reach int"
+
+
+def _bucketed(texts: DataFrame, pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """`bucket` and _BUCKET: texts (row, text), pairs (row, ref, begins) of the same rows, and once a bucket the values
+    (ref, words, reach) that its pairs refer to. A bucket has about VERIFY_BYTES of texts and words; all are written tables."""
+    known = textkit.written(values.join(pairs.groupBy("ref").agg(F.count("*").alias("_n")), "ref"), "values")
+    size = (texts.agg(F.sum(F.octet_length("text"))).head()[0] or 0) + (known.agg(F.sum(F.octet_length("words") * F.col("_n"))).head()[0] or 0)
+    bucket = F.pmod(F.xxhash64("row"), F.lit(max(1, -(-size // VERIFY_BYTES)))).alias("bucket")
+    refs = textkit.written(pairs.select(bucket, "ref").distinct(), "refs")
+    words_ = textkit.spread_join(refs, known, ["ref"], weight=F.octet_length("words"))
+    no = lambda kind: F.lit(None).cast(kind)
+    rows = texts.select(bucket, "row", no("binary").alias("ref"), no("array<int>").alias("begins"), "text", no("binary").alias("words"), no("int").alias("reach"))
+    rows = rows.union(pairs.select(bucket, "row", "ref", "begins", no("string"), no("binary"), no("int")))
+    return rows.union(words_.select("bucket", no("binary"), "ref", no("array<int>"), no("string"), "words", "reach"))
+
+
+def _near(own: pa.Table, share: bool) -> Iterator[tuple[bytes, bytes, np.ndarray, int, int, np.ndarray]]:
+    """(row, ref, begins, edits, reach, words of the row's text) of the pairs of a bucket that lie within the allowed edits;
+    share: edits allowed are the share of the words, as it may fall to a part of an item."""
+    pick = lambda c: own.filter(own.column(c).is_valid())
+    texts, values, pairs = pick("text"), pick("words"), pick("begins")
+    known = {ref: (np.frombuffer(w.as_buffer(), np.uint64), reach) for ref, w, reach in zip(values.column("ref").to_pylist(), values.column("words"), values.column("reach").to_pylist(), strict=True)}
     held = dict(zip(texts.column("row").to_pylist(), range(texts.num_rows), strict=True))
     column = texts.column("text").combine_chunks() if texts.num_rows else None
     wanted: dict[bytes, list[int]] = {}
-    rows = pairs.column("row").to_pylist()
-    for k, row in enumerate(rows):
+    refs = pairs.column("ref").to_pylist()
+    for k, row in enumerate(pairs.column("row").to_pylist()):
         wanted.setdefault(row, []).append(k)
-    for row, own in wanted.items():
+    for row, mine in wanted.items():
         if row not in held:
             continue
         for _, _, buf, offsets in textkit.text_slices(column.slice(held[row], 1)):
             text = words(buf, offsets)[0]
-            for k in own:
-                item = np.frombuffer(pairs.column("words")[k].as_buffer(), np.uint64)
-                n, most = len(item), allowed(len(item))
+            for k in mine:
+                pattern, reach = known[refs[k]]
+                n = len(pattern)
+                most = int(EDITS * n) if share else allowed(n)
                 begins = np.unique(np.array(pairs.column("begins")[k].as_py(), np.int64))
                 cuts = np.flatnonzero(np.diff(begins) > n) + 1
-                pattern, best = item.tolist(), most + 1
-                for part in np.split(begins, cuts):
-                    stretch = text[max(0, int(part[0]) - 2 * most - 2) : max(0, int(part[-1]) + n + 2 * most + 2)]
-                    best = min(best, edit_distance_within(pattern, stretch.tolist()))
+                plain, best = pattern.tolist(), most + 1
+                for some in np.split(begins, cuts):
+                    stretch = text[max(0, int(some[0]) - 2 * most - 2) : max(0, int(some[-1]) + n + 2 * most + 2)]
+                    best = min(best, edit_distance_within(plain, stretch.tolist()))
                 if best <= most:
-                    for c, v in (("row", row), ("item", pairs.column("item")[k].as_py()), ("edits", best)):
-                        out[c].append(v)
-    return pa.table({"row": pa.array(out["row"], pa.binary()), "item": pa.array(out["item"], pa.binary()), "edits": pa.array(out["edits"], pa.int32())})
+                    yield row, refs[k], begins, best, reach, text
+
+
+def _table(rows: list[tuple], **kinds: pa.DataType) -> pa.Table:
+    return pa.table({c: pa.array([r[k] for r in rows], kind) for k, (c, kind) in enumerate(kinds.items())})
+
+
+def _part_word(part: bytes, hashes: np.ndarray) -> np.ndarray:
+    """Keys of a part together with words."""
+    return textkit.mix(hashes ^ np.uint64(int.from_bytes(part[:8], "little"))).astype(np.int64)
+
+
+def _verified_parts(own: pa.Table, rare: Bitmap | None) -> pa.Table:
+    """(row, part, begins, key): parts that are near; a part of many items comes once for each word near it that may be rare in one
+    of them, with the key of part and word."""
+    out = []
+    for row, part, begins, _, reach, text in _near(own, True):
+        where = begins.astype(np.int32).tolist()
+        if not reach:
+            out.append((row, part, where, None))
+            continue
+        around = np.zeros(len(text) + 1, np.int64)
+        np.add.at(around, np.maximum(begins - 2 * reach, 0), 1)
+        np.add.at(around, np.minimum(begins + 2 * reach, len(text)), -1)
+        keys = np.unique(_part_word(part, text[np.cumsum(around[:-1]) > 0]))
+        out += [(row, part, where, int(k)) for k in keys[rare.has(keys.view(np.uint64))]]
+    return _table(out, row=pa.binary(), part=pa.binary(), begins=pa.list_(pa.int32()), key=pa.int64())
+
+
+def _verified_items(own: pa.Table) -> pa.Table:
+    found = [(row, item, edits) for row, item, _, edits, _, _ in _near(own, False)]
+    return _table(found, row=pa.binary(), item=pa.binary(), edits=pa.int32())
+
+
+def rare_words(shared: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(key, item, at) of shared (part, item, size, at), parts of many items: a key for the part and each of the item's rarest words,
+    one more than it may have edits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, value in zip(*(batch.column(c) for c in ("item", "words")), strict=True):
+                own = np.unique(np.frombuffer(value.as_buffer(), np.uint64)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([item.as_py()] * len(own), pa.binary()), pa.array(own)], ["item", "word"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [int(_part_word(p, np.array([w], np.int64).view(np.uint64))[0]) for p, w in zip(batch.column("part").to_pylist(), batch.column("word").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column("item"), batch.column("at")], ["key", "item", "at"])
+
+    held = textkit.written(distinct.select("item", "words").mapInArrow(run, "item binary, word long"), "item-words")
+    met = held.join(shared.select("item", "size").distinct(), "item")
+    counted = met.join(held.groupBy("word").agg(F.count("*").alias("n")), "word")
+    most = F.when(F.col("size") >= 2 * LEAST_WORDS, F.floor(F.col("size") * EDITS)).otherwise(0)
+    rank = F.row_number().over(Window.partitionBy("item").orderBy("n", "word"))
+    rarest = counted.withColumn("_rank", rank).filter(F.col("_rank") <= most + 1).select("item", "word")
+    return shared.select("part", "item", "at").join(rarest, "item").select("part", "word", "item", "at").mapInArrow(joined, "key long, item binary, at int")
+
+
+def short_leaks(docs: DataFrame, short: DataFrame) -> DataFrame:
+    """(row, item, edits) of lines of docs (row, text) that have just the words of a short item (item)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
+        for batch in batches:
+            for k, text in enumerate(batch.column(1)):
+                lines = [x for x in text.as_py().split("\n") if x]
+                for _, _, buf, offsets in textkit.text_slices(pa.array(lines, pa.string())):
+                    hashes, first = words(buf, offsets)
+                    few = np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < LEAST_WORDS))
+                    own = sorted({hashlib.md5(hashes[first[j] : first[j + 1]].tobytes()).digest() for j in few})
+                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[k].as_py()] * len(own), pa.binary()), pa.array(own, pa.binary())], ["row", "item"])
+
+    lines = textkit.written(docs.select("row", "text").mapInArrow(run, "row binary, item binary"), "short-lines")
+    met = textkit.written(short.join(lines.groupBy("item").agg(F.count("*").alias("_n")), "item"), "short-items")
+    return textkit.spread_join(lines, met, ["item"]).select("row", "item", F.lit(0).alias("edits"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(row, item_id, edits) of docs (row, text): each item that a text holds, with its least edits."""
     every = textkit.written(items(benchmark), "items")
     distinct = textkit.written(every.groupBy("item").agg(F.first("words").alias("words")), "distinct-items")
-    keys = textkit.written(part_keys(distinct), "item-keys")
-    found = textkit.written(window_keys(docs.filter("text is not null"), key_filter(distinct, keys)), "windows")
-    met = found.filter("key is not null").select("key", "row", "start").join(keys.select("key", "item", "at"), "key")
-    begins = met.select("row", "item", (F.col("start") - F.col("at")).alias("begin")).distinct()
-    pairs = textkit.written(begins.groupBy("row", "item").agg(F.collect_list("begin").alias("begins")), "pairs")
-    texts = found.filter("text is not null").select("row", "text").join(pairs.select("row").distinct(), "row", "left_semi").dropDuplicates(["row"])
+    short = F.octet_length("words") < 8 * LEAST_WORDS
+    whole = docs.filter("text is not null")
+    cut = textkit.written(parts(distinct.filter(~short)), "parts")
+    known = textkit.written(cut.groupBy("part").agg(F.first("words").alias("words"), F.count("*").alias("uses"), F.max("size").alias("size")), "distinct-parts")
+    keys = textkit.written(part_keys(known), "part-keys")
+    found = textkit.written(window_keys(whole, key_filter(known, keys)), "windows")
+    windows = found.filter("key is not null").select("key", "row", "start")
+    keyed = keys.groupBy("key").agg(F.collect_set("part").alias("parts")).join(windows.groupBy("key").agg(F.count("*").alias("_n")), "key")
+    met = textkit.spread_join(windows, textkit.written(keyed, "keys-met"), ["key"], weight=F.size("parts") * 16)
+    hits = met.select("row", F.explode("parts").alias("ref"), F.col("start").alias("begin")).distinct()
+    hits = textkit.written(hits.groupBy("row", "ref").agg(F.collect_list("begin").alias("begins")), "hits")
+    texts = found.filter("text is not null").select("row", "text").join(hits.select("row").distinct(), "row", "left_semi").dropDuplicates(["row"])
     texts = textkit.written(texts, "suspects")
-    size = texts.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    bucket = F.pmod(F.xxhash64("row"), F.lit(max(1, -(-size // VERIFY_BYTES)))).alias("bucket")
-    counts = pairs.groupBy("item").agg(F.count("*").alias("_n"))
-    full = textkit.spread_join(pairs, textkit.written(distinct.join(counts, "item"), "items-met"), ["item"])
-    sure = texts.select(bucket, "row", "text").groupBy("bucket").cogroup(full.select(bucket, "row", "item", "words", "begins").groupBy("bucket")).applyInArrow(_verify, "row binary, item binary, edits int")
-    return textkit.written(sure, "leaks").join(every.select("item", "item_id").distinct(), "item").groupBy("row", "item_id").agg(F.min("edits").alias("edits"))
+
+    many = known.filter(F.col("uses") > FEW).select("part")
+    told = textkit.written(rare_words(cut.join(many, "part", "left_semi").select("part", "item", "size", "at"), distinct), "rare-words")
+    rare = bitmap(told.select("key"))
+    shared = docs.sparkSession.sparkContext.broadcast(rare)
+    reach = F.when(F.col("uses") > FEW, F.col("size")).otherwise(0).cast("int").alias("reach")
+    tested = _bucketed(texts, hits, known.select(F.col("part").alias("ref"), "words", reach))
+    near = textkit.written(tested.groupBy("bucket").applyInArrow(lambda t: _verified_parts(t, shared.value), "row binary, part binary, begins array<int>, key long"), "near-parts")
+
+    one = cut.join(near.filter("key is null").groupBy("part").agg(F.count("*").alias("_n")), "part").groupBy("part").agg(F.collect_list(F.struct("item", "at")).alias("of"), F.first("_n").alias("_n"))
+    few = textkit.spread_join(near.filter("key is null").select("row", "part", "begins"), textkit.written(one, "items-of-parts"), ["part"])
+    some = told.join(near.filter("key is not null").groupBy("key").agg(F.count("*").alias("_n")), "key").groupBy("key").agg(F.collect_list(F.struct("item", "at")).alias("of"), F.first("_n").alias("_n"))
+    rest = textkit.spread_join(near.filter("key is not null").select("row", "key", "begins"), textkit.written(some, "items-of-words"), ["key"], weight=F.size("of") * 24)
+    pairs = few.select("row", "begins", F.explode("of").alias("o")).union(rest.select("row", "begins", F.explode("of")))
+    pairs = pairs.select("row", F.col("o.item").alias("ref"), F.transform("begins", lambda b: b - F.col("o.at")).alias("begins"))
+    pairs = textkit.written(pairs.groupBy("row", "ref").agg(F.array_distinct(F.flatten(F.collect_set("begins"))).alias("begins")), "pairs")
+    last = _bucketed(texts, pairs, distinct.select(F.col("item").alias("ref"), "words", F.lit(0).alias("reach")))
+    sure = last.groupBy("bucket").applyInArrow(_verified_items, "row binary, item binary, edits int")
+    if not distinct.filter(short).isEmpty():
+        sure = sure.union(short_leaks(whole, distinct.filter(short).select("item")))
+    sure = textkit.written(sure, "leaks")
+    ids = textkit.written(every.groupBy("item").agg(F.collect_set("item_id").alias("ids")).join(sure.groupBy("item").agg(F.count("*").alias("_n")), "item"), "item-ids")
+    out = textkit.spread_join(sure, ids, ["item"], weight=F.size("ids") * 8)
+    return out.select("row", F.explode("ids").alias("item_id"), "edits").groupBy("row", "item_id").agg(F.min("edits").alias("edits"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs with leaks added: array<struct<item_id, edits>> by item_id, empty for a clean text; other columns stay, but not `leaks`.
 
-    Null and empty texts are clean; rows that share a doc_id are looked at each for itself. Items that are null or have
-    fewer than LEAST_WORDS words are left out, items of any length are found, items that are equal are found each.
+    Null and empty texts are clean; rows that share a doc_id are looked at each for itself. Items that are null or have no word
+    are left out, items of fewer than LEAST_WORDS words are found as whole lines; items of any length are found, items that are
+    equal are found each. An empty benchmark or table finds nothing.
     """
     keep = [c for c in docs.columns if c != "leaks"]
     found = leaks(docs.select(textkit.row_key().alias("row"), "text"), benchmark)

@@ -51,19 +51,29 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
 
 #: A key is hot in `spread_join` if it has more than this share of the rows; so at most 1 / HOT_SHARE keys are.
 HOT_SHARE = 1 / 1000
+#: Bytes of hot values that are broadcast at most, and shares in which heavier ones are dealt out.
+HOT_BYTES, HOT_SHARES = 8 << 20, 32
 
 
-def spread_join(rows: DataFrame, values: DataFrame, keys: list[str], count: str = "_n") -> DataFrame:
+def spread_join(rows: DataFrame, values: DataFrame, keys: list[str], count: str = "_n", weight: Column | None = None) -> DataFrame:
     """Inner join of rows with values, of which each key has one, on keys; `count` in values is a key's number of rows.
 
-    Hot keys' values are broadcast (1 / HOT_SHARE of them at most), so that no task gets all rows of one; the others are
-    joined by key. Both sides should be written tables: they are read twice.
+    Hot keys' values (1 / HOT_SHARE of them at most) are broadcast, so that no task gets all rows of one; the others are joined by
+    key. weight: bytes of a value, where it isn't a few numbers or ids; if the hot ones come to more than HOT_BYTES, each is sent
+    to HOT_SHARES tasks instead, among which its rows are dealt out. Both sides should be written tables: they are read twice.
     """
     total = values.agg(F.sum(count)).head()[0] or 0
-    hot = values.filter(F.col(count) > max(1, int(total * HOT_SHARE)))
+    most = max(1, int(total * HOT_SHARE))
+    hot = values.filter(F.col(count) > most)
+    heavy = 0 if weight is None else hot.agg(F.sum(weight)).head()[0] or 0
     rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
-    near = rows.join(F.broadcast(hot.drop(count)), keys)
-    return near.unionByName(rest.join(values.filter(F.col(count) <= max(1, int(total * HOT_SHARE))).drop(count), keys))
+    if heavy > HOT_BYTES:
+        shares = hot.drop(count).withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(HOT_SHARES - 1))))
+        own = rows.join(F.broadcast(hot.select(*keys)), keys, "left_semi").withColumn("_share", F.pmod(F.xxhash64(*rows.columns), F.lit(HOT_SHARES)).cast("int"))
+        near = own.join(shares, [*keys, "_share"]).drop("_share")
+    else:
+        near = rows.join(F.broadcast(hot.drop(count)), keys)
+    return near.unionByName(rest.join(values.filter(F.col(count) <= most).drop(count), keys))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
