@@ -12,8 +12,9 @@ Pairs never leave a task. A task counts the links of each vector in its block, a
 block together. A pair that both vectors find as queries is counted once: the entry's count takes a link only if the
 entry's own probes miss the query's list.
 
-Vectors are compared with vectors of their length: each length of more than BLOCK_ENTRIES vectors has an index, those of
-rarer lengths are compared exactly, all with all of their length.
+Vectors are compared with vectors of their length, and each length has an index of its own. One of more than RARE distinct
+vectors is trained from a sample, placed and compared as tables; so the lengths that are common are a driver's loop, of at most a
+step for RARE vectors. One of RARE vectors or fewer has no more lists than probes: a task trains it, and it loses nothing.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ SAMPLE_ROWS = 16_000
 #: Coarse centroids at most, finer ones for all of their lists at most, and lists that a query visits.
 COARSE, FINE, PROBES = 1024, 1024, 16
 SUBSPACES, CODES = 16, 256
+#: Vectors of a length up to which a task trains and searches its index.
+RARE = PROBES * PROBES
 #: Entries and queries that meet in one task at most; a longer list is split into blocks.
 BLOCK_ENTRIES, BLOCK_QUERIES = 4096, 16_384
 #: Decoded distances that a step of a task holds.
@@ -162,27 +165,31 @@ def fit(classes: DataFrame, rows: int, dim: int) -> Index:
 _PLACED = "cell long, query boolean, node long, v binary, copies long, codes binary, error double, probes binary"
 
 
-def _place(classes: DataFrame, index: Index, dim: int, first: int) -> DataFrame:
-    """_PLACED: each vector as entry of its list and as query of those it visits. Lists are numbered from `first`."""
+def _placed(part: pa.RecordBatch, index: Index, dim: int) -> pa.RecordBatch:
+    """_PLACED of rows (node, v, copies)."""
+    x = _unit(part.column(1), dim)
+    cell, codes, error = index.encode(x)
+    probes = index.probes(x).astype(np.int64)
+    row = np.repeat(np.arange(len(x)), probes.shape[1])
+    take = pa.array(np.concatenate([np.arange(len(x)), row]))
+    entry, none = np.arange(len(x)), [None] * len(row)
+    # a query carries its own list, an entry the lists that it visits itself
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.concatenate([cell, probes.ravel()])), pa.array(np.concatenate([np.zeros(len(x), bool), np.ones(len(row), bool)])), *(part.column(c).take(take) for c in range(3)),
+         pa.array([codes[k].tobytes() for k in entry] + none, pa.binary()), pa.array(np.concatenate([error, np.zeros(len(row))])),
+         pa.array([probes[k].tobytes() for k in entry] + [np.int64(cell[k]).tobytes() for k in row], pa.binary())],
+        ["cell", "query", "node", "v", "copies", "codes", "error", "probes"],
+    )
+
+
+def _place(classes: DataFrame, index: Index, dim: int) -> DataFrame:
+    """_PLACED: each vector as entry of its list and as query of those it visits."""
     shared = classes.sparkSession.sparkContext.broadcast(index)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                x = _unit(part.column(1), dim)
-                cell, codes, error = shared.value.encode(x)
-                probes = shared.value.probes(x).astype(np.int64) + first
-                row = np.repeat(np.arange(len(x)), probes.shape[1])
-                take = pa.array(np.concatenate([np.arange(len(x)), row]))
-                entry, none = np.arange(len(x)), [None] * len(row)
-                # a query carries its own list, an entry the lists that it visits itself
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([cell + first, probes.ravel()])), pa.array(np.concatenate([np.zeros(len(x), bool), np.ones(len(row), bool)])), *(part.column(c).take(take) for c in range(3)),
-                     pa.array([codes[k].tobytes() for k in entry] + none, pa.binary()), pa.array(np.concatenate([error, np.zeros(len(row))])),
-                     pa.array([probes[k].tobytes() for k in entry] + [np.int64(cell[k] + first).tobytes() for k in row], pa.binary())],
-                    ["cell", "query", "node", "v", "copies", "codes", "error", "probes"],
-                )
+                yield _placed(batch.slice(at, 2048), shared.value, dim)
 
     return classes.select("node", "v", "copies").mapInArrow(place, _PLACED)
 
@@ -206,11 +213,8 @@ def tie(label: np.ndarray, close: np.ndarray, own: np.ndarray) -> list[tuple[int
     return out
 
 
-def compare(block: pa.Table, index: Index | None, dim: int, first: int) -> pa.Table:
-    """(node, links, a, b): counts of links by node (a null), and links a > b that tie the block together (node null).
-
-    Without an index all entries are compared exactly.
-    """
+def compare(block: pa.Table, index: Index, dim: int) -> pa.Table:
+    """(node, links, a, b): counts of links by node (a null), and links a > b that tie the block together (node null)."""
     kind = block.column("query").combine_chunks()
     q, e = block.filter(kind), block.filter(pa.compute.invert(kind))
     counted: list[tuple[np.ndarray, np.ndarray]] = []
@@ -220,29 +224,23 @@ def compare(block: pa.Table, index: Index | None, dim: int, first: int) -> pa.Ta
         e_node, e_copies, q_node, q_copies = (t.column(c).to_numpy() for t in (e, q) for c in ("node", "copies"))
         back = np.zeros(len(e_node), np.int64)
         label, place = np.arange(len(e_node)), {int(n): k for k, n in enumerate(e_node)}
-        if index is not None:
-            codes = np.frombuffer(b"".join(e.column("codes").to_pylist()), np.uint8).reshape(e.num_rows, -1)
-            reach = math.sqrt(2 - 2 * COSINE) + e.column("error").to_numpy() + 1e-6
-            visits = np.frombuffer(b"".join(e.column("probes").to_pylist()), np.int64).reshape(e.num_rows, -1)
-            home = np.frombuffer(b"".join(q.column("probes").to_pylist()), np.int64)
+        codes = np.frombuffer(b"".join(e.column("codes").to_pylist()), np.uint8).reshape(e.num_rows, -1)
+        reach = math.sqrt(2 - 2 * COSINE) + e.column("error").to_numpy() + 1e-6
+        visits = np.frombuffer(b"".join(e.column("probes").to_pylist()), np.int64).reshape(e.num_rows, -1)
+        home = np.frombuffer(b"".join(q.column("probes").to_pylist()), np.int64)
         for at in range(0, q.num_rows, STEP):
             y, own = _unit(q.column("v").slice(at, STEP).combine_chunks(), dim), np.array([place.get(int(n), -1) for n in q_node[at : at + STEP]])
-            if index is None:
-                close = y @ x.T >= COSINE
-            else:
-                i, j = np.nonzero(index.distances(y, cell - first, codes) <= reach)
-                near = np.einsum("nd,nd->n", y[i], x[j]) >= COSINE
-                close = np.zeros((len(y), len(x)), dtype=bool)
-                close[i[near], j[near]] = True
+            i, j = np.nonzero(index.distances(y, cell, codes) <= reach)
+            near = np.einsum("nd,nd->n", y[i], x[j]) >= COSINE
+            close = np.zeros((len(y), len(x)), dtype=bool)
+            close[i[near], j[near]] = True
             close[np.flatnonzero(own >= 0), own[own >= 0]] = False
             n = np.arange(at, at + len(y))
             counted.append((q_node[n], close @ e_copies))
-            if index is not None:
-                lists = np.unique(home[n])
-                for k in lists:
-                    missed = ~(visits == k).any(1)
-                    rows = home[n] == k
-                    back += np.where(missed, q_copies[n][rows] @ close[rows], 0)
+            for k in np.unique(home[n]):
+                missed = ~(visits == k).any(1)
+                rows = home[n] == k
+                back += np.where(missed, q_copies[n][rows] @ close[rows], 0)
             tied += [(int(q_node[at + i]), int(e_node[j])) for i, j in tie(label, close, own)]
         counted.append((e_node, back))
     node, links = (np.concatenate([c[k] for c in counted] or [np.zeros(0, np.int64)]) for k in (0, 1))
@@ -271,25 +269,26 @@ def _meet(placed: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def links(classes: DataFrame, rows: int, dim: int) -> DataFrame:
     """_FOUND of the classes (node, v, copies) of one length by an index of their own."""
-    index, first = fit(classes, rows, dim), 0
+    index = fit(classes, rows, dim)
     shared = classes.sparkSession.sparkContext.broadcast(index)
-    placed = textkit.written(_place(classes, index, dim, first), "index")
+    placed = textkit.written(_place(classes, index, dim), "index")
     sizes = placed.groupBy("cell").agg(F.count_if("query").alias("_q"), F.count_if(~F.col("query")).alias("_e"))
     # a row a list; lists are at most COARSE * FINE and about the root of the rows
     sizes = F.broadcast(sizes) if len(index.coarse) * len(index.fine) <= 1 << 17 else sizes
-    return _meet(placed, sizes).groupBy("cell", "_eb", "_qb").applyInArrow(lambda t: compare(t, shared.value, dim, first), _FOUND)
+    return _meet(placed, sizes).groupBy("cell", "_eb", "_qb").applyInArrow(lambda t: compare(t, shared.value, dim), _FOUND)
 
 
 def rare_links(classes: DataFrame) -> DataFrame:
-    """_FOUND of classes (node, v, copies, dim) whose lengths have BLOCK_ENTRIES vectors at most, compared exactly."""
-    return classes.select("dim", "node", "v", "copies").groupBy("dim").applyInArrow(_exact, _FOUND)
+    """_FOUND of classes (node, v, copies, dim) whose lengths have RARE vectors at most: an index a length, within a task."""
 
+    def search(own: pa.Table) -> pa.Table:
+        dim = own.column("dim")[0].as_py()
+        own = own.sort_by("node").combine_chunks().to_batches()[0].select(["node", "v", "copies"])
+        index = train(_unit(own.column(1), dim), own.num_rows)
+        placed = pa.Table.from_batches([_placed(own, index, dim)])
+        return pa.concat_tables([compare(placed.filter(pa.compute.equal(placed.column("cell"), k)), index, dim) for k in range(len(index.coarse))])
 
-def _exact(own: pa.Table) -> pa.Table:
-    cell = pa.array(np.zeros(own.num_rows, np.int64))
-    once = own.append_column("cell", cell)
-    both = pa.concat_tables([once.append_column("query", pa.array(np.full(own.num_rows, q))) for q in (False, True)])
-    return compare(both, None, own.column("dim")[0].as_py(), 0)
+    return classes.select("dim", "node", "v", "copies").groupBy("dim").applyInArrow(search, _FOUND)
 
 
 def near_duplicates(table: DataFrame) -> DataFrame:
@@ -305,8 +304,8 @@ def near_duplicates(table: DataFrame) -> DataFrame:
     classes = usable.groupBy("h1", "h2").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"), F.first("v").alias("v"), F.first("dim").alias("dim"))
     classes = textkit.written(classes.withColumnRenamed("h1", "node"), "classes")
     sizes = classes.groupBy("dim").agg(F.count("*").alias("_rows"))
-    common = sizes.filter(F.col("_rows") > BLOCK_ENTRIES).orderBy("dim").collect()  # at most one for BLOCK_ENTRIES vectors
-    found = rare_links(classes.join(sizes.filter(F.col("_rows") <= BLOCK_ENTRIES).select("dim"), "dim", "left_semi"))
+    common = sizes.filter(F.col("_rows") > RARE).orderBy("dim").collect()  # at most one for RARE vectors
+    found = rare_links(classes.join(sizes.filter(F.col("_rows") <= RARE).select("dim"), "dim", "left_semi"))
     for size in common:
         found = found.union(links(classes.filter(F.col("dim") == size["dim"]), size["_rows"], size["dim"]))
     found = textkit.written(found, "links")

@@ -692,3 +692,21 @@ def test_vector_recall(spark, monkeypatch):
         counts = np.array([got[k] for k in range(0, len(x), 20)])
         assert (counts <= want).all() and counts.sum() >= 0.9 * want.sum()
         assert sum(got.values()) % 2 == 0  # a link counts for both of its vectors
+
+
+def test_index_decides_on_the_given_table(spark, tables, monkeypatch):
+    """With the default constants, ids divisible by 20 against all rows of the given table."""
+    import duckdb
+
+    placed = []
+    own = vectordedup._place
+    monkeypatch.setattr(vectordedup, "_place", lambda *a: placed.append(a[2]) or own(*a))
+    got = {r.vec_id: r.n_links for r in vectordedup.op5_vector_dedup(spark, SF).collect()}
+    assert placed == [64]
+    rows = duckdb.sql(f"SELECT vec_id, embedding FROM '{SF}/embeddings.parquet'").fetchall()
+    x = np.array([v for _, v in rows], dtype=float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    some = [k for k, (i, _) in enumerate(rows) if i % 20 == 0]
+    want = (x[some] @ x.T >= 0.95).sum(1) - 1
+    counts = np.array([got[rows[k][0]] for k in some])
+    assert (counts <= want).all() and counts.sum() >= 0.9 * want.sum()
