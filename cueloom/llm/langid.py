@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textkit
 
@@ -197,10 +198,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 at = np.flatnonzero(count > 0)
                 if len(at) and own.families:
                     lang[at], score[at] = own.predict(x[at])
-                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in keep), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["d", "lang_pred", "score"])
 
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string", "score double"])
-    return docs.select(*keep).mapInArrow(run, schema)
+    packed = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in keep)).alias("d"))  # a column's name may hold a dot
+    schema = T.StructType([T.StructField("d", packed.schema["d"].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return packed.mapInArrow(run, schema).select(*(F.col(f"d.`{c}`").alias(c) for c in keep), "lang_pred", "score")
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

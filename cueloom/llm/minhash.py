@@ -83,21 +83,21 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles, s1, s2, registers) of every text; s1 and s2 identify the set, null for an empty one."""
+    """(doc_id, row, n_shingles, s1, s2, registers) of every text; row: its key, s1 and s2 identify the set, null for an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, buf, offsets in textkit.text_slices(batch.column(1)):
+            for a, b, buf, offsets in textkit.text_slices(batch.column(2)):
                 sets = shingle_sets(buf, offsets, words)
                 s1 = [int((textkit.mix(s).sum() + np.uint64(len(s))).astype(np.int64)) if len(s) else None for s in sets]
                 s2 = [int(np.bitwise_xor.reduce(textkit.mix(s ^ np.uint64(textkit.PRIME))).astype(np.int64)) if len(s) else None for s in sets]
                 registers = [sketch(s).tobytes() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(registers, pa.binary())],
-                    ["doc_id", "n_shingles", "s1", "s2", "registers"],
+                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(registers, pa.binary())],
+                    ["doc_id", "row", "n_shingles", "s1", "s2", "registers"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, registers binary")
+    return docs.select(F.col("doc_id").cast("long"), textkit.row_key().alias("row"), "text").mapInArrow(run, "doc_id long, row binary, n_shingles long, s1 long, s2 long, registers binary")
 
 
 def _band_keys(classes: DataFrame) -> DataFrame:
@@ -230,25 +230,30 @@ def _links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Dat
     return found if more.isEmpty() else textkit.written(components(edges.union(more)), "components")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of (doc_id, text).
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row of (doc_id, text); rows: also `row`, its textkit.row_key, and
+    `component`, a number that rows have in common if and only if their texts are linked (null where they link with nothing).
 
     Words are what white space (space, tab to carriage return) separates, A-Z lower-cased. Texts that are null or have no word have an empty set and
     link with nothing: they are their own component. So are rows with null doc_id, whose component_id is null and which are
     kept. Rows that share a doc_id and a text are one class; all rows whose doc_id is the component's smallest are kept.
     """
     own = textkit.written(sketches(docs, words), "sketches")
-    classes = own.filter("s1 is not null and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
+    classes = own.filter("s1 is not null and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"), F.count("*").alias("_n"))
     classes = textkit.written(classes.withColumnRenamed("s1", "node"), "classes")
     found = _links(docs, classes, words, percent)
-    of = classes.select(F.col("node").alias("s1"), "s2", F.col("doc_id").alias("_least"))
+    of = classes.select(F.col("node").alias("s1"), "s2", F.col("doc_id").alias("_least"), F.col("node").alias("_group"), "_n")
     if found is not None:
-        linked = of.join(found, of.s1 == found.node, "left").drop("node")
+        linked = of.drop("_group").join(found, of.s1 == found.node, "left").drop("node").withColumn("_group", F.coalesce("component", "s1"))
         least = linked.filter("component is not null").groupBy("component").agg(F.min("_least").alias("_lowest"))
-        of = linked.join(least, "component", "left").select("s1", "s2", F.coalesce("_lowest", "_least").alias("_least"))
-    joined = own.select("doc_id", "n_shingles", "s1", "s2").join(of, ["s1", "s2"], "left")
+        of = linked.join(least, "component", "left").select("s1", "s2", F.coalesce("_lowest", "_least").alias("_least"), "_group", "_n")
+    usable = F.col("s1").isNotNull() & F.col("doc_id").isNotNull()
+    joined = textkit.spread_join(own.filter(usable).select("doc_id", "row", "n_shingles", "s1", "s2"), textkit.written(of, "components-of"), ["s1", "s2"])
+    alone = own.filter(~usable).select("doc_id", "row", "n_shingles", "s1", "s2", F.lit(None).cast("long").alias("_least"), F.lit(None).cast("long").alias("_group"))
+    joined = joined.unionByName(alone)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_least", "doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    further = ("row", F.when(F.col("doc_id").isNotNull(), F.col("_group")).alias("component")) if rows else ()
+    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), *further)
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,9 +59,9 @@ def test_long_lines_go(spark):
 
 def test_edge_rows_of_every_stage(spark):
     """Empty tables, nulls in every column, empty and long texts, repeated rows and clashing column names."""
-    kind = "doc_id long, text string, lang string, source string, n_chars long, row string, d string, kept string, leaks string, lang_pred string, score double"
-    more = ("r", "d", "k", "l", "p", 0.5)
-    rows = [(1, "some words stand here in a line", "en", "s", 31, *more), (1, "some words stand here in a line", "en", "s", 31, *more), (None, "letters without a number", None, None, None, *more), (2, None, None, None, None, *([None] * 6)), (3, "", "en", "s", 0, *more), (4, "long text " * 30_000, "en", "s", 300_000, *more)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, row string, d string, kept string, leaks string, lang_pred string, score double, `a.b` string"
+    more = ("r", "d", "k", "l", "p", 0.5, "a.b")
+    rows = [(1, "some words stand here in a line", "en", "s", 31, *more), (1, "some words stand here in a line", "en", "s", 31, *more), (None, "letters without a number", None, None, None, *more), (2, None, None, None, None, *([None] * 7)), (3, "", "en", "s", 0, *more), (4, "long text " * 30_000, "en", "s", 300_000, *more)]
     docs, empty = spark.createDataFrame(rows, kind), spark.createDataFrame([], kind)
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         out, none = stage(spark, docs, SF), stage(spark, empty, SF)
@@ -73,6 +73,16 @@ def test_edge_rows_of_every_stage(spark):
         assert sum(r.doc_id == 1 for r in got) == (1 if k == 2 else 2)
 
 
+def test_rows_that_share_an_id_are_told_apart(spark):
+    """Of linked rows one stays, whatever ids they share; a row that is nobody's copy stays too."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (7, c + " more"), (7, c), (7, c), (7, b + " other words at the end of it all that make it differ enough to count as another text here"), (9, None), (9, None)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], kind).repartition(3)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.dedup_documents(spark, docs, SF).collect()]
+    assert len(got) == 6 and {(1, a), (5, b), rows[6], (9, None)} <= set(got) and len({(7, c), (7, c + " more")} & set(got)) == 1 and got.count((9, None)) == 2
+
+
 def test_run_and_registration(spark):
     import __spark_entry__
 
