@@ -54,11 +54,20 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates: five-word shingles, Jaccard similarity of 0.8 or more.
 
-    The one with the smallest doc_id stays, of repeated rows one; texts that are null or have no word link with nothing and stay."""
-    found = textkit.written(minhash.near_duplicates(docs, words=5, percent=80), "near-duplicates")
-    kept = docs.join(found.filter("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty()
-    return kept if repeated else kept.filter("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(kept.filter("doc_id is null"))
+    Of linked texts the one with the smallest doc_id stays, and of equal ids that with the smaller textkit.row_key; of rows with
+    equal id and text one stays. Rows that share an id only are told apart. Null texts, texts without a word and rows without an
+    id link with nothing and stay."""
+    own, names = _apart(docs, "row")
+    own = own.withColumn("row", textkit.row_key())
+    found = textkit.written(minhash.near_duplicates(own.select("doc_id", "text"), words=5, percent=80, rows=True), "near-duplicates")
+    linked = found.filter("component is not null").select("doc_id", "row", "component")
+    first = textkit.written(linked.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("_n")).filter("_n > 1").select(F.col("first.row").alias("row"), "component", "_n"), "first-of-group")
+    later = textkit.spread_join(linked.withColumnRenamed("row", "own"), first, ["component"]).filter("own != row").select(F.col("own").alias("row")).distinct()
+    kept = own.join(textkit.written(later, "later-copies"), "row", "left_anti")
+    twice = textkit.written(linked.groupBy("row").count().filter("count > 1").select("row"), "repeated-rows")
+    if not twice.isEmpty():
+        kept = kept.join(twice, "row", "left_anti").unionByName(kept.join(twice, "row", "left_semi").dropDuplicates(["row"]))
+    return _back(kept, ("row",), names, docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
