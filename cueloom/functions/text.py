@@ -312,19 +312,34 @@ def dialogue_chunks(text: Column, width: Column, most_lines: Column) -> Column:
     turns = F.filter(F.transform(F.split(flat, r"(?<!^)\b[A-Z][A-Z0-9'’\-]+(?:\s+[A-Z][A-Z0-9'’\-]+){0,3}\s*:\s*"), lambda t: F.trim(t)), lambda t: t != "")
 
     def pack(turn: Column) -> Column:
-        empty = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("now"))
-
-        def step(acc: Column, s: Column) -> Column:
-            joined = F.trim(F.concat(acc["now"], F.lit(" "), s))
-            keep = (acc["now"] == "") | text_fits(joined, width, most_lines)
-            out = F.when(keep, acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["now"])))
-            now = F.when(keep, joined).otherwise(s)
-            return let(
-                F.struct(out.alias("out"), now.alias("now")),
-                lambda a: F.when(text_fits(a["now"], width, most_lines), a).otherwise(F.struct(F.concat(a["out"], line_groups(wrap_lines(a["now"], width), most_lines)).alias("out"), F.lit("").alias("now"))),
-            )
-
-        return F.aggregate(F.split(turn, r"(?<=[.!?…])\s+"), empty, step, lambda a: F.when(a["now"] == "", a["out"]).otherwise(F.concat(a["out"], F.array(a["now"]))))
+        """Carries how greedy wrapping stands (lines, characters of the open one, widest word), so each word is looked at once."""
+        blank = F.struct(F.lit(0).alias("lines"), F.lit(0).alias("open"), F.lit(0).alias("widest"))
+        empty = F.struct(F.array().cast("array<string>").alias("out"), F.array().cast("array<string>").alias("now"), blank.alias("at"))
+
+        def word(at: Column, w: Column) -> Column:
+            n = F.length(w)
+            new = (at["lines"] == 0) | (at["open"] + 1 + n > width)
+            return F.struct((at["lines"] + new.cast("int")).alias("lines"), F.when(new, n).otherwise(at["open"] + 1 + n).alias("open"), F.greatest(at["widest"], n).alias("widest"))
+
+        fits = lambda at: (at["lines"] <= most_lines) & (at["widest"] <= width)
+        state = lambda out, now, at: F.struct(out.alias("out"), now.alias("now"), at.alias("at"))
+        none = F.array().cast("array<string>")
+
+        def closed(acc: Column, sentence: Column, own: Column) -> Column:
+            """After a sentence that stands alone: it stays open if it fits, else it is cut."""
+            cut = F.concat(acc["out"], line_groups(wrap_lines(sentence, width), most_lines))
+            return F.when(fits(own), state(acc["out"], F.array(sentence), own)).otherwise(state(cut, none, blank))
+
+        def step(acc: Column, sentence: Column) -> Column:
+            words = F.filter(F.split(sentence, r"\s+"), lambda w: w != "")
+            begin = F.size(acc["now"]) == 0
+            longer = F.aggregate(words, acc["at"], word)
+            alone = lambda held: let(F.aggregate(words, blank, word), lambda own: closed(held, sentence, own))
+            full = F.struct(F.concat(acc["out"], F.array(F.array_join(acc["now"], " "))).alias("out"), none.alias("now"), blank.alias("at"))
+            joined = let(longer, lambda at: F.when(fits(at), state(acc["out"], F.concat(acc["now"], F.array(sentence)), at)).otherwise(let(full, alone)))
+            return F.when(begin, alone(acc)).otherwise(joined)
+
+        return F.aggregate(F.split(turn, r"(?<=[.!?…])\s+"), empty, step, lambda a: F.when(F.size(a["now"]) == 0, a["out"]).otherwise(F.concat(a["out"], F.array(F.array_join(a["now"], " ")))))
 
     return F.flatten(F.transform(turns, pack))
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -125,35 +128,99 @@ def unproved(report: DataFrame, rules: DataFrame) -> DataFrame:
     return quoted.join(rules.select("platform_key", "rule"), ["platform_key", "rule"], "left_anti")
 
 
+#: Half width of the first band of diagonals that a diff is looked for in; each next one is twice as wide.
+BAND = 32
+EQ, ADD, DEL = 0, 1, 2
+_UNKNOWN = -(1 << 30)
+
+
 def word_diff(cues: DataFrame) -> DataFrame:
-    """Changed cues with diff: array<struct<op, token>> of eq, add and del over words and white space, by longest common subsequence."""
+    """Changed cues with diff: array<struct<op, token>> of eq, add and del over words and white space, by longest common subsequence.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(diff=[_lcs(a, b) for a, b in zip(batch["original_text"], batch["text"], strict=True)])
+    A null text counts as empty. cues should be a written table: the filter for changes is else pushed through what made them.
+    """
+    kind = pa.list_(pa.struct([("op", pa.string()), ("token", pa.string())]))
+    names = np.array(["eq", "add", "del"])
 
-    changed = cues.select("file_id", "cue_no", "original_text", "text").filter("original_text <> text")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part, diffs = batch.slice(at, 256), []
+                for old, new in zip(part.column("original_text").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    a, b = (re.findall(r"\s+|\S+", t or "") for t in (old, new))
+                    ops = edits(a, b)
+                    sides = iter(a), iter(b)
+                    diff = []
+                    for op in ops.tolist():
+                        token = next(sides[op == ADD])
+                        if op == EQ:
+                            next(sides[1])
+                        diff.append({"op": str(names[op]), "token": token})
+                    diffs.append(diff)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(diffs, kind)], [*part.schema.names, "diff"])
+
+    text = lambda c: F.coalesce(c, F.lit(""))
+    changed = cues.select("file_id", "cue_no", "original_text", "text").filter(text(F.col("original_text")) != text(F.col("text")))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in changed.schema.fields)
-    return changed.mapInPandas(run, kinds + ", diff array<struct<op string, token string>>")
-
-
-def _lcs(old: str, new: str) -> list[dict]:
-    import re
-
-    a, b = (re.findall(r"\s+|\S+", t or "") for t in (old, new))
-    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            table[i][j] = table[i + 1][j + 1] + 1 if a[i] == b[j] else max(table[i + 1][j], table[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and a[i] == b[j]:
-            out.append({"op": "eq", "token": a[i]})
-            i, j = i + 1, j + 1
-        elif j < len(b) and (i == len(a) or table[i][j + 1] > table[i + 1][j]):
-            out.append({"op": "add", "token": b[j]})
-            j += 1
-        else:
-            out.append({"op": "del", "token": a[i]})
-            i += 1
-    return out
+    return changed.mapInArrow(run, kinds + ", diff array<struct<op string, token string>>")
+
+
+def edits(a: list, b: list) -> np.ndarray:
+    """EQ, ADD and DEL that turn a into b, by a longest common subsequence; read from the end, a pair that is equal is kept, else
+    what was added goes before what was deleted if both are as good.
+
+    The common end is cut first. The table is looked at within a band of diagonals, which is widened until it holds every path as
+    good as the best one: work goes with tokens times edits. Rows are kept each root of the rows and made anew on the way back.
+    """
+    same = 0
+    while same < min(len(a), len(b)) and a[-1 - same] == b[-1 - same]:
+        same += 1
+    ids: dict = {}
+    x, y = (np.array([ids.setdefault(t, len(ids)) for t in side[: len(side) - same]], np.int64) for side in (a, b))
+    band = max(BAND, abs(len(x) - len(y)) + 1)
+    while (found := _banded(x, y, band)) is None:
+        band *= 2
+    return np.concatenate([found, np.full(same, EQ, np.uint8)])
+
+
+def _banded(x: np.ndarray, y: np.ndarray, band: int) -> np.ndarray | None:
+    """The edits, or None if better ones may lie outside of the band. Cell t of row i is column i + t - band."""
+    m, n, width = len(x), len(y), 2 * band + 1
+    column = np.arange(width) - band
+    padded = np.concatenate([np.full(band, -1), y, np.full(band + m + 1, -1)])
+
+    def equal(i: int) -> np.ndarray:
+        return padded[i - 1 : i - 1 + width] == x[i - 1]
+
+    def step(i: int, row: np.ndarray, same: np.ndarray) -> np.ndarray:
+        """Row i from the one above."""
+        above = np.append(row[1:], _UNKNOWN)
+        out = np.maximum.accumulate(np.maximum(above, np.where(same, row + 1, _UNKNOWN)))
+        out[column + i > n] = _UNKNOWN
+        return out
+
+    row = np.where((column >= 0) & (column <= n), 0, _UNKNOWN)
+    stride = max(1, math.isqrt(m))
+    kept = {0: row}
+    for i in range(1, m + 1):
+        row = step(i, row, equal(i))
+        if i % stride == 0:
+            kept[i] = row
+    if band <= max(m, n) and m + n - 2 * row[n - m + band] + 1 > band:
+        return None
+    out, i, j = [], m, n
+    while i:
+        first = (i - 1) // stride * stride
+        row, choices = kept[first], []
+        for k in range(first + 1, i + 1):
+            same = equal(k)
+            now = step(k, row, same)
+            left, above = np.append(_UNKNOWN, now[:-1]), np.append(row[1:], _UNKNOWN)
+            choices.append(np.where(same, EQ, np.where((left >= above) & (column + k > 0), ADD, DEL)).astype(np.uint8))
+            row = now
+        while i > first:
+            op = choices[i - first - 1][j - i + band]
+            out.append(op)
+            i, j = i - (op != ADD), j - (op != DEL)
+    out += [ADD] * j
+    return np.array(out[::-1], np.uint8)

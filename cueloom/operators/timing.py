@@ -115,7 +115,7 @@ def regenerate(cues: DataFrame, offset_s: float = 0.0) -> DataFrame:
     """A new timeline: scene paragraphs cut into delivery-sized cues, durations by reading speed, constant gaps. Source times are
     ignored. Starts are prefix sums, so no cue waits for another."""
     pieces = tx.dialogue_chunks(F.coalesce("text", F.lit("")), F.col("max_chars_per_line"), F.col("max_lines"))
-    rows = cues.select("*", F.posexplode(F.when(F.size(pieces) > 0, pieces).otherwise(F.array("text"))).alias("_i", "_t")).withColumn("text", F.col("_t"))
+    rows = cues.select("*", F.posexplode(tx.let(pieces, lambda p: F.when(F.size(p) > 0, p).otherwise(F.array("text")))).alias("_i", "_t")).withColumn("text", F.col("_t"))
     order = Window.partitionBy("file_id").orderBy("cue_no", "_i")
     rows = rows.withColumns({"_d": F.least(required_seconds(), F.col("max_duration_seconds")), "_g": F.greatest("min_interval_seconds", F.lit(1 / FPS))})
     start = F.coalesce(F.sum(F.col("_d") + F.col("_g")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)) + max(0.0, offset_s)

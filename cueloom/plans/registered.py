@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cueloom import shared
 from cueloom import views as v
 from cueloom.functions import italics as it
 from cueloom.functions import predicates as pr
@@ -465,11 +466,28 @@ def change_report(spark, sf_dir):
     return audit.change_totals(audit.track_changes(cues))
 
 
+def _counts(diff: DataFrame) -> DataFrame:
+    count = lambda op: F.size(F.filter("diff", lambda d: d["op"] == op))
+    return diff.select("file_id", F.col("cue_no").cast("long").alias("cue_no"), count("add").alias("n_added"), count("del").alias("n_deleted"))
+
+
 @query()
 def word_diff(spark, sf_dir):
     """Word-level differences of cleaned conversation turns."""
-    cues = tx.clean_text(_joined(spark, v.cues_conv(spark, sf_dir)))
-    return audit.word_diff(cues).select("file_id", F.col("cue_no").cast("long").alias("cue_no"), F.size(F.filter("diff", lambda d: d["op"] == "add")).alias("n_added"), F.size(F.filter("diff", lambda d: d["op"] == "del")).alias("n_deleted"))
+    cleaned = tx.clean_text(_joined(spark, v.cues_conv(spark, sf_dir))).select("file_id", "cue_no", "original_text", "text")
+    return _counts(audit.word_diff(shared.written(cleaned, "cleaned")))
+
+
+@query(r"""WITH cut AS (SELECT doc_id AS file_id, regexp_extract_all(text, '[^ \t\n\r]+') AS t FROM documents WHERE text IS NOT NULL)
+SELECT file_id, CAST(1 AS BIGINT) AS cue_no, CAST(len(list_filter(t, lambda x, i: i % 7 = 4)) AS INTEGER) AS n_added, CAST(len(list_filter(t, lambda x, i: i % 7 = 4)) + 2 * len(list_filter(t, lambda x, i: i % 7 = 2)) AS INTEGER) AS n_deleted
+FROM cut WHERE len(t) >= 2""")
+def edited_documents(spark, sf_dir):
+    """The words of whole documents against the same words, of seven one dropped and one replaced: so many edits and no more."""
+    words = F.regexp_extract_all("text", F.lit(r"[^ \t\n\r]+"), F.lit(0))
+    edited = F.filter(F.transform(words, lambda w, i: F.when(i % 7 == 3, F.lit("†")).when(i % 7 != 1, w)), lambda w: w.isNotNull())
+    docs = v.spread(v.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    both = docs.select(F.col("doc_id").alias("file_id"), F.lit(1).alias("cue_no"), F.array_join(words, " ").alias("original_text"), F.array_join(edited, " ").alias("text"))
+    return _counts(audit.word_diff(both))
 
 
 @query("""SELECT a.label, a.vec_id AS a_no, b.vec_id AS b_no, round(list_cosine_similarity(a.e, b.e), 4) AS sim FROM (SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) a JOIN (SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) b ON a.label = b.label AND a.vec_id % 20 = 0 AND list_cosine_similarity(a.e, b.e) >= 0.3""")

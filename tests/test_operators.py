@@ -151,6 +151,50 @@ def test_audit(spark):
     assert [d for d in diff if d[0] != "eq"] and "".join(t for op, t in diff if op != "del") == "Hi!"
 
 
+def _table_diff(a, b):
+    """The whole table, read from the end."""
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            best[i][j] = best[i - 1][j - 1] + 1 if a[i - 1] == b[j - 1] else max(best[i - 1][j], best[i][j - 1])
+    out, i, j = [], len(a), len(b)
+    while i or j:
+        if i and j and a[i - 1] == b[j - 1]:
+            op = audit.EQ
+        elif j and (not i or best[i][j - 1] >= best[i - 1][j]):
+            op = audit.ADD
+        else:
+            op = audit.DEL
+        out.append(op)
+        i, j = i - (op != audit.ADD), j - (op != audit.DEL)
+    return out[::-1]
+
+
+def test_edits_are_those_of_the_whole_table(monkeypatch):
+    import random
+
+    rng = random.Random(12)
+    for band in (1, 2, 5, 32):
+        monkeypatch.setattr(audit, "BAND", band)
+        for _ in range(120):
+            a = [rng.choice("abcd") for _ in range(rng.randint(0, 30))]
+            b = [x for x in a if rng.random() < 0.8] if rng.random() < 0.5 else [rng.choice("abcd") for _ in range(rng.randint(0, 30))]
+            for _ in range(rng.randint(0, 3)):
+                b.insert(rng.randint(0, len(b)), rng.choice("abcde"))
+            assert audit.edits(a, b).tolist() == _table_diff(a, b)
+
+
+def test_long_texts_are_compared_in_bounded_memory():
+    import resource
+
+    a = [f"w{k % 977}" for k in range(40_000)]
+    b = [f"x{k}" if k % 100 == 7 else t for k, t in enumerate(a) if k % 90]
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    ops = audit.edits(a, b)
+    assert (ops == audit.EQ).sum() + (ops == audit.DEL).sum() == len(a) and (ops == audit.EQ).sum() + (ops == audit.ADD).sum() == len(b)
+    assert (ops != audit.EQ).sum() < 1300 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000
+
+
 def test_catalogue(spark):
     g = spark.createDataFrame([(1, "c", "p", "s", "t", "b", 2020, 1, False, None, None, None), (2, "c", "p", "s", "t2", "b", 2021, 2, True, 1, None, None), (5, "d", "q", "s", "x", "y", 2021, 1, True, None, None, None)], schema.GUIDELINE)
     newer = catalog.update(g, spark.createDataFrame([(2, 9, None, "new")], "old_id long, id long, title string, body string"))
