@@ -344,22 +344,67 @@ def dialogue_chunks(text: Column, width: Column, most_lines: Column) -> Column:
     return F.flatten(F.transform(turns, pack))
 
 
-def smart_wrap(text: Column, width: int, most_lines: int = 2) -> Column:
-    """At most two lines cut at the best boundary by fit, overflow, lone last words, boundary strength and balance; deeper limits wrap greedily."""
-    clean = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
-
-    def cut(words: Column) -> Column:
-        def score(i: Column) -> Column:
-            a, b = F.array_join(F.slice(words, F.lit(1), i), " "), F.array_join(F.slice(words, i + 1, F.size(words)), " ")
-            over = F.greatest(visible_length(a) - width, F.lit(0)) + F.greatest(visible_length(b) - width, F.lit(0))
-            strength = F.when(a.rlike(r"[.!?…]$"), 3).when(a.rlike(r"[,;:]$"), 2).when(b.rlike(r"(?i)^(?:and|but|or|so|because|that|which|who|when|if|to|of|in|on|for|with)\b"), 1).otherwise(0)
-            return F.struct((over > 0).cast("int").alias("misfit"), over.alias("over"), (F.size(words) - i < 2).cast("int").alias("lone"), (-strength).alias("weak"), F.abs(visible_length(a) - visible_length(b)).alias("uneven"), i.alias("i"), a.alias("a"), b.alias("b"))
-
-        return let(F.array_min(F.transform(F.sequence(F.lit(1), F.size(words) - 1), score)), lambda best: F.concat(best["a"], F.lit("\n"), best["b"]))
-
-    if most_lines != 2:
-        return F.when(visible_length(clean) <= width, clean).otherwise(wrap(clean, F.lit(width)))
-    return let(F.split(clean, " "), lambda words: F.when((visible_length(clean) <= width) | (F.size(words) < 2), clean).otherwise(cut(words)))
+# Words before which a line may be cut, and the least characters of a last line.
+CLAUSE_WORDS = r"(?i)^(?:and|but|or|because|so|then|that|while|when|where)$"
+LEAST_TAIL = 6
+
+
+def smart_lines(text: Column, width: int, overflow: int = 3) -> Column:
+    """array<string>: each line of a text cut at natural places, as often as it takes.
+
+    A line of more than `width` visible characters gives off one line after another while more than width + overflow are left. Of
+    the gaps between words at which the part before has at most width + overflow, that one is best which fits the width, then
+    overflows least, leaves no tail under LEAST_TAIL, stands behind a sentence or clause, a comma or before a clause word, and
+    comes latest. A part that can't be cut so stays whole. Blank lines go; null gives null.
+    """
+    most, none = width + overflow, F.array().cast("array<string>")
+
+    def cut(line: Column) -> Column:
+        tagged = F.contains(line, F.lit("<"))
+        pieces = F.regexp_extract_all(line, F.lit(r"\S+\s*"), F.lit(0))
+        visible = lambda t: F.when(tagged, visible_length(t)).otherwise(F.length(t))
+
+        def split(own: Column) -> Column:
+            n = F.size(own)
+            hidden = F.when(tagged, n - F.size(F.filter(F.split(strip_tags(line), r"\s+"), lambda w: w != ""))).otherwise(0)
+            word = lambda i: F.rtrim(F.element_at(own, i))  # noqa: E731  (from 1)
+            rest = lambda i: F.array_join(F.slice(own, i, n), "")
+
+            def gap(state: Column, k: Column) -> Column:
+                """The cut before word k, which is not the first of what is left."""
+                before, after, first = F.rtrim(F.array_join(F.slice(own, state["at"], k - state["at"]), "")), word(k), state["at"] + 1
+                size = visible(before)
+                tail = F.when(tagged, visible_length(F.trim(rest(k)))).otherwise(state["left"] - F.length(F.array_join(F.slice(own, state["at"], k - state["at"]), "")))
+                # of clause words one behind another every other one counts
+                run = F.aggregate(F.slice(own, first, k - first), F.lit(0), lambda acc, w: F.when(F.rtrim(w).rlike(CLAUSE_WORDS), acc + 1).otherwise(0))
+                clause = after.rlike(CLAUSE_WORDS) & (k < n) & (run % 2 == 0)
+                strength = F.when(before.rlike(r"[.!?;:]$"), 0).when(before.rlike(r",$"), 1).when(clause, 2).otherwise(3)
+                return F.struct(
+                    (size > width).cast("int").alias("misfit"), F.greatest(size - width, F.lit(0)).alias("over"), (tail < LEAST_TAIL).cast("int").alias("tail"), strength.alias("weak"),
+                    (-size).alias("short"), F.abs(size - tail).alias("uneven"), k.alias("k"), before.alias("before"), size.alias("size"),
+                )
+
+            def step(state: Column, _: Column) -> Column:
+                last = F.least(n, state["at"] + most + 1 + hidden)
+                gaps = F.filter(F.transform(F.sequence(state["at"] + 1, last), lambda k: gap(state, k)), lambda g: g["size"] <= most)
+                long = F.when(tagged, visible_length(rest(state["at"]))).otherwise(state["left"]) > most
+                made = lambda lines, at, left, done: F.struct(lines.alias("lines"), at.alias("at"), left.alias("left"), done.alias("done"))
+                over = made(F.concat(state["lines"], F.array(rest(state["at"]))), state["at"], state["left"], F.lit(True))
+                best = lambda found: F.when(F.size(found) == 0, over).otherwise(let(F.array_min(found), lambda g: made(F.concat(state["lines"], F.array(g["before"])), g["k"], F.length(rest(g["k"])), F.lit(False))))
+                return F.when(state["done"], state).when(~long | (state["at"] == n), over).otherwise(let(gaps, best))
+
+            begin = F.struct(none.alias("lines"), F.lit(1).alias("at"), F.length(line).alias("left"), F.lit(False).alias("done"))
+            return F.aggregate(F.sequence(F.lit(1), n), begin, step, lambda state: state["lines"])
+
+        return F.when(visible(line) <= width, F.array(line)).otherwise(let(pieces, split))
+
+    lines = F.filter(F.transform(F.split(text, "\n", -1), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    return F.flatten(F.transform(lines, cut))
+
+
+def smart_wrap(text: Column, width: int, overflow: int = 3) -> Column:
+    """A text with its lines cut at natural places, see `smart_lines`."""
+    return F.array_join(smart_lines(text, width, overflow), "\n")
 
 
 def sentence_case(text: Column) -> Column:

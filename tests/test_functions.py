@@ -104,3 +104,75 @@ def test_long_pieces_stay_whole(spark):
 
 def test_every_trailing_explanation_goes(spark):
     each(spark, tx.strip_explanations, [("Hello" + " (a long explanation)" * 20, "Hello"), ("Hello (short)" + " (a long explanation)" * 9, "Hello (short)"), (None, None)])
+
+
+def _wrapped(text, width, overflow):
+    """Line by line, gap by gap."""
+    import re
+
+    shown = lambda t: len(re.sub(r"<[^>]+>", "", t))
+    out = []
+    for line in filter(None, (x.strip() for x in text.split("\n"))):
+        while shown(line) > width + overflow:
+            best, used = None, -1
+            for n, gap in enumerate(re.finditer(r"\s+", line)):
+                left, right = line[: gap.start()], line[gap.end() :]
+                clause = gap.start() >= used and re.match(r"(and|but|or|because|so|then|that|while|when|where)\s+", right, re.I)
+                if clause:
+                    used = gap.end() + clause.end()
+                if shown(left) <= width + overflow:
+                    kind = 0 if left[-1] in ".!?;:" else 1 if left[-1] == "," else 2 if clause else 3
+                    key = (shown(left) > width, max(0, shown(left) - width), shown(right) < 6, kind, -shown(left), abs(shown(left) - shown(right)), n)
+                    best = min(best, (key, left, right)) if best else (key, left, right)
+            if best is None:
+                break
+            out.append(best[1])
+            line = best[2]
+        out.append(line)
+    return out
+
+
+def test_lines_are_cut_at_natural_places(spark):
+    import random
+
+    rng = random.Random(4)
+    words = ["and", "so", "that", "then", "because", "<i>", "</i>", "<i>word</i>", "hello,", "world.", "a", "I", "something", "extraordinarily", "it;", "why?", "<font color=red>", "where", "x"]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", " ", " ", "  ", "\n"]) for _ in range(rng.randint(0, 40))) for _ in range(150)]
+    texts += ["", "   ", "aaaa" * 30, "word " * 400, "One two three four. Five six seven, eight nine and ten eleven twelve"]
+    table = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for width, overflow in ((14, 3), (20, 0), (42, 3)):
+        got = {r.i: r.lines for r in table.select("i", tx.smart_lines(F.col("t"), width, overflow).alias("lines")).collect()}
+        for i, t in enumerate(texts):
+            assert got[i] == _wrapped(t, width, overflow), (width, t)
+    one = lambda t, w: spark.createDataFrame([(t,)], "t string").select(tx.smart_lines(F.col("t"), w)).head()[0]
+    assert len(one("I came here, I saw the place, and I left", 16)) == 3
+    assert len(one("First part here. Second part here; third part here, fourth part and the fifth part", 18)) == 5
+
+
+def test_scenes_are_packed_by_sentence(spark):
+    import random
+    import re
+    import textwrap
+
+    def packed(text, width, most):
+        fits = lambda t: len(w := textwrap.wrap(t, width, break_long_words=False, break_on_hyphens=False)) <= most and all(len(x) <= width for x in w)
+        out, now = [], ""
+        for s in re.split(r"(?<=[.!?…])\s+", text):
+            joined = f"{now} {s}".strip()
+            if now and not fits(joined):
+                out.append(now)
+                joined = s
+            now = joined
+            if not fits(now):
+                lines = textwrap.wrap(now, width, break_long_words=False, break_on_hyphens=False)
+                out += ["\n".join(lines[k : k + most]) for k in range(0, len(lines), most)]
+                now = ""
+        return [*out, now] if now else out
+
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choice("abcdef") for _ in range(rng.choice((1, 4, 7, 30)))) + rng.choice(["", "", "", ".", "!", "?"]) for _ in range(rng.randint(1, 60))) for _ in range(120)]
+    table = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for width, most in ((12, 1), (20, 2), (32, 3)):
+        got = {r.i: r.c for r in table.select("i", tx.dialogue_chunks(F.col("t"), F.lit(width), F.lit(most)).alias("c")).collect()}
+        for i, t in enumerate(texts):
+            assert got[i] == packed(t, width, most), (width, most, t)
