@@ -350,29 +350,75 @@ def infer_columns(cells: DataFrame) -> DataFrame:
     return best.groupBy("table_id", "role").agg(F.min_by("col_no", "_p").alias("col_no"))
 
 
+# Words of a header row, and font names of marked words.
+HEADER_ROW = r"(?i)(?:Sh#|ShTimeIn|SceneDescription|Time\s*In|Time\s*Out|Titles|SC#|FOOTAGE|SHOT\s*DESCR|START\s*:|FINISH\s*:|TOTAL\s*:|TITLE#|TITLE\s*:)"
+BOLD, ITALIC = r"(?i)Bold|Heavy|Black", r"(?i)Italic|Oblique"
+#: Least columns of a table, and pixels by which a word may stand before its column.
+TABLE_COLUMNS, OVERHANG = 4, 8.0
+#: Pixels of rows, of a gap between columns, and between the starts of a column.
+ROW_PX, GAP_PX, JOIN_PX = 3, 40.0, 30.0
+
+
+def visual_rows(words: DataFrame) -> DataFrame:
+    """(doc_id, page, row_y, words) of layout words: a row a line on the page, words array<struct<x0, t>> from the left, marked by font."""
+    font = F.coalesce("font", F.lit(""))
+    marked = F.when(font.rlike(BOLD), F.concat(F.lit("**"), F.col("text"), F.lit("**"))).when(font.rlike(ITALIC), F.concat(F.lit("*"), F.col("text"), F.lit("*"))).otherwise(F.col("text"))
+    rows = words.filter("text is not null and x0 is not null and y is not null").withColumn("row_y", (F.bround(F.col("y") / ROW_PX) * ROW_PX).cast("int"))
+    return rows.groupBy("doc_id", "page", "row_y").agg(F.array_sort(F.collect_list(F.struct("x0", marked.alias("t")))).alias("words"))
+
+
+def _cells(words: Column, n: Column, column: Callable[[Column], Column]) -> Column:
+    """The texts of columns 0 to n - 1, empty ones too; column: of a word's x0."""
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda c: F.array_join(F.transform(F.filter(words, lambda w: column(w["x0"]) == c), lambda w: w["t"]), " "))
+
+
 def words_to_rows(words: DataFrame) -> DataFrame:
-    """Layout words (doc_id, page, y, x0, x1, text, font) to (doc_id, page, row_y, line): y snapped to 3 px, columns begin at the words of
-    the first header row, a word belongs to the last column that begins at most 8 px to its right; cells joined by bars."""
-    marked = F.when(F.lower("font").contains("bold"), F.concat(F.lit("**"), F.col("text"), F.lit("**"))).when(F.lower("font").rlike("ital|obliq"), F.concat(F.lit("*"), F.col("text"), F.lit("*"))).otherwise(F.col("text"))
-    rows = words.withColumns({"row_y": (F.bround(F.col("y") / 3) * 3).cast("int"), "_w": marked})
-    grouped = rows.groupBy("doc_id", "page", "row_y").agg(F.collect_set(F.coalesce(cell_role(F.col("text")), F.lit(""))).alias("_roles"), F.array_sort(F.collect_list("x0")).alias("_x"))
-    header = grouped.filter(F.array_contains("_roles", "start") & F.array_contains("_roles", "dialogue")).groupBy("doc_id").agg(F.min_by("_x", F.struct("page", "row_y")).alias("_bounds"))
-    placed = rows.join(header, "doc_id", "left").withColumn("_col", F.greatest(F.lit(1), F.size(F.filter(F.coalesce("_bounds", F.array(F.lit(0.0))), lambda b: F.col("x0") >= b - 8))))
-    cells = placed.groupBy("doc_id", "page", "row_y", "_col").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "_w"))), lambda s: s["_w"]), " ").alias("_cell"))
-    return cells.groupBy("doc_id", "page", "row_y").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_col", "_cell"))), lambda s: s["_cell"]), " | ").alias("line"))
-
-
-def column_bounds(words: DataFrame, gap: float = 40.0, join: float = 30.0) -> DataFrame:
-    """(doc_id, bound): x of recurring column starts, the whole mean of word starts after gaps of `gap` px or more, clustered within
-    `join` px and met in a third of the rows at least, two at least."""
-    rows = words.withColumn("row_y", (F.bround(F.col("y") / 3) * 3).cast("int"))
-    n_rows = rows.select("doc_id", "page", "row_y").distinct().groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    line = Window.partitionBy("doc_id", "page", "row_y").orderBy("x0")
-    starts = rows.withColumn("_gap", F.col("x0") - F.lag("x1").over(line)).filter(F.col("_gap") >= gap).select("doc_id", "page", "row_y", "x0")
-    order = Window.partitionBy("doc_id").orderBy("x0")
-    clustered = starts.withColumn("_new", (F.coalesce(F.col("x0") - F.lag("x0").over(order), F.lit(1e9)) > join).cast("int")).withColumn("_k", F.sum("_new").over(order))
-    counted = clustered.groupBy("doc_id", "_k").agg(F.floor(F.avg("x0")).cast("int").alias("bound"), F.count_distinct("page", "row_y").alias("_n")).join(n_rows, "doc_id")
-    return counted.filter(F.col("_n") >= F.greatest(F.lit(2.0), F.col("_rows") / 3)).select("doc_id", "bound")
+    """Layout words (doc_id, page, y, x0, x1, text, font) to (doc_id, page, row_y, line).
+
+    Columns begin at the words of a page's first header row, or of the first one on an earlier page; a word belongs to the last
+    column that begins at most OVERHANG px to its right. Cells are joined by bars, rows without a table of TABLE_COLUMNS by blanks.
+    The document's first header row is a line, other headers and what stands above a page's header go. Words without place or text
+    are left out.
+    """
+    rows = visual_rows(words)
+    page, upto = Window.partitionBy("doc_id", "page"), Window.partitionBy("doc_id").orderBy("page").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    plain = F.array_join(F.transform("words", lambda w: w["t"]), " ")
+    rows = rows.withColumn("_header_y", F.min(F.when(plain.rlike(HEADER_ROW), F.col("row_y"))).over(page))
+    head = F.when(F.col("row_y") == F.col("_header_y"), F.transform("words", lambda w: w["x0"]))
+    rows = rows.withColumns({"_own": F.first(head, ignorenulls=True).over(page), "_first": F.min(F.when(head.isNotNull(), F.struct("page", "row_y", head.alias("x")))).over(upto)})
+    bounds = F.coalesce("_own", F.col("_first.x"), F.array().cast("array<double>"))
+    is_first = (F.col("page") == F.col("_first.page")) & (F.col("row_y") == F.col("_first.row_y"))
+    rows = rows.withColumn("_b", bounds).filter(F.col("_header_y").isNull() | (F.col("row_y") > F.col("_header_y")) | is_first)
+    placed = _cells(F.col("words"), F.size("_b"), lambda x: F.greatest(F.lit(0), F.size(F.filter("_b", lambda b: x >= b - OVERHANG)) - 1))
+    line = F.when(F.coalesce(is_first, F.lit(False)), F.array_join(F.transform("words", lambda w: w["t"]), " | ")).when(F.size("_b") >= TABLE_COLUMNS, F.array_join(placed, " | ")).otherwise(plain)
+    return rows.select("doc_id", "page", "row_y", line.alias("line")).filter(F.trim(F.translate("line", "|", "")) != "")
+
+
+def column_bounds(words: DataFrame) -> DataFrame:
+    """(doc_id, page, bound): where columns recur on a page: starts of words GAP_PX or more behind the start before, clustered while
+    neighbours are within JOIN_PX, clusters kept that hold a third of the page's rows and two at least; the whole mean of each."""
+    return _bounds(visual_rows(words))
+
+
+def _bounds(rows: DataFrame) -> DataFrame:
+    page = Window.partitionBy("doc_id", "page").orderBy("x0")
+    counted = rows.withColumn("_rows", F.count("*").over(Window.partitionBy("doc_id", "page")))
+    x = F.transform("words", lambda w: w["x0"])
+    starts = F.filter(x, lambda v, i: (i > 0) & (v - F.get(x, i - 1) >= GAP_PX))
+    gaps = counted.select("doc_id", "page", "_rows", F.explode(starts).alias("x0"))
+    islands = gaps.withColumn("_new", (F.coalesce(F.col("x0") - F.lag("x0").over(page), F.lit(JOIN_PX + 1)) > JOIN_PX).cast("int"))
+    islands = islands.withColumn("_k", F.sum("_new").over(page.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    kept = islands.groupBy("doc_id", "page", "_k").agg(F.floor(F.avg("x0")).cast("int").alias("bound"), F.count("*").alias("_n"), F.first("_rows").alias("_rows"))
+    return kept.filter(F.col("_n") >= F.greatest(F.lit(2), F.floor(F.col("_rows") / 3))).select("doc_id", "page", "bound")
+
+
+def banded_rows(words: DataFrame) -> DataFrame:
+    """(doc_id, page, row_y, line) of layout words by the columns that recur on their page, cells joined by bars; by blanks where none does."""
+    rows = visual_rows(words)
+    bounds = _bounds(rows).groupBy("doc_id", "page").agg(F.array_sort(F.collect_list("bound")).alias("_b"))
+    placed = _cells(F.col("words"), F.size("_b") + 1, lambda x: F.size(F.filter("_b", lambda b: x >= b)))
+    line = F.when(F.col("_b").isNull(), F.array_join(F.transform("words", lambda w: w["t"]), " ")).otherwise(F.array_join(placed, " | "))
+    return rows.join(bounds, ["doc_id", "page"], "left").select("doc_id", "page", "row_y", line.alias("line"))
 
 
 EXTENSIONS = {"srt": "srt", "vtt": "vtt", "ass": "ass", "ssa": "ass", "sub": "microdvd", "sbv": "sbv", "lrc": "lrc", "ttml": "ttml", "dfxp": "ttml", "xml": "ttml", "csv": "csv", "json": "json", "txt": "txt"}

@@ -246,6 +246,39 @@ def test_readers(spark, tmp_path):
     assert [r.start_ms for r in readers.parse_txt(one("a\nb\n\nc")).orderBy("cue_no").collect()] == [0, 2200, 4400]
 
 
+LAYOUT = "doc_id string, page int, y double, x0 double, x1 double, text string, font string"
+
+
+def test_layout_words_become_table_rows(spark):
+    """The header of an earlier page serves later ones, what stands above a header goes, and pages before any header are plain."""
+    at = lambda page, y, *words: [("d", page, float(y), float(x), float(x + 20), t, f) for x, t, f in words]
+    head = [(10, "Sh#", None), (100, "TimeIn", None), (200, "TimeOut", None), (300, "Titles", None)]
+    rows = at(1, 10, (10, "no", None), (50, "table", "Sans-Oblique"))
+    rows += at(2, 5, (10, "gone", None)) + at(2, 20, *head) + at(2, 31, (300, "last", None), (11, "1", None), (97, "t1", None), (330, "words", "X-Heavy")) + at(2, 40, (40, "only", None))
+    rows += at(3, 12, (12, "2", None), (91, "still", None), (205, "t2", None)) + at(3, 30, (10, "Time", None), (60, "In", None)) + at(3, 40, (10, "three", None), (60, "columns", None))
+    rows += [("d", 3, None, 1.0, 2.0, "lost", None), ("d", 3, 50.0, 10.0, 20.0, None, None), ("e", 1, 3.0, 1.0, 2.0, "alone", None)]
+    got = [(r.doc_id, r.page, r.row_y, r.line) for r in readers.words_to_rows(spark.createDataFrame(rows, LAYOUT).repartition(3)).orderBy("doc_id", "page", "row_y").collect()]
+    assert got == [
+        ("d", 1, 9, "no *table*"), ("d", 2, 21, "Sh# | TimeIn | TimeOut | Titles"), ("d", 2, 30, "1 | t1 |  | last **words**"), ("d", 2, 39, "only |  |  | "), ("d", 3, 39, "three columns"), ("e", 1, 3, "alone"),
+    ]
+    assert readers.words_to_rows(spark.createDataFrame([], LAYOUT)).count() == 0
+
+
+def test_layout_columns_recur(spark):
+    rows = [("d", 1, float(12 * k), x, x + 9, f"w{k}", None) for k in range(9) for x in (10.0, 30.0, 130.0 + 3 * k, 300.0 if k % 4 == 0 else 170.0 + 3 * k)]
+    table = spark.createDataFrame(rows, LAYOUT)
+    # starts from 130 on make one island, with those 40 px behind them; 300 recurs three times of nine
+    starts = sorted(b for k in range(9) for a, b in ((30.0, 130.0 + 3 * k), (130.0 + 3 * k, 300.0 if k % 4 == 0 else 170.0 + 3 * k)) if b - a >= 40)
+    islands = [[starts[0]]]
+    for x in starts[1:]:
+        islands.append([x]) if x - islands[-1][-1] > 30 else islands[-1].append(x)
+    want = [int(sum(i) // len(i)) for i in islands if len(i) >= 3]
+    assert len(want) == 2 and sorted(r.bound for r in readers.column_bounds(table).collect()) == want
+    lines = {r.row_y: r.line for r in readers.banded_rows(table).collect()}
+    assert lines[0].count(" | ") == 2 and lines[0].endswith("| w0")
+    assert readers.banded_rows(table.filter("x0 < 100 and y < 13")).filter("line like '% | %'").count() == 0
+
+
 def test_sinks_round_trip(spark):
     table = cues(spark, [(1000, 2000, "Hello\nthere"), (3000, 4000, "A & <b>"), (None, None, "gone"), (5000, 6000, "  ")])
     assert sinks.to_srt(table).collect()[0].value == "1\n00:00:01,000 --> 00:00:02,000\nHello\nthere\n\n2\n00:00:03,000 --> 00:00:04,000\nA & <b>\n"
