@@ -11,30 +11,51 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cueloom import shared
 from cueloom.functions import text as tx
 
-# Hint keys, their description, and phrases that a justifying rule holds.
+# Hint keys, their description, and phrases that a justifying rule holds; labels of changes that no hint names; patterns.
 HINTS = (
-    ("hoh_removed", "Accessibility element removed", ("hoh", "emt")), ("stage_removed", "Stage direction removed", ("stage direction",)), ("char_name_removed", "Speaker label removed", ("character", "speaker")),
-    ("filler_removed", "Filler word removed", ("filler",)), ("profanity_replaced", "Profanity replaced by the platform's table", ("profanity", "xxx", "bleep")),
-    ("profanity_asterisk", "Beeped word replaced by asterisks", ("asterisk", "bleep", "profanity")), ("double_space", "Double space removed", ("double space",)),
-    ("space_before_punct", "Space before punctuation removed", ("space before punctuation", "no space", "punctuation")), ("double_punct", "Doubled punctuation made single", ("double punctuation", "avoid double", "!?")),
-    ("ellipsis", "Ellipsis made three dots", ("ellipsis", "three dots")), ("ellipsis_start", "Space after leading ellipsis removed", ("ellipsis without space",)),
-    ("two_speaker_hyphen", "Two-speaker hyphens applied", ("two speaker", "hyphen")), ("quotation_marks", "Apostrophes made quotation marks", ("quotation", "speech mark", "double")),
-    ("symbols_stripped", "Forbidden symbols removed", ("degree", "copyright", "symbol")), ("acronym_dots", "Dots of an acronym removed", ("no periods for acronyms", "acronym")),
-    ("song_lyric_case", "Lyric line capitalised", ("song", "upper case")), ("song_line_punct", "Punctuation at a lyric's end removed", ("song", "punctuation")),
-    ("story_lang_caps", "STORY: and LANG: capitalised", ("story and lang", "story:", "lang:")), ("interruption_double_hyphen", "Dash made a double hyphen", ("double hyphen", "interrupted")),
-    ("capitalize", "First letter capitalised", ("sentence case", "capital")), ("number_to_word", "Number written in words", ("in words", "spell out", "1-10", "0-9", "1-9")),
-    ("us_spelling", "British spelling made American", ("us english", "american", "spelling")), ("line_limit", "Line split at its limit", ("maximum", "characters per line", "lines per subtitle")),
-    ("zero_subtitle", "Zero subtitle added", ("zero subtitle", "story:", "lang:")), ("italics_added", "Italics added", ("italic",)), ("italics_removed", "Italics removed", ("no italic", "no text style", "italic")),
+    ("hoh_removed", "HOH/EMT accessibility element removed", ("hoh", "emt")),
+    ("stage_removed", "Stage direction / non-dialogue parenthetical removed", ("stage direction",)),
+    ("char_name_removed", "Character name / speaker label removed", ("character", "speaker")),
+    ("filler_removed", "Filler word removed", ("filler",)),
+    ("profanity_replaced", "Profanity replaced per platform table", ("profanity", "xxx", "bleep")),
+    ("profanity_asterisk", "Beeped profanity replaced with asterisks (****)", ("asterisk", "bleep", "profanity")),
+    ("double_space", "Double space removed", ("double space",)),
+    ("space_before_punct", "Space before punctuation removed", ("space before punctuation", "no space", "punctuation")),
+    ("double_punct", "Double / mixed punctuation normalised", ("double punctuation", "avoid double", "!?")),
+    ("ellipsis", "Ellipsis normalised to three dots", ("ellipsis", "three dots")),
+    ("ellipsis_start", "Leading-ellipsis space removed", ("ellipsis without space",)),
+    ("two_speaker_hyphen", "Two-speaker hyphen format applied", ("two speaker", "hyphen")),
+    ("quotation_marks", "Apostrophes converted to quotation marks", ("quotation", "speech mark", "double")),
+    ("symbols_stripped", "Forbidden symbols stripped (& < > ° ©)", ("degree", "copyright", "symbol")),
+    ("acronym_dots", "Acronym periods removed (F.B.I. -> FBI)", ("no periods for acronyms", "acronym")),
+    ("song_lyric_case", "Song lyric line capitalised", ("song", "upper case")),
+    ("song_line_punct", "Trailing punctuation removed from song line", ("song", "punctuation")),
+    ("story_lang_caps", "STORY:/LANG: capitalised", ("story and lang", "story:", "lang:")),
+    ("interruption_double_hyphen", "Em-dash converted to double hyphen (--)", ("double hyphen", "interrupted")),
+    ("capitalize", "First letter capitalised (sentence case)", ("sentence case", "capital")),
+    ("number_to_word", "Number(s) converted to words", ("in words", "spell out", "1-10", "0-9", "1-9")),
+    ("us_spelling", "British -> US English spelling normalised", ("us english", "american", "spelling")),
+    ("line_limit", "Line split to fit character / line limit", ("maximum", "characters per line", "lines per subtitle")),
+    ("zero_subtitle", "Zero subtitle (programme info) auto-injected at 00:00:00", ("zero subtitle", "story:", "lang:")),
+    ("italics_added", "Italics added (song / VO / phone / foreign word)", ("italic",)),
+    ("italics_removed", "Italics removed (platform does not allow italics)", ("no italic", "no text style", "italic")),
+)
+WIPED, WIPED_PHRASES = "Entire subtitle removed (HOH/EMT element or filler)", ("hoh", "emt", "stage direction", "filler")
+FALLBACK = "Verified edit: dialogue text corrected during cleaning - please review this change against your platform guidelines before delivery."
+COMPARED_UK = (
+    ("colour", "color"), ("favourite", "favorite"), ("neighbour", "neighbor"), ("realise", "realize"), ("recognise", "recognize"), ("centre", "center"), ("theatre", "theater"), ("programme", "program"),
+    ("travelling", "traveling"), ("cancelled", "canceled"), ("defence", "defense"), ("licence", "license"), ("humour", "humor"), ("behaviour", "behavior"), ("flavour", "flavor"), ("honour", "honor"), ("labour", "labor"),
 )
-
-FALLBACK = "Verified edit: text corrected during cleaning, please review"
 BRACKET = r"\[[^\n]*?\]|\([^\n]*?\)"
 SOUND = r"(?i)\[|\]|music|applause|laughter|cheering|singing|sound|gunshot|explosion"
 LABEL = r"^[A-Z][A-Z0-9 '/().]{1,40}[:\-]\s*"
+INLINE_LABEL = r"^[A-Z]{2,30}(?:\s+[A-Z0-9]{1,30}){0,3}\s+(?=[A-Z][a-z])"
 FILLER = r"(?iU)\b(?:uh|hmm+|erm|er|um)\b"
 DIGIT = r"(?<!\d)\b(?:[0-9]|10)\b(?!\d)"
+BROADCAST_BYTES = 8 << 20
 
 
 def hint_table(spark: SparkSession) -> DataFrame:
@@ -91,13 +112,49 @@ def longest_keyword_rule(rules: DataFrame, keywords: DataFrame) -> DataFrame:
     return held.groupBy("platform_key", "key").agg(F.max_by("rule", F.struct(F.length("keyword"), -F.col("rule_no"))).alias("rule"))
 
 
+def compared(old: Column, new: Column) -> Column:
+    """array<string> of hint keys that a comparison of both texts proves, in order of the tests; WIPED where nothing is left."""
+    had = lambda p: old.rlike(p) & ~new.rlike(p)
+    plain_old, plain_new = tx.strip_tags(old), tx.strip_tags(new)
+    lead = lambda t: F.regexp_replace(F.trim(t), r"^(?:</?[ib]>|-|\s)+", "")
+    gone = removed_brackets(old, new)
+    n_brackets = lambda t: F.regexp_count(t, F.lit(BRACKET))
+    fewer = n_brackets(new) < n_brackets(old)
+    sound = F.exists(gone, lambda b: b.rlike(SOUND))
+    italic = lambda t: t.contains("<i>") | t.contains("</i>")
+    spaced, close = r"(?:^|\n)- \S", r"(?:^|\n)-\S"
+    hyphens = (old.rlike(spaced) & new.rlike(close)) | (old.rlike(close) & new.rlike(spaced)) | (F.ltrim(new).startswith("-") & ~F.ltrim(old).startswith("-")) | (new.contains("\n-") & ~old.contains("\n-"))
+    count = lambda t, mark: F.regexp_count(t, F.lit(mark))
+    profane = r"\b[a-z]xxx\w*\b"
+    number = F.arrays_overlap(F.split(F.lower(new), r"\s+"), F.array(*[F.lit(w) for w in ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten")]))
+    british = F.exists(F.array(*[F.struct(F.lit(u).alias("u"), F.lit(a).alias("a")) for u, a in COMPARED_UK]), lambda w: F.contains(F.lower(old), w["u"]) & F.contains(F.lower(new), w["a"]) & ~F.contains(F.lower(new), w["u"]))
+    tests = [
+        ("line_limit", new.contains("\n") & ~old.contains("\n")), ("hoh_removed", fewer & sound), ("stage_removed", fewer & ~sound), ("italics_added", italic(new) & ~old.contains("<i>")), ("italics_removed", italic(old) & ~new.contains("<i>")),
+        ("two_speaker_hyphen", hyphens), ("interruption_double_hyphen", old.contains("—") & new.contains("--") & ~new.contains("—")), ("profanity_asterisk", count(new, r"\*{4}") > count(old, r"\*{3}")),
+        ("profanity_replaced", F.lower(new).rlike(profane) & ~F.lower(old).rlike(profane)), ("number_to_word", had(DIGIT) & number), ("filler_removed", count(new, FILLER) < count(old, FILLER)),
+        ("char_name_removed", had(LABEL) | (F.trim(old).rlike(INLINE_LABEL) & ~F.trim(new).rlike(INLINE_LABEL))), ("us_spelling", british), ("double_space", old.contains("  ") & ~new.contains("  ")),
+        ("double_punct", had(r"[!?]{2,}")), ("space_before_punct", had(r" [.,!?;:]")), ("ellipsis", had(r"\.{4,}")), ("capitalize", lead(plain_old).rlike(r"^\p{Ll}") & lead(plain_new).rlike(r"^\p{Lu}")),
+        ("acronym_dots", had(r"\b[A-Z]\.[A-Z]\.")), (WIPED, (F.trim(plain_old) != "") & (F.trim(plain_new) == "")),
+    ]
+    return F.array_compact(F.array(*[F.when(test, F.lit(key)) for key, test in tests]))
+
+
 def change_labels(cues: DataFrame, rules: DataFrame) -> DataFrame:
-    """Changed cues (platform_key, original_text, text, rule_hints) with labels: one a hint, or the honest fallback."""
-    labels = justified(rules).groupBy("platform_key").agg(F.map_from_entries(F.collect_list(F.struct("hint", "label"))).alias("_labels"))
-    changed = cues.filter("original_text <> text").join(F.broadcast(labels), "platform_key", "left")
-    described = F.create_map(*[x for k, d, _ in HINTS for x in (F.lit(k), F.lit(f"Verified edit: {d}"))])
-    named = F.array_distinct(F.array_compact(F.transform("rule_hints", lambda h: F.coalesce(F.try_element_at("_labels", h), F.try_element_at(described, h)))))
-    return changed.withColumn("labels", F.when(F.coalesce(F.size(named), F.lit(0)) > 0, named).otherwise(F.array(F.lit(FALLBACK)))).drop("_labels")
+    """Changed cues (platform_key, original_text, text, rule_hints) with labels: of the hints, then of the before/after tests, each the
+    platform's rule that justifies it or its description; where nothing names the change, the honest fallback.
+
+    cues should be a written table: the filter for changes is else pushed through what made them.
+    """
+    wiped = rules.sparkSession.createDataFrame([(WIPED, p) for p in WIPED_PHRASES], "key string, keyword string")
+    worded = longest_keyword_rule(rules, wiped).select("platform_key", F.col("key").alias("hint"), F.concat(F.lit("Rule: "), F.col("rule")).alias("label"))
+    labels = justified(rules).unionByName(worded).groupBy("platform_key").agg(F.map_from_entries(F.collect_list(F.struct("hint", "label"))).alias("_labels"))
+    labels = shared.written(labels, "labels")  # a row a platform
+    size = labels.agg(F.sum(F.length(F.to_json("_labels")))).head()[0] or 0
+    changed = cues.filter("original_text <> text").join(F.broadcast(labels) if size < BROADCAST_BYTES else labels, "platform_key", "left")
+    described = F.create_map(*[x for k, d in [*((k, d) for k, d, _ in HINTS), (WIPED, WIPED)] for x in (F.lit(k), F.lit(f"Verified edit: {d}"))])
+    shown = F.concat(F.coalesce("rule_hints", F.array().cast("array<string>")), compared(F.col("original_text"), F.col("text")))
+    named = F.array_distinct(F.array_compact(F.transform(shown, lambda h: F.coalesce(F.try_element_at("_labels", h), F.try_element_at(described, h)))))
+    return changed.withColumn("_named", named).withColumn("labels", F.when(F.coalesce(F.size("_named"), F.lit(0)) > 0, F.col("_named")).otherwise(F.array(F.lit(FALLBACK)))).drop("_labels", "_named")
 
 
 def track_changes(cues: DataFrame) -> DataFrame:
