@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueloom.functions import timecode as tc
@@ -122,9 +122,57 @@ def stretch(cues: DataFrame, params: DataFrame) -> DataFrame:
     return _mapped(cues, params, lambda t: F.when(pe != ps, cs + (t - ps) * ((ce - cs) / (pe - ps))))
 
 
-def dispatch(cues: DataFrame, params: DataFrame) -> DataFrame:
-    """params with a mode a file: offset, scale or two_point; other files stay as they are."""
-    a, b = F.col("source_a"), F.col("source_b")
-    factor = F.when(b.isNotNull() & (b != a), (F.col("target_b") - F.col("target_a")) / (b - a)).otherwise(F.lit(1.0))
+#: Parameters of `dispatch` beside file_id and mode; a column that a table of parameters lacks counts as null.
+PARAMETERS = (
+    "offset_ms bigint, factor double, from_no int, to_no int, target_no int, new_start_ms bigint, new_end_ms bigint, shift_mode string, range_end_no int, anchor_no int, anchor_ms bigint, anchor_no2 int, anchor_ms2 bigint, "
+    "source_a bigint, target_a bigint, source_b bigint, target_b bigint, program_start bigint, program_end bigint, client_start bigint, client_end bigint, other_id bigint, main_a int, other_a int, main_b int, other_b int"
+)
+TARGET_MODES = ("shift_only_this", "fix_from_index", "fix_range", "sync_target")
+
+
+def dispatch(cues: DataFrame, params: DataFrame, other: DataFrame | None = None) -> DataFrame:
+    """Every file re-timed in the mode of its row of params (see PARAMETERS), all files in one pass; others stay as they are.
+
+    offset, scale: within from_no to to_no. visual: moved so that the anchor starts at anchor_ms, or along the line through two
+    anchors, within the range. two_point, stretch: along a line. shift_only_this: a cue set; sync_target too, by start, end or
+    both, and with shift_mode `all` what follows moves along. fix_from_index: a cue moved with all that follow; fix_range: with
+    those up to range_end_no. point_via_other: cues (from 0) main_a and main_b brought to cues other_a and other_b of file other_id
+    in `other` (else in cues). Any other mode counts as offset. Where a cue or value that a mode needs is missing, nothing moves.
+    """
+    kinds = [c.strip().split(" ") for c in PARAMETERS.split(",")]
+    p = params.select("file_id", F.coalesce("mode", F.lit("offset")).alias("mode"), *((F.col(c) if c in params.columns else F.lit(None)).cast(kind).alias(c) for c, kind in kinds))
+    at = (cues if other is None else other).select(F.col("file_id").alias("other_id"), (F.col("cue_no") - 1).alias("_at"), F.col("start_ms").alias("_t"))
+    asked = p.filter("mode = 'point_via_other' and other_id is not null").select("file_id", "other_id", F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("other_a").alias("at")), F.struct(F.lit("b").alias("side"), F.col("other_b").alias("at")))).alias("w"))
+    met = asked.join(at, (asked.other_id == at.other_id) & (F.col("w.at") == at["_at"])).groupBy("file_id").agg(F.max(F.when(F.col("w.side") == "a", F.col("_t"))).alias("_ref_a"), F.max(F.when(F.col("w.side") == "b", F.col("_t"))).alias("_ref_b"))
+    file, s, e, no = Window.partitionBy("file_id"), F.col("start_ms"), F.col("end_ms"), F.col("cue_no")
+    old = lambda number, time: F.max(F.when(no == number, time)).over(file)
+    rows = cues.join(p.join(met, "file_id", "left"), "file_id", "left").withColumns({
+        "_old_s": old(F.col("target_no"), s), "_old_e": old(F.col("target_no"), e), "_a": old(F.col("anchor_no"), s), "_b": old(F.col("anchor_no2"), s), "_main_a": old(F.col("main_a") + 1, s), "_main_b": old(F.col("main_b") + 1, s),
+    })
     mode = F.col("mode")
-    return _mapped(cues, params, lambda t: F.when((mode == "offset") & _within(), t + F.col("offset_ms")).when((mode == "scale") & _within() & (F.col("factor") > 0), t * F.col("factor")).when(mode == "two_point", F.col("target_a") + (t - a) * factor))
+
+    def line(t: Column, a: Column, to_a: Column, b: Column, to_b: Column) -> Column:
+        """t along the line through both points, moved by the first alone if the second is missing or the same."""
+        return F.when(b.isNotNull() & to_b.isNotNull() & (b != a), to_a + (t - a) * ((to_b - to_a) / (b - a))).otherwise(t + (to_a - a))
+
+    def moved(t: Column) -> Column:
+        c = F.col
+        return (
+            F.when((mode == "scale") & _within() & (c("factor") > 0), t * c("factor"))
+            .when((mode == "visual") & _within(), line(t, c("_a"), c("anchor_ms"), c("_b"), c("anchor_ms2")))
+            .when(mode == "two_point", line(t, c("source_a"), c("target_a"), c("source_b"), c("target_b")))
+            .when((mode == "stretch") & (c("program_end") != c("program_start")), c("client_start") + (t - c("program_start")) * ((c("client_end") - c("client_start")) / (c("program_end") - c("program_start"))))
+            .when(mode == "point_via_other", line(t, c("_main_a"), c("_ref_a"), c("_main_b"), c("_ref_b")))
+            .when(~mode.isin("scale", "visual", "two_point", "stretch", "point_via_other", *TARGET_MODES) & _within(), t + c("offset_ms"))
+        )
+
+    target, new_s, new_e = mode.isin(*TARGET_MODES), F.col("new_start_ms"), F.col("new_end_ms")
+    whole = (mode != "shift_only_this") | (new_e > new_s)  # both, and in order
+    here = target & whole & (no == F.col("target_no"))
+    delta = F.coalesce(new_s - F.col("_old_s"), F.when(mode == "sync_target", new_e - F.col("_old_e")))
+    follows = (mode == "fix_from_index") | ((mode == "fix_range") & (no <= F.col("range_end_no"))) | ((mode == "sync_target") & (F.coalesce("shift_mode", F.lit("all")) == "all"))
+    later = target & follows & (no > F.col("target_no")) & delta.isNotNull()
+    end_too = mode.isin("shift_only_this", "sync_target")
+    start = F.when(here, F.coalesce(new_s, s + delta)).when(later, s + delta).otherwise(moved(s))
+    end = F.when(here, F.coalesce(F.when(end_too, new_e), e + delta)).when(later, e + delta).otherwise(moved(e))
+    return _set(rows, F.coalesce(start, s), F.coalesce(end, e), cues.columns)
