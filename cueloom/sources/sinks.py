@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cueloom.functions import timecode as tc
 from cueloom.operators import windows as wn
 
+# The frames of the formats.
 ASS_HEAD = "\n".join([
     "[Script Info]", "ScriptType: v4.00+", "WrapStyle: 0", "", "[V4+ Styles]",
     "Format: Name, Fontname, Fontsize, PrimaryColour, SecondaryColour, OutlineColour, BackColour, Bold, Italic, Underline, StrikeOut, ScaleX, ScaleY, Spacing, Angle, BorderStyle, Outline, Shadow, Alignment, MarginL, MarginR, MarginV, Encoding",
