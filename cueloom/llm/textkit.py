@@ -3,13 +3,13 @@ paths in the folder that all executors share, and row hygiene."""
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cueloom.shared import shared_path, written  # noqa: F401  (operators take them from here)
+
 PRIME = 0x9E3779B97F4A7C15
 _INVERSE = pow(PRIME, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
@@ -23,19 +23,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir, which executors and driver share; below the warehouse where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table written to the shared folder: cuts lineage and survives lost executors."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def discard(table: DataFrame) -> None:
     """Removes a written table that nothing reads any more: a later one that was made from it has been written."""
     spark = table.sparkSession

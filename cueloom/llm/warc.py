@@ -178,13 +178,13 @@ def deduplicated(pages: DataFrame) -> DataFrame:
     """(page_id, url, payload, refers_to): of equal payloads the largest page_id is kept, the others refer to it.
 
     Payloads are equal if SHA-256 and length are. Digests are summed up before the shuffle, so a payload that a third of
-    all pages share costs a row a task; the join back leaves splitting such a key to adaptive execution. Null page_ids are
+    all pages share costs a row a task; pages of hot digests stay where they are and get theirs by broadcast. Null page_ids are
     responses without a number; rows with the largest page_id twice are responses both. Other columns are left out.
     """
     rows = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("_digest", F.unhex(F.sha2("payload", 256)))
-    last = rows.groupBy("_digest").agg(F.max("page_id").alias("_last"))
-    return rows.join(last, "_digest", "left").select(
+    last = textkit.written(rows.groupBy("_digest").agg(F.max("page_id").alias("_last"), F.count("*").alias("_n")), "digests")
+    return textkit.spread_join(rows, last, ["_digest"]).select(
         "page_id", "url", "payload", F.when(F.col("page_id") != F.col("_last"), F.col("_last")).alias("refers_to")
     )
 
