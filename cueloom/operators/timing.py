@@ -157,15 +157,37 @@ def delete_cues(cues: DataFrame, gone: DataFrame) -> DataFrame:
     return cues.join(gone, ["file_id", "cue_no"], "left_anti").withColumn("_no", F.row_number().over(wn.ordered())).withColumn("cue_no", F.col("_no")).drop("_no")
 
 
+# Why a line was placed by hand.
+IN_GAP = "No transcript words matched; placed in surrounding gap — set final timing manually"
+FROM_TAIL = "No transcript words matched; reserved a non-overlapping cue — set final timing manually"
+
+
 def gap_fill(rows: DataFrame, least_ms: int = 1000) -> DataFrame:
-    """Unmatched rows placed evenly in the gap around their run if each gets least_ms; off by default in alignment."""
-    order, file = wn.ordered(), Window.partitionBy("file_id")
+    """Lines without times but with text (file_id, cue_no, start_ms, end_ms, text) placed by runs of such lines; off by default in alignment.
+
+    A run is spread evenly over the gap between the lines right before and after it (before the first line lies 0), if each gets
+    least_ms. Else each takes least_ms from the tail of the line before, if that keeps least_ms itself. Else it stays. Adds
+    align_source, manual_placement and flag_reason, or sets them where lines are placed. A run needs its own neighbours only.
+    """
+    order, run = wn.ordered(), Window.partitionBy("file_id", "_run")
     missing = F.col("start_ms").isNull() & (F.trim(F.coalesce("text", F.lit(""))) != "")
-    out = rows.withColumn("_m", missing).withColumn("_run", F.sum((~F.col("_m")).cast("int")).over(order))
-    out = out.withColumns({"_prev": F.last("end_ms", ignorenulls=True).over(wn.before()), "_next": F.first("start_ms", ignorenulls=True).over(wn.after())})
-    run = Window.partitionBy("file_id", "_run", "_m")
-    out = out.withColumns({"_n": F.count("*").over(run), "_k": F.row_number().over(run.orderBy("cue_no")) - 1, "_prev": F.coalesce("_prev", F.lit(0))})
-    slot = (F.col("_next") - F.col("_prev")) / F.col("_n")
-    place = F.col("_m") & (slot >= least_ms)
-    out = out.withColumns({"start_ms": F.when(place, tc.snap_ms(F.col("_prev") + F.col("_k") * slot)).otherwise(F.col("start_ms")), "end_ms": F.when(place, tc.snap_ms(F.col("_prev") + (F.col("_k") + 1) * slot)).otherwise(F.col("end_ms")), "manual_placement": place})
-    return out.drop("_m", "_run", "_prev", "_next", "_n", "_k").withColumn("n_rows", F.count("*").over(file)).drop("n_rows")
+    out = rows.withColumn("_m", missing).withColumns({"_run": F.sum((~F.col("_m")).cast("int")).over(order), "_follows": F.lead("start_ms").over(order), "_last": ~F.coalesce(F.lead("_m").over(order), F.lit(False))})
+    here, before = F.col("_m"), ~F.col("_m")  # the line that opens a run is the one before it
+    out = out.withColumns({
+        "_n": F.count_if(here).over(run), "_k": F.count_if(here).over(run.orderBy("cue_no").rowsBetween(Window.unboundedPreceding, -1)), "_head": F.count_if(before).over(run) == 0,
+        "_from": F.max(F.when(before, F.col("start_ms"))).over(run), "_to": F.max(F.when(before, F.col("end_ms"))).over(run), "_next": F.max(F.when(here & F.col("_last"), F.col("_follows"))).over(run),
+    })
+    n, begin = F.col("_n"), F.when(F.col("_head"), F.lit(0)).otherwise(F.col("_to"))
+    gap = (n > 0) & F.coalesce(F.col("_next") - begin >= n * least_ms, F.lit(False))
+    tail = (n > 0) & ~gap & F.coalesce(F.col("_to") - F.col("_from") >= (n + 1) * least_ms, F.lit(False))
+    slot, reserved = (F.col("_next") - begin) / n, F.col("_to") - n * least_ms
+    place = lambda k: F.when(here & gap, tc.snap_ms(begin + k * slot)).when(here & tail, tc.snap_ms(reserved + k * least_ms))
+    placed = here & (gap | tail)
+    old = lambda c, kind: F.col(c) if c in rows.columns else F.lit(None).cast(kind)
+    out = out.withColumns({
+        "_s": F.coalesce(place(F.col("_k")), F.col("start_ms")), "_e": F.coalesce(place(F.col("_k") + 1), F.when(before & tail, tc.snap_ms(reserved)), F.col("end_ms")),
+        "align_source": F.when(placed, F.when(gap, "manual_gap").otherwise("manual_split")).otherwise(old("align_source", "string")), "manual_placement": F.when(placed, True).otherwise(F.coalesce(old("manual_placement", "boolean"), F.lit(False))),
+        "flag_reason": F.when(placed, F.when(gap, IN_GAP).otherwise(FROM_TAIL)).otherwise(old("flag_reason", "string")),
+    })
+    out = out.withColumns({"start_ms": F.col("_s"), "end_ms": F.col("_e")})
+    return out.drop("_m", "_run", "_follows", "_last", "_n", "_k", "_head", "_from", "_to", "_next", "_s", "_e")

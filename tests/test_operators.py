@@ -195,6 +195,27 @@ def test_long_texts_are_compared_in_bounded_memory():
     assert (ops != audit.EQ).sum() < 1300 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000
 
 
+def test_lines_are_placed_between_others(spark):
+    """Of each file one run: in a gap, at the start, from the tail before, too long for either, at the end, beside a blank line."""
+    files = {
+        "gap": ([(0, 1000, "a"), (None, None, "b"), (None, None, "c"), (5000, 6000, "d")], [(0, 1000), (1000, 3000), (3000, 5000), (5000, 6000)], "manual_gap"),
+        "start": ([(None, None, "a"), (2000, 3000, "b")], [(0, 2000), (2000, 3000)], "manual_gap"),
+        "tail": ([(0, 4000, "a"), (None, None, "b"), (None, None, "c"), (4200, 6000, "d")], [(0, 2000), (2000, 3000), (3000, 4000), (4200, 6000)], "manual_split"),
+        "end": ([(0, 3000, "a"), (None, None, "b")], [(0, 2000), (2000, 3000)], "manual_split"),
+        "full": ([(0, 1500, "a"), (None, None, "b"), (2000, 3000, "c")], [(0, 1500), (None, None), (2000, 3000)], None),
+        "blank": ([(0, 9000, "a"), (None, None, " "), (None, None, "b"), (9500, 9900, "c")], [(0, 9000), (None, None), (None, None), (9500, 9900)], None),
+    }
+    table = spark.createDataFrame([(f, i, s, e, t) for f, (rows, _, _) in files.items() for i, (s, e, t) in enumerate(rows, 1)], CUE).repartition(3)
+    got = {}
+    for r in timing.gap_fill(table).orderBy("file_id", "cue_no").collect():
+        got.setdefault(r.file_id, []).append(r)
+    for f, (rows, want, source) in files.items():
+        assert [(r.start_ms, r.end_ms) for r in got[f]] == want, f
+        placed = [r for r, (s, _, _) in zip(got[f], rows, strict=True) if s is None and r.start_ms is not None]
+        assert {r.align_source for r in placed} == ({source} if source else set()) and all(r.manual_placement and r.flag_reason for r in placed)
+        assert not any(r.manual_placement for r in got[f] if r not in placed)
+
+
 def test_catalogue(spark):
     g = spark.createDataFrame([(1, "c", "p", "s", "t", "b", 2020, 1, False, None, None, None), (2, "c", "p", "s", "t2", "b", 2021, 2, True, 1, None, None), (5, "d", "q", "s", "x", "y", 2021, 1, True, None, None, None)], schema.GUIDELINE)
     newer = catalog.update(g, spark.createDataFrame([(2, 9, None, "new")], "old_id long, id long, title string, body string"))
