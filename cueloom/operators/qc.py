@@ -154,10 +154,15 @@ def _rows(frame: DataFrame) -> DataFrame:
     return frame.select("file_id", "check_no", "type", "severity", F.col("line_id").cast("int").alias("line_id"), "detail")
 
 
+def gap_rows(cues: DataFrame, gap: str) -> DataFrame:
+    """Defects of cues with their gap in frames to the row before: 3 to 11 frames; overlaps and smaller gaps are none."""
+    bad = cues.filter(F.col(gap).between(*FORBIDDEN_GAP))
+    return _rows(bad.select("file_id", F.lit(13).alias("check_no"), F.lit("INVALID_GAP").alias("type"), F.lit("warning").alias("severity"), F.col("cue_no").alias("line_id"), F.col(gap).cast("string").alias("detail")))
+
+
 def gap_defects(cues: DataFrame, fps: float = 25.0) -> DataFrame:
-    """Gaps of 3 to 11 frames to the row before; overlaps and smaller gaps are none."""
-    gap = cues.withColumn("_gap", wn.frame_gap(fps)).filter(F.col("_gap").between(*FORBIDDEN_GAP))
-    return _rows(gap.select("file_id", F.lit(13).alias("check_no"), F.lit("INVALID_GAP").alias("type"), F.lit("warning").alias("severity"), F.col("cue_no").alias("line_id"), F.col("_gap").cast("string").alias("detail")))
+    """Gaps of 3 to 11 frames to the row before."""
+    return gap_rows(cues.withColumn("_gap", wn.frame_gap(fps)), "_gap")
 
 
 def overlap_defects(cues: DataFrame) -> DataFrame:

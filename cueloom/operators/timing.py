@@ -51,21 +51,27 @@ def _snap(x: float) -> float:
     return round(x * FPS) / FPS
 
 
+def repaired(last: float, start_ms: float, end_ms: float | None, gap: float, need: float, least: float, most: float) -> tuple[int, int]:
+    """Start and end of a cue in ms; last: end of the cue before in seconds, below 0 for none."""
+    start, end = _snap(start_ms / 1000), None if pd.isna(end_ms) else _snap(end_ms / 1000)
+    if last >= 0:
+        start = max(start, last + gap / FPS)
+    if end is None or end <= start:
+        end = start + least
+    end = min(max(end, start + need), start + most)
+    if end <= start:
+        end = start + 1 / FPS
+    return round(_snap(start) * 1000), round(_snap(end) * 1000)
+
+
 def _repair(group: pd.DataFrame) -> pd.DataFrame:
     group = group.sort_values("_order")
     last, starts, ends = -1.0, [], []
-    for start_ms, end_ms, gap, need, least, most in zip(group["start_ms"], group["end_ms"], group["_gap"], group["_need"], group["min_duration_seconds"], group["max_duration_seconds"], strict=True):
-        start, end = _snap(start_ms / 1000), None if pd.isna(end_ms) else _snap(end_ms / 1000)
-        if last >= 0:
-            start = max(start, last + gap / FPS)
-        if end is None or end <= start:
-            end = start + least
-        end = min(max(end, start + need), start + most)
-        if end <= start:
-            end = start + 1 / FPS
-        start, last = _snap(start), _snap(end)
-        starts.append(round(start * 1000))
-        ends.append(round(last * 1000))
+    for row in zip(group["start_ms"], group["end_ms"], group["_gap"], group["_need"], group["min_duration_seconds"], group["max_duration_seconds"], strict=True):
+        start, end = repaired(last, *row)
+        last = _snap(end / 1000)
+        starts.append(start)
+        ends.append(end)
     return group.assign(start_ms=starts, end_ms=ends)
 
 

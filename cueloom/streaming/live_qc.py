@@ -10,7 +10,7 @@ from cueloom.operators import qc
 
 
 def defects(cues: DataFrame, platforms: DataFrame) -> DataFrame:
-    """A stream of cues (file_id, cue_no, start_ms, end_ms, text, platform_key) to defect rows. The gap check needs state and is batch only."""
+    """A stream of cues (file_id, cue_no, start_ms, end_ms, text, platform_key) to defect rows. The gap check needs state: see `ordered`."""
     joined = qc.row_defects(pl.join_platforms(cues, platforms))
     return joined.select("file_id", F.col("cue_no").alias("line_id"), F.explode("defects").alias("d")).select("file_id", "line_id", "d.*")
 
