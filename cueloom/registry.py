@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cueloom.plans import alignment, checked, labelled, layouts, placed, registered, synced, wrapped  # noqa: F401  (the others add their queries to those of registered)
+from cueloom.plans import alignment, checked, labelled, layouts, mixed, placed, registered, synced, wrapped  # noqa: F401  (the others add their queries to those of registered)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

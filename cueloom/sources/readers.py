@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cueloom import shared
 from cueloom.functions import predicates as pr
 from cueloom.functions import text as tx
 from cueloom.functions import timecode as tc
@@ -437,14 +438,22 @@ def detect_format(file_name: Column, text: Column) -> Column:
 
 
 def parse_any(docs: DataFrame) -> DataFrame:
-    """Cues of (file_id, file_name, text) by each file's format; a file in which nothing was found gives a cue for each line."""
-    known = docs.withColumn("_format", detect_format(F.col("file_name"), F.col("text")))
+    """Cues of (file_id, file_name, text) by each file's format; a file in which nothing was found gives a cue for each line.
+
+    One scan tells the formats and deals the texts out to folders by format, of which each parser reads its own only. Files without
+    cues are found by their ids; only their texts are read again. A null text gives no cue.
+    """
+    spark, path = docs.sparkSession, shared.shared_path(docs.sparkSession, "by-format")
+    known = docs.select("file_id", "text", detect_format(F.col("file_name"), F.col("text")).alias("_format"))
+    known.write.partitionBy("_format").parquet(path)
+    dealt = spark.read.schema(known.schema).parquet(path)
     out = None
     for name, parser in PARSERS.items():
-        own = parser(known.filter(F.col("_format") == name))
+        own = parser(dealt.filter(F.col("_format") == name).drop("_format"))
         out = own if out is None else out.unionByName(own)
-    failed = known.join(out.select("file_id").distinct(), "file_id", "left_anti")
-    return out.unionByName(parse_txt(failed))
+    cues = shared.written(out, "cues")
+    failed = shared.written(dealt.select("file_id").join(cues.select("file_id").distinct(), "file_id", "left_anti"), "failed-files")
+    return cues.unionByName(parse_txt(dealt.join(failed, "file_id", "left_semi").drop("_format")))
 
 
 def detect_structure(text: Column) -> Column:
