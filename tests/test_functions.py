@@ -176,3 +176,16 @@ def test_scenes_are_packed_by_sentence(spark):
         got = {r.i: r.c for r in table.select("i", tx.dialogue_chunks(F.col("t"), F.lit(width), F.lit(most)).alias("c")).collect()}
         for i, t in enumerate(texts):
             assert got[i] == packed(t, width, most), (width, most, t)
+
+
+def test_long_lines_are_cut_in_little_time(spark):
+    import re
+    import time
+
+    lines = [" ".join([word] * 6000) for word in ("word, and", "<i>word</i>, and", "a<b")]
+    table = spark.createDataFrame([(line,) for line in lines], "t string")
+    begin = time.time()
+    got = [r.parts for r in table.select(tx.smart_lines(F.col("t"), 28).alias("parts")).collect()]
+    assert time.time() - begin < 20
+    for line, parts in zip(lines, got, strict=True):
+        assert " ".join(p.rstrip() for p in parts) == line and all(len(re.sub("<[^>]+>", "", p)) <= 31 for p in parts)
