@@ -185,8 +185,9 @@ def unproved(report: DataFrame, rules: DataFrame) -> DataFrame:
     return quoted.join(rules.select("platform_key", "rule"), ["platform_key", "rule"], "left_anti")
 
 
-#: Half width of the first band of diagonals that a diff is looked for in; each next one is twice as wide.
-BAND = 32
+#: Tokens of a side from which on a band of diagonals is looked at first, its first half width, and the half widths, as a share of
+#: these tokens, up to which it costs less than whole rows do.
+LONG, BAND, NARROW = 1 << 19, 32, 1 << 14
 EQ, ADD, DEL = 0, 1, 2
 _UNKNOWN = -(1 << 30)
 
@@ -196,25 +197,23 @@ def word_diff(cues: DataFrame) -> DataFrame:
 
     A null text counts as empty. cues should be a written table: the filter for changes is else pushed through what made them.
     """
-    kind = pa.list_(pa.struct([("op", pa.string()), ("token", pa.string())]))
-    names = np.array(["eq", "add", "del"])
+    names = ["eq", "add", "del"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                part, diffs = batch.slice(at, 256), []
+                part, ops, tokens, ends = batch.slice(at, 256), [], [], [0]
                 for old, new in zip(part.column("original_text").to_pylist(), part.column("text").to_pylist(), strict=True):
                     a, b = (re.findall(r"\s+|\S+", t or "") for t in (old, new))
-                    ops = edits(a, b)
-                    sides = iter(a), iter(b)
-                    diff = []
-                    for op in ops.tolist():
-                        token = next(sides[op == ADD])
-                        if op == EQ:
-                            next(sides[1])
-                        diff.append({"op": str(names[op]), "token": token})
-                    diffs.append(diff)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(diffs, kind)], [*part.schema.names, "diff"])
+                    own = edits(a, b)
+                    # places in a and b move on by each token that is kept or deleted, and kept or added
+                    of_a, of_b = np.cumsum(own != ADD) - 1, np.cumsum(own != DEL) - 1
+                    tokens += [b[j] if op == ADD else a[i] for op, i, j in zip(own.tolist(), of_a.tolist(), of_b.tolist(), strict=True)]
+                    ops.append(own)
+                    ends.append(ends[-1] + len(own))
+                named = pa.array(names).take(pa.array(np.concatenate(ops).astype(np.int32)))
+                diffs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([named, pa.array(tokens, pa.string())], ["op", "token"]))
+                yield pa.RecordBatch.from_arrays([*part.columns, diffs], [*part.schema.names, "diff"])
 
     text = lambda c: F.coalesce(c, F.lit(""))
     changed = cues.select("file_id", "cue_no", "original_text", "text").filter(text(F.col("original_text")) != text(F.col("text")))
@@ -226,18 +225,73 @@ def edits(a: list, b: list) -> np.ndarray:
     """EQ, ADD and DEL that turn a into b, by a longest common subsequence; read from the end, a pair that is equal is kept, else
     what was added goes before what was deleted if both are as good.
 
-    The common end is cut first. The table is looked at within a band of diagonals, which is widened until it holds every path as
-    good as the best one: work goes with tokens times edits. Rows are kept each root of the rows and made anew on the way back.
+    The common end is cut first. A row of the table is one long number, see `_by_bits`. Where rows are very long, a band of diagonals
+    is looked at first, and widened while that costs less: its work goes with tokens times edits. Rows are kept each root of the rows
+    and made anew on the way back.
     """
     same = 0
     while same < min(len(a), len(b)) and a[-1 - same] == b[-1 - same]:
         same += 1
     ids: dict = {}
     x, y = (np.array([ids.setdefault(t, len(ids)) for t in side[: len(side) - same]], np.int64) for side in (a, b))
-    band = max(BAND, abs(len(x) - len(y)) + 1)
-    while (found := _banded(x, y, band)) is None:
+    found, band = None, max(BAND, abs(len(x) - len(y)) + 1)
+    while found is None and len(y) >= LONG and band * NARROW <= len(y):
+        found = _banded(x, y, band)
         band *= 2
-    return np.concatenate([found, np.full(same, EQ, np.uint8)])
+    return np.concatenate([_by_bits(x, y) if found is None else found, np.full(same, EQ, np.uint8)])
+
+
+def _by_bits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The edits, from rows of the table as numbers of a bit a column: 0 where the row's length grows at the column. A row follows
+    from the one above in five operations on the whole number (Hyyro 2004)."""
+    m, n = len(x), len(y)
+    full, size = (1 << n) - 1, n // 8 + 1
+    order = np.argsort(y, kind="stable")
+    lows, highs = (np.searchsorted(y[order], x, side).tolist() for side in ("left", "right"))
+    at, xs, ys = order.tolist(), x.tolist(), y.tolist()
+    often, masks = math.isqrt(n) + 1, {}  # masks of no more than the root of the columns are kept
+
+    def matches(i: int) -> int:
+        """The columns of y that equal x[i]."""
+        if xs[i] in masks:
+            return masks[xs[i]]
+        bits = bytearray(size)
+        for j in at[lows[i] : highs[i]]:
+            bits[j >> 3] |= 1 << (j & 7)
+        mask = int.from_bytes(bits, "little")
+        if highs[i] - lows[i] >= often:
+            masks[xs[i]] = mask
+        return mask
+
+    def step(i: int, row: int) -> int:
+        if lows[i] == highs[i]:
+            return row
+        met = row & matches(i)
+        return ((row + met) | (row - met)) & full
+
+    row, stride = full, max(1, math.isqrt(m))
+    kept = {0: row}
+    for i in range(1, m + 1):
+        row = step(i - 1, row)
+        if i % stride == 0:
+            kept[i] = row
+    out, i, j = [], m, n
+    while i:
+        first = (i - 1) // stride * stride
+        row, rows = kept[first], []
+        for k in range(first, i):
+            row = step(k, row)
+            rows.append(row.to_bytes(size, "little"))
+        while i > first:
+            if j and xs[i - 1] == ys[j - 1]:
+                op = EQ
+            else:
+                # what is as long without column j is added
+                op = ADD if j and rows[i - first - 1][(j - 1) >> 3] >> ((j - 1) & 7) & 1 else DEL
+            out.append(op)
+            i, j = i - (op != ADD), j - (op != DEL)
+    out += [ADD] * j
+    return np.array(out[::-1], np.uint8)
 
 
 def _banded(x: np.ndarray, y: np.ndarray, band: int) -> np.ndarray | None:

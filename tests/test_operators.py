@@ -339,3 +339,22 @@ def test_roots_of_long_chains_and_circles(spark):
 
     chain = spark.createDataFrame([(k, k - 1 if k else None) for k in range(40)] + [(100, 99)], "id long, supersedes_id long")
     assert {r.id: r.root_id for r in catalog.roots(chain).collect()} == {k: 0 for k in range(40)} | {100: 99}
+
+
+def test_edits_of_heavily_edited_texts_are_found_in_little_time(monkeypatch):
+    import random
+    import time
+
+    rng = random.Random(4)
+    a = [w for _ in range(10_000) for w in (f"w{rng.randint(0, 900)}", " ")]
+    b = [t for k, t in enumerate(a) if k // 2 % 7 != 1]
+    begin = time.process_time()
+    ops = audit.edits(a, b)
+    assert time.process_time() - begin < 10 and (ops == audit.ADD).sum() == 0 and (ops == audit.DEL).sum() == len(a) - len(b)
+    for _ in range(150):
+        a, b = ([rng.choice("abcdefgh"[: rng.randint(2, 8)]) for _ in range(rng.randint(0, 90))] for _ in range(2))
+        with monkeypatch.context() as m:
+            m.setattr(audit, "LONG", 0)
+            m.setattr(audit, "NARROW", 0)
+            banded = audit.edits(a, b).tolist()
+        assert audit.edits(a, b).tolist() == banded == _table_diff(a, b)
