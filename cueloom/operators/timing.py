@@ -3,7 +3,10 @@ that can't touch each other, which two window passes cut beforehand, so long fil
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,6 +68,7 @@ def repaired(last: float, start_ms: float, end_ms: float | None, gap: float, nee
 
 
 def _repair(group: pd.DataFrame) -> pd.DataFrame:
+    """All cues of a file in turn: what the blocks of `repair_windows` must give together."""
     group = group.sort_values("_order")
     last, starts, ends = -1.0, [], []
     for row in zip(group["start_ms"], group["end_ms"], group["_gap"], group["_need"], group["min_duration_seconds"], group["max_duration_seconds"], strict=True):
@@ -75,13 +79,31 @@ def _repair(group: pd.DataFrame) -> pd.DataFrame:
     return group.assign(start_ms=starts, end_ms=ends)
 
 
+def _repair_rows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order, those of a file's block of islands one behind another, with repaired times."""
+    block, last = None, -1.0
+    for part in rows:
+        starts, ends = [], []
+        names = ("file_id", "_block", "start_ms", "end_ms", "_gap", "_need", "min_duration_seconds", "max_duration_seconds")
+        for file, number, *row in zip(*(part.column(c).to_pylist() for c in names), strict=True):
+            if (file, number) != block:
+                block, last = (file, number), -1.0
+            start, end = repaired(last, *row)
+            last = _snap(end / 1000)
+            starts.append(start)
+            ends.append(end)
+        yield pa.RecordBatch.from_arrays([part.column("file_id"), part.column("_order"), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], ["file_id", "_order", "start_ms", "end_ms"])
+
+
 def repair_windows(cues: DataFrame) -> DataFrame:
     """Cues joined with platform fields: starts pushed behind the last repaired end and the gap, ends long enough to read and no
     longer than allowed, all on the frame grid. Untimed cues are dropped."""
     extra = islands(cues).withColumns({"_gap": gap_frames(), "_need": required_seconds()})
-    work = extra.select("file_id", "island", "_order", "start_ms", "end_ms", "_gap", "_need", "min_duration_seconds", "max_duration_seconds")
-    # many short islands share a group: repairing several in turn gives what each would give alone
-    fixed = work.groupBy("file_id", F.floor(F.col("island") / ISLANDS)).applyInPandas(_repair, work.schema).select("file_id", "_order", "start_ms", "end_ms")
+    work = extra.select("file_id", F.floor(F.col("island") / ISLANDS).alias("_block"), "_order", "start_ms", "end_ms", "_gap", "_need", "min_duration_seconds", "max_duration_seconds")
+    # many short islands share a block: repairing several in turn gives what each would give alone
+    kind = {f.name: f.dataType.simpleString() for f in work.schema.fields}
+    in_order = work.repartition("file_id", "_block").sortWithinPartitions("file_id", "_block", "_order")
+    fixed = in_order.mapInArrow(_repair_rows, f"file_id {kind['file_id']}, _order {kind['_order']}, start_ms bigint, end_ms bigint")
     out = extra.drop("start_ms", "end_ms", "_gap", "_need", "island").join(fixed, ["file_id", "_order"])
     return out.drop("_order").select(cues.columns)
 
