@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,18 +16,23 @@ BATCH_CHARS = 7000
 def greedy_batches(cues: DataFrame, most: int = BATCH_CHARS) -> DataFrame:
     """cues with batch: rows fill a file's batch in order up to `most` characters, one more for each; a longer row stands alone."""
 
-    def fill(group: pd.DataFrame) -> pd.DataFrame:
-        group, out, used, batch = group.sort_values("cue_no"), [], 0, 0
-        for n in group["text"].fillna("").str.len() + 1:
-            if used and used + n > most:
-                used, batch = 0, batch + 1
-            used += n
-            out.append(batch)
-        return group[["file_id", "cue_no"]].assign(batch=out)
-
-    kind = lambda c: cues.schema[c].dataType.simpleString()
-    numbered = cues.select("file_id", "cue_no", "text").groupBy("file_id").applyInPandas(fill, f"file_id {kind('file_id')}, cue_no {kind('cue_no')}, batch int")
-    return cues.join(numbered, ["file_id", "cue_no"])
+    def fill(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, used, batch = None, None, 0  # None: no row yet, so that a null file_id is a file too
+        for part in rows:
+            out = []
+            for own, n in zip(part.column("file_id").to_pylist(), part.column("_n").to_pylist(), strict=True):
+                if used is None or own != file:
+                    file, used, batch = own, 0, 0
+                if used and used + n > most:
+                    used, batch = 0, batch + 1
+                used += n
+                out.append(batch)
+            kept = part.drop_columns(["_n"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(out, pa.int32())], [*kept.schema.names, "batch"])
+
+    # rows of a file follow each other in one partition, of which batches go through a worker: no file is held whole
+    ordered = cues.withColumn("_n", F.length(F.coalesce("text", F.lit(""))) + 1).repartition("file_id").sortWithinPartitions("file_id", F.asc_nulls_last("cue_no"))
+    return ordered.mapInArrow(fill, T.StructType([*cues.schema.fields, T.StructField("batch", T.IntegerType())]))
 
 
 def chunks(docs: DataFrame, most: int = 2500) -> DataFrame:

@@ -358,3 +358,19 @@ def test_edits_of_heavily_edited_texts_are_found_in_little_time(monkeypatch):
             m.setattr(audit, "NARROW", 0)
             banded = audit.edits(a, b).tolist()
         assert audit.edits(a, b).tolist() == banded == _table_diff(a, b)
+
+
+def test_many_short_files_need_no_group_each(spark):
+    import time
+
+    cues = spark.range(30_000).selectExpr("cast(id as string) as file_id", "explode(array(2, 1, 3)) as cue_no").selectExpr("file_id", "cue_no", "cast(cue_no * 1000 as bigint) as start_ms", "cast(null as bigint) as end_ms", "repeat('x', cue_no * 2) as text")
+    batches.greedy_batches(cues.limit(3), 9).collect()  # the first worker takes its time
+    begin = time.time()
+    got = {(r.cue_no, r.batch): r.n for r in batches.greedy_batches(cues, 9).groupBy("cue_no", "batch").agg(F.count("*").alias("n")).collect()}
+    assert got == {(1, 0): 30_000, (2, 0): 30_000, (3, 1): 30_000}
+    platform = {"min_duration_seconds": F.lit(1.0), "max_duration_seconds": F.lit(7.0), "min_interval_seconds": F.lit(0.08), "reading_speed_max_cps": F.lit(20.0)}
+    fixed = timing.repair_windows(cues.withColumns(platform)).groupBy("cue_no").agg(F.count("*").alias("n"), F.min("start_ms").alias("s"), F.max("end_ms").alias("e")).collect()
+    assert sorted(map(tuple, fixed)) == [(1, 30_000, 1000, 2000), (2, 30_000, 2080, 3080), (3, 30_000, 3160, 4160)]
+    assert time.time() - begin < 20
+    nulls = spark.createDataFrame([(None, 2, "bbb"), (None, 1, "a"), ("f", None, "cc"), ("f", 1, None)], "file_id string, cue_no int, text string")
+    assert {(r.file_id, r.cue_no, r.batch) for r in batches.greedy_batches(nulls, 4).collect()} == {(None, 1, 0), (None, 2, 1), ("f", 1, 0), ("f", None, 0)}
