@@ -216,6 +216,7 @@ def _links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Dat
     stars = members.filter("node != _centre").select(F.col("node").alias("a"), F.col("_centre").alias("b")).distinct()
     stars = textkit.written(_promising(stars, classes, percent), "pairs")
     sets = _sets(docs, classes, stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct(), words)
+    sets = textkit.written(sets, "sets")  # else sets and pairs are made in one task, by two workers a core, and sets twice
     edges = textkit.written(_confirmed(stars, sets, percent), "edges")
     found = textkit.written(components(edges), "components")
     members = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))

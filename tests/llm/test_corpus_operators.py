@@ -226,3 +226,20 @@ def test_discard(spark):
     textkit.discard(table)
     with pytest.raises(Exception):
         spark.read.parquet(path).count()
+
+
+def test_sets_are_confirmed_by_one_worker_a_task(spark, monkeypatch):
+    from cueloom.llm import minhash
+
+    plans, confirmed = [], minhash._confirmed
+
+    def seen(pairs, sets, percent):
+        out = confirmed(pairs, sets, percent)
+        plans.append(out._jdf.queryExecution().optimizedPlan().toString())
+        return out
+
+    monkeypatch.setattr(minhash, "_confirmed", seen)
+    words = [f"w{k}" for k in range(60)]
+    docs = spark.createDataFrame([(k, " ".join([*words, f"x{k}"])) for k in range(4)], "doc_id long, text string")
+    assert {r.component_id for r in minhash.near_duplicates(docs).collect()} == {0}
+    assert plans and all(p.count("MapInArrow") == 1 for p in plans)
