@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cueloom.functions import text as tx
@@ -22,18 +22,16 @@ FOREIGN = (
 NOTE = "[♪♫🎵🎶]"
 
 
-def policies(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, *p) for i, p in enumerate(POLICIES)], "policy_no int, part string, no_italics boolean, italic_lyrics boolean, italic_foreign boolean")
-
-
 def with_policy(platforms: DataFrame) -> DataFrame:
-    """Platforms with no_italics, italic_lyrics and italic_foreign: the first policy whose part the key holds, else from the rules' text."""
-    table = policies(platforms.sparkSession)
-    own = platforms.select("platform_key").distinct().join(F.broadcast(table), F.lower("platform_key").contains(F.col("part"))).groupBy("platform_key").agg(F.min_by(F.struct("no_italics", "italic_lyrics", "italic_foreign"), "policy_no").alias("_p"))
+    """Platforms with no_italics, italic_lyrics and italic_foreign: the first policy whose part the key holds, else from the rules' text.
+
+    Columns only: the size of a joined table isn't known, and an unknown dimension is not broadcast."""
+    names = ("no_italics", "italic_lyrics", "italic_foreign")
+    key = F.lower("platform_key")
+    own = F.coalesce(*(F.when(key.contains(part), F.struct(*(F.lit(x).alias(n) for n, x in zip(names, flags)))) for part, *flags in POLICIES))
     rules = F.lower(F.array_join(F.coalesce("rules", F.array().cast("array<string>")), " "))
     derived = {"no_italics": rules.rlike("no italics|do not use italics|no text styles?"), "italic_lyrics": rules.rlike("(?:song|lyric|singing)[^.]*italic|italic[^.]*(?:song|lyric|singing)"), "italic_foreign": rules.rlike("foreign[^.]*italic|italic[^.]*foreign")}
-    joined = platforms.join(own, "platform_key", "left")
-    return joined.select(*platforms.columns, *(F.coalesce(F.col(f"_p.{k}"), v).alias(k) for k, v in derived.items()))
+    return platforms.select(*platforms.columns, *(F.coalesce(own[k], v).alias(k) for k, v in derived.items()))
 
 
 def strip(text: Column, gate: Column | None = None) -> Column:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from cueloom import schema
 from cueloom.functions import text as tx
@@ -28,11 +31,12 @@ PRESETS = (
 
 
 def presets(spark: SparkSession) -> DataFrame:
-    """Preset platforms with the schema of a platform table."""
-    rows = []
+    """Preset platforms with the schema of a platform table; one literal, whose size Spark knows, so that it is broadcast."""
+    kind, rows = StructType.fromDDL(schema.PLATFORM), []
     for key, chars, lines, least, most, gap, cps, zero, removed, rules in PRESETS:
         rows.append((key, key.split("_")[0], key.split("_")[-1], key.replace("_", " ").title(), chars, None, lines, least, most, gap, None, cps, zero, list(removed), list(rules), [], {"damn": "dxxn", "hell": "hxxl"} if key == "broadcast_b" else {}, "hyphen_no_space", None, False, None))
-    return spark.createDataFrame(rows, schema.PLATFORM)
+    text = json.dumps([dict(zip(kind.names, row)) for row in rows])
+    return spark.range(0, 1, 1, 1).select(F.inline(F.from_json(F.lit(text), ArrayType(kind))))
 
 
 def with_defaults(platforms: DataFrame) -> DataFrame:

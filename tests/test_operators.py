@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cueloom import schema
+from cueloom import schema, views
 from cueloom.functions import italics as it
+from cueloom.functions import text as tx
 from cueloom.operators import align, audit, batches, catalog, qc, sync, timeline, timing
 from cueloom.operators import platforms as pl
 from cueloom.operators import windows as wn
@@ -374,3 +375,10 @@ def test_many_short_files_need_no_group_each(spark):
     assert time.time() - begin < 20
     nulls = spark.createDataFrame([(None, 2, "bbb"), (None, 1, "a"), ("f", None, "cc"), ("f", 1, None)], "file_id string, cue_no int, text string")
     assert {(r.file_id, r.cue_no, r.batch) for r in batches.greedy_batches(nulls, 4).collect()} == {(None, 1, 0), (None, 2, 1), ("f", 1, 0), ("f", None, 0)}
+
+
+def test_presets_are_broadcast_and_cues_stay_where_they_are(spark):
+    joined = pl.join_platforms(spark.range(3).select(F.concat(F.lit("broadcast_"), F.col("id")).alias("platform_key"), F.col("id").alias("n")), it.with_policy(pl.presets(spark)))
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert "hashpartitioning(platform_key" not in plan
