@@ -74,11 +74,11 @@ def duration_too_long() -> Column:
 
 
 def reading_speed_exceeded() -> Column:
-    return _one(_spoken() & (reading_speed() > _c("reading_speed_max_cps")), _defect(7, "READING_SPEED_EXCEEDED", "error", F.round(reading_speed(), 1)))
+    return _one(_spoken() & (_c("_cps") > _c("reading_speed_max_cps")), _defect(7, "READING_SPEED_EXCEEDED", "error", F.round("_cps", 1)))
 
 
 def reading_speed_high() -> Column:
-    v = reading_speed()
+    v = _c("_cps")
     return _one(_spoken() & (v > _c("reading_speed_target_cps")) & ~(v > _c("reading_speed_max_cps")), _defect(8, "READING_SPEED_HIGH", "info", F.round(v, 1)))
 
 
@@ -147,7 +147,14 @@ def row_defects(joined: DataFrame, types: tuple[str, ...] | None = None) -> Data
     """Cues joined with platform fields, with `defects` of the row checks added. A null text has none."""
     checks = [ROW_CHECKS[t]() for t in types or ROW_CHECKS]
     found = F.concat(*checks)
-    return with_policy(joined).withColumn("defects", F.when(F.col("text").isNotNull(), found).otherwise(F.array().cast(DEFECT)))
+    # the speed is a column of its own, measured once for all checks that ask for it
+    return with_policy(joined).withColumn("_cps", reading_speed()).withColumn("defects", F.when(F.col("text").isNotNull(), found).otherwise(F.array().cast(DEFECT))).drop("_cps")
+
+
+def exploded(rows: DataFrame, *columns: str | Column) -> DataFrame:
+    """columns and a row `d` for each of `defects`. An inner explode would make a filter on the array's size, which is pushed below
+    it and runs all checks a second time."""
+    return rows.select(*columns, F.explode_outer("defects").alias("d")).filter("d is not null")
 
 
 def _rows(frame: DataFrame) -> DataFrame:
@@ -215,7 +222,7 @@ def file_defects(joined: DataFrame) -> DataFrame:
 
 def check(joined: DataFrame, files: DataFrame | None = None, fps: float = 25.0, overlaps: bool = False) -> DataFrame:
     """All defects of cues joined with platform fields, as given, in check order."""
-    rows = row_defects(joined).select("file_id", F.col("cue_no").alias("line_id"), F.explode("defects").alias("d"))
+    rows = exploded(row_defects(joined), "file_id", F.col("cue_no").alias("line_id"))
     out = _rows(rows.select("file_id", "d.check_no", "d.type", "d.severity", "line_id", "d.detail")).unionByName(gap_defects(joined, fps)).unionByName(file_defects(joined))
     if overlaps:
         out = out.unionByName(overlap_defects(joined))

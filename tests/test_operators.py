@@ -382,3 +382,20 @@ def test_presets_are_broadcast_and_cues_stay_where_they_are(spark):
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     assert "hashpartitioning(platform_key" not in plan
+
+
+def test_each_check_stands_once_in_the_plan(spark, plat):
+    table = cues(spark, [(0, 1000, "a <i>word</i> more")]).withColumn("platform_key", F.lit("generic"))
+    rows = qc.exploded(qc.row_defects(pl.join_platforms(table, plat), ("READING_SPEED_EXCEEDED", "READING_SPEED_HIGH")), "file_id")
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("x85") == 1
+
+
+def test_white_space_is_that_of_unicode(spark):
+    every = spark.range(1, 0x10000).filter("id not between 55296 and 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE").alias("c"))
+    assert every.filter(tx.spoken_length(F.col("c")) != F.length(F.regexp_replace("c", r"(?U)\s", ""))).count() == 0
+
+
+def test_a_large_table_of_one_file_is_dealt_out_in_tasks_of_a_size(spark, tmp_path, monkeypatch):
+    spark.range(1000).select("id", F.lit("x" * 50).alias("text")).coalesce(1).write.parquet(str(tmp_path / "t"))
+    monkeypatch.setattr(views, "SPREAD_BYTES", 100)
+    assert views.spread(spark.read.parquet(str(tmp_path / "t"))).rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
