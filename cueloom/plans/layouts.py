@@ -21,7 +21,8 @@ def laid_out(spark: SparkSession, sf_dir: str, header: bool) -> DataFrame:
     """Layout words of the documents' lines: two words a column, the rest in the fourth, with some pixels to and fro; every third
     line begins with a bold word. header: page 1 has a header row."""
     ws = F.filter(F.split(F.translate("text", "#:", ""), " "), lambda w: w != "")  # else a line may pass for a header
-    words = v.cues_doc(spark, sf_dir).select(F.col("file_id").alias("doc_id"), "cue_no", F.posexplode(ws).alias("i", "text"))
+    cues = v.cues_doc(spark, sf_dir).withColumnRenamed("file_id", "doc_id")
+    words = cues.select("doc_id", "cue_no", F.posexplode(ws).alias("i", "text"))
     column = F.least(F.lit(3), F.floor(F.col("i") / 2)).cast("int")
     row = (F.col("cue_no") - 1) % PAGE
     x0 = (10 + 100 * column + 30 * (F.col("i") - 2 * column) + F.length("text") % 6 - 3).cast("double")
@@ -30,7 +31,7 @@ def laid_out(spark: SparkSession, sf_dir: str, header: bool) -> DataFrame:
     if not header:
         return placed
     heads = F.posexplode(F.array(*map(F.lit, HEADER))).alias("i", "text")
-    top = words.select("doc_id").distinct().select("doc_id", heads).select("doc_id", F.lit(1).alias("page"), F.lit(10.0).alias("y"), (10.0 + 100 * F.col("i")).alias("x0"), (60.0 + 100 * F.col("i")).alias("x1"), "text", F.lit(None).cast("string").alias("font"))
+    top = cues.filter(F.exists(F.split(F.translate("text", "#:", ""), " "), lambda w: w != "")).select("doc_id").distinct().select("doc_id", heads).select("doc_id", F.lit(1).alias("page"), F.lit(10.0).alias("y"), (10.0 + 100 * F.col("i")).alias("x0"), (60.0 + 100 * F.col("i")).alias("x1"), "text", F.lit(None).cast("string").alias("font"))
     return placed.unionByName(top)
 
 

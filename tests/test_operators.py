@@ -399,3 +399,12 @@ def test_a_large_table_of_one_file_is_dealt_out_in_tasks_of_a_size(spark, tmp_pa
     spark.range(1000).select("id", F.lit("x" * 50).alias("text")).coalesce(1).write.parquet(str(tmp_path / "t"))
     monkeypatch.setattr(views, "SPREAD_BYTES", 100)
     assert views.spread(spark.read.parquet(str(tmp_path / "t"))).rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+
+
+def test_layout_rows_are_shuffled_once_for_pages_and_documents(spark):
+    kind = schema.LAYOUT_WORD
+    heads = [("d", 1, 10.0, 10.0 + 100 * i, 60.0, w, None) for i, w in enumerate(("Sh#", "TimeIn", "TimeOut", "Titles"))]
+    row = [("d", 2, 30.0, x, x + 20, w, None) for x, w in ((12.0, "1"), (205.0, "b"), (302.0, "c"), (400.0, "d"))]
+    out = readers.words_to_rows(spark.createDataFrame([*heads, *row, ("d", 2, 42.0, 102.0, 120.0, "early", None)], kind))
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2  # words to rows, rows to documents
+    assert [r.line for r in out.orderBy("page", "row_y").collect()] == ["Sh# | TimeIn | TimeOut | Titles", "1 |  | b | c d", " | early |  | "]
