@@ -1,5 +1,6 @@
 """Operators on small cue tables: timing, sync, timelines, alignment, checks, catalogue, sources and sinks."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -408,3 +409,18 @@ def test_layout_rows_are_shuffled_once_for_pages_and_documents(spark):
     out = readers.words_to_rows(spark.createDataFrame([*heads, *row, ("d", 2, 42.0, 102.0, 120.0, "early", None)], kind))
     assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2  # words to rows, rows to documents
     assert [r.line for r in out.orderBy("page", "row_y").collect()] == ["Sh# | TimeIn | TimeOut | Titles", "1 |  | b | c d", " | early |  | "]
+
+
+def test_similarity_pairs_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(align, "BLOCK", 3)
+    v = {(f, i): [float((i * 7 + k * 3 + f) % 11 - 5) for k in range(4 if i < 15 else 3)] for f in (1, 2) for i in range(20)}
+    v[1, 3], v[2, 4], v[2, 5] = None, [0.0] * 4, [1.0, None, 1.0, 1.0]
+    rows = [(f, i, x) for (f, i), x in v.items()]
+    a, b = (spark.createDataFrame(rows, f"file_id long, {no} long, v array<float>") for no in ("a_no", "b_no"))
+    unit = lambda x: np.array(x) / np.linalg.norm(x) if x and None not in x and any(x) else None
+    u = {k: unit(x) for k, x in v.items()}
+    want = {(f, i, j) for f, i in u for g, j in u if f == g and u[f, i] is not None and u[f, j] is not None and len(u[f, i]) == len(u[f, j]) and u[f, i] @ u[f, j] >= 0.3}
+    found = align.similarity_pairs(a, b)
+    assert {(r.file_id, r.a_no, r.b_no) for r in found.collect()} == want and found.count() == len(want)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroupsInArrow" in plan and "zip_with" not in plan  # blocks, not pairs of rows
