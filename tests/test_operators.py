@@ -424,3 +424,12 @@ def test_similarity_pairs_in_blocks(spark, monkeypatch):
     assert {(r.file_id, r.a_no, r.b_no) for r in found.collect()} == want and found.count() == len(want)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "CoGroupsInArrow" in plan and "zip_with" not in plan  # blocks, not pairs of rows
+
+
+def test_extraction_reads_texts_once(spark):
+    script = "\n".join(["a: 1 b 2"] + [f"{k:02d}:00:00:00 x{k} {{y}}" for k in range(3)])
+    noisy = "\n".join(["x | y | - "] * 3 + [f"MAN: word {k}" for k in range(40)])
+    docs = spark.createDataFrame([("s", script), ("t", noisy), ("n", None)], "file_id string, text string")
+    out = readers.extract_lines(docs)
+    assert {(r.file_id, r.structure) for r in out.collect()} == {("s", "paragraph_with_timecodes"), ("t", "table")}
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
