@@ -433,3 +433,18 @@ def test_extraction_reads_texts_once(spark):
     out = readers.extract_lines(docs)
     assert {(r.file_id, r.structure) for r in out.collect()} == {("s", "paragraph_with_timecodes"), ("t", "table")}
     assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_read_texts_are_made_once_and_clocks_keep_their_forms(spark):
+    from cueloom.functions import timecode as tc
+    from cueloom.sources import readers
+
+    docs = spark.createDataFrame([(1, "\r\n1\r\n00:00:01,000 --> 00:00:02,500 \r\n\tone {x}\\Ntwo\t \r\n\r\n2\r\n1:00:03.5 --> 00:00:04\r\n{gone}\r\n\r\n3\r\n 00:00:05,000 --> 00:00:04,000\r\nlast \n\x85")], "file_id long, text string")
+    cues = readers.parse_srt(docs)
+    assert cues._jdf.queryExecution().optimizedPlan().toString().count("[^}]*") == 1
+    assert [tuple(r)[1:] for r in cues.orderBy("cue_no").collect()] == [(1, 1000, 2500, "one \ntwo"), (2, 5000, 6000, "last")]
+    texts = ["00:00:01,000", " 100:00:01.5 ", "00:00:01:12", "01.02.03.12", "00:00:01", "1:02.5", "x", None, "00:00:01,000\n", "0:00:01,25"]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(tc.parse_ms(F.col("t"))).collect()]
+    assert got == [1000, 360001500, 1480, 3723480, 1000, 62500, None, None, 1000, 1250]
+    times = [0, 61_001, 360_000_000, -5, None]
+    assert [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(times)], "i int, t long").orderBy("i").select(tc.clock(F.col("t"))).collect()] == ["00:00:00,000", "00:01:01,001", "100:00:00,000", "00:00:00,000", None]
