@@ -65,13 +65,14 @@ def hint_table(spark: SparkSession) -> DataFrame:
 def removed_brackets(old: Column, new: Column) -> Column:
     """Brackets of old that new lacks, if new has fewer; else an empty array."""
     a, b = (F.regexp_extract_all(x, F.lit(BRACKET), F.lit(0)) for x in (old, new))
-    return F.when(F.size(b) < F.size(a), F.array_except(a, b)).otherwise(F.array().cast("array<string>"))
+    return F.when((old.contains("(") | old.contains("[")) & (F.size(b) < F.size(a)), F.array_except(a, b)).otherwise(F.array().cast("array<string>"))
 
 
 def derive_hints(old: Column, new: Column, most: Column) -> Column:
     """array<string> of hint keys that the change from old to new shows; empty if nothing changed."""
     had = lambda p: old.rlike(p) & ~new.rlike(p)
-    plain_old, plain_new = tx.strip_tags(old), tx.strip_tags(new)
+    plain = lambda t: F.when(t.contains("<"), tx.strip_tags(t)).otherwise(t)
+    plain_old, plain_new = plain(old), plain(new)
     lead = lambda t: F.regexp_replace(F.trim(t), r"^(?:</?[ib]>|-|\s)+", "")
     gone = removed_brackets(old, new)
     hyphens = (old.rlike(r"(?m)^- \S") & new.rlike(r"(?m)^-\S")) | (old.rlike(r"(?m)^-\S") & new.rlike(r"(?m)^- \S")) | (F.ltrim(new).startswith("-") & ~F.ltrim(old).startswith("-")) | (new.contains("\n-") & ~old.contains("\n-"))

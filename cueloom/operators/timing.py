@@ -119,10 +119,12 @@ def split_long(cues: DataFrame) -> DataFrame:
     whole = F.array(tx.wrap(F.col("text"), F.col("max_chars_per_line")))
     chunks = F.when(F.trim(F.coalesce("text", F.lit(""))) == "", F.array("text")).when(several, F.col("_chunks")).otherwise(whole)
     out = out.withColumn("_chunks", chunks)
-    n, total = F.size("_chunks"), F.aggregate("_chunks", F.lit(0), lambda a, c: a + tx.visible_length(c))
+    # tags are looked for where one can be
+    visible = lambda c: F.length(F.when(c.contains("<"), tx.strip_tags(c)).otherwise(c))
+    n, total = F.size("_chunks"), F.aggregate("_chunks", F.lit(0), lambda a, c: a + visible(c))
     span = (F.col("end_ms") - F.col("start_ms")) / 1000.0
     out = out.withColumns({"_n": n, "_total": F.greatest(total, F.lit(1)), "_room": F.greatest(span - GAP_MS / 1000 * (n - 1), GAP_MS / 1000 * n)})
-    length = lambda c: F.greatest(F.col("_room") * tx.visible_length(c) / F.col("_total"), F.lit(GAP_MS / 1000))
+    length = lambda c: F.greatest(F.col("_room") * visible(c) / F.col("_total"), F.lit(GAP_MS / 1000))
     # lengths once a piece; a piece starts behind the lengths and gaps of those before it
     sums = F.aggregate("_d", F.struct(F.lit(0.0).alias("at"), F.array().cast("array<double>").alias("all")), lambda a, d: F.struct((a["at"] + d + GAP_MS / 1000).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")), lambda a: a["all"])
     out = out.withColumn("_d", F.transform("_chunks", length)).withColumn("_s", sums)

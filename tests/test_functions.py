@@ -1,5 +1,7 @@
 """Column functions on literal rows."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,3 +191,27 @@ def test_long_lines_are_cut_in_little_time(spark):
     assert time.time() - begin < 20
     for line, parts in zip(lines, got, strict=True):
         assert " ".join(p.rstrip() for p in parts) == line and all(len(re.sub("<[^>]+>", "", p)) <= 31 for p in parts)
+
+
+def test_wrapping_by_pattern_and_gated_steps_keep_their_results(spark):
+    def greedy(text, width):
+        lines, now = [], ""
+        for w in [w for w in re.split(r"[ \t\n\x0b\f\r]+", text) if w]:
+            if now and len(now) + 1 + len(w) > width:
+                lines.append(now)
+                now = w
+            else:
+                now = f"{now} {w}" if now else w
+        return [*lines, now] if now else lines
+
+    texts = ["", "  ", "one", "a bb ccc dddd eeeee ffffff", "\tlead and\n\ntrail \x0b", "a verylongwordindeed b", "x\x85y z w  q\x85", "😀😀 😀😀😀 é", "$1 \\E .*"]
+    rows = spark.createDataFrame([(t, w) for t in texts for w in (0, 1, 4, 5, 9, 42)], "t string, w int")
+    out = rows.select("t", "w", tx.wrap_lines(F.col("t"), F.col("w")).alias("l"))
+    assert "aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()  # words were added one by one
+    for r in out.collect():
+        assert r.l == greedy(r.t, r.w), (r.t, r.w)
+    whole = spark.createDataFrame([("a b  c", None), (None, 3)], "t string, w int").select(tx.wrap_lines(F.col("t"), F.col("w")).alias("l")).collect()
+    assert [r.l for r in whole] == [["a b c"], None]
+    each(spark, tx.capitalise, [("one", "One"), ("Two", "Two"), ("- three", "- Three"), ("<i>four</i>", "<i>Four</i>"), ("...five", "...five"), ("émile", "éMile"), ("6 six", "6 Six"), ("", ""), (None, None)])
+    each(spark, tx.american_spelling, [("Colour of the THEATRE, my favourite", "Color of the THEATER, my favorite"), ("colours", "colors"), ("plain", "plain"), (None, None)])
+    each(spark, tx.strip_annotations, [(" a (OPTIONAL) b (slang for x) ", "a b "), (" plain ", "plain"), (None, None)])
