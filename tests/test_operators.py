@@ -101,6 +101,22 @@ def test_timeline_reports(spark):
     assert (r.n_mapped, r.n_unresolved, r.kind, r.warnings) == (1, 0, "GLOBAL_OFFSET", [])
 
 
+def test_timeline_report_gathers_anchors_once(spark):
+    points = [("f", 100.0, 115.0), ("f", 0.0, 15.0), ("g", 0.0, 5.0), ("g", 10.0, 15.0), ("g", 10.0, 16.0), ("h", 1.0, 1.0), ("i", 0.0, 0.0), ("i", 10.0, 10.0), ("i", 20.0, 30.0)]
+    anchors = spark.createDataFrame(points, schema.ANCHOR)
+    rows = [(f, n, 1000 * n, 1000 * n + 800, "x") for f in "fghij" for n in (1, 12)]
+    table = spark.createDataFrame(rows, "file_id string, cue_no int, start_ms bigint, end_ms bigint, text string")
+    mapped, report = timeline.align_to_client(table, anchors)
+    assert [(r.file_id, r.n_mapped, r.n_unresolved, r.kind, r.n_anchors) for r in report.orderBy("file_id").collect()] == [("f", 2, 0, "GLOBAL_OFFSET", 2), ("g", 0, 2, None, None), ("h", 0, 2, None, None), ("i", 2, 0, "PIECEWISE", 3), ("j", 0, 2, None, None)]
+    assert [(r.start_ms, r.end_ms) for r in mapped.filter("file_id = 'i'").orderBy("cue_no").collect()] == [(1000, 1800), (14_000, 15_600)]
+    segments = timeline.segments(anchors).orderBy("file_id", "ref_s").collect()
+    assert [tuple(s) for s in segments] == [("f", float("-inf"), float("inf"), 0.0, 15.0, 1.0), ("i", float("-inf"), 10.0, 0.0, 0.0, 1.0), ("i", 10.0, float("inf"), 10.0, 10.0, 2.0)]
+    # one scan of cues and one of anchors: each further one would put its sorts and windows into the same task
+    for part in (report.select("file_id", "n_mapped", "kind"), timeline.transform_cues(table, anchors)):
+        plan = part._jdf.queryExecution().optimizedPlan()
+        assert plan.collectLeaves().size() == 2 and "Window" not in plan.toString()
+
+
 ALIGN = {
     "plain": ([(1000, 2000, "Hello there", None)], ["Hello there"], [(1000, 2000, "AUTO_MAPPED")]),
     "contraction": ([(1000, 3000, "I can't go", [("I", 1.0, 1.2), ("cannot", 1.2, 1.8), ("go", 1.8, 2.2)])], ["I cannot go"], [(1000, 2200, "AUTO_MAPPED")]),
