@@ -9,8 +9,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from cueloom import shared
 from cueloom.functions import predicates as pr
 from cueloom.functions import text as tx
 from cueloom.functions import timecode as tc
@@ -80,7 +80,7 @@ def _repair(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def _repair_rows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order, those of a file's block of islands one behind another, with repaired times."""
+    """Rows in order, those of a file's block of islands one behind another, with repaired times and all other columns as they are."""
     block, last = None, -1.0
     for part in rows:
         starts, ends = [], []
@@ -92,20 +92,25 @@ def _repair_rows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last = _snap(end / 1000)
             starts.append(start)
             ends.append(end)
-        yield pa.RecordBatch.from_arrays([part.column("file_id"), part.column("_order"), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], ["file_id", "_order", "start_ms", "end_ms"])
+        kept = [c for c in part.schema.names if c not in ("_block", "_gap", "_need")]
+        times = {"start_ms": pa.array(starts, pa.int64()), "end_ms": pa.array(ends, pa.int64())}
+        yield pa.RecordBatch.from_arrays([times.get(c, part.column(c)) for c in kept], kept)
+
+
+def _repaired_in_order(cues: DataFrame) -> DataFrame:
+    """Timed cues with repaired times and `_order`, their place in the file. One pass: the rows are dealt out by blocks of islands with
+    all they hold, so none is joined back."""
+    # many short islands share a block: repairing several in turn gives what each would give alone
+    work = islands(cues).withColumns({"_gap": gap_frames(), "_need": required_seconds(), "_block": F.floor(F.col("island") / ISLANDS)}).drop("island")
+    in_order = work.repartition("file_id", "_block").sortWithinPartitions("file_id", "_block", "_order")
+    kind = StructType([StructField(f.name, LongType()) if f.name in ("start_ms", "end_ms") else f for f in work.drop("_gap", "_need", "_block").schema.fields])
+    return in_order.mapInArrow(_repair_rows, kind)
 
 
 def repair_windows(cues: DataFrame) -> DataFrame:
     """Cues joined with platform fields: starts pushed behind the last repaired end and the gap, ends long enough to read and no
     longer than allowed, all on the frame grid. Untimed cues are dropped."""
-    extra = islands(cues).withColumns({"_gap": gap_frames(), "_need": required_seconds()})
-    work = extra.select("file_id", F.floor(F.col("island") / ISLANDS).alias("_block"), "_order", "start_ms", "end_ms", "_gap", "_need", "min_duration_seconds", "max_duration_seconds")
-    # many short islands share a block: repairing several in turn gives what each would give alone
-    kind = {f.name: f.dataType.simpleString() for f in work.schema.fields}
-    in_order = work.repartition("file_id", "_block").sortWithinPartitions("file_id", "_block", "_order")
-    fixed = in_order.mapInArrow(_repair_rows, f"file_id {kind['file_id']}, _order {kind['_order']}, start_ms bigint, end_ms bigint")
-    out = extra.drop("start_ms", "end_ms", "_gap", "_need", "island").join(fixed, ["file_id", "_order"])
-    return out.drop("_order").select(cues.columns)
+    return _repaired_in_order(cues).select(cues.columns)
 
 
 def split_long(cues: DataFrame) -> DataFrame:
@@ -156,17 +161,22 @@ def regenerate(cues: DataFrame, offset_s: float = 0.0) -> DataFrame:
 
 def prepare(cues: DataFrame, titles: DataFrame | None = None, regenerate_timings: bool = False, keep_all: bool = False) -> DataFrame:
     """Cues joined with platform fields made ready: ends filled, text cleaned, non-dialogue dropped, long cues split, windows
-    repaired, the zero subtitle added where a platform wants it, and cues renumbered."""
-    out = shared.written(wn.fill_ends(cues).withColumn("text", tx.delivery_text(F.coalesce("text", F.lit("")))), "delivery")
+    repaired, the zero subtitle added where a platform wants it, and cues renumbered.
+
+    Texts are made before the window that fills ends, so a filter on them can't be pushed below it and make them twice. One exchange by
+    file serves all windows, one by blocks the repair; nothing is written between."""
+    out = wn.fill_ends(cues.withColumn("text", tx.delivery_text(F.coalesce("text", F.lit("")))))
     if not keep_all:
         out = out.filter(pr.is_dialogue(F.col("text")))
     out = wn.placeholders(regenerate(out) if regenerate_timings else out)
-    out = repair_windows(shared.written(split_long(wn.sorted_by_start(out)), "split"))
-    if titles is not None:
-        wanted = out.filter("zero_subtitle_required").select("file_id").distinct()
-        zero = wn.prepend_zero(out.join(wanted, "file_id", "left_semi"), titles)
-        out = zero.unionByName(out.join(wanted, "file_id", "left_anti"))
-    return out.withColumn("_no", F.row_number().over(wn.ordered())).withColumn("cue_no", F.col("_no")).drop("_no")
+    out = _repaired_in_order(split_long(wn.sorted_by_start(out)))
+    # repair keeps every timed cue in its place
+    out = out.withColumn("cue_no", F.col("_order")).drop("_order")
+    if titles is None:
+        return out
+    wanted = out.filter("zero_subtitle_required").select("file_id").distinct()
+    zero = wn.prepend_zero(out.join(wanted, "file_id", "left_semi"), titles)
+    return zero.unionByName(out.join(wanted, "file_id", "left_anti"))
 
 
 def insert_cues(cues: DataFrame, edits: DataFrame) -> DataFrame:

@@ -471,7 +471,7 @@ def round_trip_csv(spark, sf_dir):
 @query()
 def clean(spark, sf_dir):
     """Documents' lines cleaned, repaired and made ready for their platforms."""
-    out = pipelines.clean(_plat(v.cues_doc(spark, sf_dir)), pl.presets(spark))
+    out = pipelines.clean(_plat(v.cues_doc(spark, sf_dir)), pl.presets(spark), columns=("file_id", "cue_no", "start_ms", "end_ms", "text", "flagged"))
     return out.select("file_id", *_long("cue_no", "start_ms", "end_ms"), "text", "flagged")
 
 

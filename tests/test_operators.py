@@ -1,5 +1,7 @@
 """Operators on small cue tables: timing, sync, timelines, alignment, checks, catalogue, sources and sinks."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -158,6 +160,21 @@ def test_cleaning_pipeline(spark, plat):
     assert got[0].startswith("SHOW\nSTORY") and got[1] in ("I saw three dogs!", "Uh, i saw three dogs!") and got[2] == "The color is red."
 
 
+def test_cleaning_writes_one_table_and_deals_cues_out_twice(spark, plat):
+    rows = [(0, 2000, "JOHN: uh, i saw 3 dogs!!"), (2040, 4000, "[MUSIC PLAYING]"), (4040, 6000, "the colour  is red ."), (4100, 4200, "a line of some words that is cut in two as it is long, and one more word")]
+    table = cues(spark, rows).withColumn("platform_key", F.lit("broadcast_a"))
+    rules = plat.drop("no_italics", "italic_lyrics", "italic_foreign")
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    seen = set(folder.glob("*"))
+    few = pipelines.clean(table, rules, columns=("file_id", "cue_no", "start_ms", "end_ms", "text"))
+    made = set(folder.glob("*")) - seen
+    assert len(made) == 1 and "original_text" not in spark.read.parquet(str(made.pop())).columns
+    assert few._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    whole = pipelines.clean(table, rules)
+    assert {"original_text", "rule_hints", "platform_key", "rules"} <= set(whole.columns)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, whole.select(few.columns).collect())) and few.count() > 2
+
+
 def test_audit(spark):
     rules = spark.createDataFrame([("p", 1, "Remove HOH elements"), ("p", 2, "Avoid double punctuation")], "platform_key string, rule_no int, rule string")
     changed = spark.createDataFrame([("f", 1, "p", "[MUSIC] Hi!!", "Hi!", 42), ("f", 2, "p", "abc", "xyz", 42), ("f", 3, "p", "same", "same", 42)], "file_id string, cue_no int, platform_key string, original_text string, text string, max_chars_per_line int")
