@@ -146,14 +146,14 @@ def split_long(cues: DataFrame) -> DataFrame:
     return out.withColumn("_no", F.row_number().over(order)).withColumn("cue_no", F.col("_no")).select(cues.columns)
 
 
-def regenerate(cues: DataFrame, offset_s: float = 0.0) -> DataFrame:
+def regenerate(cues: DataFrame, offset_s: float | Column = 0.0) -> DataFrame:
     """A new timeline: scene paragraphs cut into delivery-sized cues, durations by reading speed, constant gaps. Source times are
     ignored. Starts are prefix sums, so no cue waits for another."""
     pieces = tx.dialogue_chunks(F.coalesce("text", F.lit("")), F.col("max_chars_per_line"), F.col("max_lines"))
     rows = cues.select("*", F.posexplode(tx.let(pieces, lambda p: F.when(F.size(p) > 0, p).otherwise(F.array("text")))).alias("_i", "_t")).withColumn("text", F.col("_t"))
     order = Window.partitionBy("file_id").orderBy("cue_no", "_i")
     rows = rows.withColumns({"_d": F.least(required_seconds(), F.col("max_duration_seconds")), "_g": F.greatest("min_interval_seconds", F.lit(1 / FPS))})
-    start = F.coalesce(F.sum(F.col("_d") + F.col("_g")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)) + max(0.0, offset_s)
+    start = F.coalesce(F.sum(F.col("_d") + F.col("_g")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)) + F.greatest(F.lit(0.0), offset_s if isinstance(offset_s, Column) else F.lit(float(offset_s)))
     rows = rows.withColumns({"_s": start, "_no": F.row_number().over(order)})
     rows = rows.withColumns({"start_ms": tc.snap_seconds(F.col("_s")), "end_ms": tc.snap_seconds(F.col("_s") + F.col("_d")), "cue_no": F.col("_no")})
     return rows.select(cues.columns)
@@ -161,22 +161,27 @@ def regenerate(cues: DataFrame, offset_s: float = 0.0) -> DataFrame:
 
 def prepare(cues: DataFrame, titles: DataFrame | None = None, regenerate_timings: bool = False, keep_all: bool = False) -> DataFrame:
     """Cues joined with platform fields made ready: ends filled, text cleaned, non-dialogue dropped, long cues split, windows
-    repaired, the zero subtitle added where a platform wants it, and cues renumbered.
+    repaired, the zero subtitle added where a platform wants it, and cues renumbered. titles: (file_id, title) of its first line,
+    PROGRAM without. A file that keeps no cue keeps the zero subtitle its platform wants.
 
     Texts are made before the window that fills ends, so a filter on them can't be pushed below it and make them twice. One exchange by
     file serves all windows, one by blocks the repair; nothing is written between."""
-    out = wn.fill_ends(cues.withColumn("text", tx.delivery_text(F.coalesce("text", F.lit("")))))
+    wanted = F.coalesce("zero_subtitle_required", F.lit(False)) if "zero_subtitle_required" in cues.columns else F.lit(False)
+    out = wn.fill_ends(wn.with_titles(cues, titles).withColumn("text", tx.delivery_text(F.coalesce("text", F.lit("")))))
+    out = out.withColumn("_alone", F.lit(False))
     if not keep_all:
-        out = out.filter(pr.is_dialogue(F.col("text")))
-    out = wn.placeholders(regenerate(out) if regenerate_timings else out)
-    out = _repaired_in_order(split_long(wn.sorted_by_start(out)))
+        out = out.withColumn("_spoken", pr.is_dialogue(F.col("text")))
+        # the first cue of a file of which no cue stays holds the zero subtitle's place
+        held = ~F.max("_spoken").over(Window.partitionBy("file_id")) & (F.row_number().over(wn.ordered()) == 1) & wanted
+        out = out.withColumn("_alone", held).filter("_spoken or _alone").drop("_spoken")
+        place = {"text": F.lit(""), "start_ms": F.lit(0), "end_ms": F.lit(1000)}
+        out = out.withColumns({c: F.when(F.col("_alone"), value).otherwise(F.col(c)) for c, value in place.items()})
+    after = F.when(wanted, wn.zero_seconds(out) + F.col("min_interval_seconds")).otherwise(F.lit(0.0))
+    out = wn.placeholders(regenerate(out, after) if regenerate_timings else out)
+    out = split_long(wn.sorted_by_start(out))
+    out = _repaired_in_order(out.filter("start_ms is not null").withColumn("_zero", wanted & wn.lacks_zero()))
     # repair keeps every timed cue in its place
-    out = out.withColumn("cue_no", F.col("_order")).drop("_order")
-    if titles is None:
-        return out
-    wanted = out.filter("zero_subtitle_required").select("file_id").distinct()
-    zero = wn.prepend_zero(out.join(wanted, "file_id", "left_semi"), titles)
-    return zero.unionByName(out.join(wanted, "file_id", "left_anti"))
+    return wn.put_zero(out.withColumn("cue_no", F.col("_order"))).select(cues.columns)
 
 
 def insert_cues(cues: DataFrame, edits: DataFrame) -> DataFrame:

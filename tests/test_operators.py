@@ -175,6 +175,23 @@ def test_cleaning_writes_one_table_and_deals_cues_out_twice(spark, plat):
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, whole.select(few.columns).collect())) and few.count() > 2
 
 
+def test_cleaning_adds_the_zero_subtitle_that_a_platform_wants(spark, plat):
+    cue = lambda f, key, n, text: (f, key, n, 3000 * n, 3000 * n + 2000, text)
+    rows = [cue("a", "broadcast_a", 1, "Where is it?"), cue("a", "broadcast_a", 2, "I saw the dogs."), cue("b", "generic", 1, "Where is it?"), cue("c", "streaming_b", 1, "[MUSIC]"), cue("d", "streaming_b", 1, "SHOW STORY: X LANG: ENG")]
+    table = spark.createDataFrame([*rows, cue("e", "generic", 1, "[MUSIC]")], "file_id string, platform_key string, cue_no int, start_ms bigint, end_ms bigint, text string")
+    rules = plat.drop("no_italics", "italic_lyrics", "italic_foreign").withColumn("min_duration_seconds", F.when(F.col("platform_key") == "streaming_b", 1.2).otherwise(F.col("min_duration_seconds")))
+    zero = "\nSTORY: UNKNOWN\nLANG: ENG"
+    for titles, name in ((None, "PROGRAM"), (spark.createDataFrame([("a", "SHOW"), ("x", "Y")], "file_id string, title string"), "SHOW")):
+        out = pipelines.clean(table, rules, titles).orderBy("file_id", "cue_no").collect()
+        got = {f: [(r.cue_no, r.start_ms, r.end_ms, r.text) for r in out if r.file_id == f] for f in "abcde"}
+        assert got["a"][0] == (1, 0, 1080, name + zero) and [g[0] for g in got["a"]] == [1, 2, 3] and [g[3] for g in got["a"][1:]] == ["Where is it?", "I saw the dogs."]
+        assert [g[3] for g in got["b"]] == ["Where is it?"] and got["c"] == [(1, 0, 1200, "PROGRAM" + zero)] and got["e"] == [] and len(got["d"]) == 1
+        made = next(r for r in out if r.file_id == "a")
+        assert (made.platform_key, made.original_text, made.rule_hints, made.flagged) == ("broadcast_a", "", ["zero_subtitle"], False)
+    found = pipelines.prepare_and_check(table, rules)[0].filter("type = 'ZERO_SUBTITLE_INVALID'")
+    assert found.isEmpty()
+
+
 def test_audit(spark):
     rules = spark.createDataFrame([("p", 1, "Remove HOH elements"), ("p", 2, "Avoid double punctuation")], "platform_key string, rule_no int, rule string")
     changed = spark.createDataFrame([("f", 1, "p", "[MUSIC] Hi!!", "Hi!", 42), ("f", 2, "p", "abc", "xyz", 42), ("f", 3, "p", "same", "same", 42)], "file_id string, cue_no int, platform_key string, original_text string, text string, max_chars_per_line int")
