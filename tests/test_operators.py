@@ -377,6 +377,22 @@ def test_top_candidates_query_runs_the_operator(spark, monkeypatch):
     assert calls and max(r["rank"] for r in got) <= 30
 
 
+def test_csv_of_long_cells_and_many_records(spark):
+    long = "He said \"no\", then,\n" * 40_000 + "end"
+    quoted = lambda t: '"' + t.replace('"', '""') + '"'
+    cells = [long, "a\x01n,b", 'x "y" z', "plain"]
+    body = "\n".join(f"{k},00:00:{k:02d}.000,{quoted(t)}" for k, t in enumerate(cells, 1))
+    many = "start,text\n" + "\n".join(f'00:00:01.000,"line\n{k}"' for k in range(20_000))
+    docs = spark.createDataFrame([(1, "id,start,text\n" + body), (2, many), (3, 'start,text\n00:00:01.000,one\n00:00:02.000,"open\nto the end')], "file_id long, text string")
+    got = {}
+    for r in readers.parse_csv(docs).orderBy("file_id", "cue_no").collect():
+        got.setdefault(r.file_id, []).append((r.cue_no, r.start_ms, r.text))
+    assert got[1] == [(k, 1000 * k, t.strip(" ")) for k, t in enumerate(cells, 1)]
+    assert len(got[2]) == 20_000 and got[2][-1] == (20_000, 1000, "line\n19999") and got[3] == [(1, 1000, "one")]
+    plan = readers.parse_csv(docs)._jdf.queryExecution().optimizedPlan()
+    assert plan.collectLeaves().size() == 1
+
+
 def test_parse_csv(spark):
     from cueloom.sources import readers
 
