@@ -377,6 +377,35 @@ def test_top_candidates_query_runs_the_operator(spark, monkeypatch):
     assert calls and max(r["rank"] for r in got) <= 30
 
 
+def test_banded_rows_go_out_once_as_arrays(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = [(d, p, float(10 + 12 * y), float(rng.choice((0, 30, 60, 120, 150, 152, 240, 300)) + rng.randint(0, 8)), 0.0, f"w{rng.randint(0, 99)}", rng.choice((None, "Sans-Bold", "Italic"))) for d in (1, 2) for p in (1, 2, 3) for y in range(9) for _ in range(rng.randint(0, 7))]
+    words = spark.createDataFrame([*rows, (3, 1, 5.0, 1.0, 2.0, "alone", None), (3, 2, None, 1.0, 2.0, "nowhere", None)], "doc_id long, page int, y double, x0 double, x1 double, text string, font string").repartition(5)
+    mark = {None: "", "Sans-Bold": "**", "Italic": "*"}
+    pages = {}
+    for d, p, y, x, _, t, f in [*rows, (3, 1, 5.0, 1.0, 2.0, "alone", None)]:
+        pages.setdefault((d, p), {}).setdefault(round(y / 3) * 3, []).append((x, mark[f] + t + mark[f]))
+    bounds, lines = set(), set()
+    for (d, p), held in pages.items():
+        starts = sorted(b[0] for ws in held.values() for a, b in zip(sorted(ws), sorted(ws)[1:]) if b[0] - a[0] >= 40)
+        groups = []
+        for x in starts:
+            groups[-1].append(x) if groups and x - groups[-1][-1] <= 30 else groups.append([x])
+        own = [int(sum(g) // len(g)) for g in groups if len(g) >= max(2, len(held) // 3)]
+        bounds |= {(d, p, b) for b in own}
+        for y, ws in held.items():
+            cells = [" ".join(t for x, t in sorted(ws) if sum(x >= b for b in own) == k) for k in range(len(own) + 1)]
+            lines.add((d, p, y, " | ".join(cells)))
+    assert set(map(tuple, readers.column_bounds(words).collect())) == bounds and len(bounds) > 3
+    made = readers.banded_rows(words)
+    got = [tuple(r) for r in made.collect()]
+    assert set(got) == lines and len(got) == len(lines)
+    plan = readers.banded_rows(words)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
 def test_csv_of_long_cells_and_many_records(spark):
     long = "He said \"no\", then,\n" * 40_000 + "end"
     quoted = lambda t: '"' + t.replace('"', '""') + '"'
