@@ -23,10 +23,17 @@ def is_metadata_label(text: Column) -> Column:
 
 def is_dialogue(text: Column) -> Column:
     """Two characters or more with a letter, and no heading, label, number, note or upper-case name; a zero subtitle always."""
-    t = F.trim(F.coalesce(text, F.lit("")))
-    bare = tx.strip_tags(F.regexp_replace(F.regexp_replace(t, r"\*\*(.+?)\*\*", "$1"), r"(?<!\*)\*(?!\*)(.+?)(?<!\*)\*(?!\*)", "$1"))
-    noise = bare.rlike(tx.METADATA) | is_metadata_label(bare) | bare.rlike(r"^[\d\s:;,.|/-]+$") | bare.rlike(tx.SCENE_HEADING) | bare.rlike(tx.QC_NOTE) | bare.rlike(r"^[A-Z][A-Z\s.\-'/()0-9#&,]{1,40}$")
-    return (F.length(t) >= 2) & (is_zero_subtitle(t) | (~noise & bare.rlike("[A-Za-z]")))
+    def bare(t: Column) -> Column:
+        # marks and tags are looked for where one can be
+        plain = F.when(t.contains("*"), F.regexp_replace(F.regexp_replace(t, r"\*\*(.+?)\*\*", "$1"), r"(?<!\*)\*(?!\*)(.+?)(?<!\*)\*(?!\*)", "$1")).otherwise(t)
+        return tx.let(plain, lambda p: F.when(p.contains("<"), tx.strip_tags(p)).otherwise(p))
+
+    def noise(b: Column) -> Column:
+        return b.rlike(tx.METADATA) | is_metadata_label(b) | b.rlike(r"^[\d\s:;,.|/-]+$") | b.rlike(tx.SCENE_HEADING) | b.rlike(tx.QC_NOTE) | b.rlike(r"^[A-Z][A-Z\s.\-'/()0-9#&,]{1,40}$")
+
+    # the bare text is made once, not once for each pattern
+    spoken = lambda t: tx.let(bare(t), lambda b: is_zero_subtitle(t) | (b.rlike("[A-Za-z]") & ~noise(b)))
+    return tx.let(F.trim(F.coalesce(text, F.lit(""))), lambda t: (F.length(t) >= 2) & spoken(t))
 
 
 def must_preserve(text: Column) -> Column:
@@ -61,7 +68,7 @@ def visible(cues: DataFrame) -> DataFrame:
 
 
 def too_long(text: Column, most: Column) -> Column:
-    return F.exists(F.split(text, "\n"), lambda line: F.length(F.trim(tx.strip_tags(line))) > most)
+    return F.exists(F.split(text, "\n"), lambda line: F.length(F.trim(F.when(line.contains("<"), tx.strip_tags(line)).otherwise(line))) > most)
 
 
 def flag_too_long(cues: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@ that can't touch each other, which two window passes cut beforehand, so long fil
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -38,10 +38,16 @@ def gap_frames() -> Column:
 
 def islands(cues: DataFrame) -> DataFrame:
     """Timed cues with `island`: a cue that starts after all that earlier ones can be pushed to opens a new one."""
-    need, gap, start = required_seconds(), gap_frames() / FPS, F.col("start_ms") / 1000.0
+    return _islands(cues).drop("_need")
+
+
+def _islands(cues: DataFrame) -> DataFrame:
+    """islands with _need, the seconds that a cue needs to be read."""
+    need, gap, start = F.col("_need"), gap_frames() / FPS, F.col("start_ms") / 1000.0
     order = Window.partitionBy("file_id").orderBy("_order")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    out = cues.filter("start_ms is not null").withColumn("_order", F.row_number().over(wn.ordered()))
+    # made below the first window, so once a cue
+    out = cues.filter("start_ms is not null").withColumn("_need", required_seconds()).withColumn("_order", F.row_number().over(wn.ordered()))
     out = out.withColumn("_p", F.sum(gap + need + 2 / FPS).over(order))
     reach = F.greatest(F.coalesce("end_ms", F.lit(0)) / 1000.0, start + need) - F.col("_p")
     out = out.withColumn("_reach", reach)
@@ -97,11 +103,11 @@ def _repair_rows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([times.get(c, part.column(c)) for c in kept], kept)
 
 
-def _repaired_in_order(cues: DataFrame) -> DataFrame:
+def _repaired_in_order(cues: DataFrame, idle: Collection[str] = ()) -> DataFrame:
     """Timed cues with repaired times and `_order`, their place in the file. One pass: the rows are dealt out by blocks of islands with
-    all they hold, so none is joined back."""
+    all they hold but the columns `idle`, so none is joined back."""
     # many short islands share a block: repairing several in turn gives what each would give alone
-    work = islands(cues).withColumns({"_gap": gap_frames(), "_need": required_seconds(), "_block": F.floor(F.col("island") / ISLANDS)}).drop("island")
+    work = _islands(cues).withColumns({"_gap": gap_frames(), "_block": F.floor(F.col("island") / ISLANDS)}).drop("island", *idle)
     in_order = work.repartition("file_id", "_block").sortWithinPartitions("file_id", "_block", "_order")
     kind = StructType([StructField(f.name, LongType()) if f.name in ("start_ms", "end_ms") else f for f in work.drop("_gap", "_need", "_block").schema.fields])
     return in_order.mapInArrow(_repair_rows, kind)
@@ -159,10 +165,10 @@ def regenerate(cues: DataFrame, offset_s: float | Column = 0.0) -> DataFrame:
     return rows.select(cues.columns)
 
 
-def prepare(cues: DataFrame, titles: DataFrame | None = None, regenerate_timings: bool = False, keep_all: bool = False) -> DataFrame:
+def prepare(cues: DataFrame, titles: DataFrame | None = None, regenerate_timings: bool = False, keep_all: bool = False, columns: Collection[str] | None = None) -> DataFrame:
     """Cues joined with platform fields made ready: ends filled, text cleaned, non-dialogue dropped, long cues split, windows
     repaired, the zero subtitle added where a platform wants it, and cues renumbered. titles: (file_id, title) of its first line,
-    PROGRAM without. A file that keeps no cue keeps the zero subtitle its platform wants.
+    PROGRAM without. A file that keeps no cue keeps the zero subtitle its platform wants. columns: those that are wanted, all by default.
 
     Texts are made before the window that fills ends, so a filter on them can't be pushed below it and make them twice. One exchange by
     file serves all windows, one by blocks the repair; nothing is written between."""
@@ -179,9 +185,10 @@ def prepare(cues: DataFrame, titles: DataFrame | None = None, regenerate_timings
     after = F.when(wanted, wn.zero_seconds(out) + F.col("min_interval_seconds")).otherwise(F.lit(0.0))
     out = wn.placeholders(regenerate(out, after) if regenerate_timings else out)
     out = split_long(wn.sorted_by_start(out))
-    out = _repaired_in_order(out.filter("start_ms is not null").withColumn("_zero", wanted & wn.lacks_zero()))
-    # repair keeps every timed cue in its place
-    return wn.put_zero(out.withColumn("cue_no", F.col("_order"))).select(cues.columns)
+    # repair and what follows it need these; the place in the file is the number, as repair keeps every timed cue
+    needed = {"file_id", "start_ms", "end_ms", "text", "min_duration_seconds", "max_duration_seconds", *(cues.columns if columns is None else columns)} - {"cue_no"}
+    out = _repaired_in_order(out.filter("start_ms is not null").withColumn("_zero", wanted & wn.lacks_zero()), [c for c in cues.columns if c not in needed])
+    return wn.put_zero(out.withColumnRenamed("_order", "cue_no")).select([c for c in cues.columns if columns is None or c in columns])
 
 
 def insert_cues(cues: DataFrame, edits: DataFrame) -> DataFrame:

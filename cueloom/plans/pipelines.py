@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,6 @@ from cueloom.functions import text as tx
 from cueloom.operators import audit, qc, timing
 from cueloom.operators import platforms as pl
 
-
 #: What preparation and its flags need of a cue and its platform.
 NEEDED = (
     "file_id", "cue_no", "start_ms", "end_ms", "text", "max_chars_per_line", "max_lines", "min_duration_seconds", "max_duration_seconds", "min_interval_seconds",
@@ -21,7 +22,7 @@ NEEDED = (
 POLICY = ("no_italics", "italic_lyrics", "italic_foreign")
 
 
-def clean(cues: DataFrame, platforms: DataFrame, titles: DataFrame | None = None, columns: tuple[str, ...] | None = None) -> DataFrame:
+def clean(cues: DataFrame, platforms: DataFrame, titles: DataFrame | None = None, columns: Collection[str] | None = None) -> DataFrame:
     """Deterministic cleaning of cues (file_id, platform_key, cue_no, start_ms, end_ms, text): delivery text, the ordered chain,
     italics, preparation, and flags for lines that are still too long. Protected titles keep their words.
 
@@ -40,7 +41,7 @@ def clean(cues: DataFrame, platforms: DataFrame, titles: DataFrame | None = None
     out = it.apply(audit.with_hints(out) if hints else out)
     out = out.withColumn("text", F.coalesce("_title", "text"))
     out = out.select([c for c in out.columns if c != "_title" and (wanted(c) or c in NEEDED)])
-    out = timing.prepare(out, titles)
+    out = timing.prepare(out, titles, columns=None if columns is None else {*columns, "max_chars_per_line", "flagged", "flag_reason"})
     out = pr.flag_too_long(out.withColumns({c: F.lit(None).cast(k) for c, k in (("flagged", "boolean"), ("flag_reason", "string")) if c not in out.columns}))
     return out if columns is None else out.select(*columns)
 
